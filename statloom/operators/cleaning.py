@@ -143,13 +143,14 @@ COUNT_NAMES = (
 
 
 def distinct_values(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value, number, n) of the non-null cells.
+    """(keys, value, text, number, n) of the non-null cells.
 
-    NULLs go by their count and the number is an aggregate, so that no filter on
-    them is pushed below the grouping, where it would repeat all the rules.
+    NULLs go by their count; text and number are aggregates. So no filter on them
+    is pushed below the grouping, where it would repeat all the rules.
     """
+    value = F.col("value")
     grouped = cells.groupBy(*keys, "value").agg(
-        F.count("value").alias("n"), F.max(strict_number(F.col("value"))).alias("number")
+        F.count("value").alias("n"), F.max(clean_text(value)).alias("text"), F.max(strict_number(value)).alias("number")
     )
     return grouped.where(F.col("n") > 0)
 
@@ -157,17 +158,15 @@ def distinct_values(cells: DataFrame, keys: list[str]) -> DataFrame:
 def category_changes(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, from_value, to_value, rows_affected) for columns with 2 to 200 values.
 
-    ``values`` is (keys, value, n): distinct values with their row counts. The
-    frame is the canonicalisation log.
+    ``values`` comes from ``distinct_values``. The frame is the canonicalisation log.
     """
     gate = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(
         F.col("_k").between(CATEGORY_MIN, CATEGORY_MAX)
     )
-    text = attach(values, gate.select(*keys), keys).withColumn("_text", clean_text(F.col("value")))
-    named = text.withColumn("to_value", canonical_text(F.col("_text")))
+    named = attach(values, gate.select(*keys), keys).withColumn("to_value", canonical_text(F.col("text")))
     # An alias counts as a change even where the spelling is right already.
-    alias = F.replace(F.lower("_text"), F.lit("."), F.lit("")).isin(*COUNTRY_ALIASES)
-    return named.where((F.col("to_value") != F.col("_text")) | alias).select(
+    alias = F.replace(F.lower("text"), F.lit("."), F.lit("")).isin(*COUNTRY_ALIASES)
+    return named.where((F.col("to_value") != F.col("text")) | alias).select(
         *keys, F.col("value").alias("from_value"), "to_value", F.col("n").alias("rows_affected")
     )
 
