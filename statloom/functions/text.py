@@ -56,15 +56,17 @@ def compat_fold(c: Column) -> Column:
     return F.translate(c, _COMPAT_SINGLE, _COMPAT_TARGET)
 
 
-@F.pandas_udf("string")
-def nfkc(values: pd.Series) -> pd.Series:
-    """Full NFKC for columns known to hold exotic characters."""
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+def nfkc():
+    """Pandas UDF: full NFKC, for columns known to hold exotic characters."""
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+    return F.pandas_udf(fold, "string")
 
 
 def clean_text(c: Column, full_nfkc: bool = False) -> Column:
     """Fold compatibility characters, drop control characters and tags, trim."""
-    t = nfkc(c) if full_nfkc else compat_fold(c)
+    t = nfkc()(c) if full_nfkc else compat_fold(c)
     t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<[^>]+>", "")
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 

@@ -32,21 +32,21 @@ def _binned(counts: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     x = attach(counts, bounds, keys)
     v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     return x.groupBy(
-        *keys, "N_e", "N_a",
+        *keys, "total_e", "total_a",
         bin_index(v, lo, hi, F.lit(PSI_BINS)).alias("_b10"), bin_index(v, lo, hi, F.lit(JS_BINS)).alias("_b50"),
     ).agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
 
 
 def _psi(bins: DataFrame, keys: list[str]) -> DataFrame:
-    per = bins.groupBy(*keys, "N_e", "N_a", "_b10").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
-    e = F.greatest(F.col("n_e") / F.col("N_e"), F.lit(SHARE_FLOOR))
-    a = F.greatest(F.col("n_a") / F.col("N_a"), F.lit(SHARE_FLOOR))
+    per = bins.groupBy(*keys, "total_e", "total_a", "_b10").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
+    e = F.greatest(F.col("n_e") / F.col("total_e"), F.lit(SHARE_FLOOR))
+    a = F.greatest(F.col("n_a") / F.col("total_a"), F.lit(SHARE_FLOOR))
     return per.groupBy(*keys).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
 
 def _js(bins: DataFrame, keys: list[str]) -> DataFrame:
-    per = bins.groupBy(*keys, "N_e", "N_a", "_b50").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
-    p, q = F.col("n_e") / F.col("N_e"), F.col("n_a") / F.col("N_a")
+    per = bins.groupBy(*keys, "total_e", "total_a", "_b50").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
+    p, q = F.col("n_e") / F.col("total_e"), F.col("n_a") / F.col("total_a")
     m = (p + q) / 2.0
 
     def part(x: Column) -> Column:
@@ -67,8 +67,8 @@ def drift_measures(expected: DataFrame, actual: DataFrame, keys: list[str], labe
     small = is_small(expected) and is_small(actual)
     counts = vintage_counts(expected, actual, keys)
     bounds = counts.groupBy(*keys).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n_e").alias("N_e"), F.sum("n_a").alias("N_a")
-    ).where((F.col("N_e") >= MIN_ROWS) & (F.col("N_a") >= MIN_ROWS))
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n_e").alias("total_e"), F.sum("n_a").alias("total_a")
+    ).where((F.col("total_e") >= MIN_ROWS) & (F.col("total_a") >= MIN_ROWS))
     usable = attach(counts, bounds.select(*keys), keys)
     bins = _binned(usable, bounds, keys)
     medians = attach(
@@ -82,13 +82,15 @@ def drift_measures(expected: DataFrame, actual: DataFrame, keys: list[str], labe
     psi = F.when(flat, 0.0).otherwise(F.col("psi"))
     js = F.when(flat, 0.0).otherwise(F.col("jensen_shannon"))
     pct = F.round(100.0 * (F.col("_ma") - F.col("_me")) / F.greatest(F.abs("_me"), F.lit(1e-9)), 2)
-    p = kolmogorov_p(F.col("ks_stat"), F.col("N_e").cast("double"), F.col("N_a").cast("double"))
+    # In a step of its own: inside the select, its lambda would see the rounded ks_stat.
+    p = kolmogorov_p(F.col("ks_stat"), F.col("total_e").cast("double"), F.col("total_a").cast("double"))
+    x = x.withColumn("_p", p)
     high_psi, high_median = psi > HIGH_PSI, F.abs(pct) > HIGH_MEDIAN_PCT
     e, a = labels
     return x.select(
-        *keys, F.col("N_e").alias(f"n_{e}"), F.col("N_a").alias(f"n_{a}"),
+        *keys, F.col("total_e").alias(f"n_{e}"), F.col("total_a").alias(f"n_{a}"),
         F.col("_me").alias(f"median_{e}"), F.col("_ma").alias(f"median_{a}"), pct.alias("median_pct_change"),
-        F.round("ks_stat", 4).alias("ks_stat"), F.round(p, 6).alias("ks_p_value"),
+        F.round("ks_stat", 4).alias("ks_stat"), F.round("_p", 6).alias("ks_p_value"),
         F.round(js, 4).alias("jensen_shannon"), F.round(psi, 4).alias("psi"),
         high_psi.alias("high_drift_psi_gt_0_25"), high_median.alias("high_median_drift_gt_30pct"),
         (high_psi | high_median).alias("high_drift_any"),

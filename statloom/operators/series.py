@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -85,45 +87,47 @@ def bootstrap_growth(df: DataFrame, keys: list[str], year: str, value: str, n_bo
 
 # ---- mean shift --------------------------------------------------------------
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz), vectorised."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 300):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + top * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + top / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-    return h
-
-
-def two_sided_t(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(|T| > |t|) of Student's t."""
-    from math import lgamma
-
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    x = df / (df + t * t)
-    a, b = df / 2.0, np.full_like(df, 0.5)
-    log_front = np.array([lgamma(p + q) - lgamma(p) - lgamma(q) for p, q in zip(a, b)])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(log_front + a * np.log(x) + b * np.log1p(-x))
-        direct = x < (a + 1.0) / (a + b + 2.0)
-        p = np.where(direct, front * _beta_fraction(a, b, x) / a, 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b)
-    return np.where(t == 0, 1.0, np.clip(p, 0.0, 1.0))
-
-
-@F.pandas_udf("double")
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    ok = t.notna() & df.notna()
-    out = pd.Series(np.full(len(t), None), dtype="object")
-    if ok.any():
-        out[ok] = two_sided_t(t[ok].to_numpy(), df[ok].to_numpy())
-    return out.astype("float64")
+def t_p_value():
+    """Pandas UDF: two-sided p-value of Student's t from (t, degrees of freedom).
+
+    Incomplete beta function by its continued fraction (modified Lentz), a whole
+    batch at a time. The helpers are nested so that they travel with the UDF.
+    """
+    def fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+        tiny = 1e-300
+        c = np.ones_like(x)
+        d = 1.0 - (a + b) * x / (a + 1.0)
+        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+        h = d.copy()
+        for m in range(1, 300):
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            for top in (even, odd):
+                d = 1.0 + top * d
+                d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+                c = 1.0 + top / c
+                c = np.where(np.abs(c) < tiny, tiny, c)
+                h = h * d * c
+        return h
+
+    def two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+        x = df / (df + t * t)
+        a, b = df / 2.0, np.full_like(df, 0.5)
+        log_front = np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in zip(a, b)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            front = np.exp(log_front + a * np.log(x) + b * np.log1p(-x))
+            direct = x < (a + 1.0) / (a + b + 2.0)
+            p = np.where(direct, front * fraction(a, b, x) / a, 1.0 - front * fraction(b, a, 1.0 - x) / b)
+        return np.where(t == 0, 1.0, np.clip(p, 0.0, 1.0))
+
+    def p_values(t: pd.Series, df: pd.Series) -> pd.Series:
+        ok = t.notna() & df.notna()
+        out = pd.Series(np.nan, index=t.index)
+        if ok.any():
+            out[ok] = two_sided(t[ok].to_numpy(float), df[ok].to_numpy(float))
+        return out.astype(object).where(ok, None)
+
+    return F.pandas_udf(p_values, "double")
 
 
 def mean_shift(df: DataFrame, keys: list[str], time: str, value: str, at: int | Column, with_p: bool = True) -> DataFrame:
@@ -140,7 +144,7 @@ def mean_shift(df: DataFrame, keys: list[str], time: str, value: str, at: int |
     t = F.when(e0 + e1 > 0, (F.col("mean_pre") - F.col("mean_post")) / F.sqrt(e0 + e1))
     dof = F.when(e0 + e1 > 0, (e0 + e1) * (e0 + e1) / (e0 * e0 / (F.col("n_pre") - 1) + e1 * e1 / (F.col("n_post") - 1)))
     out = s.select(*keys, "mean_pre", "mean_post", "n_pre", "n_post", t.alias("t_statistic"), dof.alias("welch_df"))
-    return out.withColumn("p_value_welch", t_p_value("t_statistic", "welch_df")) if with_p else out
+    return out.withColumn("p_value_welch", t_p_value()("t_statistic", "welch_df")) if with_p else out
 
 
 # ---- change points -----------------------------------------------------------

@@ -17,22 +17,26 @@ from statloom.operators.ordered import attach, is_small, quantiles, value_counts
 MIN_VALUES, MAX_VALUES, MAX_MEDIAN_LENGTH = 3, 200, 60
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one numpy row per letter of ``a``."""
-    if not a or not b:
-        return 0
-    other = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
-    row = np.zeros(len(other) + 1, dtype=np.int64)
-    for letter in a:
-        hit = np.concatenate(([0], row[:-1] + (other == ord(letter))))
-        row = np.maximum.accumulate(np.maximum(row, hit))
-    return int(row[-1])
+def indel_distance():
+    """Pandas UDF: insertions plus deletions that turn a into b.
 
+    The helper is nested so that it travels to the executors with the UDF.
+    """
+    def common(a: str, b: str) -> int:
+        """Length of the longest common subsequence, one numpy row per letter of ``a``."""
+        if not a or not b:
+            return 0
+        other = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
+        row = np.zeros(len(other) + 1, dtype=np.int64)
+        for letter in a:
+            hit = np.concatenate(([0], row[:-1] + (other == ord(letter))))
+            row = np.maximum.accumulate(np.maximum(row, hit))
+        return int(row[-1])
 
-@F.pandas_udf("long")
-def indel_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Insertions plus deletions that turn a into b."""
-    return pd.Series([len(x) + len(y) - 2 * common_subsequence(x, y) for x, y in zip(a, b)], dtype="int64")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(x) + len(y) - 2 * common(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    return F.pandas_udf(distance, "long")
 
 
 def _tokens(c: str):
@@ -82,7 +86,7 @@ def near_duplicates(cells: DataFrame, keys: list[str], threshold: int = 90) -> D
         F.array_join(F.array_except("_ta", "_tb"), " ").alias("_a"),
         F.array_join(F.array_except("_tb", "_ta"), " ").alias("_b"),
     )
-    x = x.withColumn("_dist", indel_distance("_a", "_b"))
+    x = x.withColumn("_dist", indel_distance()("_a", "_b"))
     shared, a, b = F.length("_s"), F.length("_a"), F.length("_b")
     gap = F.when(shared > 0, 1).otherwise(0)
     len_a, len_b = shared + gap + a, shared + gap + b
