@@ -62,9 +62,11 @@ def _ks(counts: DataFrame, keys: list[str], small: bool) -> DataFrame:
     return run.groupBy(*keys).agg(F.max(gap).alias("ks_stat"))
 
 
-def drift_measures(expected: DataFrame, actual: DataFrame, keys: list[str], labels: tuple[str, str] = ("expected", "actual")) -> DataFrame:
+def drift_measures(
+    expected: DataFrame, actual: DataFrame, keys: list[str], labels: tuple[str, str] = ("expected", "actual"), small: bool | None = None
+) -> DataFrame:
     """One row per key with at least 30 values on each side."""
-    small = is_small(expected) and is_small(actual)
+    small = is_small(expected) and is_small(actual) if small is None else small
     counts = vintage_counts(expected, actual, keys)
     bounds = counts.groupBy(*keys).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n_e").alias("total_e"), F.sum("n_a").alias("total_a")
@@ -134,7 +136,9 @@ def drift_report(expected: DataFrame, actual: DataFrame, metric: str, labels: tu
         itself = df.select(F.lit("overall").alias("scope"), F.col("year").cast("double").alias("value"), F.lit("year").alias("metric"))
         return measured.unionByName(itself)
 
-    return drift_measures(rows(expected), rows(actual), ["metric", "scope"], labels)
+    # The scope joins add at most four rows per input row, so the inputs' own size decides.
+    small = is_small(expected) and is_small(actual)
+    return drift_measures(rows(expected), rows(actual), ["metric", "scope"], labels, small)
 
 
 def quantile_comparison(expected: DataFrame, actual: DataFrame, probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
