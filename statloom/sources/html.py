@@ -42,13 +42,14 @@ def _literal(text: str) -> str:
 
 def looks_like_html(content: Column) -> Column:
     """True if the first bytes show an HTML or table tag."""
-    head = F.lower(F.decode(F.substring(content, 1, SNIFF_BYTES), "UTF-8"))
+    # Latin-1 gives every byte a character, so a cut inside a UTF-8 letter does no harm.
+    head = F.lower(F.decode(F.substring(content, 1, SNIFF_BYTES), "ISO-8859-1"))
     return head.rlike("<html|<!doctype html|<table")
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 text without a byte order mark."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    """UTF-8 text without a byte order mark; broken bytes become replacement characters."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")
 
 
 def cell_text(c: Column) -> Column:

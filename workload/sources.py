@@ -1 +1,161 @@
+"""Documents, reference tables and sinks on data derived from the given tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from statloom.operators import grid
+from statloom.sources import html, sinks, tables
+from workload import cells, shapes as s
+from workload.base import query, table
+
+
+def _documents(spark, d) -> DataFrame:
+    """One HTML document per customer with two tables: a marked header and a bare one."""
+    c = table(spark, d, "customer")
+    key, seg, bal = F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.format_string("%.2f", "c_acctbal")
+    page = F.concat(
+        F.lit("<!DOCTYPE html><html><x:Name>Ark1</x:Name><x:Name>Ark1</x:Name><table><thead><tr><th></th><th>Balance &amp; more</th><th>Segment</th></tr></thead>"),
+        F.lit('<tr><th scope="row">Q1 '), key, F.lit("</th><td>"), bal, F.lit("</td><td><b>"), seg, F.lit("</b></td></tr>"),
+        F.lit('<tr><th scope="row">Q2 '), key, F.lit("</th><td></td><td>&lt;none&gt;</td></tr></table>"),
+        F.lit("<TABLE><tr><td colspan='2'>wide</td></tr><tr><td>"), key, F.lit("</td><td>x</td></tr></TABLE></html>"))
+    return c.select(F.concat(F.lit("c"), key).alias("doc"), page.alias("html"))
+
+
+GRID_SQL = """grid AS (SELECT 'c' || c_custkey AS doc, * FROM customer),
+cells AS (SELECT doc, 'Ark1' AS sheet, 0 AS row_idx, 1 AS col_idx, 'Balance & more' AS value, true AS is_header FROM grid UNION ALL SELECT doc, 'Ark1', 0, 0, NULL, true FROM grid
+UNION ALL SELECT doc, 'Ark1', 0, 2, 'Segment', true FROM grid UNION ALL SELECT doc, 'Ark1', 1, 0, 'Q1 ' || c_custkey, false FROM grid
+UNION ALL SELECT doc, 'Ark1', 1, 1, printf('%.2f', c_acctbal), false FROM grid UNION ALL SELECT doc, 'Ark1', 1, 2, c_mktsegment, false FROM grid
+UNION ALL SELECT doc, 'Ark1', 2, 0, 'Q2 ' || c_custkey, false FROM grid UNION ALL SELECT doc, 'Ark1', 2, 1, NULL, false FROM grid UNION ALL SELECT doc, 'Ark1', 2, 2, '<none>', false FROM grid
+UNION ALL SELECT doc, 'Ark1_2', 0, 0, 'wide', false FROM grid UNION ALL SELECT doc, 'Ark1_2', 0, 1, 'wide', false FROM grid
+UNION ALL SELECT doc, 'Ark1_2', 1, 0, CAST(c_custkey AS VARCHAR), false FROM grid UNION ALL SELECT doc, 'Ark1_2', 1, 1, 'x', false FROM grid)"""
+
+
+@query("html_cells_s1", "doc:s sheet:s row_idx:i col_idx:i value:s is_header:b", f"WITH {GRID_SQL} SELECT * FROM cells")
+def _(spark, d):
+    return html.html_cells(_documents(spark, d))
+
+
+@query("container_sniff_s2", "is_html:b n:i", "SELECT true AS is_html, count(*) AS n FROM pages WHERE regexp_matches(substr(html, 1, 500), '<html|<!doctype html|<table', 'i') UNION ALL SELECT false, count(*) FROM documents WHERE NOT regexp_matches(substr(text, 1, 500), '<html|<!doctype html|<table', 'i')")
+def _(spark, d):
+    pages = table(spark, d, "pages").select(F.encode("html", "UTF-8").alias("content"))
+    docs = table(spark, d, "documents").select(F.encode("text", "UTF-8").alias("content"))
+    return pages.unionByName(docs).groupBy(html.looks_like_html(F.col("content")).alias("is_html")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("source_listing_s3_k5", "doc:s publisher:s has_size:b digest_length:i", None)
+def _(spark, d):
+    files = html.list_documents(spark, d, "*.parquet")
+    return files.select("doc", "publisher", (F.col("n_bytes") > 0).alias("has_size"), F.length("sha256").alias("digest_length"))
+
+
+@query("optional_scan_s4_s6", "s_suppkey:i s_acctbal:2", "SELECT s_suppkey, s_acctbal FROM supplier")
+def _(spark, d):
+    missing = tables.read_optional(spark, f"{d}/not_there.parquet")
+    return missing if missing is not None else tables.read_optional(spark, f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal")
+
+
+@query("catalog_scan_s5", "sheet_id:s n_rows:i n_cols:i", "SELECT 'nation' AS sheet_id, count(*) AS n_rows, 3 AS n_cols FROM nation UNION ALL SELECT 'orders', count(*), 6 FROM orders UNION ALL SELECT 'part', count(*), 6 FROM part")
+def _(spark, d):
+    base, name = d.rstrip("/").rsplit("/", 1)
+    return tables.catalog(spark, base).where((F.col("publisher") == name) & F.col("sheet_id").isin("nation", "orders", "part"))
+
+
+@query("latest_run_s7", "o_orderpriority:s n:i", """WITH r AS (SELECT o_orderpriority, 'run-' || year(o_orderdate) AS run_id FROM orders)
+SELECT o_orderpriority, count(*) AS n FROM r WHERE run_id = (SELECT max(run_id) FROM r) GROUP BY 1""")
+def _(spark, d):
+    runs = table(spark, d, "orders").select("o_orderpriority", F.concat(F.lit("run-"), F.year("o_orderdate")).alias("run_id"))
+    return tables.latest_run_rows(runs).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("header_detection_d1_d2", "sheet:s header_row:i detected:b", """SELECT o_orderpriority AS sheet, 2 AS header_row, true AS detected FROM orders GROUP BY 1""")
+def _(spark, d):
+    """Orders of one day per priority as a sheet: a title, a note across the row, the header, then numbers."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice")
+    lines = o.withColumn("row_idx", F.col("o_orderkey") + 3)
+
+    def cell(row, col, value):
+        return F.struct(row.cast("bigint").alias("row_idx"), F.lit(col).alias("col_idx"), value.cast("string").alias("value"))
+
+    data = F.array(*[cell(F.col("row_idx"), i, F.col(c)) for i, c in enumerate(("o_orderkey", "o_custkey", "o_totalprice"))])
+    note = F.lit("same note everywhere")
+    top = F.array(cell(F.lit(0), 0, F.lit("2024")), cell(F.lit(0), 1, F.lit("")), cell(F.lit(0), 2, F.lit("")),
+                  *[cell(F.lit(1), i, note) for i in range(3)], *[cell(F.lit(2), i, F.lit(h)) for i, h in enumerate(("Order key", "Customer", "Price"))])
+    g = lines.select(F.col("o_orderpriority").alias("sheet"), F.inline(data))
+    # Dense rows 3, 4, … per sheet: orders keep their rank within the sheet.
+    from pyspark.sql import Window as W
+
+    first = lines.groupBy("o_orderpriority").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("row_idx") < 2000, F.col("row_idx")))), 1, 8).alias("_first"))
+    spread = g.join(first.withColumnRenamed("o_orderpriority", "sheet"), "sheet").withColumn("_p", F.array_position("_first", F.col("row_idx")))
+    dense = spread.withColumn("row_idx", F.when(F.col("_p") > 0, F.col("_p") + 2).otherwise(F.col("row_idx") + 1000)).select("sheet", "row_idx", "col_idx", F.nullif("value", F.lit("")).alias("value"))
+    titles = lines.select(F.col("o_orderpriority").alias("sheet")).distinct().select("sheet", F.inline(top)).withColumn("value", F.nullif("value", F.lit("")))
+    return grid.header_rows(dense.unionByName(titles), ["sheet"])
+
+
+@query("sheet_body_d3_w10", "doc:s column:s n:i", f"""WITH {GRID_SQL} SELECT doc, 'unnamed_0' AS "column", 2 AS n FROM grid UNION ALL SELECT doc, 'balance_more', 2 FROM grid UNION ALL SELECT doc, 'segment', 2 FROM grid""")
+def _(spark, d):
+    body, _ = grid.split_sheets(html.html_cells(_documents(spark, d)).where(F.col("sheet") == "Ark1"), ["doc", "sheet"])
+    return body.groupBy("doc", "column").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _series_sheets(spark, d) -> DataFrame:
+    """Per supplier a sheet with a three-line metadata block above two data rows."""
+    x = table(spark, d, "supplier").select(F.col("s_name").alias("sheet"), "s_suppkey", "s_acctbal")
+
+    def cell(row, col, value):
+        return F.struct(F.lit(row).alias("row_idx"), F.lit(col).alias("col_idx"), value.cast("string").alias("value"), F.lit(row == 0).alias("is_header"))
+
+    rows = [("Label", F.lit("Value")), ("Title", F.col("s_suppkey")), ("CDID", F.lit("ABC")), ("Unit", F.lit("GBP")), ("2001", F.col("s_acctbal")), ("2002", F.col("s_suppkey")), ("", F.lit(""))]
+    cells_ = F.array(*[cell(i, c, F.lit(a) if c == 0 else v) for i, (a, v) in enumerate(rows) for c in (0, 1)])
+    return x.select("sheet", F.inline(cells_)).withColumn("value", F.nullif("value", F.lit("")))
+
+
+@query("metadata_split_d4", "sheet:s part:s row_idx:i value:s", """SELECT s_name AS sheet, 'data' AS part, 0 AS row_idx, '2001' AS value FROM supplier UNION ALL SELECT s_name, 'data', 1, '2002' FROM supplier
+UNION ALL SELECT s_name, 'meta', 1, 'Title' FROM supplier UNION ALL SELECT s_name, 'meta', 2, 'CDID' FROM supplier UNION ALL SELECT s_name, 'meta', 3, 'Unit' FROM supplier""")
+def _(spark, d):
+    body, meta = grid.split_sheets(_series_sheets(spark, d), ["sheet"])
+    pick = lambda df, name: df.where(F.col("col_idx") == 0).select("sheet", F.lit(name).alias("part"), "row_idx", "value")
+    return pick(body, "data").unionByName(pick(meta, "meta"))
+
+
+@query("csv_number_format_k2", "c_custkey:i text:s", "SELECT c_custkey, printf('%.6g', c_acctbal) AS text FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("text"))
+    return sinks.csv_view(c, 6)
+
+
+@query("metadata_rows_k3", "n_sheets:i n_cells:i", "SELECT count(*) AS n_sheets, 6 * count(*) AS n_cells FROM supplier")
+def _(spark, d):
+    _, meta = grid.split_sheets(_series_sheets(spark, d), ["sheet"])
+    return meta.agg(F.count_distinct("sheet").alias("n_sheets"), F.count(F.lit(1)).alias("n_cells"))
+
+
+@query("run_manifest_k4", "workbook:s rows_in:i rows_out:i issues_raised:i output_stem:s", """SELECT 'lines/' || o_orderpriority || '.xls' AS workbook, count(*) AS rows_in, count(*) FILTER (WHERE o_orderstatus = 'F') AS rows_out,
+count(DISTINCT o_orderstatus) AS issues_raised, replace(o_orderpriority, ' ', '_') || '__Main_sheet' AS output_stem FROM orders GROUP BY 1, 5""")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.concat(F.lit("lines/"), "o_orderpriority", F.lit(".xls")).alias("workbook"), F.lit("Main sheet").alias("sheet"), "o_orderstatus")
+    shape = lambda df: df.groupBy("workbook", "sheet").agg(F.count(F.lit(1)).alias("n_rows"), F.lit(6).alias("n_cols"))
+    return sinks.run_manifest(shape(o), shape(o.where(F.col("o_orderstatus") == "F")), o.distinct())
+
+
+@query("row_checksums_k5", "l_returnflag:s n_rows:i stable:b", "SELECT l_returnflag, count(*) AS n_rows, true AS stable FROM lineitem GROUP BY 1")
+def _(spark, d):
+    line = table(spark, d, "lineitem")
+    one = sinks.row_checksums(line, ["l_returnflag"])
+    again = sinks.row_checksums(line.repartition(7), ["l_returnflag"]).select(F.col("l_returnflag"), F.col("content_hash").alias("again"))
+    return one.join(again, "l_returnflag").withColumn("stable", F.col("content_hash") == F.col("again"))
+
+
+@query("issue_summary_k6", "issue_code:s n_issues:i rows_affected:i", f"""SELECT issue_code, count(*) AS n_issues, sum(rows_affected) AS rows_affected FROM ({cells.ISSUES_SQL}) WHERE rows_affected > 0 GROUP BY 1""")
+def _(spark, d):
+    from workload.briefs import _issues
+
+    return sinks.issue_summary(_issues(spark, d))
+
+
+@query("written_and_read_back_k1_s6", "country:s n:i gwh:2", f"WITH {s.COUNTRY_SQL} SELECT country, count(*) AS n, sum(gwh) AS gwh FROM country GROUP BY 1")
+def _(spark, d):
+    from statloom.sources.landing import land
+
+    landed = land(s.country(spark, d))
+    return landed.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.sum("electricity_generation_gwh").alias("gwh"))
