@@ -9,17 +9,40 @@ from statloom.functions.text import clean_text, placeholder_text
 # One separator on both sides, every part numeric.
 STRICT_DATE = r"^([0-9]{1,4})([\-/.])([0-9]{1,2})\2([0-9]{1,4})$"
 
-# Formats tried when a column as a whole is read as dates.
-COLUMN_FORMATS = (
-    "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd", "dd/MM/yyyy",
-    "MMM-yy", "MMM-yyyy", "MMMM yyyy", "yyyy", "yyyyMM",
-)
-
-# Free-form spellings accepted for a single cell.
-FREE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d MMM yyyy", "d MMMM yyyy",
-    "MMM d, yyyy", "MMMM d, yyyy", "MMM yyyy", "MMMM yyyy", "MMM-yyyy", "MMM-yy", "yyyyMMdd",
-)
+# Formats tried when a column as a whole is read as dates, with their shapes.
+COLUMN_FORMATS = {
+    "yyyy-MM-dd": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "dd-MM-yyyy": r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$",
+    "yyyy/MM/dd": r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$",
+    "dd/MM/yyyy": r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+    "MMM-yy": r"^[A-Za-z]{3}-[0-9]{2}$",
+    "MMM-yyyy": r"^[A-Za-z]{3}-[0-9]{4}$",
+    "MMMM yyyy": r"^[A-Za-z]{3,9} [0-9]{4}$",
+    "yyyy": r"^[0-9]{4}$",
+    "yyyyMM": r"^[0-9]{6}$",
+}
+
+# Free-form spellings accepted for a single cell, with their shapes.
+FREE_FORMATS = {
+    "yyyy-MM-dd HH:mm:ss": r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$",
+    "d MMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$",
+    "d MMMM yyyy": r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,9} [0-9]{1,2}, [0-9]{4}$",
+    "MMM yyyy": r"^[A-Za-z]{3} [0-9]{4}$",
+    "MMMM yyyy": r"^[A-Za-z]{4,9} [0-9]{4}$",
+    "MMM-yyyy": r"^[A-Za-z]{3}-[0-9]{4}$",
+    "MMM-yy": r"^[A-Za-z]{3}-[0-9]{2}$",
+}
+
+# Day-first labels and timestamps of monthly and weekly series.
+DAY_FIRST_FORMATS = {
+    "dd-MM-yyyy": r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$",
+    "dd/MM/yyyy": r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+    "yyyy-MM-dd HH:mm:ss": r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$",
+    "yyyy-MM-dd": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+}
 
 CENTURY_PIVOT = 70
 EPOCH_MILLIS_ABOVE = 10_000_000_000
@@ -31,85 +54,98 @@ def hours_in_year(year: Column) -> Column:
     return F.dayofyear(F.make_date(year.cast("int"), F.lit(12), F.lit(31))) * 24
 
 
-def _int(c: Column) -> Column:
-    return F.when(c.rlike("^[0-9]+$"), c.try_cast("int"))
+# Only cells that start like this are worth the full patterns.
+LIKE_THREE_NUMBERS = r"^[0-9]{1,4}[\-/.][0-9]"
+LIKE_SPELLED_DATE = r"^([0-9]{4}-[0-9]{2}-|[0-9]{1,2} [A-Za-z]{3}|[A-Za-z]{3})"
 
 
-def _free_date(t: Column) -> Column:
-    tries = [F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in FREE_FORMATS]
-    return F.when(t.rlike("[0-9]"), F.coalesce(*tries))
+def _int(digits: Column) -> Column:
+    """Integer of an extracted digit group; no match is the empty text and NULL."""
+    return digits.try_cast("int")
 
 
-def three_numbers(t: Column) -> Column:
-    """struct(a, b, c) of a strictly three-part numeric cell, NULLs otherwise."""
-    return F.struct(*[_int(F.regexp_extract(t, STRICT_DATE, g)).alias(n) for g, n in ((1, "a"), (3, "b"), (4, "c"))])
+def parse_shaped(t: Column, formats: dict[str, str]) -> Column:
+    """First format that reads the text, tried only where the shape fits.
 
+    A failed parse costs an exception inside Spark, a regex does not.
+    """
+    out = F.lit(None).cast("date")
+    for fmt, shape in reversed(formats.items()):
+        out = F.when(t.rlike(shape), F.to_date(F.try_to_timestamp(t, F.lit(fmt)))).otherwise(out)
+    return out
+
+
+def three_numbers(t: Column) -> dict[str, Column]:
+    """a, b, c of a strictly three-part numeric cell, NULLs otherwise."""
+    near = t.rlike(LIKE_THREE_NUMBERS)
+    return {n: F.when(near, _int(F.regexp_extract(t, STRICT_DATE, g))) for n, g in (("a", 1), ("b", 3), ("c", 4))}
 
-def order_parts(p: Column) -> Column:
-    """struct(strict, ambiguous, y, m, d) of the three numbers.
+
+def order_parts(a: Column, b: Column, c: Column) -> dict[str, Column]:
+    """ambiguous, y, m, d of the three numbers.
 
     Day and month are accepted only when exactly one of the two exceeds 12; a
     first part above 99 is a year.
     """
-    a, b, c = p["a"], p["b"], p["c"]
     year_first, day_first, month_first = a > 99, (a > 12) & (b <= 12), (a <= 12) & (b > 12)
     century = F.when(c >= 100, c).when(c < CENTURY_PIVOT, c + 2000).otherwise(c + 1900)
-    return F.struct(
-        a.isNotNull().alias("strict"),
-        (~year_first & (a <= 12) & (b <= 12)).alias("ambiguous"),
-        F.when(year_first, a).otherwise(century).alias("y"),
-        F.when(year_first | day_first, b).when(month_first, a).alias("m"),
-        F.when(year_first, c).when(day_first, a).when(month_first, b).alias("d"),
-    )
+    return {
+        "ambiguous": F.coalesce(~year_first & (a <= 12) & (b <= 12), F.lit(False)),
+        "y": F.when(year_first, a).otherwise(century),
+        "m": F.when(year_first | day_first, b).when(month_first, a),
+        "d": F.when(year_first, c).when(day_first, a).when(month_first, b),
+    }
 
 
-def date_of_parts(t: Column, o: Column) -> Column:
+def date_of_parts(t: Column, y: Column, m: Column, d: Column) -> Column:
     """Date of a cell given its ordered parts: three numbers, an epoch, or a spelling.
 
     Whole numbers above 1e9 are epoch seconds and above 1e10 epoch milliseconds.
     """
-    known = o["y"].isNotNull() & o["m"].isNotNull() & o["d"].isNotNull()
-    parts = F.when(known, F.format_string("%04d-%02d-%02d", o["y"], o["m"], o["d"]).try_cast("date"))
+    parts = F.when(m.isNotNull() & d.isNotNull(), F.format_string("%04d-%02d-%02d", y, m, d).try_cast("date"))
     whole = F.when(t.rlike("^-?[0-9]{10,18}$"), t.try_cast("bigint"))
     epoch = F.when(
         F.abs(whole) > EPOCH_SECONDS_ABOVE,
         F.to_date(F.timestamp_millis(F.when(F.abs(whole) > EPOCH_MILLIS_ABOVE, whole).otherwise(whole * 1000))),
     )
-    return F.when(o["strict"], parts).when(t.rlike("^-?[0-9]+$"), epoch).otherwise(_free_date(t))
+    return F.when(y.isNotNull(), parts).when(t.rlike("^-?[0-9]+$"), epoch).when(
+        t.rlike(LIKE_SPELLED_DATE), parse_shaped(t, FREE_FORMATS)
+    )
 
 
-def date_status(t: Column, o: Column, date: Column) -> Column:
+def date_status(t: Column, ambiguous: Column, date: Column) -> Column:
     """ok, empty, ambiguous or failed."""
     return (
         F.when(t.isNull() | placeholder_text(t), "empty")
-        .when(o["ambiguous"], "ambiguous")
+        .when(ambiguous, "ambiguous")
         .when(date.isNotNull(), "ok")
         .otherwise("failed")
     )
 
 
-def date_reading(c: Column) -> Column:
-    """struct(status, date) of one raw cell in a single expression."""
-    t = clean_text(c.cast("string"))
-    order = order_parts(three_numbers(t))
-    date = date_of_parts(t, order)
-    status = date_status(t, order, date)
-    return F.struct(status.alias("status"), F.when(~placeholder_text(t), date).alias("date"))
+def read_dates(df: DataFrame, column: str) -> DataFrame:
+    """Add ``date_status`` and ``date`` of a text column.
+
+    The steps are separate projections of plain columns, so that none of them is
+    repeated inside the next.
+    """
+    t = F.col("_text")
+    out = df.withColumn("_text", clean_text(F.col(column).cast("string")))
+    out = out.withColumns({f"_{k}": v for k, v in three_numbers(t).items()})
+    out = out.withColumns({f"_{k}": v for k, v in order_parts(F.col("_a"), F.col("_b"), F.col("_c")).items()})
+    out = out.withColumn("date", date_of_parts(t, F.col("_y"), F.col("_m"), F.col("_d")))
+    out = out.withColumn("date_status", date_status(t, F.col("_ambiguous"), F.col("date")))
+    return out.drop("_text", "_a", "_b", "_c", "_ambiguous", "_y", "_m", "_d")
 
 
 def day_first_date(c: Column) -> Column:
     """dd-MM-yyyy, dd/MM/yyyy or an ISO timestamp, whichever reads."""
-    return F.coalesce(
-        F.to_date(F.try_to_timestamp(c, F.lit("dd-MM-yyyy"))),
-        F.to_date(F.try_to_timestamp(c, F.lit("dd/MM/yyyy"))),
-        F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss"))),
-        F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))),
-    )
+    return parse_shaped(c, DAY_FIRST_FORMATS)
 
 
 def month_year_date(c: Column) -> Column:
     """'Apr-25' -> first day of that month."""
-    return F.to_date(F.try_to_timestamp(c, F.lit("MMM-yy")))
+    return parse_shaped(c, {"MMM-yy": COLUMN_FORMATS["MMM-yy"]})
 
 
 def quarter_and_year(c: Column) -> tuple[Column, Column]:
@@ -120,11 +156,12 @@ def quarter_and_year(c: Column) -> tuple[Column, Column]:
 
 def financial_year_start(c: Column) -> Column:
     """'2014/15' -> 2014."""
-    return _int(F.substring(c.cast("string"), 1, 4))
+    start = F.substring(c.cast("string"), 1, 4)
+    return F.when(start.rlike("^[0-9]+$"), _int(start))
 
 
 def read_as_dates(c: Column, fmt: str) -> Column:
-    return F.to_date(F.try_to_timestamp(c, F.lit(fmt)))
+    return parse_shaped(c, {fmt: COLUMN_FORMATS[fmt]})
 
 
 def best_date_format(df: DataFrame, column: str) -> DataFrame:

@@ -40,12 +40,15 @@ COUNTRY_ALIASES = {
 }
 
 # Any marker at all; the leftmost match decides the flag.
+_BLANK = "[\\s\u00a0]"
 FOOTNOTE_PATTERN = (
-    r"(?iU)(\[\s*(?:c|low|x|r|p|e|w)\s*\]|\[\s*note\s*[1-9]\s*\]|\.\.|\s*:(?=\s|$)\s*)"
+    rf"(?i)(\[{_BLANK}*(?:c|low|x|r|p|e|w){_BLANK}*\]|\[{_BLANK}*note{_BLANK}*[1-9]{_BLANK}*\]|\.\."
+    rf"|{_BLANK}*:(?={_BLANK}|$){_BLANK}*)"
 )
 
 # Compatibility forms that publisher sheets really contain. A full NFKC pass is
 # the pandas UDF below; this JVM-side set keeps the hot path in codegen.
+_WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85"
 _COMPAT_SPACES = "\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
 _COMPAT_SINGLE = _COMPAT_SPACES + "０１２３４５６７８９．，％－＋／：（）" + "²³¹µ"
 _COMPAT_TARGET = " " * len(_COMPAT_SPACES) + "0123456789.,%-+/:()" + "231μ"
@@ -68,7 +71,7 @@ def clean_text(c: Column, full_nfkc: bool = False) -> Column:
     """Fold compatibility characters, drop control characters and tags, trim."""
     t = nfkc()(c) if full_nfkc else compat_fold(c)
     t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<[^>]+>", "")
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    return F.btrim(t, F.lit(_WHITESPACE))
 
 
 def placeholder_text(t: Column) -> Column:
@@ -82,13 +85,15 @@ def is_placeholder(c: Column) -> Column:
 
 
 def has_footnote(c: Column) -> Column:
-    return F.coalesce(c.rlike(FOOTNOTE_PATTERN), F.lit(False))
+    """True if the cell holds a marker. Plain text searches rule out most cells before the regex."""
+    possible = c.contains("[") | c.contains("..") | c.contains(":")
+    return F.coalesce(possible & c.rlike(FOOTNOTE_PATTERN), F.lit(False))
 
 
 def footnote_code(c: Column) -> Column:
     """Flag code of the leftmost marker, NULL without one."""
     first = F.regexp_extract(c, FOOTNOTE_PATTERN, 1)
-    token = F.lower(F.regexp_replace(first, r"(?U)[\[\]\s]", ""))
+    token = F.lower(F.regexp_replace(first, r"[\[\]\s\u00a0]", ""))
     code = F.when(token == "..", F.lit(DOTS_FLAG)).when(token == ":", F.lit(COLON_FLAG))
     code = code.when(token.rlike("^note[1-9]$"), F.concat(F.lit("footnote_"), F.substring(token, 5, 1)))
     for mark, flag in BRACKET_FLAGS.items():
@@ -99,7 +104,7 @@ def footnote_code(c: Column) -> Column:
 def strip_footnotes(c: Column) -> Column:
     """Cell without any marker; an empty rest is NULL. Cells without one stay as they are."""
     rest = F.regexp_replace(c, FOOTNOTE_PATTERN, " ")
-    rest = F.trim(F.regexp_replace(rest, r"(?U)\s+", " "))
+    rest = F.trim(F.regexp_replace(rest, _BLANK + "+", " "))
     return F.when(has_footnote(c), F.when(rest != "", rest)).otherwise(c)
 
 

@@ -31,22 +31,30 @@ def _double_map(table: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def embedded_quantity(c: Column) -> Column:
-    """struct(kind, value) of a cell such as '10 kg'; both NULL if it is not one.
+def quantity_parts(t: Column) -> dict[str, Column]:
+    """number and unit of clean text such as '10 kg', NULL if it is not one.
 
-    A comma is a decimal comma. Mass comes out in kg, length in cm.
+    A comma is a decimal comma.
     """
-    return quantity_text(clean_text(c))
+    number = F.replace(F.regexp_extract(t, QUANTITY, 1), F.lit(","), F.lit(".")).try_cast("double")
+    return {"number": number, "unit_name": F.lower(F.regexp_extract(t, QUANTITY, 2))}
 
 
-def quantity_text(t: Column) -> Column:
-    """Same as ``embedded_quantity`` for text that is clean already."""
-    number = F.replace(F.regexp_extract(t, QUANTITY, 1), F.lit(","), F.lit(".")).try_cast("double")
-    unit = F.lower(F.regexp_extract(t, QUANTITY, 2))
-    mass = F.try_element_at(_double_map(MASS_TO_KG), unit)
-    length = F.try_element_at(_double_map(LENGTH_TO_CM), unit)
-    kind = F.when(mass.isNotNull(), "mass_kg").when(length.isNotNull(), "length_cm")
-    return F.struct(kind.alias("kind"), (number * F.coalesce(mass, length)).alias("value"))
+def quantity_kind(unit: Column) -> Column:
+    """mass_kg, length_cm or NULL."""
+    return F.when(unit.isin(*MASS_TO_KG), "mass_kg").when(unit.isin(*LENGTH_TO_CM), "length_cm")
+
+
+def quantity_value(number: Column, unit: Column) -> Column:
+    """Amount in kg or cm."""
+    return number * F.try_element_at(_double_map({**MASS_TO_KG, **LENGTH_TO_CM}), unit)
+
+
+def embedded_quantity(c: Column) -> Column:
+    """struct(kind, value) of a cell such as '10 kg'; both NULL if it is not one."""
+    parts = quantity_parts(clean_text(c))
+    value = quantity_value(parts["number"], parts["unit_name"])
+    return F.struct(quantity_kind(parts["unit_name"]).alias("kind"), value.alias("value"))
 
 
 def fahrenheit_to_celsius(f: Column) -> Column:

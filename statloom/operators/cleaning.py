@@ -18,8 +18,9 @@ from statloom.functions.numbers import is_sentinel, loose_text, strict_number
 from statloom.functions.text import (
     COUNTRY_ALIASES, canonical_text, clean_text, footnote_code, has_footnote, placeholder_text, strip_footnotes,
 )
-from statloom.functions.units import fahrenheit_cell, quantity_text
+from statloom.functions.units import fahrenheit_cell, quantity_kind, quantity_parts, quantity_value
 from statloom.operators.ordered import attach, is_small, median_and_mad
+from statloom.sources.landing import land
 
 PROMOTION_SHARE = 0.95
 CATEGORY_MIN, CATEGORY_MAX = 2, 200
@@ -57,8 +58,8 @@ def apply_rules(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
 
     The rules build on each other, so they are staged in separate projections:
     each stage is computed once and read by name in the next one. (One nested
-    expression would repeat the early stages hundreds of times.) Spark keeps such
-    projections apart, and all of them stay inside one code-generated scan.
+    expression would repeat the early stages hundreds of times; so would structs,
+    which the optimizer takes apart.) Spark keeps such projections apart.
 
     ``cells`` maps a text column to the condition that it holds temperatures.
     """
@@ -81,25 +82,28 @@ def apply_rules(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
         "placeholder": F.coalesce((at(c, "text") != "") & placeholder_text(at(c, "text")), F.lit(False)),
         "sentinel": is_sentinel(at(c, "text")),
         "loose": loose_text(at(c, "text")),
-        "quantity": quantity_text(at(c, "text")),
+        **quantity_parts(at(c, "text")),
     })
     out = stage(out, lambda c: {"usable": ~at(c, "placeholder") & ~at(c, "sentinel")})
     out = stage(out, lambda c: {
-        "unit": F.coalesce(at(c, "usable") & at(c, "quantity")["kind"].isNotNull(), F.lit(False)),
+        "unit": F.coalesce(at(c, "usable") & quantity_kind(at(c, "unit_name")).isNotNull() & at(c, "number").isNotNull(), F.lit(False)),
         "mixed_text": at(c, "usable") & (at(c, "text") != ""),
     })
     out = stage(out, lambda c: {
-        "sized": F.when(at(c, "unit"), at(c, "quantity")["value"].cast("string")).when(at(c, "usable"), at(c, "noted")),
-        "sized_text": F.when(at(c, "unit"), at(c, "quantity")["value"].cast("string")).when(at(c, "usable"), at(c, "text")),
+        "amount": F.when(at(c, "unit"), quantity_value(at(c, "number"), at(c, "unit_name")).cast("string")),
     })
     out = stage(out, lambda c: {
-        "numbers": three_numbers(at(c, "sized_text")),
+        "sized": F.coalesce(at(c, "amount"), F.when(at(c, "usable"), at(c, "noted"))),
+        "sized_text": F.coalesce(at(c, "amount"), F.when(at(c, "usable"), at(c, "text"))),
+    })
+    out = stage(out, lambda c: {
+        **three_numbers(at(c, "sized_text")),
         "celsius": F.when(cells[c], fahrenheit_cell(at(c, "sized_text"))),
     })
-    out = stage(out, lambda c: {"parts": order_parts(at(c, "numbers"))})
-    out = stage(out, lambda c: {"date": date_of_parts(at(c, "sized_text"), at(c, "parts"))})
+    out = stage(out, lambda c: order_parts(at(c, "a"), at(c, "b"), at(c, "c")))
+    out = stage(out, lambda c: {"date": date_of_parts(at(c, "sized_text"), at(c, "y"), at(c, "m"), at(c, "d"))})
     return stage(out, lambda c: {
-        "date_status": date_status(at(c, "sized_text"), at(c, "parts"), at(c, "date")),
+        "date_status": date_status(at(c, "sized_text"), at(c, "ambiguous"), at(c, "date")),
         "iso_date": F.date_format(at(c, "date"), "yyyy-MM-dd"),
         "value": F.when(at(c, "celsius").isNotNull(), at(c, "celsius").cast("string")).otherwise(at(c, "sized")),
     })
@@ -255,7 +259,8 @@ def clean_table(df: DataFrame, workbook: str, sheet: str) -> Cleaned:
 
     The register needs every cell once: cells are unpivoted, so the rules compile
     once and not once per column, and counted per column with map-side partial
-    sums. What the counts say then shapes the output: the cleaned table is a lazy,
+    sums. Counts and distinct values are landed, so the table is read twice for the
+    register and once for the result. What the counts say then shapes the output: the cleaned table is a lazy,
     shuffle-free projection in which a column carries only the rules that fired.
     """
     cols = list(df.columns)
@@ -265,16 +270,16 @@ def clean_table(df: DataFrame, workbook: str, sheet: str) -> Cleaned:
         map(names.suggests_temperature, cols)
     ) else F.lit(False)
     cells = apply_rules(text.unpivot([], cols, "column", "cell"), {"cell": hot})
-    per_column = cells.groupBy("column").agg(*rule_counts("cell"))
+    per_column = land(cells.groupBy("column").agg(*rule_counts("cell")))
     facts = {r["column"]: r for r in per_column.collect()}  # one row per column
 
     # Only columns that can still have 2 to 200 values are counted exactly.
     few = [c for c in cols if CATEGORY_MIN - 1 <= facts[c]["approx_values"] <= CATEGORY_APPROX_LIMIT]
     numeric = [c for c in cols if facts[c]["n_numeric"] >= OUTLIER_MIN_VALUES]
     counted = sorted({*few, *numeric})
-    values = distinct_values(
+    values = land(distinct_values(
         cells.where(F.col("column").isin(counted)).select("column", F.col("`cell.value`").alias("value")), ["column"]
-    )
+    ))
     log = category_changes(values.where(F.col("column").isin(few)), ["column"])
     outliers = log_mad_outliers(values.where(F.col("column").isin(numeric)), ["column"])
     recoded = log.groupBy("column").agg(F.sum("rows_affected").alias("n_recoded"))
@@ -323,13 +328,14 @@ def clean_cells(body: DataFrame, keys: list[str]) -> Cleaned:
 
     ``body`` is (keys, row_idx, column, value). The cleaned frame is (keys,
     row_idx, column, raw, value, number, flag, iso_date); ``number`` is filled for
-    columns that become numeric. Nothing is collected.
+    columns that become numeric. Nothing is collected; the counts and the distinct
+    values are landed.
     """
     by_column = [*keys, "column"]
     hot = F.lower("column").contains(names.TEMPERATURE_HINTS[0])
     ruled = apply_rules(body.select(*keys, "row_idx", "column", F.col("value").alias("cell")), {"cell": hot})
-    stats = ruled.groupBy(*by_column).agg(*rule_counts("cell"))
-    values = distinct_values(ruled.select(*by_column, F.col("`cell.value`").alias("value")), by_column)
+    stats = land(ruled.groupBy(*by_column).agg(*rule_counts("cell")))
+    values = land(distinct_values(ruled.select(*by_column, F.col("`cell.value`").alias("value")), by_column))
     small = attach(
         values,
         stats.where(F.col("approx_values").between(CATEGORY_MIN - 1, CATEGORY_APPROX_LIMIT)).select(*by_column),

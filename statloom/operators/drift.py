@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from statloom.functions.stats import kolmogorov_p
 from statloom.operators.ordered import attach, is_small, quantiles, running_totals
 from statloom.operators.profile import bin_index
+from statloom.sources.landing import land
 
 MIN_ROWS = 30
 PSI_BINS, JS_BINS = 10, 50
@@ -66,8 +67,9 @@ def drift_measures(
     expected: DataFrame, actual: DataFrame, keys: list[str], labels: tuple[str, str] = ("expected", "actual"), small: bool | None = None
 ) -> DataFrame:
     """One row per key with at least 30 values on each side."""
-    small = is_small(expected) and is_small(actual) if small is None else small
-    counts = vintage_counts(expected, actual, keys)
+    # Six measures read the counts; written once, their size is known exactly.
+    counts = land(vintage_counts(expected, actual, keys))
+    small = is_small(counts) if small is None else small
     bounds = counts.groupBy(*keys).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n_e").alias("total_e"), F.sum("n_a").alias("total_a")
     ).where((F.col("total_e") >= MIN_ROWS) & (F.col("total_a") >= MIN_ROWS))
@@ -136,9 +138,7 @@ def drift_report(expected: DataFrame, actual: DataFrame, metric: str, labels: tu
         itself = df.select(F.lit("overall").alias("scope"), F.col("year").cast("double").alias("value"), F.lit("year").alias("metric"))
         return measured.unionByName(itself)
 
-    # The scope joins add at most four rows per input row, so the inputs' own size decides.
-    small = is_small(expected) and is_small(actual)
-    return drift_measures(rows(expected), rows(actual), ["metric", "scope"], labels, small)
+    return drift_measures(rows(expected), rows(actual), ["metric", "scope"], labels)
 
 
 def quantile_comparison(expected: DataFrame, actual: DataFrame, probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from statloom.functions.numbers import NUMBER_PATTERN, numeric_like, text_cell
 from statloom.functions.text import snake_name
 from statloom.operators.ordered import attach
+from statloom.sources.landing import land
 
 MAX_SCAN_ROWS = 16
 LOOK_AHEAD_ROWS = 5
@@ -151,11 +152,13 @@ def split_sheets(grid: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
 
     body: keys, row_idx (from 0 below header and metadata), col_idx, column, value.
     metadata: keys, row_idx, col_idx, value of the rows above.
+
+    The grid is read several times: pass a landed one.
     """
-    headers = header_rows(grid, keys)
+    headers = land(header_rows(grid, keys))  # one row per sheet, read three times
     below = attach(grid, headers, keys).where(F.col("row_idx") > F.col("header_row"))
     below = below.withColumn("body_row", F.col("row_idx") - F.col("header_row") - 1)
-    bounds = trim_bounds(below, keys)
+    bounds = land(trim_bounds(below, keys))
     meta = metadata_split(below, keys)
     kept = attach(attach(below, bounds, keys), meta, keys, "left").where(
         (F.col("row_idx") <= F.col("last_row")) & (F.col("col_idx") <= F.col("last_col"))

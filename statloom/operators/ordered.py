@@ -9,7 +9,7 @@ hot key over many tasks, and only one offset per slice is summed across slices.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statloom.sources.landing import land
 
@@ -88,17 +88,14 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key, one column per name.
 
-    Small inputs use the ``percentile`` aggregate. It keeps every distinct value
-    of a key in memory, so larger ones go through running totals of value counts.
+    Rows of small inputs use the ``percentile`` aggregate. It keeps every distinct
+    value of a key in memory, so everything else goes through running totals of
+    value counts, of which only the few rows around each wanted rank are kept.
     """
     small = is_small(df) if small is None else small
-    if small:
-        rows = df.where(F.col(value).isNotNull())
-        if weight is not None:
-            rows = rows.where(F.col(weight) > 0)
+    if small and weight is None:
         points = F.array(*[F.lit(p) for p in probs.values()])
-        agg = F.percentile(value, points, F.col(weight)) if weight else F.percentile(value, points)
-        grouped = rows.groupBy(*keys).agg(agg.alias("_q"))
+        grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, points).alias("_q"))
         return grouped.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
     if weight is None:
@@ -109,16 +106,23 @@ def quantiles(
             .groupBy(*keys, value)
             .agg(F.sum(weight).alias("_n"))
         )
-    run = running_totals(counts, keys, [value], {"_cum": "_n"}, small=False)
-    bounds = []
+    run = running_totals(counts, keys, [value], {"_cum": "_n"}, small=small)
+    cum, before, last = F.col("_cum"), F.col("_cum") - F.col("_n"), F.col("_cum_all") - 1
+
+    def holds(rank: Column) -> Column:
+        return (before <= rank) & (rank < cum)
+
+    near, bounds = F.lit(False), []
     for name, p in probs.items():
-        place = F.lit(p) * (F.col("_cum_all") - 1)
+        place = F.lit(p) * last
+        low, high = F.floor(place), F.ceil(place)
+        near = near | holds(low) | holds(high)
         bounds += [
-            F.min(F.when(F.col("_cum") > F.floor(place), F.col(value))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("_cum") > F.ceil(place), F.col(value))).alias(f"_hi_{name}"),
-            F.max(place - F.floor(place)).alias(f"_f_{name}"),
+            F.max(F.when(holds(low), F.col(value))).alias(f"_lo_{name}"),
+            F.max(F.when(holds(high), F.col(value))).alias(f"_hi_{name}"),
+            F.max(place - low).alias(f"_f_{name}"),
         ]
-    picked = run.groupBy(*keys).agg(*bounds)
+    picked = run.where(near).groupBy(*keys).agg(*bounds)
     return picked.select(
         *keys,
         *[

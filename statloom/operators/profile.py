@@ -18,6 +18,7 @@ from statloom.functions import names, stats
 from statloom.functions.nulls import share_of
 from statloom.functions.numbers import strict_number
 from statloom.operators.ordered import attach, is_small, median_and_mad, quantiles, running_totals, value_counts
+from statloom.sources.landing import land
 
 NUMERIC_ROLE_SHARE = 0.5
 MIXED_LOW, MIXED_HIGH = 0.05, 0.95
@@ -221,6 +222,15 @@ def missing_by_quartile(
 
 # ---- numeric profiles --------------------------------------------------------
 
+def settled_counts(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """Landed value counts, and whether they are small enough for in-memory quantiles.
+
+    Several measures read the counts, so they are grouped once and written.
+    """
+    counts = land(value_counts(cells, keys, "value"))
+    return counts, is_small(counts)
+
+
 def numeric_moments(cells: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean, std, min, max, corrected skew and kurtosis, zero and negative share."""
     v = F.col("value")
@@ -240,8 +250,7 @@ def numeric_moments(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def numeric_descriptives(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Moments, exact quantiles, MAD and distinct values, one row per column."""
-    small = is_small(cells)
-    counts = value_counts(cells, keys, "value")
+    counts, small = settled_counts(cells, keys)
     q = quantiles(counts, keys, "value", DESCRIPTIVE_QUANTILES, weight="n", small=small)
     mad = median_and_mad(counts, keys, "value", weight="n", small=small).drop("median")
     unique = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unique"))
@@ -276,8 +285,7 @@ def bin_index(v: Column, low: Column, high: Column, bins: Column) -> Column:
 
 def histogram(cells: DataFrame, keys: list[str], max_bins: int = 80) -> DataFrame:
     """(keys, bin, bin_low, bin_high, n) with Freedman-Diaconis bins, 5 to ``max_bins``."""
-    small = is_small(cells)
-    counts = value_counts(cells, keys, "value")
+    counts, small = settled_counts(cells, keys)
     q = quantiles(counts, keys, "value", {"_q25": 0.25, "_q75": 0.75}, weight="n", small=small)
     size = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     iqr = F.col("_q75") - F.col("_q25")
@@ -299,8 +307,7 @@ def outlier_register(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     Everything runs on value counts: an outlier is a property of the value.
     """
-    small = is_small(cells)
-    counts = value_counts(cells, keys, "value")
+    counts, small = settled_counts(cells, keys)
     size = counts.groupBy(*keys).agg(
         F.sum("n").alias("_n"), F.coalesce(F.sum(F.when(F.col("value") > 0, F.col("n"))), F.lit(0)).alias("_n_pos")
     )
@@ -337,7 +344,7 @@ def categorical_profile(cells: DataFrame, keys: list[str]) -> DataFrame:
     Ties go to the smaller value. Gini needs ranks of the *counts*; equal counts
     are collapsed first, so a column with any number of values is a short list.
     """
-    counts = value_counts(cells, keys, "value")
+    counts, _ = settled_counts(cells, keys)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     order = F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))
     share = F.col("n") / F.col("_total")
@@ -429,8 +436,6 @@ def spearman_pairs(df: DataFrame, cols: list[str], min_pairs: int = 4) -> DataFr
     All pairs are rows of one frame. Equal (a, b) combinations collapse before
     anything is ranked, and ranks come from running totals of value counts.
     """
-    from statloom.operators.ordered import average_ranks
-
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     wide = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     rows = F.array(
@@ -438,8 +443,8 @@ def spearman_pairs(df: DataFrame, cols: list[str], min_pairs: int = 4) -> DataFr
     )
     keys = ["col_a", "col_b"]
     joint = wide.select(F.inline(rows)).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    joint = joint.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
-    small = is_small(df)
+    joint = land(joint.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("n")))
+    small = is_small(joint)
 
     def ranks(v: str, out: str) -> DataFrame:
         counts = joint.groupBy(*keys, v).agg(F.sum("n").alias("_m"))

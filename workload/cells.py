@@ -69,8 +69,7 @@ def _(spark, d):
 CASE WHEN k = 3 THEN 'empty' WHEN k = 8 THEN 'ok' WHEN k = 7 AND day(l_shipdate) <= 12 THEN 'ambiguous' WHEN k = 7 THEN 'ok' ELSE 'failed' END AS status,
 CASE WHEN k = 8 OR (k = 7 AND day(l_shipdate) > 12) THEN CAST(l_shipdate AS DATE) END AS date FROM cells""")
 def _(spark, d):
-    read = dates.date_reading(F.col("cell"))
-    return _cells(spark, d).select("l_orderkey", "l_linenumber", read["status"].alias("status"), read["date"].alias("date"))
+    return dates.read_dates(_cells(spark, d), "cell").withColumnRenamed("date_status", "status")
 
 
 @query("best_date_format_x8", "format:s share:6", """SELECT format, share FROM (VALUES ('dd/MM/yyyy', 1.0), ('yyyy-MM-dd', 0.0), ('MMM-yy', 0.0), ('yyyyMM', 0.0)) AS v(format, share)

@@ -70,10 +70,10 @@ def quarterly(spark: SparkSession, d: str) -> DataFrame:
     """Wide quarterly table with text labels: one column per part type, named after fuels."""
     line = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    label = F.concat(F.lit("Q"), F.quarter("l_shipdate"), F.lit(" "), F.year("l_shipdate"))
     fuel = {"ECONOMY": "coal", "LARGE": "gas", "MEDIUM": "wind_and_solar", "PROMO": "oil", "SMALL": "bioenergy", "STANDARD": "nuclear"}
     cols = [F.sum(F.when(F.col("p_type") == t, F.col("l_extendedprice") / 1e6)).alias(f) for t, f in fuel.items()]
-    return line.join(part, "l_partkey").groupBy(label.alias("unnamed_0")).agg(*cols)
+    sums = line.join(part, "l_partkey").groupBy(F.quarter("l_shipdate").alias("_q"), F.year("l_shipdate").alias("_y")).agg(*cols)
+    return sums.select(F.concat(F.lit("Q"), "_q", F.lit(" "), "_y").alias("unnamed_0"), *fuel.values())
 
 
 FUELS_SQL = """fuels AS (
@@ -156,14 +156,14 @@ VINTAGES_SQL = """sides AS (
 def text_cells_frame(spark: SparkSession, d: str) -> DataFrame:
     """One dirty text cell per line item, made from its columns (every rule has cells to act on)."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    qty, day = F.format_string("%.0f", "l_quantity"), F.to_date("l_shipdate")
+    qty, day = F.col("l_quantity").cast("int").cast("string"), F.to_date("l_shipdate")
     k = F.col("l_partkey") % 12
     cell = (
         F.when(k == 0, F.concat(qty, F.lit(" [c]"))).when(k == 1, F.concat(F.lit("[Low] "), qty))
         .when(k == 2, F.concat(F.lit("[note 3] "), qty)).when(k == 3, F.lit("n/a")).when(k == 4, F.lit("-999"))
         .when(k == 5, F.concat(qty, F.lit(" kg"))).when(k == 6, F.concat(qty, F.lit(",5 lb")))
         .when(k == 7, F.date_format(day, "dd/MM/yyyy")).when(k == 8, F.date_format(day, "yyyy-MM-dd"))
-        .when(k == 9, F.lit("usa")).when(k == 10, F.concat(F.lit("£1,"), F.format_string("%03d", F.col("l_quantity").cast("int"))))
+        .when(k == 9, F.lit("usa")).when(k == 10, F.concat(F.lit("£1,"), F.lpad(qty, 3, "0")))
         .otherwise(qty)
     )
     return line.select("l_orderkey", "l_linenumber", cell.alias("cell"))

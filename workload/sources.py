@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from statloom.operators import grid
 from statloom.sources import html, sinks, tables
+from statloom.sources.landing import land
 from workload import cells, shapes as s
 from workload.base import query, table
 
@@ -94,7 +95,7 @@ def _(spark, d):
 
 @query("sheet_body_d3_w10", "doc:s column:s n:i", f"""WITH {GRID_SQL} SELECT doc, 'unnamed_0' AS "column", 2 AS n FROM grid UNION ALL SELECT doc, 'balance_more', 2 FROM grid UNION ALL SELECT doc, 'segment', 2 FROM grid""")
 def _(spark, d):
-    body, _ = grid.split_sheets(html.html_cells(_documents(spark, d)).where(F.col("sheet") == "Ark1"), ["doc", "sheet"])
+    body, _ = grid.split_sheets(land(html.html_cells(_documents(spark, d)).where(F.col("sheet") == "Ark1")), ["doc", "sheet"])
     return body.groupBy("doc", "column").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,7 +114,7 @@ def _series_sheets(spark, d) -> DataFrame:
 @query("metadata_split_d4", "sheet:s part:s row_idx:i value:s", """SELECT s_name AS sheet, 'data' AS part, 0 AS row_idx, '2001' AS value FROM supplier UNION ALL SELECT s_name, 'data', 1, '2002' FROM supplier
 UNION ALL SELECT s_name, 'meta', 1, 'Title' FROM supplier UNION ALL SELECT s_name, 'meta', 2, 'CDID' FROM supplier UNION ALL SELECT s_name, 'meta', 3, 'Unit' FROM supplier""")
 def _(spark, d):
-    body, meta = grid.split_sheets(_series_sheets(spark, d), ["sheet"])
+    body, meta = grid.split_sheets(land(_series_sheets(spark, d)), ["sheet"])
     pick = lambda df, name: df.where(F.col("col_idx") == 0).select("sheet", F.lit(name).alias("part"), "row_idx", "value")
     return pick(body, "data").unionByName(pick(meta, "meta"))
 
@@ -126,7 +127,7 @@ def _(spark, d):
 
 @query("metadata_rows_k3", "n_sheets:i n_cells:i", "SELECT count(*) AS n_sheets, 6 * count(*) AS n_cells FROM supplier")
 def _(spark, d):
-    _, meta = grid.split_sheets(_series_sheets(spark, d), ["sheet"])
+    _, meta = grid.split_sheets(land(_series_sheets(spark, d)), ["sheet"])
     return meta.agg(F.count_distinct("sheet").alias("n_sheets"), F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -155,7 +156,5 @@ def _(spark, d):
 
 @query("written_and_read_back_k1_s6", "country:s n:i gwh:2", f"WITH {s.COUNTRY_SQL} SELECT country, count(*) AS n, sum(gwh) AS gwh FROM country GROUP BY 1")
 def _(spark, d):
-    from statloom.sources.landing import land
-
     landed = land(s.country(spark, d))
     return landed.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.sum("electricity_generation_gwh").alias("gwh"))
