@@ -475,7 +475,8 @@ def binned_dependency(df: DataFrame, target: str, features: list[str], bins: int
     cells = numeric_cells(df, cols)
     edges = quantiles(cells, ["column"], "value", {**probs, "_med": 0.5}, small=small)
     # One row with all edges, one struct per column: as wide as the schema, never longer.
-    wide = edges.groupBy().pivot("column", cols).agg(F.first(F.struct(*probs, "_med")))
+    # Landed, because every column below is a scalar subquery on it.
+    wide = land(edges.groupBy().pivot("column", cols).agg(F.first(F.struct(*probs, "_med"))))
     from_row = {c: wide.select(F.col(f"`{c}`")).scalar() for c in cols}
 
     def bucket(c: str) -> Column:
@@ -535,17 +536,20 @@ def temporal_coverage(dates: DataFrame, keys: list[str]) -> tuple[DataFrame, Dat
 def composite_keys(df: DataFrame, limit: int = 6) -> list[str]:
     """Guess of the key columns: text columns with few values, plus year, month, quarter.
 
-    One aggregate gives the distinct counts; the answer is a list of names.
+    Sketches decide the clear cases in one pass; only columns near the limit are
+    counted exactly. The answer is a list of names.
     """
     numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal")}
     cols = names.data_columns(df.columns)
     text = [c for c in cols if c not in numeric]
-    counted = {}
-    if text:
-        counts = text_cells(df, text).where(F.col("value").isNotNull()).groupBy("column", "value").count()
-        counted = {r["column"]: r["k"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-    n = df.count()
-    most = max(50, n // 10)
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in text]).first()
+    most = max(50, row["_rows"] // 10)
+    counted = {c: row[c] for c in text}
+    near = [c for c in text if counted[c] <= 3 or 0.7 * most <= counted[c] <= 1.3 * most]
+    if near:
+        cells = text_cells(df, near).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        counted.update({c: 0 for c in near})
+        counted.update({r["column"]: r["k"] for r in cells.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()})
     picked = [
         c for c in cols
         if (c in numeric and c.lower() in ("year", "month", "quarter")) or (c not in numeric and 1 < counted.get(c, 0) <= most)

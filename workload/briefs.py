@@ -8,7 +8,7 @@ from statloom.operators import cleaning
 from statloom.operators.series import best_split, bootstrap_growth, change_points, mean_shift, rolling_volatility, volatility_matrix
 from statloom.plans import benchmarks as b
 from statloom.plans import facts as f
-from workload import cells, facts
+from workload import cells, facts, profiles
 from workload import shapes as s
 from workload.base import query, table
 
@@ -361,11 +361,9 @@ def _(spark, d):
     return rows.groupBy("issue_code").agg(F.sum("rows_affected").alias("n"))
 
 
-@query("catalog_browser_q27", "sheet_id:s tier:s", None)
+@query("catalog_browser_q27", "sheet_id:s tier:s", f"WITH {profiles.CATALOG_SQL} SELECT sheet_id, tier FROM tiered WHERE publisher = 'sales' AND tier = 'T1'")
 def _(spark, d):
-    from workload.profiles import _catalog
-
-    return b.browse_catalog(_catalog(spark, d), ["sales"], ["T1"])
+    return b.browse_catalog(profiles._catalog(spark, d), ["sales"], ["T1"])
 
 
 @query("yearly_technology_factors_q28", "year:i technology:s hours:i cf:6", f"""WITH {s.COUNTRY_SQL} SELECT year, technology, {s.hours_sql()} AS hours, sum(gwh) / (sum(mw) * {s.hours_sql()} / 1000.0) AS cf FROM country GROUP BY 1, 2""")
@@ -404,9 +402,7 @@ def _(spark, d):
 
 @query("catalog_counters_q30", "n_sheets:i n_rows:i n_publishers:i", "SELECT 7 AS n_sheets, " + " + ".join(f"(SELECT count(*) FROM {t})" for t in ("customer", "orders", "lineitem", "part", "supplier", "nation", "region")) + " AS n_rows, 3 AS n_publishers")
 def _(spark, d):
-    from workload.profiles import _catalog
-
-    return b.catalog_counters(_catalog(spark, d))
+    return b.catalog_counters(profiles._catalog(spark, d))
 
 
 @query("share_and_employment_j14", "year:i renewable_share_pct:4 renewable_fte:2", f"""WITH {s.FUELS_SQL}, {s.SECTORS_SQL} SELECT g.year, renewable_share_pct, sum(fte) AS renewable_fte FROM generation g JOIN sectors x ON g.year = x.year WHERE regexp_matches(sector, 'build', 'i') GROUP BY 1, 2""")

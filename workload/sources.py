@@ -69,28 +69,20 @@ def _(spark, d):
     return tables.latest_run_rows(runs).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("header_detection_d1_d2", "sheet:s header_row:i detected:b", """SELECT o_orderpriority AS sheet, 2 AS header_row, true AS detected FROM orders GROUP BY 1""")
+@query("header_detection_d1_d2", "sheet:s header_row:i detected:b", "SELECT c_name AS sheet, 2 AS header_row, true AS detected FROM customer")
 def _(spark, d):
-    """Orders of one day per priority as a sheet: a title, a note across the row, the header, then numbers."""
-    o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice")
-    lines = o.withColumn("row_idx", F.col("o_orderkey") + 3)
+    """One sheet per customer: a title, a note across the row, the header, then four rows of numbers."""
+    c = table(spark, d, "customer")
 
-    def cell(row, col, value):
-        return F.struct(row.cast("bigint").alias("row_idx"), F.lit(col).alias("col_idx"), value.cast("string").alias("value"))
-
-    data = F.array(*[cell(F.col("row_idx"), i, F.col(c)) for i, c in enumerate(("o_orderkey", "o_custkey", "o_totalprice"))])
-    note = F.lit("same note everywhere")
-    top = F.array(cell(F.lit(0), 0, F.lit("2024")), cell(F.lit(0), 1, F.lit("")), cell(F.lit(0), 2, F.lit("")),
-                  *[cell(F.lit(1), i, note) for i in range(3)], *[cell(F.lit(2), i, F.lit(h)) for i, h in enumerate(("Order key", "Customer", "Price"))])
-    g = lines.select(F.col("o_orderpriority").alias("sheet"), F.inline(data))
-    # Dense rows 3, 4, … per sheet: orders keep their rank within the sheet.
-    from pyspark.sql import Window as W
-
-    first = lines.groupBy("o_orderpriority").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("row_idx") < 2000, F.col("row_idx")))), 1, 8).alias("_first"))
-    spread = g.join(first.withColumnRenamed("o_orderpriority", "sheet"), "sheet").withColumn("_p", F.array_position("_first", F.col("row_idx")))
-    dense = spread.withColumn("row_idx", F.when(F.col("_p") > 0, F.col("_p") + 2).otherwise(F.col("row_idx") + 1000)).select("sheet", "row_idx", "col_idx", F.nullif("value", F.lit("")).alias("value"))
-    titles = lines.select(F.col("o_orderpriority").alias("sheet")).distinct().select("sheet", F.inline(top)).withColumn("value", F.nullif("value", F.lit("")))
-    return grid.header_rows(dense.unionByName(titles), ["sheet"])
+    def row(i, cells):
+        return [F.struct(F.lit(i).alias("row_idx"), F.lit(k).alias("col_idx"), v.cast("string").alias("value")) for k, v in enumerate(cells)]
+
+    blank, note = F.lit(None).cast("string"), F.lit("same note everywhere")
+    numbers = [F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal")]
+    rows = [*row(0, [F.lit("2024"), blank, blank]), *row(1, [note] * 3), *row(2, [F.lit("Key"), F.lit("Place"), F.lit("Balance")])]
+    for i in range(3, 7):
+        rows += row(i, numbers)
+    return grid.header_rows(c.select(F.col("c_name").alias("sheet"), F.inline(F.array(*rows))), ["sheet"])
 
 
 @query("sheet_body_d3_w10", "doc:s column:s n:i", f"""WITH {GRID_SQL} SELECT doc, 'unnamed_0' AS "column", 2 AS n FROM grid UNION ALL SELECT doc, 'balance_more', 2 FROM grid UNION ALL SELECT doc, 'segment', 2 FROM grid""")
