@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from statloom.functions import dates, numbers, stats, text, units
 from statloom.functions.nulls import finite
 from statloom.operators import cleaning, contract
+from statloom.operators.profile import text_cells
 from statloom.plans.benchmarks import deflate
 from workload import shapes as s
 from workload.base import query, table
@@ -184,7 +185,7 @@ r AS (SELECT n, row_number() OVER (ORDER BY n, p_name) AS i, count(*) OVER () AS
 SELECT 'p_name' AS "column", -sum(n / t * log2(n / t)) AS entropy, 2.0 * sum(i * n) / (max(k) * max(t)) * -1 + (max(k) + 1.0) / max(k) AS g0,
 (max(k) + 1 - 2.0 * sum((k + 1 - i) * n) / max(t)) / max(k) AS gini FROM r""")
 def _(spark, d):
-    from statloom.operators.profile import categorical_profile, text_cells
+    from statloom.operators.profile import categorical_profile
 
     p = categorical_profile(text_cells(table(spark, d, "part"), ["p_name"]), ["column"])
     return p.select("column", F.col("shannon_entropy_bits").alias("entropy"), F.col("gini_concentration").alias("gini"))
@@ -271,7 +272,7 @@ def _(spark, d):
 m AS (SELECT median(l) AS med FROM x), z AS (SELECT median(abs(l - med)) AS mad FROM x, m)
 SELECT 'value' AS "column", count(*) AS n_outlier FROM x, m, z WHERE abs(0.6745 * (l - med) / mad) > 3.5""")
 def _(spark, d):
-    x = table(spark, d, "events").select(F.lit("value").alias("column"), F.col("value").cast("string").alias("value"))
+    x = text_cells(table(spark, d, "events"), ["value"])
     return cleaning.log_mad_outliers(cleaning.distinct_values(x, ["column"]), ["column"])
 
 
