@@ -201,7 +201,8 @@ def linked_vertices(lists: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Groups of documents linked by ``percent`` / 100 Jaccard similarity of their sets of ``size``-word shingles.
 
-    Returns per row: doc_id, _rk, n_shingles, v (the class of equal sets), component_id (the smallest doc_id reachable).
+    Returns per row: doc_id, _rk, n_shingles, group (a name of the group, null without shingles), component_id (the
+    smallest doc_id reachable).
     Words are split at ASCII white space after A-Z are lower-cased. A null or wordless text has no shingle and is linked
     with nothing; fewer words than a shingle make one. Repeated rows share a class. A null doc_id belongs to its group
     but never names it; alone it has a null component_id. An empty table gives no rows; other columns are left out.
@@ -229,13 +230,33 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     ids = members.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("low"))
     classes = _labelled(ids, labels)
     smallest = classes.groupBy("label").agg(F.min("low").alias("low"))
-    named = land(classes.select("v", "label").join(smallest, "label").select("v", F.col("low").alias("component_id")))
+    named = land(classes.select("v", "label").join(smallest, "label").select("v", "label", F.col("low").alias("component_id")))
     out = members.join(named, "v", "left")
     return out.select(
-        "doc_id", "_rk", F.col("n").alias("n_shingles"), "v", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "_rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).alias("group"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def one_of_each_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, columns as they are, with one row left of each group: its smallest doc_id, then digest.
+
+    Rows without shingles are linked with nothing and all stay. Of rows that repeat id and text one stays.
+    """
+    found = shingle_components(docs, size, percent)
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rk")).alias("k")).select("k.doc_id", "k._rk")
+    chosen = first.withColumn("_lone", F.lit(False)).unionByName(found.where("group IS NULL").select("doc_id", "_rk").distinct().withColumn("_lone", F.lit(True)))
+    chosen = land(chosen).withColumnsRenamed({"doc_id": "_kept_id", "_rk": "_kept_rk"})
+    digest = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn("_digest", digest).join(chosen, (F.col("_digest") == F.col("_kept_rk")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    rows = land(rows.drop("_kept_id", "_kept_rk"))
+    # rows that repeat id and text: where there are any, one of them stays
+    again = land(rows.where("NOT _lone").groupBy("_digest").agg(F.count("*").alias("k")).where("k > 1").select("_digest"))
+    single = rows.join(again, "_digest", "left_anti")
+    repeated = rows.join(again, "_digest", "left_semi")
+    kept = repeated.where("_lone").unionByName(repeated.where("NOT _lone").dropDuplicates(["doc_id", "_digest"]))
+    return single.unionByName(kept).select(*docs.columns)
+
+
 @query("op2_ngram_jaccard_join")
 def op2(spark, sf_dir):
     return shingle_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
