@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from statloom.llm import arrays as A
 from statloom.llm.base import KEY, join_documents, same_document
+from statloom.llm.sieve import passes, sieve_of
 from statloom.sources.landing import land
 
 
@@ -62,33 +63,40 @@ def _emit(unit: Unit) -> Callable:
     return run
 
 
-def _cut(unit: Unit) -> Callable:
-    """Bytes of each wanted super-window."""
+def _place(rk: np.ndarray, c: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Digest of one super-window at one place."""
+    return A.mix(rk.view(A.U) ^ A.mix(c.view(A.U) + start.astype(A.U) * A.U(A.BASE)))
+
+
+def _cut(unit: Unit, sieve) -> Callable:
+    """Bytes of the super-windows whose place passes the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("wanted").to_pylist()
-            for a, b, data, off in A.text_slices(batch.column("text")):
-                _, first, start, end = symbols_of(unit, data, off)
-                rows, out = [], []
-                for i in range(a, b):
-                    for w in wanted[i]:
-                        s = int(first[i - a]) + w["start"]
-                        rows.append(i)
-                        out.append((w, data[start[s]: end[s + w["run"] + unit.window - 2]].tobytes()))
-                if out:
-                    at = pa.array(rows)
+            keys = np.asarray(batch.column("_rk"))
+            for a, _, data, off in A.text_slices(batch.column("text")):
+                symbols, first, start, end = symbols_of(unit, data, off)
+                found = A.super_windows(symbols, first, unit.window, unit.gram)
+                keep = passes(sieve.value, _place(keys[found["row"] + a], found["c"], found["start"]))
+                if keep.any():
+                    row, place, run_ = found["row"][keep], found["start"][keep], found["run"][keep]
+                    low, high = start[first[row] + place], end[first[row] + place + run_ + unit.window - 2]
+                    at = pa.array(row + a)
                     yield pa.record_batch(
-                        [batch.column("doc_id").take(at), batch.column("_rk").take(at),
-                         pa.array([w["start"] for w, _ in out], pa.int32()), pa.array([w["m"] for w, _ in out], pa.int64()),
-                         pa.array([w["n"] for w, _ in out], pa.int64()), pa.array([w["hot"] for w, _ in out], pa.bool_()),
-                         pa.array([t for _, t in out], pa.binary())],
-                        names=["doc_id", "_rk", "start", "m", "n", "hot", "body"],
+                        [batch.column("doc_id").take(at), batch.column("_rk").take(at), pa.array(place.astype(np.int32)),
+                         pa.array(found["c"][keep].view(np.int64)), pa.array([data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())],
+                        names=["doc_id", "_rk", "start", "c", "body"],
                     )
 
     return run
 
 
+def _digest_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        d = _place(*[np.asarray(batch.column(c)) for c in ("_rk", "c", "start")])
+        yield pa.record_batch([pa.array(d.view(np.int64))], names=["d"])
+
+
 def _named(unit: Unit) -> Callable:
     """One row per window of hot super-windows: its digest, and where it is."""
 
@@ -130,14 +138,12 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Callable[[list[bytes], Un
     whole = found.join(kinds.where("n > 1").select("m", "c"), ["m", "c"], "left_semi").select(
         *KEY, F.col("start").cast("bigint").alias("s"), (F.col("start") + F.col("run") + (unit.window - 1)).cast("bigint").alias("e")
     )
-    wanted = (
-        kinds.join(many, "m").withColumn("hot", F.col("k") > unit.hot)
-        .groupBy(*KEY).agg(F.collect_list(F.struct("start", "run", "m", "n", "hot")).alias("wanted"))
-    )
-    bodies = land(
-        join_documents(docs.select("doc_id", "_rk", "text").dropDuplicates(KEY), wanted, "inner")
-        .mapInArrow(_cut(unit), "doc_id bigint, _rk bigint, start int, m bigint, n bigint, hot boolean, body binary")
-    )
+    wanted = land(kinds.join(many, "m").select(*KEY, "start", "m", "c", "n", (F.col("k") > unit.hot).alias("hot")))
+    places = wanted.select("_rk", "c", "start").mapInArrow(_digest_places, "d bigint")
+    texts = docs.select("doc_id", "_rk", "text").mapInArrow(_cut(unit, sieve_of(places, "d")), "doc_id bigint, _rk bigint, start int, c bigint, body binary")
+    same = same_document("l", "r") & (F.col("l.start") == F.col("r.start")) & (F.col("l.c") == F.col("r.c"))
+    bodies = texts.alias("l").join(wanted.alias("r"), same).select("l.doc_id", "l._rk", "l.start", "r.m", "r.n", "r.hot", "l.body")
+    bodies = land(bodies.dropDuplicates([*KEY, "start"]))  # rows that repeat a document give each place once
     size = bodies.where("NOT hot").agg(F.sum(F.length("body"))).first()[0] or 0
     shards = 1 + int(size // unit.shard)
 
@@ -165,10 +171,25 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Callable[[list[bytes], Un
     return whole.unionByName(partly).unionByName(hot)
 
 
+def _with_spans(there: bool, sieve) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = passes(sieve.value, np.asarray(batch.column("_rk")))
+            yield batch.filter(pa.array(keep if there else ~keep))
+
+    return run
+
+
 def marked(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``: the spans of each document, not merged yet; null if there are none."""
-    per = spans.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    return join_documents(docs, per)
+    """``docs`` with ``_spans``: the spans of each document, not merged yet; null if there are none.
+
+    Only texts of documents that may have spans are moved to them.
+    """
+    per = land(spans.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("_spans")))
+    docs, sieve = docs.select("doc_id", "text", "_rk"), sieve_of(per.select("_rk"), "_rk")
+    shape = "doc_id bigint, text string, _rk bigint"
+    clean = docs.mapInArrow(_with_spans(False, sieve), shape).withColumn("_spans", F.lit(None).cast("array<struct<s:bigint,e:bigint>>"))
+    return clean.unionByName(join_documents(docs.mapInArrow(_with_spans(True, sieve), shape), per))
 
 
 __all__ = ["Unit", "marked", "repeated_spans", "same_document", "symbols_of"]
