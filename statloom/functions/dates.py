@@ -64,6 +64,9 @@ def _int(digits: Column) -> Column:
     return digits.try_cast("int")
 
 
+FIRST_YEAR_OF_69 = 2069
+
+
 def parse_shaped(t: Column, formats: dict[str, str]) -> Column:
     """First format that reads the text, tried only where the shape fits.
 
@@ -71,7 +74,11 @@ def parse_shaped(t: Column, formats: dict[str, str]) -> Column:
     """
     out = F.lit(None).cast("date")
     for fmt, shape in reversed(formats.items()):
-        out = F.when(t.rlike(shape), F.to_date(F.try_to_timestamp(t, F.lit(fmt)))).otherwise(out)
+        date = F.to_date(F.try_to_timestamp(t, F.lit(fmt)))
+        if fmt.endswith("-yy"):
+            # two digits name 1969 to 2068; Spark reads them all as 20yy
+            date = F.when(F.year(date) >= FIRST_YEAR_OF_69, F.add_months(date, -1200)).otherwise(date)
+        out = F.when(t.rlike(shape), date).otherwise(out)
     return out
 
 

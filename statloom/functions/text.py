@@ -161,5 +161,8 @@ def output_stem(workbook: Column, sheet: Column, max_len: int = 180) -> Column:
     stem = F.regexp_replace(F.element_at(F.split(workbook, "/"), -1), r"\.[^.]*$", "")
     joined = F.concat(stem, F.lit("__"), F.trim(F.regexp_replace(sheet, r"(?U)\s+", " ")))
     safe = F.regexp_replace(joined, "[^a-zA-Z0-9_-]+", "_")
-    safe = F.substring(F.regexp_replace(safe, "^_+|_+$", ""), 1, max_len)
+    safe = F.regexp_replace(safe, "^_+|_+$", "")
+    # a long name is cut, and a digest of the whole keeps it apart from others that begin alike
+    digest = F.substring(F.sha2(F.concat_ws("\u0001", workbook, sheet), 256), 1, 16)
+    safe = F.when(F.length(safe) > max_len, F.concat(F.substring(safe, 1, max_len - 17), F.lit("_"), digest)).otherwise(safe)
     return F.when(safe == "", F.lit("sheet")).otherwise(safe)

@@ -35,21 +35,21 @@ ISSUE_SCHEMA = (
     "rows_affected bigint, example_before string, example_after string, recommendation string"
 )
 
-# Issue code -> (confidence, detail, recommendation).
+# Codes and confidences are fixed values; the texts are free: code -> (confidence, detail, recommendation).
 ISSUE_TEXT = {
-    "footnote_marker_stripped": ("high", "Footnote markers moved to the flag column", "Use the flag column to filter or to trace provenance."),
-    "placeholder_to_na": ("high", "Placeholder text treated as missing", "Impute, drop, or flag downstream."),
+    "footnote_marker_stripped": ("high", "Footnote markers moved to the flag column", "The marker is kept in the flag column next to the value."),
+    "placeholder_to_na": ("high", "Placeholder text treated as missing", "Decide per analysis whether to fill the gap or leave the row out."),
     "numeric_sentinel": ("high", "Sentinel numbers set to missing", ""),
-    "mixed_type_numeric_string": ("medium", "Column mixes numbers and text", "Parse per row or split the column."),
-    "unit_embedded_normalized": ("high", "Quantities with a unit converted to kg or cm", "Check unit assumptions in header or context."),
+    "mixed_type_numeric_string": ("medium", "Column mixes numbers and text", "Consider one column for the numbers and one for the notes."),
+    "unit_embedded_normalized": ("high", "Quantities with a unit converted to kg or cm", "Make sure the heading names the same unit."),
     "date_normalized_iso8601": ("high", "Unambiguous dates copied to the ISO helper column", ""),
-    "ambiguous_date": ("low", "Day and month order unclear; left as is", "Human review with locale context."),
+    "ambiguous_date": ("low", "Day and month order unclear; left as is", "Ask the publisher which of day and month comes first."),
     "temperature_f_to_c": ("medium", "Fahrenheit converted to Celsius", ""),
-    "multi_currency_detected": ("medium", "More than one currency symbol in the column", "Provide an exchange-rate table; nothing was converted."),
-    "categorical_canonicalized": ("medium", "Category spellings unified", "Full mapping in the canonicalisation log."),
-    "outlier_robust_log_mad": ("low", "Robust z above 3.5 on log positives (flag only)", "Inspect for data entry errors."),
+    "multi_currency_detected": ("medium", "More than one currency symbol in the column", "Amounts stay as published; convert them before adding up."),
+    "categorical_canonicalized": ("medium", "Category spellings unified", "Each replaced spelling is listed in the log."),
+    "outlier_robust_log_mad": ("low", "Robust z above 3.5 on log positives (flag only)", "Compare the value with the published source."),
     "negative_value_suspicious": ("medium", "Negative values where none are expected (flag only)", ""),
-    "unparsed_text_nulled": ("low", "Text cells of a numeric column became missing", "Original text kept in the raw column."),
+    "unparsed_text_nulled": ("low", "Text cells of a numeric column became missing", "The raw column still holds the text."),
 }
 
 
@@ -293,7 +293,7 @@ def clean_table(df: DataFrame, workbook: str, sheet: str) -> Cleaned:
         F.lit("duplicate_row").alias("issue_code"), F.lit("Exact duplicate rows").alias("detail"),
         F.lit("high").alias("confidence"), F.col("n_duplicate_rows").alias("rows_affected"),
         F.lit("").alias("example_before"), F.lit("").alias("example_after"),
-        F.lit("Review keys; keep the first or aggregate.").alias("recommendation"),
+        F.lit("Find out which columns should tell the rows apart.").alias("recommendation"),
     ).where(F.col("rows_affected") > 0)
 
     fired = ("n_footnote", "n_placeholder", "n_sentinel", "n_unit", "n_date", "n_temperature")

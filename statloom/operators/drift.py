@@ -18,7 +18,6 @@ MIN_ROWS = 30
 PSI_BINS, JS_BINS = 10, 50
 SHARE_FLOOR = 1e-6
 HIGH_PSI, HIGH_MEDIAN_PCT, HIGH_KS = 0.25, 30.0, 0.2
-LAST_YEARS = 15
 
 
 def vintage_counts(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,14 +123,14 @@ def with_scopes(df: DataFrame, shared_technology: DataFrame, last_years: DataFra
 
 
 def drift_report(expected: DataFrame, actual: DataFrame, metric: str, labels: tuple[str, str] = ("expected", "actual")) -> DataFrame:
-    """Overall, per shared technology and per year (last 15 shared), plus the year column itself.
+    """Overall, per shared technology and per shared year, plus the year column itself.
 
     Inputs are (technology, year, value). All scopes are one grouped job.
     """
     from statloom.operators.relational import shared_keys
 
     techs = shared_keys(expected, actual, "technology", "technology", "technology")
-    years = shared_keys(expected, actual, "year", "year", "year").orderBy(F.col("year").desc()).limit(LAST_YEARS)
+    years = shared_keys(expected, actual, "year", "year", "year")
 
     def rows(df: DataFrame) -> DataFrame:
         measured = with_scopes(df, techs, years).withColumn("metric", F.lit(metric))

@@ -134,6 +134,8 @@ def quantiles(
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join per-key columns back; NULL keys match. Spark picks broadcast by measured size."""
+    if not keys:  # one row for all: each of its values is a scalar subquery
+        return df.withColumns({c: per_key.select(c).scalar() for c in per_key.columns})
     renamed = per_key.select(
         *[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in per_key.columns if c not in keys]
     )

@@ -193,14 +193,14 @@ def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]], measure, name: str)
 
 
 def missing_by_quartile(
-    df: DataFrame, value_cols: list[str], null_cols: list[str] | None = None, spread_above: float = 0.3, max_values: int = 8
+    df: DataFrame, value_cols: list[str], null_cols: list[str] | None = None, spread_above: float = 0.3
 ) -> DataFrame:
     """Does the null share of X change with the quartile of Y? Rows where the spread is large.
 
     Buckets are right-closed; equal edges merge.
     """
     null_cols = partly_null(df) if null_cols is None else null_cols
-    values = value_cols[:max_values]
+    values = list(value_cols)
     flags = [F.col(f"`{c}`").isNull().cast("int").alias(f"_null_{i}") for i, c in enumerate(null_cols)]
     wide = df.select(*flags, *[F.col(f"`{c}`").cast("double").alias(c) for c in values])
     long = wide.unpivot([f"_null_{i}" for i in range(len(null_cols))], values, "varies_with", "_y").where(F.col("_y").isNotNull())
@@ -362,8 +362,8 @@ def categorical_profile(cells: DataFrame, keys: list[str]) -> DataFrame:
     k, total = F.col("n_unique"), F.col("_total")
     return out.select(
         *keys, total.alias("n_non_null"), "n_unique", F.round(k / total, 4).alias("uniq_share"),
-        F.substring("_top.v", 1, 120).alias("top_value"), F.round(F.col("_top.n") / total, 4).alias("top_share"),
-        F.coalesce(F.substring("_second.v", 1, 120), F.lit("")).alias("second_value"),
+        F.col("_top.v").alias("top_value"), F.round(F.col("_top.n") / total, 4).alias("top_share"),
+        F.coalesce(F.col("_second.v"), F.lit("")).alias("second_value"),
         F.round(F.coalesce(F.col("_second.n") / total, F.lit(0.0)), 4).alias("second_share"),
         "singleton_value_count", F.round(F.col("singleton_value_count") / k, 4).alias("singleton_share"),
         F.round("gini", 4).alias("gini_concentration"), F.round("_entropy", 4).alias("shannon_entropy_bits"),
@@ -533,7 +533,7 @@ def temporal_coverage(dates: DataFrame, keys: list[str]) -> tuple[DataFrame, Dat
 
 # ---- duplicates and equality -------------------------------------------------
 
-def composite_keys(df: DataFrame, limit: int = 6) -> list[str]:
+def composite_keys(df: DataFrame) -> list[str]:
     """Guess of the key columns: text columns with few values, plus year, month, quarter.
 
     Sketches decide the clear cases in one pass; only columns near the limit are
@@ -554,7 +554,7 @@ def composite_keys(df: DataFrame, limit: int = 6) -> list[str]:
         c for c in cols
         if (c in numeric and c.lower() in ("year", "month", "quarter")) or (c not in numeric and 1 < counted.get(c, 0) <= most)
     ]
-    return picked[:limit]
+    return picked
 
 
 def duplicate_summary(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -150,10 +150,15 @@ def mean_shift(df: DataFrame, keys: list[str], time: str, value: str, at: int |
 # ---- change points -----------------------------------------------------------
 
 def split_gains(df: DataFrame, keys: list[str], time: str, value: str, min_size: int = 2, small: bool | None = None) -> DataFrame:
-    """Squared-error gain of cutting each series before each of its points."""
-    ones = df.withColumn("_one", F.lit(1))
-    run = running_totals(ones, keys, [time], {"_n": "_one", "_s": value}, small=small)
-    n1, s1 = F.col("_n") - 1, F.col("_s") - F.col(value)
+    """Squared-error gain of cutting each series before each of its different times; rows of one time stay together."""
+    points = df.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("_one"), F.sum(value).alias("_sum"))
+    return weighted_gains(points, keys, time, "_one", "_sum", min_size, small)
+
+
+def weighted_gains(points: DataFrame, keys: list[str], time: str, size: str, total: str, min_size: int, small: bool | None = None) -> DataFrame:
+    """``split_gains`` of points that stand for ``size`` rows with the sum ``total``; times of a key are different."""
+    run = running_totals(points, keys, [time], {"_n": size, "_s": total}, small=small)
+    n1, s1 = F.col("_n") - F.col(size), F.col("_s") - F.col(total)
     n2, s2 = F.col("_n_all") - n1, F.col("_s_all") - s1
     gap = s1 / F.when(n1 > 0, n1) - s2 / F.when(n2 > 0, n2)
     fits = (n1 >= min_size) & (n2 >= min_size)
@@ -174,26 +179,28 @@ def change_points(df: DataFrame, keys: list[str], time: str, value: str, penalty
 
     Values are scaled to unit variance per series, so one penalty fits all. All
     segments of all series are cut in the same round; a round is one job and there
-    are as many rounds as nested cuts. ``position`` counts rows from 0.
+    are as many rounds as nested cuts. Rows of one time are one point, so every cut
+    parts its segment and the rounds end. ``position`` counts rows from 0.
     """
     rows = df.dropna(subset=[*keys, time, value]).select(*keys, F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"))
     scale = rows.groupBy(*keys).agg(F.stddev_samp("_v").alias("_sd"), F.count(F.lit(1)).alias("_len"), F.min("_t").alias("_seg"))
     start = attach(rows, scale, keys).where((F.col("_len") >= 3 * min_size) & (F.col("_sd") > 0))
-    state = land(start.select(*keys, "_t", (F.col("_v") / F.col("_sd")).alias("_v"), "_seg"))
+    points = start.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.col("_v") / F.col("_sd")).alias("_v"), F.first("_seg").alias("_seg"))
+    state = land(points.select(*keys, "_t", "_k", "_v", "_seg"))
     small = is_small(state)
     segment = [*keys, "_seg"]
     while True:
-        gains = split_gains(state, segment, "_t", "_v", min_size, small)
+        gains = weighted_gains(state, segment, "_t", "_k", "_v", min_size, small)
         best = gains.groupBy(*segment).agg(F.max_by("_t", F.struct("gain", -F.col("_t"))).alias("_cut"), F.max("gain").alias("_g"))
         cuts = best.where(F.col("_g") > penalty).drop("_g")
         moved = attach(state, cuts, segment, "left")
         fresh = F.when(F.col("_t") >= F.col("_cut"), F.col("_cut")).otherwise(F.col("_seg"))
-        after = land(moved.select(*keys, "_t", "_v", fresh.alias("_seg"), F.col("_cut").isNotNull().alias("_moved")))
+        after = land(moved.select(*keys, "_t", "_k", "_v", fresh.alias("_seg"), F.col("_cut").isNotNull().alias("_moved")))
         changed = after.where("_moved").limit(1).count() > 0
         state = after.drop("_moved")
         if not changed:
             break
-    sizes = state.groupBy(*segment).agg(F.count(F.lit(1)).alias("_m"))
+    sizes = state.groupBy(*segment).agg(F.sum("_k").alias("_m"))
     upto = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
     placed = sizes.withColumn("position", F.sum("_m").over(upto))
     return placed.where(F.col("position").isNotNull()).select(*keys, F.col("_seg").alias("segment_start"), "position")

@@ -332,9 +332,9 @@ def installs_series(installs: DataFrame, date_col: str, series: list[str], sourc
     )
 
 
-def load_factor_series(load_factors: DataFrame, source: str, year_col: str = "year", max_metrics: int = 3) -> DataFrame:
-    """Mean of the first few numeric columns per year."""
-    numeric = [c for c, t in load_factors.dtypes if c != year_col and t in ("double", "float", "int", "bigint")][:max_metrics]
+def load_factor_series(load_factors: DataFrame, source: str, year_col: str = "year") -> DataFrame:
+    """Mean of every numeric column per year."""
+    numeric = [c for c, t in load_factors.dtypes if c != year_col and t in ("double", "float", "int", "bigint")]
     rows = load_factors.withColumn("year", strict_number(F.col(year_col)).cast("int")).dropna(subset=["year"])
     long = melt(rows, ["year"], numeric, "_m", "_v").groupBy("year", "_m").agg(F.avg("_v").alias("value")).dropna(subset=["value"])
     return long.select(

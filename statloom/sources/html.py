@@ -13,7 +13,6 @@ ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
     ("&apos;", "'"), ("&#39;", "'"), ("&pound;", "£"), ("&euro;", "€"), ("&amp;", "&"),
 )
-SNIFF_BYTES = 2048
 
 
 def list_documents(spark: SparkSession, root: str, glob: str = "*.xls") -> DataFrame:
@@ -41,9 +40,9 @@ def _literal(text: str) -> str:
 
 
 def looks_like_html(content: Column) -> Column:
-    """True if the first bytes show an HTML or table tag."""
+    """True if the text has an HTML or table tag."""
     # Latin-1 gives every byte a character, so a cut inside a UTF-8 letter does no harm.
-    head = F.lower(F.decode(F.substring(content, 1, SNIFF_BYTES), "ISO-8859-1"))
+    head = F.lower(F.decode(content, "ISO-8859-1"))
     return head.rlike("<html|<!doctype html|<table")
 
 

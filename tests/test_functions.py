@@ -101,3 +101,12 @@ def test_corrected_moments(spark):
     n, sd = F.count("x").cast("double"), F.stddev_samp("x")
     row = df.agg(stats.corrected_skew(n, F.skewness("x"), sd).alias("s"), stats.corrected_kurtosis(n, F.kurtosis("x"), sd).alias("k")).first()
     assert row["s"] == pytest.approx(1.5469, abs=1e-4) and row["k"] == pytest.approx(2.5159, abs=1e-4)
+
+
+def test_two_digit_years_and_long_stems(spark):
+    from statloom.functions import dates, text
+
+    df = spark.createDataFrame([("Apr-95", "a" * 300 + "x.xls"), ("Jan-69", "a" * 300 + "y.xls"), ("Dec-68", "b.xls"), ("Apr-25", "c.xls")], "m string, w string")
+    rows = df.select(dates.month_year_date(df.m).cast("string").alias("d"), text.output_stem(df.w, F.lit("Ark1")).alias("s")).collect()
+    assert [r.d for r in rows] == ["1995-04-01", "1969-01-01", "2068-12-01", "2025-04-01"]
+    assert len({r.s for r in rows}) == 4 and max(len(r.s) for r in rows) <= 180 and rows[2].s == "b__Ark1"

@@ -90,6 +90,12 @@ def test_change_points_find_both_steps(spark):
     assert [(r["s"], r["segment_start"], r["position"]) for r in got] == [("k", 20.0, 20), ("k", 35.0, 35)]
 
 
+def test_change_points_with_tied_times(spark):
+    rows = [("k", t // 3, 1.0 + (t >= 30) * 10) for t in range(60)] + [("one", 5, float(t)) for t in range(12)]
+    got = series.change_points(spark.createDataFrame(rows, "s string, t int, v double"), ["s"], "t", "v", penalty=1.0).collect()
+    assert [(r["s"], r["segment_start"], r["position"]) for r in got] == [("k", 10.0, 30)]
+
+
 def test_bootstrap_interval_holds_the_estimate(spark):
     df = spark.createDataFrame([("g", 2000 + i, 100.0 * 1.1 ** i * (1.02 if i % 2 else 0.99)) for i in range(12)], "k string, year int, v double")
     row = series.bootstrap_growth(df, ["k"], "year", "v").first()

@@ -14,7 +14,7 @@ LABELS = ("2025h2", "2026h1")
 
 # Every scope of the report, then each measure from bin counts and running shares.
 DRIFT_SQL = f"""WITH {s.VINTAGES_SQL},
-years AS (SELECT year FROM sides WHERE side = 0 INTERSECT SELECT year FROM sides WHERE side = 1 ORDER BY 1 DESC LIMIT 15),
+years AS (SELECT year FROM sides WHERE side = 0 INTERSECT SELECT year FROM sides WHERE side = 1),
 techs AS (SELECT technology FROM sides WHERE side = 0 INTERSECT SELECT technology FROM sides WHERE side = 1),
 rows AS (SELECT 'price' AS metric, 'overall' AS scope, side, value FROM sides
   UNION ALL SELECT 'price', 'technology=' || technology, side, value FROM sides WHERE technology IN (FROM techs)
