@@ -20,7 +20,7 @@ SYMBOLS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=U) * U(2
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -66,18 +66,20 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     """Runs of rows of about ``SLICE_BYTES``: first row, row after the last, bytes, offsets. One text is never cut."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_string())
-    _, off, data = texts.buffers()
+    if texts.null_count:
+        texts = texts.fill_null("")
     n = len(texts)
     if n == 0:
         return
-    off = np.frombuffer(off, dtype=np.int64)[texts.offset: texts.offset + n + 1]
+    _, off, data = texts.buffers()
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    off = np.frombuffer(off, dtype=np.int64 if wide else np.int32)[texts.offset: texts.offset + n + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE_BYTES, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, int(off[a]) + SLICE_BYTES, side="right")) - 1)
         b = min(b, n)
-        yield a, b, data[off[a]: off[b]], off[a: b + 1] - off[a]
+        yield a, b, data[off[a]: off[b]], (off[a: b + 1] - off[a]).astype(np.int64)
         a = b
 
 
