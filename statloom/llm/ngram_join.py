@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.llm import arrays as A
-from statloom.llm.base import join_documents, keyed, query, table
+from statloom.llm.base import keyed, query, table
+from statloom.llm.sieve import passes, sieve_of
 from statloom.sources.landing import land
 
 SHINGLE, PERCENT = 5, 80
 FREQUENT = 400_000  # tokens named as frequent at most; they only set the order
+SPREAD = 1_500_000
 ROUNDS = 6
 
 
@@ -52,9 +54,17 @@ def _set_name(tokens: np.ndarray) -> int:
 
 
 def _members(size: int) -> Callable:
-    """Per row its vertex; per slice of rows, as rows of another kind, the tokens that several of its rows hold."""
+    """Per row its vertex; per ``SPREAD`` tokens read, as rows of another kind, those that several sets hold."""
+
+    def shared(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tokens, held = np.unique(np.concatenate(sets), return_counts=True)
+        some = held >= 2
+        if some.any():
+            none = pa.nulls(int(some.sum()), pa.int64())
+            yield pa.record_batch([none, none, pa.array(held[some].astype(np.int64)), none, pa.array(tokens[some])], names=["doc_id", "_rk", "n", "v", "token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
         for batch in batches:
             for a, b, data, off in A.text_slices(batch.column("text")):
                 sets = token_sets(data, off, size)
@@ -64,11 +74,12 @@ def _members(size: int) -> Callable:
                      pa.array([_set_name(s) for s in sets], pa.int64()), pa.nulls(b - a, pa.int64())],
                     names=["doc_id", "_rk", "n", "v", "token"],
                 )
-                tokens, held = np.unique(np.concatenate(sets), return_counts=True)
-                some = held >= 2
-                if some.any():
-                    none = pa.nulls(int(some.sum()), pa.int64())
-                    yield pa.record_batch([none, none, pa.array(held[some].astype(np.int64)), none, pa.array(tokens[some])], names=["doc_id", "_rk", "n", "v", "token"])
+                waiting += sets
+                if sum(map(len, waiting)) >= SPREAD:
+                    yield from shared(waiting)
+                    waiting = []
+        if waiting:
+            yield from shared(waiting)
 
     return run
 
@@ -77,25 +88,31 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _postings(size: int, percent: int, frequent) -> Callable:
+def _postings(size: int, percent: int, frequent, sieve=None) -> Callable:
+    """Prefix tokens in order A of each different set of a slice; with a sieve only tokens that pass it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = frequent.value
         for batch in batches:
             for _, _, data, off in A.text_slices(batch.column("text")):
                 lists, name, length = [], [], []
+                seen = set()
                 for s in token_sets(data, off, size):
-                    if not len(s):
+                    v = _set_name(s)
+                    if not len(s) or v in seen:
                         continue
+                    seen.add(v)
+                    head = s
                     if len(tokens):
                         near = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                         late = np.where(tokens[near] == s, rank[near], 0)
                         if late.any():
-                            lists.append(s[np.argsort(late, kind="stable")][: prefix_length(len(s), percent)])
-                        else:
-                            lists.append(s[: prefix_length(len(s), percent)])
-                    else:
-                        lists.append(s[: prefix_length(len(s), percent)])
-                    name.append(_set_name(s))
+                            head = s[np.argsort(late, kind="stable")]
+                    head = head[: prefix_length(len(s), percent)]
+                    if sieve is not None:
+                        head = head[passes(sieve.value, head)]
+                    lists.append(head)
+                    name.append(v)
                     length.append(len(s))
                 if lists:
                     k = [len(x) for x in lists]
@@ -107,13 +124,21 @@ def _postings(size: int, percent: int, frequent) -> Callable:
     return run
 
 
-def _sets(size: int) -> Callable:
+def _sets(size: int, sieve) -> Callable:
+    """Sets of the vertices that pass the sieve."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, off in A.text_slices(batch.column("text")):
-                yield pa.record_batch(
-                    [batch.column("v").slice(a, b - a), pa.array([s.tolist() for s in token_sets(data, off, size)], pa.list_(pa.int64()))], names=["v", "tokens"]
-                )
+            for _, _, data, off in A.text_slices(batch.column("text")):
+                found = {}
+                for s in token_sets(data, off, size):
+                    found.setdefault(_set_name(s), s)
+                names = np.array(list(found), dtype=np.int64)
+                keep = names[passes(sieve.value, names)]
+                if len(keep):
+                    parts = [found[v] for v in keep.tolist()]
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                    yield pa.record_batch([pa.array(keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=["v", "tokens"])
 
     return run
 
@@ -132,6 +157,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _head(n: str, percent: int) -> Column:
+    return F.col(n) - F.ceil(percent * F.col(n) / 100).cast("int") + 1
+
+
+def _bucket(n: str, percent: int) -> Column:
+    """Sizes of linked sets lie in one bucket or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(101 / percent)).cast("int")
+
+
 def _prefix(tokens: str, n: str, order: str, percent: int) -> Column:
     """The prefix of a sorted token array: from its end (B), or from the first token that is not negative (C)."""
     p = F.expr(f"{n} - CAST(ceil({percent} * {n} / 100) AS INT) + 1")
@@ -142,15 +176,21 @@ def _prefix(tokens: str, n: str, order: str, percent: int) -> Column:
     return F.slice(F.concat(F.slice(t, head + 1, F.greatest(F.lit(1), F.col(n))), t), F.lit(1), p)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the filters of orders B and C and whose sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the filters of orders B and C and whose sets are similar enough.
+
+    Sets are made again from the texts, for the vertices of ``pairs`` only, so neither texts nor other sets are moved.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    sets = land(texts.mapInArrow(_sets(size, sieve_of(ends, "v")), "v bigint, tokens array<bigint>"))
     left = sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta"), F.size("tokens").alias("na"))
     right = sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb"), F.size("tokens").alias("nb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     for order in ("B", "C"):
         both = both.where(F.arrays_overlap(_prefix("ta", "na", order, percent), _prefix("tb", "nb", order, percent)))
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    both = both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
+    return both.select("a", "b").distinct()
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -159,8 +199,12 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
 
 
-def linked_vertices(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Labels of all vertices that have a link; ``lists`` (t, b, v, n) are landed posting lists with several vertices."""
+def linked_vertices(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Labels of all vertices that have a link; ``lists`` (t, b, v, n) are landed posting lists with several vertices.
+
+    When all pairs of a list are formed, their shared prefix tokens are counted: the overlap of two sets is at most that
+    count and what is left of the longer rest behind the prefixes, so most pairs end there.
+    """
     links, checked, labels = None, None, None
     rows = lists.count()
     if not rows:
@@ -181,12 +225,17 @@ def linked_vertices(lists: DataFrame, sets: DataFrame, percent: int) -> DataFram
             pairs = votes.groupBy("v").agg(F.max_by("u", F.struct("k", "u")).alias("u"))
         else:
             other = now.select("t", "b", F.col("v").alias("u"), F.col("n").alias("m"), F.col("label").alias("ul"))
-            pairs = now.join(other, ["t", "b"]).where((F.col("v") < F.col("u")) & (F.col("label") != F.col("ul")) & fits).select("v", "u").distinct()
+            # both ends of a pair meet in the list of the larger bucket, and perhaps in another, where they do not count
+            meet = F.col("b") == F.greatest(_bucket("n", percent), _bucket("m", percent))
+            pairs = now.join(other, ["t", "b"]).where((F.col("v") < F.col("u")) & (F.col("label") != F.col("ul")) & fits & meet)
+            rest = F.greatest(F.col("n") - _head("n", percent), F.col("m") - _head("m", percent))
+            enough = (100 + percent) * (F.col("k") + rest) >= percent * (F.col("n") + F.col("m"))
+            pairs = pairs.groupBy("v", "u").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough).select("v", "u")
         pairs = pairs.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = land(pairs)
-        new = land(verified(pairs, sets, percent))
+        new = land(verified(pairs, texts, size, percent))
         checked = pairs if checked is None else land(checked.union(pairs))
         if not new.isEmpty():
             links = new if links is None else land(links.union(new))
@@ -215,18 +264,15 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     order = np.argsort(tokens)
     rank = (1 + np.log2(np.maximum(1, np.array(seen.column("n"), dtype=np.float64)))).astype(np.int8)
     frequent = spark.sparkContext.broadcast((tokens[order], rank[order]))
-    postings = docs.select("text").mapInArrow(_postings(size, percent, frequent), "t bigint, v bigint, n int").dropDuplicates(["t", "v"])
-    postings = land(postings)
-    many = land(postings.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"))
-    bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int")
-    lists = postings.join(many, "t", "left_semi").withColumn("b", F.explode(F.array(bucket, bucket + 1)))
-    lists = land(lists)
+    shape, texts = "t bigint, v bigint, n int", docs.select("text")
+    # tokens of one document only are most of all: they are found by counting and not moved again
+    counted = texts.mapInArrow(_postings(size, percent, frequent), shape).groupBy("t").agg(F.count("*").alias("k"))
+    many = land(counted.where("k > 1").select("t"))
+    lists = texts.mapInArrow(_postings(size, percent, frequent, sieve_of(many, "t")), shape).join(many, "t", "left_semi")
+    lists = land(lists.dropDuplicates(["t", "v"]).withColumn("b", F.explode(F.array(_bucket("n", percent), _bucket("n", percent) + 1))))
     several = lists.groupBy("t", "b").agg(F.count("*").alias("k")).where("k > 1").select("t", "b")
     lists = land(lists.join(land(several), ["t", "b"], "left_semi").select("t", "b", "v", "n"))
-    wanted = members.join(land(lists.select("v").distinct()), "v", "left_semi").groupBy("v").agg(F.first("doc_id").alias("doc_id"), F.first("_rk").alias("_rk"))
-    texts = join_documents(docs.dropDuplicates(["doc_id", "_rk"]), wanted.select("doc_id", "_rk", "v"), "inner")
-    sets = land(texts.select("text", "v").mapInArrow(_sets(size), "v bigint, tokens array<bigint>"))
-    labels = linked_vertices(lists, sets, percent)
+    labels = linked_vertices(lists, texts, size, percent)
     ids = members.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("low"))
     classes = _labelled(ids, labels)
     smallest = classes.groupBy("label").agg(F.min("low").alias("low"))
