@@ -81,13 +81,13 @@ def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, str]] | None
     ])
     phrases = F.filter(F.array(*[F.when(_in_words(p), F.lit(label)) for label, (_, p) in sorted(templates.items())]), lambda x: x.isNotNull())
     read = land(read.select(*KEY, "n_words", base.alias("base"), phrases.alias("phrases")))
-    held = docs.select(F.explode(F.array_distinct(cased_words(F.lower("text")))).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    held = docs.select(F.explode(F.array_distinct(cased_words(F.lower("text")))).alias("word")).join(land(words.select("word").distinct()), "word", "left_semi")
     counts = land(held.groupBy("word").agg(F.count("*").alias("df")))
     total = read.count()
     known = words.join(counts, "word", "left").withColumn("idf", F.log((total + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)))
     known = known.groupBy("label").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("idf", "word", "at")))), 1, rarest).alias("top"))
     rare = land(known.select("label", F.aggregate("top", F.lit(0.0), lambda a, t: a + t.idf).alias("sum"), F.explode("top").alias("t")).select("label", "sum", "t.*"))
-    index = token_places(docs, rare.select("word").distinct())
+    index = token_places(docs, land(rare.select("word").distinct()))
     meets = index.join(rare, "word").groupBy(*KEY, "label", (F.col("p") - F.col("at")).alias("start")).agg((F.sum("idf") / F.first("sum")).alias("share"))
     meets = meets.where(F.col("share") >= enough).groupBy(*KEY, "label").agg(F.least(F.lit(1.0), F.max("share")).alias("share"))
     found = land(meets.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "share"))).alias("found")))
