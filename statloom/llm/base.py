@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KEY = ["doc_id", "_rk"]
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000  # documents of some kilobytes each; more only fill buffers on both sides of a task
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,12 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """``doc_id``, a digest ``_rk`` of id and text, the text (null: empty) and the named columns.
 
     A document is known by both keys, so rows that share an id but not a text stay apart, and rows that repeat
-    both get the same answer each. Other columns, whatever their names, are left behind.
+    both get the same answer each. Other columns, whatever their names, are left behind. Arrow batches of the session are
+    lowered to ``BATCH_ROWS`` rows where they are larger.
     """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("_rk"),
