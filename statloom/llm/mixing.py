@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.llm.base import query, table
@@ -28,35 +30,39 @@ def target_shares(cells: DataFrame, axis: str, power: float) -> DataFrame:
     """(axis, target): token shares raised to ``power`` and evened to one; values below one lift small groups."""
     sums = cells.groupBy(axis).agg(F.sum("tokens").alias("t"))
     raised = sums.select(axis, F.pow(F.col("t").cast("double"), F.lit(power)).alias("r"))
-    return raised.join(raised.agg(F.sum("r").alias("all")), how="left").select(axis, (F.col("r") / F.col("all")).alias("target"))
+    return raised.join(raised.agg(F.sum("r").alias("all")), how="left").select(axis, F.try_divide("r", "all").alias("target"))
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (axes, tokens) with ``weight``: the factor on tokens under which every axis has its target shares.
 
-    Each round scales the cells to one axis after the other; it ends when no share is off by more than ``tolerance``.
-    Cells without tokens keep weight 1. The table has one row per combination of axis values, not per document.
+    The weight of a cell is the product of one factor per axis value, so a step reads the cells, looks up the factors of
+    the other axes, sums tokens by its axis and lands that axis's factors: one shuffle of partial sums. The sum over all cells
+    stays the number of tokens, since targets add up to one. It ends when no share was off by more than ``tolerance``.
+    Axis values without tokens or target keep their factor. The cells are one row per combination of axis values, not per document.
     """
-    cells = land(cells.withColumn("weight", F.lit(1.0)))
+    cells = land(cells)
+    total = cells.agg(F.sum("tokens").alias("all"))
+    factors = {a: land(t.join(total, how="left").select(F.col(a).alias("_axis"), (F.col("target") * F.col("all")).alias("_goal"), F.lit(1.0).alias("_f"))) for a, t in targets.items()}
+
+    def looked_up(rows: DataFrame, axis: str) -> DataFrame:
+        f = factors[axis].select(F.col("_axis").alias(f"_{axis}_"), F.col("_f").alias("_by"))
+        return rows.join(f, F.col(axis).eqNullSafe(F.col(f"_{axis}_")), "left").withColumn("weight", F.col("weight") * F.coalesce("_by", F.lit(1.0))).drop(f"_{axis}_", "_by")
+
+    rows = cells.withColumn("weight", F.lit(1.0))
     for _ in range(rounds):
-        off = None
-        for axis, target in targets.items():
-            sums = cells.groupBy(axis).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            whole = sums.agg(F.sum("now").alias("all"))
-            factor = sums.join(whole, how="left").join(target, sums[axis].eqNullSafe(target[axis]), "left").select(
-                sums[axis].alias("_axis"), F.when((F.col("now") > 0) & F.col("target").isNotNull(), F.col("target") * F.col("all") / F.col("now")).otherwise(1.0).alias("_f"),
-                F.abs(F.col("now") / F.col("all") - F.col("target")).alias("_off"),
-            )
-            cells = cells.join(factor, cells[axis].eqNullSafe(factor["_axis"]), "left").withColumn("weight", F.col("weight") * F.coalesce("_f", F.lit(1.0)))
-            worst = F.col("_off") if off is None else F.greatest(F.col("_worst"), F.col("_off"))
-            cells = cells.withColumn("_worst", F.coalesce(worst, F.lit(0.0))).drop("_axis", "_f", "_off")
-            off = "_worst"
-        cells = land(cells)
-        worst = cells.agg(F.max("_worst").alias("w")).first()["w"]
-        cells = cells.drop("_worst")
-        if worst is None or worst <= tolerance:
+        for axis in targets:
+            found = rows
+            for other in targets:
+                found = found if other == axis else looked_up(found, other)
+            sums = found.groupBy(F.col(axis).alias("_sum_axis")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_sum"))
+            new = F.when((F.col("_sum") > 0) & (F.col("_goal") > 0), F.col("_goal") / F.col("_sum")).otherwise(F.col("_f"))
+            off = F.coalesce(F.abs(F.col("_f") * F.col("_sum") - F.col("_goal")), F.lit(0.0))
+            factors[axis] = land(sums.join(factors[axis], F.col("_sum_axis").eqNullSafe(F.col("_axis"))).select("_axis", "_goal", new.alias("_f"), off.alias("_off")))
+        worst = reduce(DataFrame.unionAll, [f.select("_off") for f in factors.values()]).agg(F.max("_off").alias("off")).join(total).select(F.try_divide("off", "all")).first()
+        if worst is None or worst[0] is None or worst[0] <= tolerance:
             break
-    return cells
+    return reduce(looked_up, targets, rows)
 
 
 def mixed(docs: DataFrame, keep: float = KEEP, seed: int = 11, powers: dict[str, float] | None = None) -> DataFrame:
@@ -74,7 +80,7 @@ def mixed(docs: DataFrame, keep: float = KEEP, seed: int = 11, powers: dict[str,
     targets = {a: land(target_shares(cells, a, (powers or POWERS)[a])) for a in AXES}
     weights = raked(cells, targets)
     total = weights.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("weight")).alias("heavy"))
-    weights = land(weights.join(total, how="left").select(*[F.col(a).alias(f"_{a}_") for a in AXES], (F.col("weight") * F.col("all") * keep / F.col("heavy")).alias("_weight")))
+    weights = land(weights.join(total, how="left").select(*[F.col(a).alias(f"_{a}_") for a in AXES], F.try_divide(F.col("weight") * F.col("all") * keep, F.col("heavy")).alias("_weight")))
     out = rows.join(weights, (axis["source"] == F.col("_source_")) & (axis["lang"] == F.col("_lang_")) & (F.col("_topic") == F.col("_topic_")), "left")
     out = out.drop(*[f"_{a}_" for a in AXES]).withColumn("_weight", F.when(F.col("_tokens") > 0, F.coalesce("_weight", F.lit(0.0))).otherwise(0.0))
     # a number in [0, 1) from the document itself
