@@ -18,8 +18,8 @@ def topic_of(text: Column) -> Column:
     """A coarse topic read off the text: tables, symbols, figures, short or long prose."""
     n = F.char_length(text)
     bars = n - F.char_length(F.replace(text, F.lit("|"), F.lit("")))
-    marks = n - F.char_length(F.translate(text, "#*$%&<>{}=;", ""))
-    figures = n - F.char_length(F.translate(text, "0123456789", ""))
+    marks = F.char_length(F.regexp_replace(text, r"[^#*$%&<>{}=;]++", ""))
+    figures = F.char_length(F.regexp_replace(text, r"[^0-9]++", ""))
     return (
         F.when(bars * 40 > n, "table").when(marks * 40 > n, "symbols").when(figures * 25 > n, "figures")
         .when(n < 600, "note").when(n < 4000, "page").otherwise("long")
