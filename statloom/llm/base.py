@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KEY = ["doc_id", "_rk"]
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2_000  # documents of some kilobytes each; more only fill buffers on both sides of a task
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS, BATCH_BYTES = 2_000, 2 << 20  # more only fills buffers on both sides of a task; a longer text is a batch of its own
 
 
 @dataclass(frozen=True)
@@ -38,11 +39,13 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
 
     A document is known by both keys, so rows that share an id but not a text stay apart, and rows that repeat
     both get the same answer each. Other columns, whatever their names, are left behind. Arrow batches of the session are
-    lowered to ``BATCH_ROWS`` rows where they are larger.
+    lowered to ``BATCH_ROWS`` rows where they are larger, and end at ``BATCH_BYTES`` bytes unless the session sets its own bound.
     """
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
         conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    if not conf.get(ARROW_BYTES, ""):
+        conf.set(ARROW_BYTES, str(BATCH_BYTES))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("_rk"),
