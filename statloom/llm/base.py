@@ -44,7 +44,7 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
         conf.set(ARROW_ROWS, str(BATCH_ROWS))
-    if not conf.get(ARROW_BYTES, ""):
+    if conf.get(ARROW_BYTES, None) is None:
         conf.set(ARROW_BYTES, str(BATCH_BYTES))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
