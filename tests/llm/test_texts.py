@@ -145,6 +145,8 @@ def test_raking(spark, documents, odd_rows):
     mixed = mixing.mixed(docs)
     assert mixed.count() == len(odd_rows) and mixed.where("_copies IS NULL").isEmpty() and mixing.mixed(docs.limit(0)).isEmpty()
     assert mixed.where("_tokens = 0 AND _copies > 0").isEmpty()
+    blank = mixing.mixed(docs.withColumn("text", F.lit(" ")))
+    assert blank.count() == len(odd_rows) and blank.where("_copies IS NULL OR _copies > 0 OR _weight IS NULL").isEmpty()
 
 
 def test_pipeline(spark):
