@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # Named entities seen in exported tables.
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&apos;", "'"), ("&#39;", "'"), ("&pound;", "£"), ("&euro;", "€"), ("&amp;", "&"),
+    ("&apos;", "'"), ("&pound;", "£"), ("&euro;", "€"), ("&amp;", "&"),
 )
 
 
@@ -51,10 +51,29 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")
 
 
+def numbered_entities(t: Column) -> Column:
+    """Decimal and hexadecimal character references decoded, each different one once; numbers of no character stay.
+
+    An ampersand becomes ``&amp;``, so that the names, decoded afterwards, do not read it as their own.
+    """
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:[xX]0*[0-9a-fA-F]{1,6}|0*[0-9]{1,7});"), F.lit(0)))
+
+    def decoded(text: Column, mark: Column) -> Column:
+        body = F.regexp_extract(mark, r"&#([^;]+);", 1)
+        hexadecimal = F.lower(body).startswith("x")
+        code = F.when(hexadecimal, F.conv(F.substr(body, F.lit(2)), 16, 10)).otherwise(body).try_cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(valid, F.replace(text, mark, F.when(code == 38, F.lit("&amp;")).otherwise(char))).otherwise(text)
+
+    return F.when(t.contains("&#"), F.aggregate(found, t, decoded)).otherwise(t)
+
+
 def cell_text(c: Column) -> Column:
     """Text of one cell: tags out, entities decoded, blanks collapsed."""
     t = F.regexp_replace(c, r"(?is)^<t[dh]\b[^>]*>", "")
     t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    t = numbered_entities(t)
     for name, char in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))

@@ -23,6 +23,13 @@ def test_html_cells_names_headers_and_spans(spark):
     assert {c["row_idx"] for c in cells if c["is_header"]} == {0}
 
 
+def test_numbered_entities(spark):
+    texts = ["&#8364;5 &#x20ac; &#x1F600;", "it&#39;s &#38;lt; &amp;#8364;", "&#38;#39;", "&#xD800; &#0; &#9999999; &#; &#x;", "a&#160;b", None]
+    cells = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in cells.orderBy("i").select(html.cell_text(F.col("t"))).collect()]
+    assert got == ["€5 € 😀", "it's &lt; &#8364;", "&#39;", "&#xD800; &#0; &#9999999; &#; &#x;", "a b", None]
+
+
 def test_documents_to_cleaned_cells(spark, tmp_path):
     folder = tmp_path / "pub"
     folder.mkdir()
