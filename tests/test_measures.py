@@ -63,6 +63,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and ("Germanny", "Germany") in got
 
 
+def test_near_duplicates_of_many_long_and_few_values(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{w}{i}" for w in ("windpower", "offshore", "photovoltaic") for i in range(12)] + ["plant", "site", "of", "the"]
+    many = {f"site {i} of the plant" for i in range(90)}
+    while len(many) < 330:
+        picked = list(rng.choice(words, rng.integers(1, 9), replace=False))
+        text = " ".join(picked)
+        at = int(rng.integers(0, len(text)))
+        many |= {text, text[:at] + "x" + text[at + 1:], " ".join(reversed(picked))}
+    long = {" ".join(rng.choice(words, 14)) for _ in range(5)}
+    long |= {v[:20] + "q" + v[21:] for v in long}
+    pair = {"Netherlands", "Nethrlands"}
+    cells = spark.createDataFrame([(k, v) for k, vs in (("many", many), ("long", long), ("pair", pair)) for v in sorted(vs)], "column string, value string")
+    want = {(k, a, b): int(_ratio(a, b)) for k, vs in (("many", many), ("long", long), ("pair", pair))
+            for a, b in itertools.combinations(sorted(vs), 2) if a.lower() != b.lower() and _ratio(a, b) >= 90}
+    assert {k for k, _, _ in want} == {"many", "long", "pair"}
+    for chunk in (2_000, 40):
+        got = [(r["column"], r["value_a"], r["value_b"], r["fuzz_score"]) for r in near_duplicates(cells, ["column"], chunk=chunk).collect()]
+        assert {g[:3]: g[3] for g in got} == want and len(got) == len(want)
+
+
 def test_cumulative_increments_sum_to_the_last_level(spark):
     rows = [("01-01-2014", "1", "5"), ("01-12-2014", "3", "9"), ("01-06-2016", "8", "4"), ("01-12-2016", "6", None), ("01-12-2017", "10", "12")]
     df = spark.createDataFrame(rows, "unnamed_0 string, biomass string, solar_thermal string")
