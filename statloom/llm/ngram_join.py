@@ -177,20 +177,21 @@ def _prefix(tokens: str, n: str, order: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the filters of orders B and C and whose sets are similar enough.
+    """Those of the distinct ``pairs`` (a, b) that pass the filters of orders B and C and whose sets are similar enough.
 
-    Sets are made again from the texts, for the vertices of ``pairs`` only, so neither texts nor other sets are moved.
+    Sets are made again from the texts, for the vertices of ``pairs`` only, and landed once per vertex however many texts
+    have it. The filters read prefixes; whole sets are joined to the pairs left.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    sets = land(texts.mapInArrow(_sets(size, sieve_of(ends, "v")), "v bigint, tokens array<bigint>"))
-    left = sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta"), F.size("tokens").alias("na"))
-    right = sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb"), F.size("tokens").alias("nb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    for order in ("B", "C"):
-        both = both.where(F.arrays_overlap(_prefix("ta", "na", order, percent), _prefix("tb", "nb", order, percent)))
+    sets = land(texts.mapInArrow(_sets(size, sieve_of(ends, "v")), "v bigint, tokens array<bigint>").dropDuplicates(["v"]))
+    sized = sets.withColumn("n", F.size("tokens"))
+    heads = sized.select("v", *[_prefix("tokens", "n", order, percent).alias(order) for order in ("B", "C")])
+    both = pairs.select("a", "b").join(heads.toDF("a", "Ba", "Ca"), "a").join(heads.toDF("b", "Bb", "Cb"), "b")
+    both = land(both.where(F.arrays_overlap("Ba", "Bb") & F.arrays_overlap("Ca", "Cb")).select("a", "b"))
+    both = both.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    both = both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
-    return both.select("a", "b").distinct()
+    both = both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("ta") + F.size("tb") - F.col("shared")))
+    return both.select("a", "b")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:

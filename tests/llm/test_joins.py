@@ -47,6 +47,23 @@ def test_near_copies_in_a_large_group(documents):
     assert found(documents(rows)) == components(rows)
 
 
+def test_sets_of_exact_copies_are_landed_once(documents, monkeypatch):
+    base = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(base) + (" end" if i % 2 else " stop")) for i in range(80)]
+    landed = []
+
+    def spy(df):
+        out = ngram_join_land(df)
+        if out.columns == ["v", "tokens"]:
+            landed.append((out.count(), out.select("v").distinct().count()))
+        return out
+
+    ngram_join_land = ngram_join.land
+    monkeypatch.setattr(ngram_join, "land", spy)
+    assert found(documents(rows).repartition(8)) == components(rows)
+    assert landed and all(n == vertices == 2 for n, vertices in landed)
+
+
 def test_odd_rows(documents, odd_rows):
     docs = documents(odd_rows).withColumnRenamed("source", "label").withColumnRenamed("lang", "v")
     assert found(docs) == components(odd_rows)
