@@ -13,6 +13,7 @@ from statloom.llm.base import query, table
 
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?"
+    r"|<(?:svg|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?<=/)>"
     r"|<(?P<raw>script|style|noscript|template|svg|textarea|title|iframe|object|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|(?P<text>[^<]+)|<",
     re.S | re.I,
@@ -25,19 +26,23 @@ DROPPED = frozenset("nav footer aside form button dialog head menu fieldset labe
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|advert|adverts|advertisement|ad|ads|adbox|banner|sponsor|sponsored|promo|promotion"
-    r"|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|trending|comments?|respond|replies|reply|disqus|discussion|pagination|pager|toolbar|skip|hidden)(?=$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|aside|widget|advert|adverts|advertisement|ad|ads|adbox|banner|sponsor|sponsored|promo|promotion"
+    r"|cookie|cookies|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|trending|comments?|respond|replies|reply|disqus|pagination|pager|toolbar|skip|hidden)(?=$|[\s_-]|\d)",
     re.I,
 )
+# names of article sections too: unwanted with many links or with a form
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:side|notice|alert|search|social|related|recommended|discussion)(?=$|[\s_-]|\d)", re.I)
+FORMS = frozenset("form input select button".split())
+DOUBTFUL_LINKS, SIBLING_LINKS = 0.3, 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 KEPT_NAMES = frozenset("article main body html".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "score", "text", "linked")
+    __slots__ = ("tag", "parent", "children", "bad", "doubtful", "score", "text", "linked")
 
-    def __init__(self, tag: str, parent, bad: bool):
-        self.tag, self.parent, self.bad = tag, parent, bad
+    def __init__(self, tag: str, parent, bad: bool, doubtful: bool = False):
+        self.tag, self.parent, self.bad, self.doubtful = tag, parent, bad, doubtful
         self.children: list = []
         self.score = 0.0
         self.text = self.linked = 0
@@ -59,6 +64,10 @@ def unwanted(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def doubtful(tag: str, attrs: str) -> bool:
+    return bool(attrs) and tag not in KEPT_NAMES and any(name.lower() in ("class", "id") and DOUBTFUL.search(a or b or c) for name, a, b, c in ATTRIBUTE.findall(attrs))
+
+
 def tree(page: str) -> Node:
     """Elements and texts; unclosed elements end where HTML lets them end."""
     root = Node("html", None, False)
@@ -98,7 +107,7 @@ def tree(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        node = Node(tag, here, unwanted(tag, piece["attrs"], articles > 0))
+        node = Node(tag, here, unwanted(tag, piece["attrs"], articles > 0), doubtful(tag, piece["attrs"]))
         here.children.append(node)
         if tag not in VOID and not piece["attrs"].endswith("/"):
             here = node
@@ -154,6 +163,7 @@ def _weigh(root: Node) -> list[Node]:
                 node.linked += n * link
             elif not child.bad:
                 stack.append((child, link or child.tag == "a"))
+                child.text = child.linked = 0
     for node in reversed(order):
         if node.parent is not None:
             node.parent.text += node.text
@@ -165,12 +175,57 @@ def _dense(node: Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
 
+def _settle(order: list[Node]) -> bool:
+    """Doubtful elements with many links, or a form, become unwanted; whether there were any."""
+    forms, some = set(), False
+    for node in reversed(order):
+        if node in forms or any(not isinstance(c, str) and c.tag in FORMS for c in node.children):
+            forms.add(node.parent)
+            form = True
+        else:
+            form = False
+        if node.doubtful and (form or _dense(node) > DOUBTFUL_LINKS):
+            node.bad = some = True
+    return some
+
+
+def _beside(best: Node) -> None:
+    """Takes out what does not belong to the article beside ``best``: unwanted elements and runs of links."""
+    keep, run = [], []
+
+    def close() -> None:
+        text = sum(len(x.strip()) if isinstance(x, str) else x.text for x in run)
+        linked = sum(x.text if x.tag == "a" else x.linked for x in run if not isinstance(x, str))
+        if linked < SIBLING_LINKS * text:
+            keep.extend(run)
+        elif text:
+            keep.append(" ")
+        run.clear()
+
+    floor = max(10.0, best.score * 0.2)
+    for node in best.parent.children:
+        if isinstance(node, str) or node.tag not in BLOCK and node is not best and not node.bad:
+            run.append(node)
+            continue
+        close()
+        heading = len(node.tag) == 2 and node.tag[0] == "h" and node.tag != "hr"
+        if not node.bad and (node is best or heading or node.score >= floor or _dense(node) < SIBLING_LINKS):
+            keep.append(node)
+        else:
+            keep.append(" ")
+    close()
+    best.parent.children = keep
+
+
 def main_text(page: str) -> str:
     """Text of the best container and of its siblings that belong to it; empty if the page has no text."""
     if not page:
         return ""
     root = tree(page)
     order = _weigh(root)
+    if _settle(order):
+        root.text = root.linked = 0
+        order = _weigh(root)
     for node in order:  # lists of links are menus
         if node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.text and _dense(node) > 0.7:
             node.bad = True
@@ -194,18 +249,10 @@ def main_text(page: str) -> str:
             best = up
             break
         up = up.parent
-    keep = [best]
     if best.parent is not None and best.tag not in ("article", "main"):
-        floor = max(10.0, best.score * 0.2)
-        keep = []
-        for node in best.parent.children:
-            if isinstance(node, str) or node.bad:
-                continue
-            heading = len(node.tag) == 2 and node.tag[0] == "h" and node.tag != "hr"
-            prose = node.tag == "p" and (_dense(node) < 0.25 and node.text > 80 or _dense(node) == 0 and node.text > 0)
-            if node is best or heading or prose or node.score >= floor:
-                keep.append(node)
-    return " ".join(text for node in keep for _, text in blocks(node))
+        _beside(best)
+        best = best.parent
+    return " ".join(text for _, text in blocks(best))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +268,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page: the article without what surrounds it.
 
     Blocks give points for length and commas to the elements above them, halved at each step and lowered by the share of
-    linked text; the best container, or the article around it, is kept with the siblings that belong to it. Null or empty
+    linked text; the best container, or the article around it, is kept with all its siblings but unwanted ones and
+    runs of links. Null or empty
     html gives an empty text; broken markup is closed where HTML lets it end; repeated rows get equal answers; null ids
     and urls stay; an empty table gives no rows; other columns are left out. One page is one task's work, never more.
     """

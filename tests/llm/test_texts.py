@@ -117,6 +117,18 @@ def test_extraction(spark):
     assert extraction.extract_pages(pages.limit(0)).isEmpty()
 
 
+def test_extraction_keeps_the_rest_of_the_article():
+    body = "<div class=body>" + "".join(f"<p>Paragraph {i}, with commas, and more, and so on, until it is long enough.</p>" for i in range(12)) + "</div>"
+    text = extraction.main_text(body)
+    page = f"<body><div id=content><div class=lead><p>Short lead.</p></div>loose <b>words</b>{body}<ul><li>one<li>two</ul><blockquote>Said.</blockquote><div><a href=x>More</a> <a href=y>pages</a></div></div></body>"
+    assert extraction.main_text(page) == f"Short lead. loose words {text} one two Said."
+    for name in ("discussion", "related-work", "search"):
+        assert extraction.main_text(f"<div>{body}<div id={name}><p>Section of the text.</p></div></div>") == f"{text} Section of the text."
+        assert extraction.main_text(f"<div>{body}<div id={name}><p>Find <a href=x>this page</a> and <a href=y>that page</a></p></div></div>") == text
+        assert extraction.main_text(f"<div>{body}<div id={name}><p>Look here</p><p><form><input></form></p></div></div>") == text
+    assert extraction.main_text(f"<div><svg class='x' />{body}<object data='y'/><p>End.</p></div>") == f"{text} End."
+
+
 def test_grammar():
     machine, words = toxicity.grammar(), toxicity.Reader(toxicity.fixed_words())
     score = lambda t: sum(toxicity.clause_scores(t, machine, words))
