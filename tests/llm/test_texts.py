@@ -72,6 +72,15 @@ def test_licences(documents, sample):
     assert licenses.scan_licences(sample.limit(0)).isEmpty()
 
 
+def test_licence_headers(documents):
+    gnu = "This {} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    rows = [(1, gnu.format("program", "", "3")), (2, gnu.format("program", "", "2")), (3, gnu.format("library", "Lesser ", "2.1")), (4, gnu.format("program", "Affero ", "3")), (5, mit),
+            (6, "This work is under a Creative Commons Attribution-ShareAlike 4.0 International License."), (7, "MIT License. " + mit)]
+    found = {r.doc_id: [x.label for x in r.labels] for r in licenses.scan_licences(documents(rows)).collect()}
+    assert found == {1: ["gpl-3.0"], 2: ["gpl-2.0"], 3: ["lgpl-2.1"], 4: ["agpl-3.0"], 5: ["mit"], 6: ["cc-by-sa-4.0"], 7: ["mit"]}
+
+
 def measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
