@@ -6,7 +6,7 @@ import importlib
 
 from statloom.llm.base import REGISTRY
 
-MODULES = ("toxicity", "ngram_join", "pii", "decontaminate", "suffix_dedup", "licenses", "quality", "fm_dedup", "extraction", "mixing", "filter_audit", "line_runs")
+MODULES = ("toxicity", "ngram_join", "pii", "decontaminate", "suffix_dedup", "licenses", "quality", "fm_dedup", "extraction", "mixing", "ranked_search", "filter_audit", "line_runs")
 
 
 def load_all() -> dict:
