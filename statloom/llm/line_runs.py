@@ -77,10 +77,16 @@ class LineRuns:
         self._compact()
 
     def _summed(self, names: list[str]) -> DataFrame:
+        """Runs merged one after the other, smaller levels first; two runs meet where they lie, without a shuffle.
+
+        Merge joins, not a union: a union of columnar scans puts their parts one behind the other, though it states
+        the partitioning that they share, and a sum by line over it would miss the lines that stand in two runs.
+        """
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy("h").agg(F.sum("n").alias("n"))
+            n = F.coalesce("l.n", F.lit(0)) + F.coalesce("r.n", F.lit(0))
+            rows = rows.alias("l").join(self.spark.table(name).alias("r").hint("merge"), "h", "full_outer").select("h", n.alias("n"))
+        return rows
 
     def _compact(self) -> None:
         for k in range(len(self.levels)):
