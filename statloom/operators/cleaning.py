@@ -23,9 +23,6 @@ from statloom.operators.ordered import attach, is_small, median_and_mad
 from statloom.sources.landing import land
 
 PROMOTION_SHARE = 0.95
-CATEGORY_MIN, CATEGORY_MAX = 2, 200
-# HyperLogLog is within 5 %: above this a column cannot have 200 values or fewer.
-CATEGORY_APPROX_LIMIT = 300
 OUTLIER_MIN_VALUES = 12
 ROBUST_Z = 3.5
 MIXED_LOW, MIXED_HIGH = 0.2, 1.0
@@ -109,8 +106,11 @@ def apply_rules(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
     })
 
 
-def rule_counts(c: str) -> list[Column]:
-    """Aggregates over rule columns: everything the register and the schema need."""
+def rule_counts(c: str, row: Column | None = None) -> list[Column]:
+    """Aggregates over rule columns: everything the register and the schema need.
+
+    ``row`` orders the cells: the example of a converted temperature is the first one, without it the least text.
+    """
     def at(suffix: str) -> Column:
         return F.col(f"`{c}.{suffix}`")
 
@@ -131,21 +131,31 @@ def rule_counts(c: str) -> list[Column]:
         F.count_if(at("date_status") == "ok").alias("n_date"),
         F.count_if(at("date_status") == "ambiguous").alias("n_ambiguous"),
         F.count_if(at("celsius").isNotNull()).alias("n_temperature"),
+        F.min_by(F.struct(at("sized").alias("before"), at("value").alias("after")), F.when(at("celsius").isNotNull(), at("sized") if row is None else row)).alias("example"),
         (symbol("£") + symbol("$") + symbol("€")).alias("n_currencies"),
         F.count_if(number < 0).alias("n_negative"),
         F.count_if(number.isNotNull()).alias("n_numeric"),
         F.count_if(value.isNotNull()).alias("n_value"),
         F.count_if(~at("raw").eqNullSafe(value)).alias("n_changed"),
-        F.approx_count_distinct(value).alias("approx_values"),
     ]
 
 
 COUNT_NAMES = (
     "n_rows", "n_footnote", "n_placeholder", "n_sentinel", "n_text", "n_loose", "n_unit", "n_date", "n_ambiguous",
-    "n_temperature", "n_currencies", "n_negative", "n_numeric", "n_value", "n_changed", "approx_values",
+    "n_temperature", "example", "n_currencies", "n_negative", "n_numeric", "n_value", "n_changed",
 )
 
 
+RULED = (
+    "raw", "value", "flag", "iso_date", "footnote", "placeholder", "sentinel", "unit", "mixed_text", "loose", "date_status", "celsius", "sized",
+)
+
+
+def land_ruled(cells: DataFrame, hot: Column, keys: list[str]) -> DataFrame:
+    """The rules applied to (keys, cell) once, and written: what counts, dictionary and table read later."""
+    return land(apply_rules(cells, {"cell": hot}).select(*keys, *[f"`cell.{c}`" for c in RULED]))
+
+
 def distinct_values(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, value, text, number, n) of the non-null cells.
 
@@ -159,20 +169,20 @@ def distinct_values(cells: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.where(F.col("n") > 0)
 
 
-def category_changes(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, from_value, to_value, rows_affected) for columns with 2 to 200 values.
+def category_changes(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, from_value, to_value, rows_affected): the spellings that change, for columns of any number of values.
 
-    ``values`` comes from ``distinct_values``. The frame is the canonicalisation log.
+    ``cells`` is (keys, value). Only cells that change are grouped, so the dictionary and its shuffle are as large as the
+    changes. A column of one value is no category and keeps it. The frame is the canonicalisation log.
     """
-    gate = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(
-        F.col("_k").between(CATEGORY_MIN, CATEGORY_MAX)
-    )
-    named = attach(values, gate.select(*keys), keys).withColumn("to_value", canonical_text(F.col("text")))
+    text = clean_text(F.col("value"))
+    spelled = cells.where(F.col("value").isNotNull()).select(*keys, "value", text.alias("_text")).withColumn("_to", canonical_text(F.col("_text")))
     # An alias counts as a change even where the spelling is right already.
-    alias = F.replace(F.lower("text"), F.lit("."), F.lit("")).isin(*COUNTRY_ALIASES)
-    return named.where((F.col("to_value") != F.col("text")) | alias).select(
-        *keys, F.col("value").alias("from_value"), "to_value", F.col("n").alias("rows_affected")
-    )
+    alias = F.replace(F.lower("_text"), F.lit("."), F.lit("")).isin(*COUNTRY_ALIASES)
+    changed = spelled.where((F.col("_to") != F.col("_text")) | alias).groupBy(*keys, "value", "_to").agg(F.count(F.lit(1)).alias("rows_affected"))
+    several = cells.groupBy(*keys).agg((F.min("value") < F.max("value")).alias("_several")).where("_several")
+    return attach(changed, several.select(*keys), keys).select(
+        *keys, F.col("value").alias("from_value"), F.col("_to").alias("to_value"), "rows_affected")
 
 
 def log_mad_outliers(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -227,7 +237,7 @@ def column_issues(stats: DataFrame, keys: list[str]) -> DataFrame:
             F.struct(
                 F.lit(code).alias("issue_code"), F.lit(ISSUE_TEXT[code][1]).alias("detail"),
                 F.lit(ISSUE_TEXT[code][0]).alias("confidence"), n.cast("bigint").alias("rows_affected"),
-                F.lit("").alias("example_before"), F.lit("").alias("example_after"),
+                *[(F.coalesce(f"example.{x}", F.lit("")) if code == "temperature_f_to_c" else F.lit("")).alias(f"example_{x}") for x in ("before", "after")],
                 F.lit(ISSUE_TEXT[code][2]).alias("recommendation"),
             )
             for code, n in rows.items()
@@ -247,6 +257,45 @@ def duplicate_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("n_duplicate_rows"))
 
 
+def row_fingerprints(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row_idx, fingerprint): one row of cells as a value that does not depend on the order of its cells.
+
+    Two digests of each (column, value), each combined over the row bit by bit, and the number of filled cells. A NULL cell
+    adds nothing, so a cell that is missing equals a blank one. Both steps combine before they shuffle.
+    """
+    filled = F.col("value").isNotNull()
+
+    def part(*of) -> Column:
+        return F.bit_xor(F.when(filled, F.xxhash64(*of)))
+
+    rows = cells.groupBy(*keys, "row_idx").agg(
+        part("column", "value").alias("_p"), part(F.lit("row"), "value", "column").alias("_q"), F.count("value").alias("_n"))
+    return rows.select(*keys, "row_idx", F.struct("_n", "_p", "_q").alias("fingerprint"))
+
+
+def duplicate_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_duplicate_rows) for sheets with equal rows: members of groups of equal rows, blank cells equal."""
+    groups = row_fingerprints(cells, keys).groupBy(*keys, "fingerprint").agg(F.count(F.lit(1)).alias("_n"))
+    return groups.where(F.col("_n") > 1).groupBy(*keys).agg(F.sum("_n").alias("n_duplicate_rows"))
+
+
+def duplicate_issues(found: DataFrame) -> DataFrame:
+    """Register rows of (workbook, sheet, n_duplicate_rows)."""
+    return found.where(F.col("n_duplicate_rows") > 0).select(
+        "workbook", "sheet", F.lit("*").alias("column"), F.lit("duplicate_row").alias("issue_code"),
+        F.lit("Exact duplicate rows").alias("detail"), F.lit("high").alias("confidence"),
+        F.col("n_duplicate_rows").alias("rows_affected"), F.lit("").alias("example_before"), F.lit("").alias("example_after"),
+        F.lit("Find out which columns should tell the rows apart.").alias("recommendation"),
+    )
+
+
+def workbook_and_sheet(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of other names stand for both: the first is the workbook, the last the sheet."""
+    if {"workbook", "sheet"} <= set(keys):
+        return df
+    return df.withColumns({"workbook": F.col(keys[0]), "sheet": F.col(keys[-1])})
+
+
 @dataclass(frozen=True)
 class Cleaned:
     table: DataFrame
@@ -259,8 +308,8 @@ def clean_table(df: DataFrame, workbook: str, sheet: str) -> Cleaned:
 
     The register needs every cell once: cells are unpivoted, so the rules compile
     once and not once per column, and counted per column with map-side partial
-    sums. Counts and distinct values are landed, so the table is read twice for the
-    register and once for the result. What the counts say then shapes the output: the cleaned table is a lazy,
+    sums. Ruled cells are landed, so the table is read once for the register and once
+    for the result. What the counts say then shapes the output: the cleaned table is a lazy,
     shuffle-free projection in which a column carries only the rules that fired.
     """
     cols = list(df.columns)
@@ -269,32 +318,22 @@ def clean_table(df: DataFrame, workbook: str, sheet: str) -> Cleaned:
     hot = F.col("column").isin(*[c for c in cols if names.suggests_temperature(c)]) if any(
         map(names.suggests_temperature, cols)
     ) else F.lit(False)
-    cells = apply_rules(text.unpivot([], cols, "column", "cell"), {"cell": hot})
+    cells = land_ruled(text.unpivot([], cols, "column", "cell"), hot, ["column"])
     per_column = land(cells.groupBy("column").agg(*rule_counts("cell")))
-    facts = {r["column"]: r for r in per_column.collect()}  # one row per column
+    facts = {c: dict.fromkeys(COUNT_NAMES, 0) for c in cols} | {r["column"]: r for r in per_column.collect()}  # one row per column
 
-    # Only columns that can still have 2 to 200 values are counted exactly.
-    few = [c for c in cols if CATEGORY_MIN - 1 <= facts[c]["approx_values"] <= CATEGORY_APPROX_LIMIT]
     numeric = [c for c in cols if facts[c]["n_numeric"] >= OUTLIER_MIN_VALUES]
-    counted = sorted({*few, *numeric})
-    values = land(distinct_values(
-        cells.where(F.col("column").isin(counted)).select("column", F.col("`cell.value`").alias("value")), ["column"]
-    ))
-    log = category_changes(values.where(F.col("column").isin(few)), ["column"])
-    outliers = log_mad_outliers(values.where(F.col("column").isin(numeric)), ["column"])
+    kept = cells.select("column", F.col("`cell.value`").alias("value"))
+    values = land(distinct_values(kept.where(F.col("column").isin(numeric)), ["column"]))
+    log = land(category_changes(kept, ["column"]))
+    outliers = log_mad_outliers(values, ["column"])
     recoded = log.groupBy("column").agg(F.sum("rows_affected").alias("n_recoded"))
-    recode = {r["column"] for r in recoded.collect()}
+    recode = {r["column"] for r in recoded.select("column").collect()}
 
     stats = per_column.join(outliers, "column", "left").join(recoded, "column", "left")
     stats = stats.select(F.lit(workbook).alias("workbook"), F.lit(sheet).alias("sheet"), "*")
     issues = column_issues(stats, ["workbook", "sheet", "column"])
-    dup = duplicate_rows(df, cols).select(
-        F.lit(workbook).alias("workbook"), F.lit(sheet).alias("sheet"), F.lit("*").alias("column"),
-        F.lit("duplicate_row").alias("issue_code"), F.lit("Exact duplicate rows").alias("detail"),
-        F.lit("high").alias("confidence"), F.col("n_duplicate_rows").alias("rows_affected"),
-        F.lit("").alias("example_before"), F.lit("").alias("example_after"),
-        F.lit("Find out which columns should tell the rows apart.").alias("recommendation"),
-    ).where(F.col("rows_affected") > 0)
+    dup = duplicate_issues(duplicate_rows(df, cols).select(F.lit(workbook).alias("workbook"), F.lit(sheet).alias("sheet"), "*"))
 
     fired = ("n_footnote", "n_placeholder", "n_sentinel", "n_unit", "n_date", "n_temperature")
     touched = [c for c in cols if c in recode or any(facts[c][n] for n in fired)]
@@ -328,26 +367,20 @@ def clean_cells(body: DataFrame, keys: list[str]) -> Cleaned:
 
     ``body`` is (keys, row_idx, column, value). The cleaned frame is (keys,
     row_idx, column, raw, value, number, flag, iso_date); ``number`` is filled for
-    columns that become numeric. Nothing is collected; the counts and the distinct
-    values are landed.
+    columns that become numeric. Equal rows of a sheet are one issue of it. Nothing is
+    collected; the counts and the distinct values are landed.
     """
     by_column = [*keys, "column"]
     hot = F.lower("column").contains(names.TEMPERATURE_HINTS[0])
-    ruled = apply_rules(body.select(*keys, "row_idx", "column", F.col("value").alias("cell")), {"cell": hot})
-    stats = land(ruled.groupBy(*by_column).agg(*rule_counts("cell")))
-    values = land(distinct_values(ruled.select(*by_column, F.col("`cell.value`").alias("value")), by_column))
-    small = attach(
-        values,
-        stats.where(F.col("approx_values").between(CATEGORY_MIN - 1, CATEGORY_APPROX_LIMIT)).select(*by_column),
-        by_column,
-    )
-    log = category_changes(small, by_column)
+    ruled = land_ruled(body.select(*keys, "row_idx", "column", F.col("value").alias("cell")), hot, [*by_column, "row_idx"])
+    stats = land(ruled.groupBy(*by_column).agg(*rule_counts("cell", F.col("row_idx"))))
+    kept = ruled.select(*by_column, F.col("`cell.value`").alias("value"))
+    values = land(distinct_values(kept, by_column))
+    log = land(category_changes(kept, by_column))
     recoded = log.groupBy(*by_column).agg(F.sum("rows_affected").alias("n_recoded"))
     wide = attach(attach(stats, log_mad_outliers(values, by_column), by_column, "left"), recoded, by_column, "left")
-    named = wide if {"workbook", "sheet"} <= set(keys) else wide.withColumns(
-        {"workbook": F.col(keys[0]), "sheet": F.col(keys[-1])}
-    )
-    issues = column_issues(named, ["workbook", "sheet", "column"])
+    issues = duplicate_issues(workbook_and_sheet(duplicate_cells(body, keys), keys)).unionByName(
+        column_issues(workbook_and_sheet(wide, keys), ["workbook", "sheet", "column"]))
     decided = wide.select(
         *by_column, promotes(F.col("n_numeric"), F.col("n_value")).alias("_number"),
         F.col("n_recoded").isNotNull().alias("_recode"),

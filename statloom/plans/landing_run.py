@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statloom.operators.cleaning import Cleaned, clean_cells
+from statloom.operators.contract import unreadable_documents
 from statloom.operators.grid import split_sheets
 from statloom.sources.html import decode_text, html_cells, list_documents, looks_like_html
 from statloom.sources.landing import land
@@ -47,21 +48,22 @@ def clean_grid(grid: DataFrame) -> tuple[Cleaned, DataFrame]:
 
 
 def run_cleaning(spark: SparkSession, root: str, glob: str = "*.xls") -> LandedRun:
-    """Clean all HTML documents below ``root`` in one run."""
+    """Clean all HTML documents below ``root`` in one run; the others are read errors of the register."""
     docs = list_documents(spark, root, glob)
-    html = docs.where(looks_like_html(F.col("content"))).select("doc", decode_text(F.col("content")).alias("html"))
+    readable = F.coalesce(looks_like_html(F.col("content")), F.lit(False))
+    html = docs.where(readable).select("doc", decode_text(F.col("content")).alias("html"))
     grid = land(html_cells(html).withColumnRenamed("doc", "workbook"))
     cleaned, metadata = clean_grid(grid)
     metadata = land(metadata)
     cells = land(cleaned.table)
-    issues = land(metadata_issues(metadata).unionByName(cleaned.issues))
+    issues = land(metadata_issues(metadata).unionByName(cleaned.issues).unionByName(unreadable_documents(docs, readable)))
     shape = lambda df, row, col: df.groupBy(*KEYS).agg((F.max(row) + 1).alias("n_rows"), F.count_distinct(col).alias("n_cols"))
     manifest = run_manifest(shape(grid, "row_idx", "col_idx"), shape(cells, "row_idx", "column"), issues)
     return LandedRun(cells, metadata, issues, cleaned.log, manifest, docs.select("doc", "publisher", "n_bytes", "sha256"))
 
 
 def sheet_columns(cells: DataFrame, workbook: str, sheet: str) -> list[str]:
-    """Column names of one sheet in first-seen order (a header list)."""
+    """Column names of one sheet by name (a header list)."""
     rows = cells.where((F.col("workbook") == workbook) & (F.col("sheet") == sheet)).select("column").distinct()
     return sorted(r["column"] for r in rows.collect())
 

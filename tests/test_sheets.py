@@ -124,3 +124,49 @@ def test_rules_also_run_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["v"] for r in spark.read.parquet(out).collect()} == {"12", None}
+
+
+def as_cells(spark, sheets):
+    rows = [(s, r, f"c{c}", v) for s, body in sheets.items() for r, row in enumerate(body) for c, v in enumerate(row) if v != "-"]
+    return spark.createDataFrame(rows, "sheet string, row_idx int, column string, value string")
+
+
+def test_equal_rows_of_many_sheets(spark):
+    sheets = {
+        "two groups": [["a", "1"], ["b", "2"], ["a", "1"], ["b", "2"], ["a", "1"], ["c", "3"]],
+        "blank and missing": [["a", None], ["a", "-"], [None, "a"], [None, None], [None, None]],
+        "none": [["a", "b"], ["b", "a"], ["aa", None], [None, "aa"]],
+        "swapped": [["x", "y"], ["y", "x"]],
+    }
+    found = {r["sheet"]: r["n_duplicate_rows"] for r in cleaning.duplicate_cells(as_cells(spark, sheets), ["sheet"]).collect()}
+    assert found == {"two groups": 5, "blank and missing": 4}
+    issues = cleaning.clean_cells(as_cells(spark, sheets), ["sheet"]).issues.where("issue_code = 'duplicate_row'").collect()
+    assert {(i["workbook"], i["sheet"], i["column"], i["rows_affected"]) for i in issues} == {(s, s, "*", n) for s, n in found.items()}
+
+
+def test_fingerprints_do_not_depend_on_the_order_of_cells(spark):
+    cells = as_cells(spark, {"s": [[str(i), "x", str(i % 3)] for i in range(200)] * 2})
+    one = {tuple(r) for r in cleaning.row_fingerprints(cells, ["sheet"]).collect()}
+    assert one == {tuple(r) for r in cleaning.row_fingerprints(cells.orderBy(F.rand(1)).repartition(7), ["sheet"]).collect()}
+    assert len({r[2] for r in one}) == 200
+    assert cleaning.duplicate_cells(cells, ["sheet"]).first()["n_duplicate_rows"] == 400
+
+
+def test_a_run_lists_equal_rows_read_errors_and_examples(spark, tmp_path):
+    folder = tmp_path / "pub"
+    folder.mkdir()
+    rows = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in [("x", "41 °F"), ("y", "50 °F"), ("x", "41 °F"), ("z", "7")])
+    (folder / "w.xls").write_text(f"<html><table><thead><tr><th>Area</th><th>Temp max</th></tr></thead>{rows}</table></html>")
+    (folder / "bad.xls").write_bytes(b"\xd0\xcf\x11\xe0binary")
+    issues = {(i["workbook"], i["issue_code"]): i for i in landing_run.run_cleaning(spark, str(tmp_path)).issues.collect()}
+    assert issues["pub/w.xls", "duplicate_row"]["rows_affected"] == 2
+    assert issues["pub/bad.xls", "read_error"]["confidence"] == "high"
+    warm = issues["pub/w.xls", "temperature_f_to_c"]
+    assert (warm["rows_affected"], warm["example_before"], warm["example_after"]) == (3, "41 °F", "5.0")
+
+
+def test_categories_of_any_number_of_values(spark):
+    rows = [(f"REGION NUMBER {i}", "UNITED STATES OF") for i in range(5000)]
+    log = cleaning.clean_table(spark.createDataFrame(rows, "area string, one string"), "w", "s").log
+    assert log.count() == 5000 and log.where("to_value = concat('Region Number ', substring(from_value, 15))").count() == 5000
+    assert log.where("column = 'one'").count() == 0  # a single value is no category

@@ -344,7 +344,7 @@ def _(spark, d):
 
 
 def _issues(spark, d):
-    return cleaning.clean_table(cells._dirty_customers(spark, d), "customers.xls", "Sheet 1").issues.where(F.col("issue_code") != "outlier_robust_log_mad")
+    return cleaning.clean_table(cells._dirty_customers(spark, d), "customers.xls", "Sheet 1").issues
 
 
 @query("issue_browser_q27", "column:s issue_code:s rows_affected:i", f"SELECT * FROM ({cells.ISSUES_SQL}) WHERE issue_code IN ('placeholder_to_na', 'numeric_sentinel')")
@@ -394,7 +394,7 @@ def _(spark, d):
     return b.load_factor_breaks(_load(spark, d), penalty=1.5, min_points=7)
 
 
-@query("issue_counters_q30", "confidence:s n_issues:i rows_affected:i", f"""SELECT CASE WHEN issue_code IN ('footnote_marker_stripped', 'placeholder_to_na', 'numeric_sentinel', 'unit_embedded_normalized', 'duplicate_row') THEN 'high' ELSE 'medium' END AS confidence,
+@query("issue_counters_q30", "confidence:s n_issues:i rows_affected:i", f"""SELECT CASE WHEN issue_code IN ('footnote_marker_stripped', 'placeholder_to_na', 'numeric_sentinel', 'unit_embedded_normalized', 'duplicate_row') THEN 'high' WHEN issue_code = 'outlier_robust_log_mad' THEN 'low' ELSE 'medium' END AS confidence,
 count(*) AS n_issues, sum(rows_affected) AS rows_affected FROM ({cells.ISSUES_SQL}) WHERE rows_affected > 0 GROUP BY 1""")
 def _(spark, d):
     return b.issue_counters(_issues(spark, d))

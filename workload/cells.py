@@ -8,7 +8,10 @@ from statloom.functions import dates, numbers, stats, text, units
 from statloom.functions.nulls import finite
 from statloom.operators import cleaning, contract
 from statloom.operators.profile import text_cells
+from statloom.plans import landing_run
 from statloom.plans.benchmarks import deflate
+from statloom.sources import html
+from statloom.sources.landing import land
 from workload import shapes as s
 from workload.base import query, table
 
@@ -215,7 +218,10 @@ def _dirty_customers(spark, d) -> DataFrame:
 
 DIRTY_SQL = """c AS (SELECT *, c_custkey % 10 AS k FROM customer)"""
 
-ISSUES_SQL = f"""WITH {DIRTY_SQL}
+ISSUES_SQL = f"""WITH {DIRTY_SQL},
+l AS (SELECT x."column", ln(x.v) AS v FROM c, LATERAL (VALUES ('price_gbp', CASE WHEN k IN (1, 5, 6, 7, 8, 9) THEN c_acctbal END), ('weight', CAST(c_nationkey AS DOUBLE)),
+  ('temp_max', CASE WHEN k < 2 THEN c_nationkey * 5.0 / 9 ELSE c_nationkey + 32 END)) AS x("column", v) WHERE x.v > 0),
+m AS (SELECT "column", median(v) AS med FROM l GROUP BY 1), z AS (SELECT "column", median(abs(v - med)) AS mad FROM l JOIN m USING ("column") GROUP BY 1)
 SELECT 'price_gbp' AS "column", 'placeholder_to_na' AS issue_code, count(*) FILTER (WHERE k = 0) AS rows_affected FROM c
 UNION ALL SELECT 'price_gbp', 'footnote_marker_stripped', count(*) FILTER (WHERE k = 1) FROM c
 UNION ALL SELECT 'price_gbp', 'numeric_sentinel', count(*) FILTER (WHERE k = 2) FROM c
@@ -229,13 +235,13 @@ UNION ALL SELECT 'area', 'categorical_canonicalized', count(*) FILTER (WHERE k <
 UNION ALL SELECT '*', 'duplicate_row', coalesce(sum(n) FILTER (WHERE n > 1), 0) FROM (SELECT count(*) AS n FROM (SELECT
   CASE WHEN k = 0 THEN 'n/a' WHEN k = 1 THEN printf('%.2f [r]', c_acctbal) WHEN k = 2 THEN '999999' WHEN k = 3 THEN printf('£%.2f', c_acctbal)
   WHEN k = 4 THEN printf('$%.2f', c_acctbal) ELSE printf('%.2f', c_acctbal) END AS p, c_nationkey, k < 5 AS u,
-  CASE WHEN k < 3 THEN 1 WHEN k < 6 THEN 2 ELSE 3 END AS a, k < 2 AS t, c_mktsegment FROM c) GROUP BY p, c_nationkey, u, a, t, c_mktsegment)"""
+  CASE WHEN k < 3 THEN 1 WHEN k < 6 THEN 2 ELSE 3 END AS a, k < 2 AS t, c_mktsegment FROM c) GROUP BY p, c_nationkey, u, a, t, c_mktsegment)
+UNION ALL SELECT "column", 'outlier_robust_log_mad', count(*) FROM l JOIN m USING ("column") JOIN z USING ("column") WHERE abs(0.6745 * (v - med) / mad) > 3.5 GROUP BY 1"""
 
 
 @query("issue_register_d6_d17", "column:s issue_code:s rows_affected:i", ISSUES_SQL)
 def _(spark, d):
-    issues = cleaning.clean_table(_dirty_customers(spark, d), "customers.xls", "Sheet 1").issues
-    return issues.where(~F.col("issue_code").isin("outlier_robust_log_mad"))
+    return cleaning.clean_table(_dirty_customers(spark, d), "customers.xls", "Sheet 1").issues
 
 
 @query("canonicalisation_log_d15", "column:s from_value:s to_value:s rows_affected:i", f"""WITH {DIRTY_SQL}
@@ -277,19 +283,24 @@ def _(spark, d):
 
 
 @query("long_mode_cleaning_d7_d18", "sheet:s column:s issue_code:s rows_affected:i", f"""WITH {s.CELLS_SQL},
-x AS (SELECT cells.*, o_orderpriority AS sheet FROM cells JOIN orders ON l_orderkey = o_orderkey)
+x AS (SELECT cells.*, o_orderpriority AS sheet FROM cells JOIN orders ON l_orderkey = o_orderkey),
+l AS (SELECT sheet, ln(CASE k WHEN 6 THEN (l_quantity + 0.5) * CAST(0.45359237 AS DOUBLE) ELSE l_quantity END) AS v FROM x WHERE k IN (0, 1, 2, 5, 6, 11)),
+m AS (SELECT sheet, median(v) AS med FROM l GROUP BY 1), z AS (SELECT sheet, median(abs(v - med)) AS mad FROM l JOIN m USING (sheet) GROUP BY 1)
 SELECT sheet, 'cell' AS "column", 'footnote_marker_stripped' AS issue_code, count(*) AS rows_affected FROM x WHERE k IN (0, 1, 2) GROUP BY 1
 UNION ALL SELECT sheet, 'cell', 'placeholder_to_na', count(*) FROM x WHERE k = 3 GROUP BY 1
 UNION ALL SELECT sheet, 'cell', 'numeric_sentinel', count(*) FROM x WHERE k = 4 GROUP BY 1
 UNION ALL SELECT sheet, 'cell', 'unit_embedded_normalized', count(*) FROM x WHERE k IN (5, 6) GROUP BY 1
 UNION ALL SELECT sheet, 'cell', 'date_normalized_iso8601', count(*) FROM x WHERE k = 8 OR (k = 7 AND day(l_shipdate) > 12) GROUP BY 1
-UNION ALL SELECT sheet, 'cell', 'ambiguous_date', count(*) FROM x WHERE k = 7 AND day(l_shipdate) <= 12 GROUP BY 1""")
+UNION ALL SELECT sheet, 'cell', 'ambiguous_date', count(*) FROM x WHERE k = 7 AND day(l_shipdate) <= 12 GROUP BY 1
+UNION ALL SELECT sheet, 'cell', 'mixed_type_numeric_string', count(*) FROM x WHERE k NOT IN (3, 4) GROUP BY 1
+UNION ALL SELECT sheet, 'cell', 'categorical_canonicalized', count(*) FROM x WHERE k = 9 GROUP BY 1
+UNION ALL SELECT sheet, '*', 'duplicate_row', sum(n) FROM (SELECT sheet, count(*) AS n FROM x GROUP BY sheet, cell) WHERE n > 1 GROUP BY 1
+UNION ALL SELECT sheet, 'cell', 'outlier_robust_log_mad', count(*) FROM l JOIN m USING (sheet) JOIN z USING (sheet) WHERE mad > 0 AND abs(0.6745 * (v - med) / mad) > 3.5 GROUP BY 1""")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("sheet"))
     body = _cells(spark, d).join(o, "l_orderkey").select(
-        F.lit("lines.xls").alias("workbook"), "sheet", F.struct("l_orderkey", "l_linenumber").alias("row_idx"), F.lit("cell").alias("column"), F.col("cell").alias("value"))
-    issues = cleaning.clean_cells(body, ["workbook", "sheet"]).issues
-    return issues.where(~F.col("issue_code").isin("mixed_type_numeric_string", "outlier_robust_log_mad", "categorical_canonicalized"))
+        F.lit("lines.xls").alias("workbook"), "sheet", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("row_idx"), F.lit("cell").alias("column"), F.col("cell").alias("value"))
+    return cleaning.clean_cells(body, ["workbook", "sheet"]).issues
 
 
 CONTRACT = {
@@ -314,3 +325,38 @@ def _(spark, d):
 def _(spark, d):
     pages = table(spark, d, "pages").select(F.col("url").alias("doc"), "html")
     return contract.unreadable_documents(pages, F.col("html").rlike("(?i)<table")).groupBy("issue_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _order_pages(spark, d) -> DataFrame:
+    """One HTML document per customer with one table: a row per order, its status, clerk group and priority, equal rows included."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.array("o_orderstatus", (F.col("o_orderkey") % 3).cast("string"), "o_orderpriority").alias("cells"))
+    row = F.concat(F.lit("<tr><td>"), F.array_join("cells", "</td><td>"), F.lit("</td></tr>"))
+    rows = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    head = "<html><table><thead><tr><th>Status</th><th>Group</th><th>Priority</th></tr></thead>"
+    return rows.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("doc"), F.concat(F.lit(head), "rows", F.lit("</table></html>")).alias("html"))
+
+
+@query("duplicate_rows_of_sheets_d6", "workbook:s sheet:s rows_affected:i", """SELECT 'c' || o_custkey AS workbook, 'html_table_0' AS sheet, sum(n) AS rows_affected
+FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus, o_orderkey % 3, o_orderpriority) WHERE n > 1 GROUP BY 1""")
+def _(spark, d):
+    cells_ = land(html.html_cells(_order_pages(spark, d)).withColumnRenamed("doc", "workbook"))
+    cleaned, _ = landing_run.clean_grid(cells_)
+    return cleaned.issues.where(F.col("issue_code") == "duplicate_row")
+
+
+@query("duplicate_fingerprints_d6", "props:s n_duplicate_rows:i", """SELECT props, sum(n) AS n_duplicate_rows
+FROM (SELECT props, count(*) AS n FROM events GROUP BY props, user_id, event_type) WHERE n > 1 GROUP BY 1""")
+def _(spark, d):
+    """All events as sheets of their properties, cells only."""
+    rows = table(spark, d, "events").select("props", "event_id", F.col("user_id").cast("string").alias("user"), "event_type")
+    cells_ = rows.unpivot(["props", F.col("event_id").alias("row_idx")], ["user", "event_type"], "column", "value")
+    return cleaning.duplicate_cells(cells_, ["props"])
+
+
+@query("categories_of_many_values_d15", "from_value:s to_value:s rows_affected:i", """SELECT 'CLERK NUMBER ' || o_custkey AS from_value, 'Clerk Number ' || o_custkey AS to_value, count(*) AS rows_affected FROM orders GROUP BY o_custkey
+UNION ALL SELECT 'usa', 'United States', count(*) FROM orders WHERE o_orderkey % 7 = 0 HAVING count(*) > 0""")
+def _(spark, d):
+    """A column with thousands of spellings."""
+    o = table(spark, d, "orders")
+    both = o.select(F.concat(F.lit("CLERK NUMBER "), "o_custkey").alias("clerk")).unionByName(o.where(F.col("o_orderkey") % 7 == 0).select(F.lit("usa").alias("clerk")))
+    return cleaning.clean_table(both, "orders.xls", "Sheet 1").log

@@ -166,7 +166,7 @@ def text_cells_frame(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 9, F.lit("usa")).when(k == 10, F.concat(F.lit("£1,"), F.lpad(qty, 3, "0")))
         .otherwise(qty)
     )
-    return line.select("l_orderkey", "l_linenumber", cell.alias("cell"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", cell.alias("cell"))
 
 
 CELLS_SQL = """cells AS (
