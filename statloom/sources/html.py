@@ -98,38 +98,114 @@ def sheet_names(html: Column, n_tables: Column) -> Column:
     return F.transform(base, unique)
 
 
-def html_cells(docs: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
-    """Explode every table of every document into cells. Blank cells are NULL."""
-    tables = docs.select(
-        F.col(doc).alias("doc"),
-        F.col(html).alias("_html"),
-        F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b.*?</table>"), F.lit(0)).alias("_tables"),
-    ).where(F.size("_tables") > 0)
-    named = tables.withColumn("_names", sheet_names(F.col("_html"), F.size("_tables")))
-    each = named.select("doc", "_names", F.posexplode("_tables").alias("_t", "_table"))
-    head = F.regexp_extract("_table", r"(?is)<thead\b.*?</thead>", 0)
-    rows = each.select(
-        "doc",
-        F.get("_names", F.col("_t")).alias("sheet"),
-        F.regexp_count(head, F.lit(r"(?i)<tr\b")).alias("_n_head"),
-        F.posexplode(F.regexp_extract_all("_table", F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))).alias("row_idx", "_row"),
-    )
-    marked = rows.withColumn(
-        "is_header",
-        F.when(F.col("_n_head") > 0, F.col("row_idx") < F.col("_n_head")).otherwise(
-            (F.col("row_idx") == 0) & F.col("_row").rlike(r"(?i)<th\b") & ~F.col("_row").rlike(r"(?i)<td\b")
-        ),
-    )
-    raw = F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>.*?(?=</t[dh]>)"), F.lit(0))
+TABLE_MARKS = r"(?i)</?(?:table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col)\b[^>]*>"
+# Limits of the HTML standard for the two attributes.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def table_pieces(html: Column) -> Column:
+    """struct(open, n, out): the text cut at table tags, and for each piece the tables it stands in.
+
+    Tables are numbered in the order of their start tags. A piece inside a nested table belongs to it as it is, and to the
+    tables around it as plain text, without marks of rows and cells. A table that is not closed ends with the text.
+    """
+    pieces = F.split(html, r"(?i)(?=<table\b|</table\s*>)")
+    empty = F.struct(
+        F.array().cast("array<int>").alias("open"), F.lit(0).alias("n"), F.array().cast("array<struct<t:int,s:string>>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        opens = piece.rlike(r"(?i)^<table\b")
+        closes = piece.rlike(r"(?i)^</table\s*>")
+        inside = F.when(opens, F.concat(acc["open"], F.array(acc["n"]))).when(
+            closes, F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0)))).otherwise(acc["open"])
+        text = F.regexp_replace(piece, r"(?i)^</table\s*>", " ")
+        plain = F.regexp_replace(text, TABLE_MARKS, " ")
+        return _let(inside, lambda now: F.struct(
+            now.alias("open"), (acc["n"] + F.when(opens, 1).otherwise(0)).alias("n"),
+            F.concat(acc["out"], F.transform(now, lambda t, i: F.struct(t.alias("t"), F.when(i == F.size(now) - 1, text).otherwise(plain).alias("s")))).alias("out")))
+
+    return F.aggregate(pieces, empty, step)
+
+
+def span_of(cell: Column, name: str, most: int) -> Column:
+    found = F.regexp_extract(cell, rf"""(?i)^<t[dh]\b[^>]*?\b{name}\s*=\s*["']?\s*([0-9]+)""", 1)
+    return F.least(F.greatest(F.coalesce(F.when(found != "", F.coalesce(found.try_cast("int"), F.lit(most))), F.lit(1)), F.lit(1)), F.lit(most))
 
-    def spread(cell: Column) -> Column:
-        span = F.regexp_extract(cell, r"""(?i)^<t[dh]\b[^>]*colspan\s*=\s*["']?([0-9]+)""", 1)
-        times = F.coalesce(F.when(span != "", span.try_cast("int")), F.lit(1))
-        return F.array_repeat(cell_text(cell), F.greatest(times, F.lit(1)))
 
-    return marked.select(
-        "doc", "sheet", "row_idx", "is_header", F.posexplode(F.flatten(F.transform(raw, spread))).alias("col_idx", "_v")
-    ).select("doc", "sheet", "row_idx", "col_idx", F.nullif("_v", F.lit("")).alias("value"), "is_header")
+def row_units(row: Column) -> Column:
+    """Cells of a row, each as often as it is wide: array of struct(v, rows)."""
+    cells = F.transform(
+        F.slice(F.split(row, r"(?i)(?=<t[dh]\b)"), 2, 100_000_000),
+        lambda cell: F.regexp_replace(cell, r"(?is)</t[dh]\b.*$", ""))
+    return F.flatten(F.transform(cells, lambda cell: F.array_repeat(
+        F.struct(F.nullif(cell_text(cell), F.lit("")).alias("v"), span_of(cell, "rowspan", MAX_ROWSPAN).alias("rows")), span_of(cell, "colspan", MAX_COLSPAN))))
+
+
+def occupied_rows(rows: Column, n_head: Column) -> Column:
+    """Places of the cells of a table whose cells may span rows: for each row an array of struct(c, v) without gaps.
+
+    A fold over the rows carries the spans that are still open. They keep their columns; the row's own cells take the free
+    columns from the left, and what stays free in between is blank. Open spans end with the header and with the table.
+    ``rows`` is an array of arrays of struct(v, rows).
+    """
+    empty = F.struct(
+        F.array().cast("array<struct<c:int,v:string,left:int>>").alias("open"), F.array().cast("array<array<struct<c:int,v:string>>>").alias("out"))
+    numbered = F.transform(rows, lambda units, i: F.struct(i.alias("i"), units.alias("units")))
+
+    def placed(opened: Column, units: Column) -> Column:
+        free = F.array_except(F.sequence(F.lit(0), F.size(units) + F.size(opened)), F.transform(opened, lambda o: o["c"]))
+        own = F.zip_with(F.slice(free, F.lit(1), F.size(units)), units, lambda c, u: F.struct(c.alias("c"), u["v"].alias("v"), (u["rows"] - 1).alias("left")))
+        below = F.transform(opened, lambda o: F.struct(o["c"].alias("c"), o["v"].alias("v"), (o["left"] - 1).alias("left")))
+        return F.concat(below, own)
+
+    def without_gaps(cells: Column) -> Column:
+        columns = F.transform(cells, lambda x: x["c"])
+        gaps = F.array_except(F.sequence(F.lit(0), F.coalesce(F.array_max(columns), F.lit(0))), columns)
+        filled = F.transform(cells, lambda x: F.struct(x["c"].alias("c"), x["v"].alias("v")))
+        blank = F.transform(gaps, lambda c: F.struct(c.alias("c"), F.lit(None).cast("string").alias("v")))
+        return F.when(F.size(cells) > 0, F.array_sort(F.concat(filled, blank))).otherwise(F.array().cast("array<struct<c:int,v:string>>"))
+
+    def step(acc: Column, row: Column) -> Column:
+        still = F.when(row["i"] == n_head, F.filter(acc["open"], lambda o: F.lit(False))).otherwise(acc["open"])
+        return _let(_let(still, lambda opened: placed(opened, row["units"])), lambda cells: F.struct(
+            F.filter(cells, lambda x: x["left"] > 0).alias("open"), F.concat(acc["out"], F.array(without_gaps(cells))).alias("out")))
+
+    return F.aggregate(numbered, empty, step, lambda acc: acc["out"])
+
+
+def html_cells(docs: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
+    """Explode every table of every document into cells. Blank cells are NULL.
+
+    A cell that spans columns or rows stands in each of them. Nested tables are tables of their own, and text of the cell
+    around them. End tags of rows and cells may be missing. Header rows are those of ``thead``, else the first rows
+    that have header cells only.
+    """
+    texts = docs.select(F.col(doc).alias("doc"), F.col(html).alias("_html")).where(F.col("_html").rlike(r"(?i)<table\b"))
+    # arrays of one element keep what is computed from being computed again for each use
+    cut = texts.select("doc", "_html", F.explode(F.array(table_pieces(F.col("_html")))).alias("_p"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("_p.n") - 1), lambda t: F.array_join(
+        F.transform(F.filter(F.col("_p.out"), lambda x: x["t"] == t), lambda x: x["s"]), ""))
+    named = cut.select("doc", sheet_names(F.col("_html"), F.col("_p.n")).alias("_names"), parts.alias("_tables"))
+    each = named.select("doc", "_names", F.posexplode("_tables").alias("_t", "_table"))
+    head = F.regexp_extract("_table", r"(?is)<thead\b.*?(?:</thead|<tbody\b|$)", 0)
+    lines = F.transform(
+        F.slice(F.split("_table", r"(?i)(?=<tr\b)"), 2, 100_000_000), lambda row: F.regexp_replace(row, r"(?is)</tr\b.*$", ""))
+    rows = each.select("doc", F.get("_names", F.col("_t")).alias("sheet"), F.regexp_count(head, F.lit(r"(?i)<tr\b")).alias("_marked"), F.explode(F.array(lines)).alias("_lines"))
+    other = F.array_position(F.transform("_lines", lambda row: row.rlike(r"(?i)<th\b") & ~row.rlike(r"(?i)<td\b")), F.lit(False)).cast("int")
+    leading = F.when(other == 0, F.size("_lines")).otherwise(other - 1)
+    spread = rows.select(
+        "doc", "sheet", F.when(F.col("_marked") > 0, F.col("_marked")).otherwise(leading).alias("_n_head"),
+        F.explode(F.array(F.transform("_lines", row_units))).alias("_rows"))
+    spans = F.exists("_rows", lambda row: F.exists(row, lambda u: u["rows"] > 1))
+    plain = F.transform("_rows", lambda row: F.transform(row, lambda u, i: F.struct(i.alias("c"), u["v"].alias("v"))))
+    placed = spread.select("doc", "sheet", "_n_head", F.posexplode(F.when(spans, occupied_rows(F.col("_rows"), F.col("_n_head"))).otherwise(plain)).alias("row_idx", "_cells"))
+    return placed.select("doc", "sheet", "row_idx", (F.col("row_idx") < F.col("_n_head")).alias("is_header"), F.inline("_cells")).select(
+        "doc", "sheet", "row_idx", F.col("c").alias("col_idx"), F.col("v").alias("value"), "is_header")
 
 
 def read_html_tables(spark: SparkSession, root: str, glob: str = "*.xls") -> DataFrame:

@@ -170,3 +170,51 @@ def test_categories_of_any_number_of_values(spark):
     log = cleaning.clean_table(spark.createDataFrame(rows, "area string, one string"), "w", "s").log
     assert log.count() == 5000 and log.where("to_value = concat('Region Number ', substring(from_value, 15))").count() == 5000
     assert log.where("column = 'one'").count() == 0  # a single value is no category
+
+
+def laid_out(spark, page):
+    """Values by sheet, one list per row."""
+    sheets = {}
+    for c in html.html_cells(spark.createDataFrame([("d", page)], "doc string, html string")).orderBy("sheet", "row_idx", "col_idx").collect():
+        rows = sheets.setdefault(c["sheet"], {})
+        assert c["col_idx"] == len(rows.setdefault(c["row_idx"], []))
+        rows[c["row_idx"]].append(c["value"])
+    return {k: list(v.values()) for k, v in sheets.items()}
+
+
+def test_row_spans_are_carried_down(spark):
+    page = """<table><tr><td rowspan=3>a<td>b<td rowspan="2" colspan='2'>c</tr><tr><td>d</tr><tr><td>e<td>f<td>g<td>h</tr><tr><td>i</table>"""
+    assert laid_out(spark, page)["html_table_0"] == [["a", "b", "c", "c"], ["a", "d", "c", "c"], ["a", "e", "f", "g", "h"], ["i"]]
+
+
+def test_gaps_between_open_spans_are_blank(spark):
+    page = "<table><tr><td>a<td>b<td rowspan=3>c</tr><tr><td>d</tr><tr></tr></table>"
+    assert laid_out(spark, page)["html_table_0"] == [["a", "b", "c"], ["d", None, "c"], [None, None, "c"]]
+
+
+def test_odd_span_numbers(spark):
+    page = "<table><tr><td rowspan=0 colspan=0>a<td rowspan=x colspan=''>b<td rowspan=99999999999>c</tr><tr><td>d</tr></table>"
+    assert laid_out(spark, page)["html_table_0"] == [["a", "b", "c"], ["d", None, "c"]]
+    assert len(laid_out(spark, "<table><tr><td colspan=5000>a</table>")["html_table_0"][0]) == 1000
+
+
+def test_spans_end_with_the_header(spark):
+    page = "<table><thead><tr><th rowspan=5>h<th>k</tr></thead><tbody><tr><td>1<td>2</tr></tbody></table>"
+    assert laid_out(spark, page)["html_table_0"] == [["h", "k"], ["1", "2"]]
+
+
+def test_nested_and_open_tables(spark):
+    page = "<table><tr><td>a<table><tr><td>b<td>c<table><tr><td>d</table></table> e<td>f</table> out <table><tr><td>g"
+    assert laid_out(spark, page) == {"html_table_0": [["a b c d e", "f"]], "html_table_1": [["b", "c d"]], "html_table_2": [["d"]], "html_table_3": [["g"]]}
+
+
+def test_header_rows_without_thead(spark):
+    page = "<table><tr><th rowspan=2>a<th>b</tr><tr><th>c</tr><tr><th>x<td>1</tr></table>"
+    cells = html.html_cells(spark.createDataFrame([("d", page)], "doc string, html string")).collect()
+    assert {c["row_idx"] for c in cells if c["is_header"]} == {0, 1}
+
+
+def test_long_table_with_spans(spark):
+    n = 3000
+    page = "<table>" + "".join(f"<tr>{f'<td rowspan=3>g{i}' if i % 3 == 0 else ''}<td>{i}" for i in range(n)) + "</table>"
+    assert laid_out(spark, page)["html_table_0"] == [[f"g{i - i % 3}", str(i)] for i in range(n)]

@@ -37,6 +37,25 @@ def _(spark, d):
     return html.html_cells(_documents(spark, d))
 
 
+@query("html_spans_s1", "doc:s sheet:s row_idx:i col_idx:i value:s is_header:b", """WITH c AS (SELECT 'c' || c_custkey AS doc, 1 + c_custkey % 5 AS k, * FROM customer),
+r AS (SELECT *, unnest(range(k)) AS i FROM c),
+h(y, x, v) AS (VALUES (0, 0, 'Area'), (0, 1, 'Power'), (0, 2, 'Power'), (0, 3, 'Power'), (1, 0, 'Area'), (1, 1, 'No'), (1, 2, 'Left'), (1, 3, 'Right'))
+SELECT doc, 'html_table_0' AS sheet, y AS row_idx, x AS col_idx, v AS value, true AS is_header FROM c, h
+UNION ALL SELECT doc, 'html_table_0', 2 + i, 0, 'N' || c_custkey, false FROM r UNION ALL SELECT doc, 'html_table_0', 2 + i, 1, CAST(i AS VARCHAR), false FROM r
+UNION ALL SELECT doc, 'html_table_0', 2 + i, 2, c_mktsegment, false FROM r UNION ALL SELECT doc, 'html_table_0', 2 + i, 3, c_mktsegment, false FROM r
+UNION ALL SELECT doc, 'html_table_0', 2 + k, 0, 'S inner', false FROM c UNION ALL SELECT doc, 'html_table_1', 0, 0, 'inner', false FROM c""")
+def _(spark, d):
+    """One document per customer: a cell over one to five rows, one over rows and columns, a nested table, a span beyond the end."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 5 + 1).cast("int").alias("k"))
+    k = F.col("k").cast("string")
+    more = F.array_join(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit("</td></tr>"))), "")
+    first = F.concat(F.lit("<tr><th rowspan="), k, F.lit(">N"), F.col("c_custkey"), F.lit("<td>0<td rowspan='"), k, F.lit("' colspan=2>"), F.col("c_mktsegment"), F.lit("</td></tr>"))
+    page = F.concat(
+        F.lit('<table><thead><tr><th rowspan="9">Area</th><th colspan="3">Power</th></tr><tr><th>No<th>Left<th>Right</thead><tbody>'), first,
+        F.substring_index(more, "<tr><td>0</td></tr>", -1), F.lit("<tr><td rowspan=3>S<table><tr><td>inner</td></tr></table></td></tr></table>"))
+    return html.html_cells(c.select(F.concat(F.lit("c"), "c_custkey").alias("doc"), page.alias("html")))
+
+
 @query("container_sniff_s2", "is_html:b n:i", "SELECT true AS is_html, count(*) AS n FROM pages WHERE regexp_matches(substr(html, 1, 500), '<html|<!doctype html|<table', 'i') UNION ALL SELECT false, count(*) FROM documents WHERE NOT regexp_matches(substr(text, 1, 500), '<html|<!doctype html|<table', 'i')")
 def _(spark, d):
     pages = table(spark, d, "pages").select(F.encode("html", "UTF-8").alias("content"))
