@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statloom.functions.numbers import NUMBER_PATTERN, numeric_like, text_cell
 from statloom.functions.text import snake_name
-from statloom.operators.ordered import attach
+from statloom.operators.ordered import attach, with_halo
 from statloom.sources.landing import land
 
-MAX_SCAN_ROWS = 16
 LOOK_AHEAD_ROWS = 5
-HEADER_WIDTH_CAP = 200
+HEADER_WIDTH_UNIT = 200.0
 SUSPICIOUS_SHARE = 0.3
-METADATA_SCAN_ROWS = 12
+METADATA_REACH = 12
 METADATA_MIN_LABELS = 3
+CHUNK_ROWS = 100_000
 
 # Labels of the block that precedes a published time series.
 METADATA_LABELS = (
@@ -44,41 +44,41 @@ def header_gate(grid: DataFrame, keys: list[str]) -> DataFrame:
     return first.groupBy(*keys).agg((share < SUSPICIOUS_SHARE).alias("real_header"))
 
 
-def header_scores(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, row_idx, score) for the first rows of every sheet.
+def header_scores(grid: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, row_idx, _rows, score) for every row of every sheet that has a filled cell.
 
     score = text density * distinct ratio * (0.4 + numeric share of the next five
-    rows) * filled width, capped.
+    rows) * filled width. Rows are cut into chunks that share five rows with the
+    next one, so a sheet of any length is spread over tasks.
     """
     size = grid.groupBy(*keys).agg(
         (F.max("row_idx") + 1).alias("_rows"), (F.max("col_idx") + 1).alias("_cols")
     )
     v = F.col("value")
     is_text = text_cell(v)
-    top = grid.where(F.col("row_idx") < MAX_SCAN_ROWS + LOOK_AHEAD_ROWS)
-    per_row = top.groupBy(*keys, "row_idx").agg(
+    per_row = grid.groupBy(*keys, "row_idx").agg(
         F.count_if(~blank(v)).alias("_filled"),
         F.count_if(is_text).alias("_text"),
-        F.count_distinct(F.when(is_text, F.lower(F.trim(v)))).alias("_distinct"),
+        # digests of one row's texts: as many as the row has cells
+        F.size(F.collect_set(F.when(is_text, F.xxhash64(F.lower(F.trim(v)))))).alias("_distinct"),
         F.count_if(numeric_like(v)).alias("_numeric"),
     )
-    rows = attach(per_row, size, keys)
-    ahead = W.partitionBy(*keys).orderBy("row_idx").rangeBetween(1, LOOK_AHEAD_ROWS)
+    ahead = W.partitionBy(*keys, "_chunk").orderBy("row_idx").rangeBetween(1, LOOK_AHEAD_ROWS)
+    below = with_halo(per_row, "row_idx", chunk_rows, after=LOOK_AHEAD_ROWS).withColumn("_below", F.coalesce(F.sum("_numeric").over(ahead), F.lit(0)))
+    rows = attach(below.where(F.col("_own") & (F.col("_filled") > 0)), size, keys)
     n_below = F.least(F.lit(LOOK_AHEAD_ROWS), F.col("_rows") - 1 - F.col("row_idx"))
-    numeric_below = F.coalesce(F.sum("_numeric").over(ahead), F.lit(0))
-    share_below = F.when(n_below > 0, numeric_below / (n_below * F.col("_cols"))).otherwise(0.0)
+    share_below = F.when(n_below > 0, F.col("_below") / (n_below * F.col("_cols"))).otherwise(0.0)
     score = (
         (F.col("_text") / F.col("_filled"))
         * (F.col("_distinct") / F.greatest(F.col("_text"), F.lit(1)))
         * (F.lit(0.4) + share_below)
-        * (F.least(F.col("_filled"), F.lit(HEADER_WIDTH_CAP)) / float(HEADER_WIDTH_CAP))
+        * (F.col("_filled") / HEADER_WIDTH_UNIT)
     )
-    scored = rows.select(*keys, "row_idx", "_rows", F.when(F.col("_filled") > 0, score).alias("score"))
-    return scored.where((F.col("row_idx") < MAX_SCAN_ROWS) & F.col("score").isNotNull())
+    return rows.select(*keys, "row_idx", "_rows", score.alias("score"))
 
 
 def detect_header_row(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, header_row): the first row with the best score; 0 for one-row sheets."""
+    """(keys, header_row): the first row with the best score of the whole sheet; 0 for one-row sheets."""
     best = F.max(F.struct("score", (-F.col("row_idx")).alias("r"))).alias("_best")
     found = header_scores(grid, keys).groupBy(*keys).agg(best, F.max("_rows").alias("_rows"))
     return found.select(
@@ -87,17 +87,23 @@ def detect_header_row(grid: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def header_rows(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, header_row, detected): marked header, else a genuine row 0, else the detected row."""
+    """(keys, header_row, detected): marked header, else a genuine row 0, else the detected row.
+
+    Only sheets that have neither of the first two are searched, over all their rows. The grid is read several times: pass
+    a landed one.
+    """
     gate = header_gate(grid, keys)
-    found = attach(gate, detect_header_row(grid, keys), keys, "left")
     if "is_header" in grid.columns:
         marked = grid.where("is_header").groupBy(*keys).agg(F.max("row_idx").alias("_marked"))
-        found = attach(found, marked, keys, "left")
+        gate = attach(gate, marked, keys, "left")
     else:
-        found = found.withColumn("_marked", F.lit(None).cast("int"))
+        gate = gate.withColumn("_marked", F.lit(None).cast("int"))
+    given = F.col("_marked").isNotNull() | F.coalesce(F.col("real_header"), F.lit(False))
+    gate = land(gate.withColumn("_given", given))
+    searched = attach(grid, gate.where("NOT _given").select(*keys, F.lit(True).alias("_searched")), keys).drop("_searched")
+    found = attach(gate, detect_header_row(searched, keys), keys, "left")
     row = F.coalesce("_marked", F.when(F.col("real_header"), F.lit(0)), "header_row", F.lit(0))
-    given = F.coalesce(F.col("_marked").isNotNull() | F.col("real_header"), F.lit(False))
-    return found.select(*keys, row.alias("header_row"), (~given).alias("detected"))
+    return found.select(*keys, row.alias("header_row"), (~F.col("_given")).alias("detected"))
 
 
 def trim_bounds(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,14 +113,32 @@ def trim_bounds(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def metadata_split(cells: DataFrame, keys: list[str]) -> DataFrame:
+def metadata_split(cells: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(keys, meta_last_row, n_labels) where at least three known labels lead the first column.
 
-    ``cells`` are the rows below the header, with ``body_row`` counted from 0.
+    ``cells`` are the rows below the header, with ``body_row`` counted from 0. The block reaches from the top to the last
+    label of a chain: each label at most twelve rows below the one before. Within the first twelve rows a label always
+    counts; further down only if no row of numbers lies above it since the label before (for the first label: at all).
+    So a block may start anywhere and be of any length, and a label among the data does not extend it.
     """
-    label = F.lower(F.trim("value")).isin(*METADATA_LABELS)
-    lead = cells.where((F.col("col_idx") == 0) & (F.col("body_row") < METADATA_SCAN_ROWS) & label)
-    found = lead.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels"), F.max("body_row").alias("meta_last_row"))
+    label = F.lower(F.trim("value")).isin(*METADATA_LABELS) & (F.col("col_idx") == 0)
+    enough = cells.where(label).groupBy(*keys).agg(F.count(F.lit(1)).alias("_labels")).where(F.col("_labels") >= METADATA_MIN_LABELS)
+    near = attach(cells, enough, keys)
+    numeric = (F.col("col_idx") > 0) & numeric_like(F.col("value"))
+    rows = near.groupBy(*keys, "body_row").agg(F.coalesce(F.bool_or(label), F.lit(False)).alias("_label"), F.coalesce(F.bool_or(numeric), F.lit(False)).alias("_number"))
+    rows = rows.where("_label OR _number").select(
+        *keys, "body_row", F.when(F.col("_label"), F.col("body_row")).alias("_at"), F.when(~F.col("_label"), F.col("body_row")).alias("_number_at"))
+    back = W.partitionBy(*keys, "_chunk").orderBy("body_row").rangeBetween(-METADATA_REACH, -1)
+    seen = with_halo(rows, "body_row", chunk_rows, before=METADATA_REACH).withColumns(
+        {"_before": F.max("_at").over(back), "_number_before": F.max("_number_at").over(back)}).where("_own")
+    plain = F.col("_number_before").isNull() | (F.col("_number_before") < F.col("_before"))
+    linked = F.col("_before").isNotNull() & ((F.col("body_row") < METADATA_REACH) | plain)
+    starts = seen.groupBy(*keys).agg(F.min("_at").alias("_first"), F.min("_number_at").alias("_first_number"))
+    starts = starts.where((F.col("_first") < METADATA_REACH) | F.col("_first_number").isNull() | (F.col("_first_number") > F.col("_first")))
+    labels = attach(seen.where(F.col("_at").isNotNull()).withColumn("_linked", linked), starts, keys)
+    breaks = labels.where(~F.col("_linked") & (F.col("_at") > F.col("_first"))).groupBy(*keys).agg(F.min("_at").alias("_break"))
+    chain = attach(labels, breaks, keys, "left").where(F.col("_break").isNull() | (F.col("_at") < F.col("_break")))
+    found = chain.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels"), F.max("_at").alias("meta_last_row"))
     return found.where(F.col("n_labels") >= METADATA_MIN_LABELS)
 
 

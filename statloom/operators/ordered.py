@@ -162,6 +162,19 @@ def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str, out: s
     )
 
 
+def with_halo(df: DataFrame, position: str, chunk_rows: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Rows cut into chunks of an integer ``position``, with copies of the neighbouring rows.
+
+    Adds ``_chunk`` and ``_own``. A frame of ``before`` rows back and ``after`` rows on, computed per ``_chunk``, is whole for
+    the rows that are the chunk's own; the others are copies and to be dropped after it.
+    """
+    size = F.lit(chunk_rows)
+    home = F.floor(F.col(position) / size)
+    first = F.greatest(F.floor((F.col(position) - after) / size), F.lit(0))
+    needed = F.sequence(F.least(first, home), F.floor((F.col(position) + before) / size))
+    return df.withColumn("_home", home).withColumn("_chunk", F.explode(needed)).withColumn("_own", F.col("_chunk") == F.col("_home")).drop("_home")
+
+
 def fill_forward(
     df: DataFrame, keys: list[str], position: str, column: str, chunk_rows: int = 1_000_000
 ) -> DataFrame:

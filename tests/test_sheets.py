@@ -218,3 +218,57 @@ def test_long_table_with_spans(spark):
     n = 3000
     page = "<table>" + "".join(f"<tr>{f'<td rowspan=3>g{i}' if i % 3 == 0 else ''}<td>{i}" for i in range(n)) + "</table>"
     assert laid_out(spark, page)["html_table_0"] == [[f"g{i - i % 3}", str(i)] for i in range(n)]
+
+
+def plain_scores(rows):
+    def text(v):
+        return v is not None and v.strip() != "" and not v.strip().translate(str.maketrans("", "", ",.-+")).isdigit()
+
+    def number(v):
+        try:
+            return v is not None and float(v.translate(str.maketrans("", "", ",£$€")).strip()) is not None
+        except ValueError:
+            return False
+
+    out, cols = {}, max(len(r) for r in rows)
+    for i, row in enumerate(rows):
+        filled, texts = sum(bool(v and v.strip()) for v in row), [v.strip().lower() for v in row if text(v)]
+        below = rows[i + 1:i + 6]
+        share = sum(number(v) for r in below for v in r) / (len(below) * cols) if below else 0.0
+        if filled:
+            out[i] = len(texts) / filled * (len(set(texts)) / max(len(texts), 1)) * (0.4 + share) * filled / 200
+    return out
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 4, 5, 7, 1000])
+def test_header_scores_do_not_depend_on_the_chunks(spark, chunk_rows):
+    kinds = [["a", "b", "c"], ["note", "note", None], ["1", "2,000", "£3"], ["x", "4", "5"], [None, None, None], ["7", "-", "8.5"]]
+    rows = [kinds[(i * i + i // 3) % 6] for i in range(60)]
+    got = {r["row_idx"]: r["score"] for r in grid.header_scores(as_grid(spark, rows), ["sheet"], chunk_rows).collect()}
+    assert got == pytest.approx(plain_scores(rows))
+
+
+def test_wide_header_far_down(spark):
+    rows = [["title"] + [None] * 259, ["text"] * 260, *[["remark"] + [None] * 259] * 40, [f"h{i}" for i in range(250)] + [None] * 10, *[["1"] * 260] * 3]
+    assert grid.header_rows(as_grid(spark, rows), ["sheet"]).first()["header_row"] == 42
+
+
+def body_of(spark, rows):
+    return as_grid(spark, rows).withColumnRenamed("row_idx", "body_row")
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 5, 13, 1000])
+@pytest.mark.parametrize(("labels", "numbers", "want"), [
+    ({0: "Title", 1: "CDID", 2: "Unit"}, range(3, 40), (3, 2)),
+    ({0: "Title", 5: "CDID", 11: "Unit", 13: "unit"}, range(12, 40), (3, 11)),  # a label below numbers, far down, is data
+    ({0: "Title", 5: "CDID", 11: "Unit"}, range(1, 40), (3, 11)),  # in the first twelve rows labels always count
+    ({30: "Title", 36: "CDID", 48: "Unit"}, range(49, 60), (3, 48)),
+    ({30: "Title", 36: "CDID", 49: "Unit"}, range(50, 60), None),  # thirteen rows apart
+    ({30: "Title", 31: "CDID", 32: "Unit"}, range(20, 60), None),  # numbers above the first label
+    ({3: "Title", 9: "CDID"}, range(10, 30), None),
+    ({i: "Unit" for i in range(0, 120, 10)}, range(111, 130), (12, 110)),
+])
+def test_metadata_blocks(spark, chunk_rows, labels, numbers, want):
+    rows = [[labels.get(i, "words"), "5" if i in numbers else "words"] for i in range(130)]
+    found = grid.metadata_split(body_of(spark, rows), ["sheet"], chunk_rows).first()
+    assert (found and (found["n_labels"], found["meta_last_row"])) == want

@@ -104,6 +104,32 @@ def _(spark, d):
     return grid.header_rows(c.select(F.col("c_name").alias("sheet"), F.inline(F.array(*rows))), ["sheet"])
 
 
+@query("header_anywhere_d1_d2", "sheet:s header_row:i detected:b", "SELECT c_name AS sheet, 1 + c_custkey % 500 AS header_row, true AS detected FROM customer")
+def _(spark, d):
+    """One sheet per customer: one to 500 rows of notes by key, the header of 203 columns or three, then rows of numbers."""
+    c = table(spark, d, "customer").select("c_name", "c_custkey", "c_nationkey", "c_acctbal", (F.col("c_custkey") % 500 + 1).cast("int").alias("k"))
+    wide = F.when(F.col("c_custkey") % 100 == 0, 203).otherwise(3)
+    rows = c.withColumn("wide", wide).select("*", F.explode(F.sequence(F.lit(0), F.col("k") + 7)).alias("row_idx"))
+    cells_ = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("col_idx"))
+    header = F.concat(F.lit("Column "), F.col("col_idx"))
+    value = F.when(F.col("row_idx") < F.col("k"), F.when(F.col("col_idx") == 0, F.concat(F.lit("Note "), "row_idx"))).when(
+        F.col("row_idx") == F.col("k"), header).otherwise(F.format_string("%.2f", F.col("c_acctbal") + F.col("col_idx")))
+    return grid.header_rows(land(cells_.select(F.col("c_name").alias("sheet"), "row_idx", "col_idx", value.alias("value"))), ["sheet"])
+
+
+@query("metadata_anywhere_d4", "sheet:s n_labels:i meta_last_row:i", """SELECT s_name AS sheet, 5 AS n_labels, s_suppkey % 60 + 14 AS meta_last_row FROM supplier""")
+def _(spark, d):
+    """Per supplier a body with up to 59 rows of text, a block of five labels with notes between them, and a label among the data."""
+    x = table(spark, d, "supplier").select(F.col("s_name").alias("sheet"), (F.col("s_suppkey") % 60).cast("int").alias("k"), "s_acctbal")
+    rows = x.select("*", F.explode(F.sequence(F.lit(0), F.col("k") + 20)).alias("body_row"))
+    at = F.col("body_row") - F.col("k")
+    first = F.when(at == 0, "Title").when(at == 1, "CDID").when(at == 2, "Unit").when(at == 8, "Release date").when(at == 14, "Next release").when(at == 18, "unit").when(at > 14, F.concat(F.lit("19"), at)).otherwise("text")
+    second = F.when(at > 14, F.format_string("%.2f", "s_acctbal")).otherwise("words")
+    cells_ = rows.select("sheet", "body_row", F.inline(F.array(
+        F.struct(F.lit(0).alias("col_idx"), first.alias("value")), F.struct(F.lit(1).alias("col_idx"), second.alias("value")))))
+    return grid.metadata_split(land(cells_), ["sheet"])
+
+
 @query("sheet_body_d3_w10", "doc:s column:s n:i", f"""WITH {GRID_SQL} SELECT doc, 'unnamed_0' AS "column", 2 AS n FROM grid UNION ALL SELECT doc, 'balance_more', 2 FROM grid UNION ALL SELECT doc, 'segment', 2 FROM grid""")
 def _(spark, d):
     body, _ = grid.split_sheets(land(html.html_cells(_documents(spark, d)).where(F.col("sheet") == "Ark1")), ["doc", "sheet"])
