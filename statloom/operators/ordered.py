@@ -9,10 +9,13 @@ hot key over many tasks, and only one offset per slice is summed across slices.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from statloom.sources.landing import land
 
+LONG_SERIES = 1_000_000
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 SMALL_INPUT_CONF = "statloom.smallInputBytes"
 
@@ -175,6 +178,48 @@ def with_halo(df: DataFrame, position: str, chunk_rows: int, before: int = 0, af
     return df.withColumn("_home", home).withColumn("_chunk", F.explode(needed)).withColumn("_own", F.col("_chunk") == F.col("_home")).drop("_home")
 
 
+def row_numbers(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Number the rows of each key from 0 in ``order``, NULL first, without a task that sees a whole key.
+
+    Rows are range-partitioned by key and order, so a key of any length is spread over slices; only the number of rows per
+    key and slice crosses slices. Equal places are told apart by a digest of the row. The slices are landed.
+    """
+    tied = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    place = [F.col(order), F.col("_tie")]
+    sliced = land(tied.repartitionByRange(*[F.col(k) for k in keys], *place).withColumn("_slice", F.spark_partition_id()))
+    here = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*place))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    # as many rows per key as it has slices
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    numbered = attach(sliced.withColumn("_here", here), offsets, [*keys, "_slice"])
+    return numbered.select(*df.columns, (F.col("_offset") + F.col("_here") - 1).alias(out))
+
+
+def sliding(
+    df: DataFrame, keys: list[str], order: str, before: int,
+    columns: Callable[[WindowSpec], dict[str, Column]], long_rows: int = LONG_SERIES,
+) -> DataFrame:
+    """Columns over each row and up to ``before`` rows ahead of it in its series, for series of any length.
+
+    ``columns`` makes them from a window (partitioned and ordered, without frame). Series of up to ``long_rows`` rows are one
+    group each. Longer ones are numbered and cut into chunks of that many rows, each with copies of the last rows of the
+    chunk before it, so no task gets a longer group than ``long_rows + before``. ``df`` is read twice: pass a landed or
+    cheap one.
+    """
+    def over(frame: DataFrame, by: list[str], place: str) -> DataFrame:
+        return frame.withColumns(columns(W.partitionBy(*by).orderBy(place)))
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > long_rows)
+    long = land(sizes.withColumn("_long", F.lit(True)).select(*keys, "_long"))
+    if long.isEmpty():
+        return over(df, keys, order)
+    told = df.withColumn("_long", F.lit(True)) if not keys else attach(df, long, keys, "left")
+    chunked = with_halo(row_numbers(told.where("_long").drop("_long"), keys, order, "_row"), "_row", long_rows, before=before)
+    parts = over(chunked, [*keys, "_chunk"], "_row").where("_own").drop("_row", "_chunk", "_own")
+    return parts.unionByName(over(told.where("_long IS NULL").drop("_long"), keys, order))
+
+
 def fill_forward(
     df: DataFrame, keys: list[str], position: str, column: str, chunk_rows: int = 1_000_000
 ) -> DataFrame:

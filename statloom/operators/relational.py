@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from statloom.functions.names import data_columns
 from statloom.functions.numbers import strict_number
-from statloom.operators.ordered import attach, is_small, quantiles
+from statloom.operators.ordered import LONG_SERIES, attach, is_small, quantiles, sliding
 
 
 # ---- projections and filters -------------------------------------------------
@@ -133,23 +133,43 @@ def latest_rows(df: DataFrame, by: str) -> DataFrame:
 
 # ---- windows on series -------------------------------------------------------
 
-def series_order(keys: list[str], order: str) -> W:
-    return W.partitionBy(*keys).orderBy(order)
+def difference_over(w: WindowSpec, value: str, k: int = 1) -> Column:
+    """Value minus the value k rows before (rows, not years)."""
+    return F.col(value) - F.lag(value, k).over(w)
+
+
+def mean_over(w: WindowSpec, value: str, rows: int, min_rows: int = 1) -> Column:
+    frame = w.rowsBetween(-(rows - 1), 0)
+    return F.when(F.count(value).over(frame) >= min_rows, F.avg(value).over(frame))
+
+
+def std_over(w: WindowSpec, value: str, rows: int, min_rows: int) -> Column:
+    frame = w.rowsBetween(-(rows - 1), 0)
+    return F.when(F.count(value).over(frame) >= min_rows, F.stddev_samp(value).over(frame))
 
 
 def row_difference(value: str, keys: list[str], order: str, k: int = 1) -> Column:
-    """Value minus the value k rows before (rows, not years)."""
-    return F.col(value) - F.lag(value, k).over(series_order(keys, order))
+    """As ``with_difference``, for series that are short by nature (one row a year): one group per key."""
+    return difference_over(W.partitionBy(*keys).orderBy(order), value, k)
 
 
 def rolling_mean(value: str, keys: list[str], order: str, rows: int = 3, min_rows: int = 1) -> Column:
-    w = series_order(keys, order).rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(value).over(w) >= min_rows, F.avg(value).over(w))
+    """As ``with_rolling_mean``, for series that are short by nature (one row a year): one group per key."""
+    return mean_over(W.partitionBy(*keys).orderBy(order), value, rows, min_rows)
 
 
-def rolling_std(value: str, keys: list[str], order: str, rows: int, min_rows: int) -> Column:
-    w = series_order(keys, order).rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(value).over(w) >= min_rows, F.stddev_samp(value).over(w))
+def with_difference(df: DataFrame, keys: list[str], order: str, value: str, out: str, k: int = 1, long_rows: int = LONG_SERIES) -> DataFrame:
+    """Add the change since k rows before, for series of any length."""
+    return sliding(df, keys, order, k, lambda w: {out: difference_over(w, value, k)}, long_rows)
+
+
+def with_rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, out: str, rows: int = 3, min_rows: int = 1, long_rows: int = LONG_SERIES) -> DataFrame:
+    return sliding(df, keys, order, rows - 1, lambda w: {out: mean_over(w, value, rows, min_rows)}, long_rows)
+
+
+def with_gaps(df: DataFrame, keys: list[str], date: str, out: str, long_rows: int = LONG_SERIES) -> DataFrame:
+    """Add the days since the date before it in the series."""
+    return sliding(df, keys, date, 1, lambda w: {out: F.datediff(F.col(date), F.lag(date).over(w))}, long_rows)
 
 
 # ---- reshapes, top-k, sets ---------------------------------------------------
@@ -180,7 +200,14 @@ def top_k(df: DataFrame, by: str, k: int, tie: list[str]) -> DataFrame:
 
 
 def nth_from_last(df: DataFrame, keys: list[str], order: str, value: str, ns: list[int]) -> DataFrame:
-    """Value 1st, 3rd, 5th … from the end of each series, one column each."""
+    """Value 1st, 3rd, 5th … from the end of each series, one column each.
+
+    Each partition sends on its last rows only, as many as are asked for: the rank limit with keys, the sorted limit without.
+    """
+    if not keys:
+        last = df.select(order, value).orderBy(F.col(order).desc()).limit(max(ns))
+        top = last.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))), asc=False).alias("_top"))
+        return top.select(*[F.get("_top", F.lit(n - 1))["v"].alias(f"{value}_last_{n}") for n in ns])
     w = W.partitionBy(*keys).orderBy(F.col(order).desc())
     ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(ns))
     out = [F.max(F.when(F.col("_rn") == n, F.col(value))).alias(f"{value}_last_{n}") for n in ns]

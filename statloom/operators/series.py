@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from statloom.functions.dates import day_first_date
 from statloom.functions.nulls import clip_low, safe_div
 from statloom.functions.stats import cagr
-from statloom.operators.ordered import attach, is_small, running_totals
-from statloom.operators.relational import last_per_year, melt, rolling_mean, rolling_std, to_matrix
+from statloom.operators.ordered import LONG_SERIES, attach, is_small, running_totals, sliding
+from statloom.operators.relational import last_per_year, mean_over, melt, std_over, to_matrix
 from statloom.sources.landing import land
 
 
@@ -208,16 +208,21 @@ def change_points(df: DataFrame, keys: list[str], time: str, value: str, penalty
 
 # ---- volatility --------------------------------------------------------------
 
-def rolling_volatility(df: DataFrame, keys: list[str], time: str, value: str, window: int = 12) -> DataFrame:
-    """Rolling mean, std and cv over ``window`` rows, from half a window on."""
-    rows = df.dropna(subset=[time, value])
+def rolling_volatility(df: DataFrame, keys: list[str], time: str, value: str, window: int = 12, long_rows: int = LONG_SERIES) -> DataFrame:
+    """Rolling mean, std and cv over ``window`` rows, from half a window on, for series of any length."""
     least = max(2, window // 2)
-    mean = rolling_mean(value, keys, time, window, least)
-    std = rolling_std(value, keys, time, window, least)
-    out = rows.withColumns({"rolling_mean": mean, "rolling_std": std})
+    out = sliding(df.dropna(subset=[time, value]), keys, time, window - 1, lambda w: {
+        "rolling_mean": mean_over(w, value, window, least), "rolling_std": std_over(w, value, window, least)}, long_rows)
     return out.withColumn("rolling_cv", safe_div(F.col("rolling_std"), F.col("rolling_mean")))
 
 
+def latest_volatility(df: DataFrame, time: str, value: str, window: int = 12) -> DataFrame:
+    """(cv) of the last ``window`` rows of one series: each partition sends on as many rows at most."""
+    last = df.dropna(subset=[time, value]).select(time, value).orderBy(F.col(time).desc()).limit(window)
+    found = last.agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
+    return found.select(F.when(F.col("n") >= max(2, window // 2), safe_div(F.col("sd"), F.col("m"))).alias("cv"))
+
+
 def volatility_matrix(annual: DataFrame, labels: list[str], metric: str = "cv") -> DataFrame:
     """year x series matrix of one annual measure."""
     return to_matrix(annual.dropna(subset=["year"]), "year", "series", metric, labels)

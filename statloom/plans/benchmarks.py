@@ -14,7 +14,7 @@ from statloom.operators.relational import (
     any_keyword, group_median, grouped_sums, latest_rows, matches, melt, nth_from_last, rolling_mean, to_matrix,
     to_numbers, top_k, weighted_mean,
 )
-from statloom.operators.series import change_points, mean_shift, rolling_volatility
+from statloom.operators.series import change_points, latest_volatility, mean_shift
 from statloom.plans.facts import CAPACITY, GENERATION, capacity_factor_of
 
 # ISO codes of the peer group.
@@ -314,8 +314,7 @@ def shrank_below(series: DataFrame, order: str, value: str, flag: str, back: int
 
 
 def volatile_lately(series: DataFrame, order: str, value: str, flag: str, window: int = 12, above: float = 0.5) -> DataFrame:
-    rolled = rolling_volatility(series, [], order, value, window)
-    return rolled.agg(F.max_by("rolling_cv", order).alias("cv")).where(F.col("cv") > above).select(F.lit(flag).alias("flag"))
+    return latest_volatility(series, order, value, window).where(F.col("cv") > above).select(F.lit(flag).alias("flag"))
 
 
 def budget_and_queue(actuals: DataFrame, queue: DataFrame, flag: str, series: str = "non_domestic_rhi", budget: float = 99.0, waiting: float = 120.0) -> DataFrame:

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.operators import ordered as o
+from statloom.operators import ordered as o, relational as r
+from statloom.operators.series import latest_volatility, rolling_volatility
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +86,64 @@ def test_null_keys_stay_together(spark):
     assert got == {None: 2.0, "a": 5.0}
     joined = o.attach(df, df.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"])
     assert {(r["k"], r["n"]) for r in joined.collect()} == {(None, 2), ("a", 1)}
+
+
+def plain_windows(rows, k, width, least):
+    out, series = {}, {}
+    for key, at, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        series.setdefault(key, []).append((i, v))
+    for key, points in series.items():
+        for j, (i, v) in enumerate(points):
+            got = [x for _, x in points[max(0, j - width + 1):j + 1] if x is not None]
+            past = points[j - k][1] if j >= k else None
+            out[key, i] = (None if v is None or past is None else v - past, sum(got) / len(got) if len(got) >= least else None)
+    return out
+
+
+def sliding_rows():
+    rng = random.Random(11)
+    keys = ["hot"] * 700 + ["b"] * 60 + [None] * 45 + ["c"]
+    return [(k, rng.randrange(10_000), i, None if rng.random() < 0.1 else float(rng.randrange(100))) for i, k in enumerate(keys)]
+
+
+@pytest.mark.parametrize("long_rows", [1, 3, 20, 64, 10**6])
+def test_sliding_frames_equal_the_window_form(spark, long_rows):
+    rows = sliding_rows()
+    df = spark.createDataFrame(rows, "k string, at int, i int, v double").withColumn("o", F.struct("at", "i"))
+    frames = lambda w: {"d": r.difference_over(w, "v", 2), "m": r.mean_over(w, "v", 6, 3)}
+    got = {(x["k"], x["i"]): (x["d"], x["m"]) for x in o.sliding(df, ["k"], "o", 5, frames, long_rows).collect()}
+    want = plain_windows(rows, 2, 6, 3)
+    assert got.keys() == want.keys()
+    assert all(got[key] == pytest.approx(want[key]) for key in want)
+
+
+@pytest.mark.parametrize("long_rows", [2, 30])
+def test_sliding_frames_of_one_series_without_key(spark, long_rows):
+    rows = [(None, at, i, v) for _, at, i, v in sliding_rows()]
+    df = spark.createDataFrame(rows, "k string, at int, i int, v double").withColumn("o", F.struct("at", "i")).drop("k")
+    got = {(None, x["i"]): (x["d"], x["m"]) for x in o.sliding(df, [], "o", 5, lambda w: {"d": r.difference_over(w, "v", 2), "m": r.mean_over(w, "v", 6, 3)}, long_rows).collect()}
+    want = plain_windows(rows, 2, 6, 3)
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key]) for key in want)
+
+
+def test_no_window_sees_a_whole_long_series(spark):
+    df = spark.range(5000).select(F.lit("one").alias("k"), "id", (F.col("id") % 7).cast("double").alias("v"))
+    out = r.with_rolling_mean(df, ["k"], "id", "v", "m", 5, long_rows=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and sum("_chunk" in line for line in windows) == 1
+    # what is left over is the window of the short series, which the long one never reaches
+    short = [line for line in windows if "_chunk" not in line and "_slice" not in line]
+    assert len(short) == 1
+    assert out.where("m IS NULL").count() == 0 and out.count() == 5000
+    halo = o.with_halo(o.row_numbers(df, ["k"], "id", "_row"), "_row", 100, before=4)
+    assert halo.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] == 104
+
+
+def test_last_values_without_keys_need_no_window(spark):
+    df = spark.createDataFrame([(i, float(i * i % 17)) for i in range(50)], "i int, v double")
+    found = r.nth_from_last(df, [], "i", "v", [1, 3, 60])
+    assert tuple(found.first()) == (49 * 49 % 17, 47 * 47 % 17, None)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tuple(r.nth_from_last(df.where("i < 0"), [], "i", "v", [1]).first()) == (None,)
+    assert latest_volatility(df, "i", "v", 4).first()["cv"] == pytest.approx(rolling_volatility(df, [], "i", "v", 4).orderBy(F.desc("i")).first()["rolling_cv"])

@@ -277,13 +277,13 @@ def _(spark, d):
 @query("three_row_difference_w1", "sector:s year:i delta:4", f"""WITH {s.SECTORS_SQL}
 SELECT sector, year, turnover - lag(turnover, 3) OVER (PARTITION BY sector ORDER BY year) AS delta FROM sectors""")
 def _(spark, d):
-    return s.sectors(spark, d).withColumn("delta", r.row_difference("turnover_thousand_gbp", ["sector"], "year", 3))
+    return r.with_difference(s.sectors(spark, d), ["sector"], "year", "turnover_thousand_gbp", "delta", 3)
 
 
 @query("first_difference_w2", "event_type:s day:d delta:6", f"""WITH {s.DAILY_SQL}
 SELECT event_type, day, value - lag(value) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM daily""")
 def _(spark, d):
-    return s.daily_events(spark, d).withColumn("delta", r.row_difference("value", ["event_type"], "day"))
+    return r.with_difference(s.daily_events(spark, d), ["event_type"], "day", "value", "delta")
 
 
 @query("clipped_global_difference_w3", "year:i mw:2 new_mw:2", f"""WITH {s.COUNTRY_SQL}
@@ -299,7 +299,7 @@ def _(spark, d):
 @query("rolling_mean_w4", "event_type:s day:d roll:6", f"""WITH {s.DAILY_SQL}
 SELECT event_type, day, avg(value) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS roll FROM daily""")
 def _(spark, d):
-    return s.daily_events(spark, d).withColumn("roll", r.rolling_mean("value", ["event_type"], "day", 3, 1))
+    return r.with_rolling_mean(s.daily_events(spark, d), ["event_type"], "day", "value", "roll")
 
 
 @query("rolling_volatility_w5", "event_type:s day:d rolling_mean:6 rolling_std:6 rolling_cv:6", f"""WITH {s.DAILY_SQL}
@@ -331,7 +331,28 @@ def _(spark, d):
 FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders)""")
 def _(spark, d):
     days = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")).distinct()
-    return days.withColumn("gap_days", F.datediff("day", F.lag("day").over(r.series_order(["o_custkey"], "day"))))
+    return r.with_gaps(days, ["o_custkey"], "day", "gap_days")
+
+
+@query("one_long_series_w2_w4_w5_w8", "event_id:i delta:4 roll:6 rolling_cv:6 gap_days:i", """SELECT event_id, value - lag(value, 3) OVER w AS delta, CASE WHEN count(value) OVER f5 >= 2 THEN avg(value) OVER f5 END AS roll,
+CASE WHEN count(value) OVER f12 >= 6 AND avg(value) OVER f12 > 0 THEN stddev_samp(value) OVER f12 / avg(value) OVER f12 END AS rolling_cv, datediff('day', lag(ts) OVER w, ts) AS gap_days
+FROM events WINDOW w AS (ORDER BY ts, event_id), f5 AS (ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), f12 AS (ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    """All events as one series without a key, in chunks of 1,000 rows."""
+    e = table(spark, d, "events").select("event_id", "value", "ts", F.struct("ts", "event_id").alias("at"))
+    both = r.with_rolling_mean(r.with_difference(e, [], "at", "value", "delta", 3, long_rows=1000), [], "at", "value", "roll", 5, 2, long_rows=1000)
+    gaps = ordered.sliding(both, [], "at", 1, lambda w: {"gap_days": F.datediff("ts", F.lag("ts").over(w))}, long_rows=1000)
+    return rolling_volatility(gaps, [], "at", "value", 12, long_rows=1000)
+
+
+@query("one_hot_series_q15", "event_type:s event_id:i rolling_cv:6", """WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type || user_id % 50 END AS event_type, event_id, value FROM events)
+SELECT event_type, event_id, CASE WHEN n >= 3 AND m > 0 THEN sd / m END AS rolling_cv FROM (SELECT event_type, event_id, avg(value) OVER w AS m, stddev_samp(value) OVER w AS sd, count(value) OVER w AS n FROM e
+WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))""")
+def _(spark, d):
+    """A third of all events in one series, the others in many short ones."""
+    kind = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.concat("event_type", F.col("user_id") % 50))
+    e = table(spark, d, "events").select(kind.alias("event_type"), "event_id", "value")
+    return rolling_volatility(e, ["event_type"], "event_id", "value", 7, long_rows=500)
 
 
 @query("average_ranks_w9", "p_brand:s p_size:i rank:2", """SELECT DISTINCT p_brand, p_size, rank() OVER (PARTITION BY p_brand ORDER BY p_size)
