@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 from statloom.sources.landing import land
 
 LONG_SERIES = 1_000_000
+NARROW_BINS = 1024
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 SMALL_INPUT_CONF = "statloom.smallInputBytes"
 
@@ -91,48 +92,71 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key, one column per name.
 
-    Rows of small inputs use the ``percentile`` aggregate. It keeps every distinct
-    value of a key in memory, so everything else goes through running totals of
-    value counts, of which only the few rows around each wanted rank are kept.
+    Small inputs use the ``percentile`` aggregate, which keeps every distinct value of a key in memory.
+    Everything else goes through value counts and a narrowing selection, which reads them three times:
+    pass landed or cheap ones.
     """
     small = is_small(df) if small is None else small
-    if small and weight is None:
+    rows = df.where(F.col(value).isNotNull()) if weight is None else df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    if small:
         points = F.array(*[F.lit(p) for p in probs.values()])
-        grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, points).alias("_q"))
+        grouped = rows.groupBy(*keys).agg(F.percentile(value, points, F.lit(1) if weight is None else F.col(weight)).alias("_q"))
         return grouped.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    if weight is not None:
+        return narrowed_quantiles(rows, keys, value, weight, probs)
+    return narrowed_quantiles(land(value_counts(df, keys, value, "_n")), keys, value, "_n", probs)
 
-    if weight is None:
-        counts = value_counts(df, keys, value, "_n")
-    else:
-        counts = (
-            df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
-            .groupBy(*keys, value)
-            .agg(F.sum(weight).alias("_n"))
-        )
-    run = running_totals(counts, keys, [value], {"_cum": "_n"}, small=small)
-    cum, before, last = F.col("_cum"), F.col("_cum") - F.col("_n"), F.col("_cum_all") - 1
+
+def bin_of(v: Column, low: Column, high: Column, bins: int) -> Column:
+    """Equal-width bin of a value, growing with it; one bin where the span has no finite width."""
+    finite = (high > low) & (high - low < float("inf")) & (low > float("-inf"))
+    return F.when(finite, F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")).otherwise(F.lit(0))
+
+
+def narrowed_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, probs: dict[str, float], bins: int = NARROW_BINS) -> DataFrame:
+    """Exact weighted quantiles of all keys without putting all values in order.
+
+    First the weights are summed per key and bin of the value, combined before the shuffle, so ``bins`` sums per key cross it at
+    most. They tell the bins that hold the wanted ranks and what lies below. Only the values in those bins are then ordered.
+    Equal values in several rows do no harm: each row holds the ranks of its weight.
+    """
+    v, n = F.col(value).cast("double"), F.col(weight)
+    slim = rows.select(*keys, v.alias("_v"), n.alias("_n"))
+    span = slim.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    binned = attach(slim, span, keys).select(*keys, "_v", "_n", bin_of(F.col("_v"), F.col("_low"), F.col("_high"), bins).alias("_bin"))
+    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_w"))
+    # at most ``bins`` rows per key
+    run = sums.select("*", F.sum("_w").over(W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)).alias("_upto"), F.sum("_w").over(W.partitionBy(*keys)).alias("_total"))
+    near, _, _ = rank_points(probs, F.lit(0), F.col("_w"), F.col("_upto"), F.col("_total"))
+    wanted = land(run.where(near).select(*keys, "_bin", (F.col("_upto") - F.col("_w")).alias("_below"), "_total"))
+    picked = land(attach(binned, wanted, [*keys, "_bin"]))
+    inside = running_totals(picked, [*keys, "_bin"], ["_v"], {"_cum": "_n"})
+    near, bounds, results = rank_points(probs, F.col("_v"), F.col("_n"), F.col("_below") + F.col("_cum"), F.col("_total"))
+    return inside.where(near).groupBy(*keys).agg(*bounds).select(*keys, *results)
+
+
+def rank_points(probs: dict[str, float], value: Column, n: Column, upto: Column, total: Column) -> tuple[Column, list[Column], list[Column]]:
+    """Quantiles from rows that know their ranks: which rows count, aggregates over them, and results by name.
+
+    ``upto`` is the running total of ``n`` in value order, ``total`` that of the key. Several sets of quantiles with different
+    names can be read off the same rows in one aggregation.
+    """
+    before, last = upto - n, total - 1
 
     def holds(rank: Column) -> Column:
-        return (before <= rank) & (rank < cum)
+        return (before <= rank) & (rank < upto)
 
-    near, bounds = F.lit(False), []
+    near, bounds, results = F.lit(False), [], []
     for name, p in probs.items():
         place = F.lit(p) * last
         low, high = F.floor(place), F.ceil(place)
         near = near | holds(low) | holds(high)
         bounds += [
-            F.max(F.when(holds(low), F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when(holds(high), F.col(value))).alias(f"_hi_{name}"),
-            F.max(place - low).alias(f"_f_{name}"),
+            F.max(F.when(holds(low), value)).alias(f"_lo_{name}"), F.max(F.when(holds(high), value)).alias(f"_hi_{name}"),
+            F.max(F.when(holds(low), place - low)).alias(f"_f_{name}"),
         ]
-    picked = run.where(near).groupBy(*keys).agg(*bounds)
-    return picked.select(
-        *keys,
-        *[
-            (F.col(f"_lo_{n}") * (1 - F.col(f"_f_{n}")) + F.col(f"_hi_{n}") * F.col(f"_f_{n}")).alias(n)
-            for n in probs
-        ],
-    )
+        results.append((F.col(f"_lo_{name}") * (1 - F.col(f"_f_{name}")) + F.col(f"_hi_{name}") * F.col(f"_f_{name}")).alias(name))
+    return near, bounds, results
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

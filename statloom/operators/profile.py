@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from statloom.functions import names, stats
 from statloom.functions.nulls import share_of
 from statloom.functions.numbers import strict_number
-from statloom.operators.ordered import attach, is_small, median_and_mad, quantiles, running_totals, value_counts
+from statloom.operators.ordered import attach, is_small, quantiles, running_totals, value_counts
 from statloom.sources.landing import land
 
 NUMERIC_ROLE_SHARE = 0.5
@@ -249,15 +249,32 @@ def numeric_moments(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numeric_descriptives(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Moments, exact quantiles, MAD and distinct values, one row per column."""
+    """Moments, exact quantiles, MAD and distinct values, one row per column.
+
+    Cells are read once, for the value counts; one selection over them gives all quantiles. With mean and median
+    known, a second pass over the counts gives the central moments and the selection of the median distance.
+    """
     counts, small = settled_counts(cells, keys)
-    q = quantiles(counts, keys, "value", DESCRIPTIVE_QUANTILES, weight="n", small=small)
-    mad = median_and_mad(counts, keys, "value", weight="n", small=small).drop("median")
-    unique = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unique"))
-    out = attach(attach(attach(numeric_moments(cells, keys), unique, keys), q, keys), mad, keys)
+    v, n = F.col("value"), F.col("n")
+    points = quantiles(counts, keys, "value", DESCRIPTIVE_QUANTILES, weight="n", small=small)
+    sums = counts.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.count(F.lit(1)).alias("n_unique"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+        (F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)) / F.sum(n)).alias("zero_share"),
+        (F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)) / F.sum(n)).alias("negative_share"),
+    )
+    base = land(attach(points, sums, keys))
+    near = attach(counts, base.select(*keys, F.col("mean").alias("_mean"), F.col("median").alias("_median")), keys)
+    d = v - F.col("_mean")
+    central = near.groupBy(*keys).agg(F.sum(n * d * d).alias("_m2"), F.sum(n * d * d * d).alias("_m3"), F.sum(n * d * d * d * d).alias("_m4"))
+    mad = quantiles(near.withColumn("_away", F.abs(v - F.col("_median"))), keys, "_away", {"mad": 0.5}, weight="n", small=small)
+    out = attach(attach(base, central, keys), mad, keys)
+    m2 = F.when(F.col("_m2") > 0, F.col("_m2"))
+    out = out.withColumn("std", F.coalesce(F.sqrt(F.when(n > 1, F.col("_m2") / (n - 1))), F.lit(0.0)))
+    skew = stats.corrected_skew(n, F.sqrt(n) * F.col("_m3") / F.pow(m2, F.lit(1.5)), F.col("std"))
+    kurtosis = stats.corrected_kurtosis(n, n * F.col("_m4") / (m2 * m2) - 3.0, F.col("std"))
     return out.select(
         *keys, "n", "n_unique", "mean", "std", "min", "p01", "p05", "p25", "median", "p75", "p95", "p99", "max",
-        (F.col("p75") - F.col("p25")).alias("iqr"), "mad", "skew", "kurtosis", "zero_share", "negative_share",
+        (F.col("p75") - F.col("p25")).alias("iqr"), "mad", skew.alias("skew"), kurtosis.alias("kurtosis"), "zero_share", "negative_share",
         (F.col("n_unique") <= 1).alias("constant"),
     )
 
@@ -305,17 +322,26 @@ def histogram(cells: DataFrame, keys: list[str], max_bins: int = 80) -> DataFram
 def outlier_register(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Tukey, modified z and log-MAD counts, their agreement and disagreement.
 
-    Everything runs on value counts: an outlier is a property of the value.
+    Everything runs on value counts: an outlier is a property of the value. Values and logs share one selection of
+    quartiles and medians, their distances one of the median distance.
     """
     counts, small = settled_counts(cells, keys)
-    size = counts.groupBy(*keys).agg(
-        F.sum("n").alias("_n"), F.coalesce(F.sum(F.when(F.col("value") > 0, F.col("n"))), F.lit(0)).alias("_n_pos")
-    )
-    q = quantiles(counts, keys, "value", {"_q1": 0.25, "_q3": 0.75}, weight="n", small=small)
-    centre = median_and_mad(counts, keys, "value", weight="n", small=small).withColumnsRenamed({"median": "_med", "mad": "_mad"})
-    logs = counts.where(F.col("value") > 0).select(*keys, F.log("value").alias("_log"), "n")
-    log_centre = median_and_mad(logs, keys, "_log", weight="n", small=small).withColumnsRenamed({"median": "_lmed", "mad": "_lmad"})
-    x = attach(attach(attach(attach(counts, size, keys), q, keys), centre, keys), log_centre, keys, "left")
+    v, n = F.col("value"), F.col("n")
+
+    def both(plain: Column, log: Column, name: str) -> Column:
+        return F.inline(F.array(F.struct(F.lit("plain").alias("_kind"), plain.alias(name)), F.struct(F.lit("log").alias("_kind"), log.alias(name))))
+
+    def side_by_side(found: DataFrame, names: dict[tuple[str, str], str]) -> DataFrame:
+        return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_kind") == kind, F.col(c))).alias(out) for (kind, c), out in names.items()])
+
+    size = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.coalesce(F.sum(F.when(v > 0, n)), F.lit(0)).alias("_n_pos"))
+    centre = quantiles(counts.select(*keys, "n", both(v, F.log(F.when(v > 0, v)), "_x")), [*keys, "_kind"], "_x", {"_q1": 0.25, "_m": 0.5, "_q3": 0.75}, weight="n", small=small)
+    centre = side_by_side(centre, {("plain", "_q1"): "_q1", ("plain", "_m"): "_med", ("plain", "_q3"): "_q3", ("log", "_m"): "_lmed"})
+    known = land(attach(size, centre, keys))
+    x = attach(counts, known, keys)
+    away = x.select(*keys, "n", both(F.abs(v - F.col("_med")), F.abs(F.log(F.when(v > 0, v)) - F.col("_lmed")), "_away"))
+    spread = quantiles(away, [*keys, "_kind"], "_away", {"_m": 0.5}, weight="n", small=small)
+    x = attach(x, side_by_side(spread, {("plain", "_m"): "_mad", ("log", "_m"): "_lmad"}), keys)
     v, iqr = F.col("value"), F.col("_q3") - F.col("_q1")
     tukey = (F.col("_n") >= 8) & (iqr > 0) & ((v < F.col("_q1") - 1.5 * iqr) | (v > F.col("_q3") + 1.5 * iqr))
     modz = (F.col("_n") >= 8) & (F.col("_mad") > 0) & (F.abs(0.6745 * (v - F.col("_med"))) > 3.5 * F.col("_mad"))

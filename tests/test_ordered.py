@@ -147,3 +147,25 @@ def test_last_values_without_keys_need_no_window(spark):
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert tuple(r.nth_from_last(df.where("i < 0"), [], "i", "v", [1]).first()) == (None,)
     assert latest_volatility(df, "i", "v", 4).first()["cv"] == pytest.approx(rolling_volatility(df, [], "i", "v", 4).orderBy(F.desc("i")).first()["rolling_cv"])
+
+
+@pytest.mark.parametrize("bins", [1, 2, 7, 1024])
+def test_narrowed_quantiles_are_exact(spark, bins):
+    rng = np.random.default_rng(5)
+    kinds = {
+        "even": rng.uniform(-5, 5, 400), "heavy": np.exp(rng.normal(0, 8, 300)) * rng.choice([-1, 1], 300), "ties": rng.integers(0, 4, 500).astype(float),
+        "one": np.array([3.25]), "same": np.full(40, -7.5), "huge": np.concatenate([rng.uniform(0, 1e-300, 50), [1e308, -1e308]]),
+        "infinite": np.concatenate([rng.uniform(0, 1, 30), [np.inf, -np.inf]]),
+    }
+    rows = [(k, float(v), int(n)) for k, vs in kinds.items() for v, n in zip(vs, rng.integers(1, 4, len(vs)))]
+    probs = {"a": 0.0, "b": 0.013, "c": 0.25, "d": 0.5, "e": 0.9, "f": 1.0}
+    df = spark.createDataFrame([*rows, (None, 2.0, 5), (None, 4.0, 5)], "k string, v double, n int")
+    got = {x["k"]: x for x in o.narrowed_quantiles(df, ["k"], "v", "n", probs, bins).collect()}
+    for k in kinds:
+        values = np.sort(np.repeat([v for kk, v, _ in rows if kk == k], [n for kk, _, n in rows if kk == k]))
+        for name, p in probs.items():
+            low, high = int(np.floor(p * (len(values) - 1))), int(np.ceil(p * (len(values) - 1)))
+            part = p * (len(values) - 1) - low
+            want = values[low] if part == 0 else values[low] * (1 - part) + values[high] * part
+            assert got[k][name] == pytest.approx(want, rel=1e-9, nan_ok=True) or (part == 0 and np.isinf(want)), (k, name)
+    assert got[None]["d"] == 3.0
