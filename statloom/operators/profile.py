@@ -9,15 +9,20 @@ use value counts (see ``ordered``).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from statloom.functions import names, stats
 from statloom.functions.nulls import share_of
 from statloom.functions.numbers import strict_number
-from statloom.operators.ordered import attach, is_small, quantiles, running_totals, value_counts
+from statloom.operators.ordered import attach, average_ranks, is_small, quantiles, running_totals, value_counts
 from statloom.sources.landing import land
 
 NUMERIC_ROLE_SHARE = 0.5
@@ -456,13 +461,66 @@ def collinear_pairs(pairs: DataFrame, at_least: float = 0.95) -> DataFrame:
     return pairs.where(F.abs("pearson") >= at_least)
 
 
+def cross_products(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, s): sums of products of all pairs of numeric columns, i <= j, without NULL or NaN in them.
+
+    A task multiplies its rows as a block and gives out one square of sums, whatever the number of rows.
+    """
+    k = len(cols)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            block = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            total += block.T @ block
+        i, j = np.triu_indices(k)
+        yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    parts = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{n}") for n, c in enumerate(cols)]).mapInArrow(products, "i int, j int, s double")
+    return parts.groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def rank_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns (complete, numeric) replaced by their average ranks, less the mean rank.
+
+    Each cell crosses the shuffle twice, to its value's rank and back to its row, however many pairs are looked at later.
+    """
+    wide = land(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{n}") for n, c in enumerate(cols)]).withColumn("_row", F.monotonically_increasing_id()))
+    cells = wide.unpivot(["_row"], [f"c{n}" for n in range(len(cols))], "column", "value")
+    counts = land(value_counts(cells, ["column"], "value"))
+    ranks = average_ranks(counts, ["column"], "value", "n", "rank")
+    middle = (wide.count() + 1) / 2.0
+    placed = cells.join(ranks.select("column", "value", (F.col("rank") - middle).alias("rank")), ["column", "value"])
+    by_row = placed.groupBy("_row").agg(*[F.max(F.when(F.col("column") == f"c{n}", F.col("rank"))).alias(c) for n, c in enumerate(cols)])
+    return by_row.select(*[f"`{c}`" for c in cols])
+
+
 def spearman_pairs(df: DataFrame, cols: list[str], min_pairs: int = 4) -> DataFrame:
     """(col_a, col_b, spearman): Pearson of average ranks over the rows where both exist.
 
-    All pairs are rows of one frame. Equal (a, b) combinations collapse before
-    anything is ranked, and ranks come from running totals of value counts.
+    Columns without NULL have the same ranks in every pair: they are ranked once, and one pass over the rows gives the
+    products of all their pairs. Only a pair with a NULL somewhere is ranked by itself.
     """
+    spark = df.sparkSession
+    missing = {r["column"]: r["n_null"] for r in null_profile(df.select(*[F.col(f"`{c}`") for c in cols])).collect()}
+    whole = [c for c in cols if not missing[c]]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    apart = pairs if len(whole) < 2 else [(a, b) for a, b in pairs if missing[a] or missing[b]]
+    found = _spearman_apart(df, apart, min_pairs) if apart else spark.createDataFrame([], "col_a string, col_b string, spearman double")
+    if len(whole) < 2:
+        return found
+    sums = land(cross_products(rank_columns(df, whole), whole))
+    square = sums.where("i = j")
+    near = sums.where("i < j").join(square.select("i", F.col("s").alias("_xx")), "i").join(square.select("j", F.col("s").alias("_yy")), "j")
+    rho = F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("s") / F.sqrt(F.col("_xx") * F.col("_yy")))
+    rho = F.when(F.lit(min_pairs) <= df.agg(F.count(F.lit(1)).alias("n")).scalar(), rho)
+    named = F.array(*[F.lit(c) for c in whole])
+    return near.select(F.get(named, F.col("i")).alias("col_a"), F.get(named, F.col("j")).alias("col_b"), F.round(rho, 4).alias("spearman")).unionByName(found)
+
+
+def _spearman_apart(df: DataFrame, pairs: list[tuple[str, str]], min_pairs: int) -> DataFrame:
+    """Each pair over its own complete rows. Equal (a, b) combinations collapse before anything is ranked."""
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
     wide = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     rows = F.array(
         *[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).alias("_x"), F.col(b).alias("_y")) for a, b in pairs]
@@ -583,6 +641,54 @@ def composite_keys(df: DataFrame) -> list[str]:
     return picked
 
 
+def minimal_keys(df: DataFrame, cols: list[str] | None = None, most_columns: int = 3, at_once: int = 64) -> DataFrame:
+    """(key_columns, n_columns): the smallest sets of columns, up to ``most_columns`` wide, whose values tell all rows apart.
+
+    Level by level: a set is looked at only if none of its subsets is a key, none of its columns is constant and the product
+    of the columns' distinct counts reaches the number of rows. Sets of a level are tested together, ``at_once`` in a job.
+    Rows travel as two 64-bit digests per set, in two steps: first a 64th of the digests, where a value that comes twice
+    settles that a set is no key, then all digests of the sets that are left. NULL equals NULL. Only names and counts per
+    column come to the driver.
+    """
+    cols = names.data_columns(df.columns) if cols is None else list(cols)
+    slim = df.select(*[F.col(f"`{c}`") for c in cols])
+    n = slim.count()
+    found: list[tuple[str, ...]] = []
+
+    def parts(s: tuple[str, ...]) -> list[Column]:
+        # a digest passes over NULL, so each value says whether it is one
+        return [x for c in s for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+
+    def digests(sets: list[tuple[str, ...]]) -> Column:
+        return F.array(*[
+            F.struct(F.lit(i).alias("set"), F.xxhash64(*parts(s)).alias("p"), F.xxhash64(F.lit("second"), *parts(s[::-1])).alias("q"))
+            for i, s in enumerate(sets)])
+
+    def with_repeats(sets: list[tuple[str, ...]], some: bool) -> set[tuple[str, ...]]:
+        each = digests(sets)
+        if some:
+            each = F.filter(each, lambda x: F.pmod(x["p"], F.lit(64)) == 0)
+        again = slim.select(F.inline(each)).groupBy("set", "p", "q").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("set").distinct()
+        return {sets[r["set"]] for r in again.collect()}
+
+    each = slim.select(F.inline(digests([(c,) for c in cols]))).groupBy("set", "p", "q").agg(F.lit(1).alias("m"))
+    distinct = {cols[r["set"]]: r["d"] for r in each.groupBy("set").agg(F.count("m").alias("d")).collect()}
+    found += [(c,) for c in cols if n and distinct[c] == n]
+    useful = [c for c in cols if n and 1 < distinct[c] < n]
+    for width in range(2, most_columns + 1):
+        sets = [
+            s for s in combinations(useful, width)
+            if math.prod(distinct[c] for c in s) >= n and not any(set(k) <= set(s) for k in found)
+        ]
+        for at in range(0, len(sets), at_once):
+            block = sets[at: at + at_once]
+            for some in (True, False):
+                repeated = with_repeats(block, some) if block else set()
+                block = [s for s in block if s not in repeated]
+            found += block
+    return df.sparkSession.createDataFrame([(",".join(k), len(k)) for k in found], "key_columns string, n_columns int")
+
+
 def duplicate_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """n_rows, exact duplicates and key collisions (all members counted) with percentages.
 
@@ -609,10 +715,10 @@ def duplicate_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def duplicate_samples(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """A few distinct rows of colliding groups with the group size, for a report."""
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"))
-    return groups.where(F.col("group_size") > 1).orderBy(F.col("group_size").desc(), *keys).limit(limit)
+def duplicate_samples(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Key values of colliding groups with the group size; the ``limit`` largest for a report, else all."""
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > 1)
+    return groups if limit is None else groups.orderBy(F.col("group_size").desc(), *keys).limit(limit)
 
 
 def table_equality(left: DataFrame, right: DataFrame, prefix: str = "sum_of_") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, functions as F
 
 from statloom.operators import profile as p
@@ -301,6 +303,26 @@ def _(spark, d):
     return p.spearman_pairs(table(spark, d, "part"), ["p_size", "p_retailprice", "p_partkey"])
 
 
+RANKED = {f"c{i}": f"(p_partkey * {2 * i + 3} + p_size * {i % 4}) % {97 + 10 * i}" for i in range(30)}
+
+
+@query("spearman_thirty_columns_p17", "col_a:s col_b:s spearman:4", "WITH x AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in RANKED.items()) + " FROM part), r AS (SELECT "
+       + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in RANKED) + " FROM x) "
+       + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS spearman FROM r" for a, b in combinations(RANKED, 2)))
+def _(spark, d):
+    return p.spearman_pairs(table(spark, d, "part").selectExpr(*[f"{e} AS {c}" for c, e in RANKED.items()]), list(RANKED))
+
+
+@query("spearman_with_nulls_p17", "col_a:s col_b:s spearman:4", """WITH x AS (SELECT l_quantity AS q, CASE WHEN l_linenumber < 6 THEN l_extendedprice END AS e, l_partkey AS k FROM lineitem),
+a AS (SELECT 'q' AS col_a, 'e' AS col_b, q AS u, e AS v FROM x WHERE e IS NOT NULL UNION ALL SELECT 'q', 'k', q, k FROM x UNION ALL SELECT 'e', 'k', e, k FROM x WHERE e IS NOT NULL),
+r AS (SELECT col_a, col_b, rank() OVER (PARTITION BY col_a, col_b ORDER BY u) + (count(*) OVER (PARTITION BY col_a, col_b, u) - 1) / 2.0 AS u,
+rank() OVER (PARTITION BY col_a, col_b ORDER BY v) + (count(*) OVER (PARTITION BY col_a, col_b, v) - 1) / 2.0 AS v FROM a)
+SELECT col_a, col_b, corr(u, v) AS spearman FROM r GROUP BY 1, 2""")
+def _(spark, d):
+    x = table(spark, d, "lineitem").selectExpr("l_quantity AS q", "CASE WHEN l_linenumber < 6 THEN l_extendedprice END AS e", "l_partkey AS k")
+    return p.spearman_pairs(x, ["q", "e", "k"])
+
+
 @query("collinear_pairs_p18", "col_a:s col_b:s pearson:4", "SELECT 'l_extendedprice' AS col_a, 'net' AS col_b, corr(l_extendedprice, l_extendedprice * (1 - l_discount)) AS pearson FROM lineitem")
 def _(spark, d):
     line = _line(spark, d).withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
@@ -348,10 +370,20 @@ def _(spark, d):
     return duplicate_rows(docs, ["text", "lang"])
 
 
-@query("key_collision_samples_p20", "p_name:s p_brand:s group_size:i", """SELECT p_name, p_brand, count(*) AS group_size FROM part GROUP BY 1, 2 HAVING count(*) > 1
-ORDER BY group_size DESC, p_name, p_brand LIMIT 100""")
+@query("key_collision_samples_p20", "p_name:s p_brand:s group_size:i", "SELECT p_name, p_brand, count(*) AS group_size FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def _(spark, d):
+    return p.duplicate_samples(table(spark, d, "part"), ["p_name", "p_brand"])
+
+
+KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
+KEY_SETS = [s for k in (1, 2, 3) for s in combinations(KEY_COLUMNS, k)]
+KEYS_SQL = "WITH u AS (" + " UNION ALL ".join(f"SELECT {[*s]} AS s, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM lineitem)) = (SELECT count(*) FROM lineitem) AS is_key" for s in KEY_SETS) + """)
+SELECT array_to_string(a.s, ',') AS key_columns, len(a.s) AS n_columns FROM u a WHERE a.is_key AND NOT EXISTS (SELECT 1 FROM u b WHERE b.is_key AND len(b.s) < len(a.s) AND list_has_all(a.s, b.s))"""
+
+
+@query("minimal_keys_p20", "key_columns:s n_columns:i", KEYS_SQL)
 def _(spark, d):
-    return p.duplicate_samples(table(spark, d, "part"), ["p_name", "p_brand"], 100)
+    return p.minimal_keys(table(spark, d, "lineitem"), KEY_COLUMNS)
 
 
 @query("table_equality_p21", "pivot_rows:i country_rows:i row_delta:i n_common_cols:i cols_only_in_pivot:s cols_only_in_country:s rows_only_in_pivot:i rows_only_in_country:i pivot_unique_after_dedup:i verdict:s", """
