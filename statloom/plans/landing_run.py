@@ -7,11 +7,12 @@ document text is parsed once and later steps know real sizes.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statloom.operators.cleaning import Cleaned, clean_cells
-from statloom.operators.contract import unreadable_documents
+from statloom.operators.contract import contract_issues, unreadable_documents
 from statloom.operators.grid import split_sheets
 from statloom.sources.html import decode_text, html_cells, list_documents, looks_like_html
 from statloom.sources.landing import land
@@ -47,8 +48,11 @@ def clean_grid(grid: DataFrame) -> tuple[Cleaned, DataFrame]:
     return clean_cells(body, KEYS), metadata
 
 
-def run_cleaning(spark: SparkSession, root: str, glob: str = "*.xls") -> LandedRun:
-    """Clean all HTML documents below ``root`` in one run; the others are read errors of the register."""
+def run_cleaning(spark: SparkSession, root: str, glob: str = "*.xls", contract: str | None = None) -> LandedRun:
+    """Clean all HTML documents below ``root`` in one run; the others are read errors of the register.
+
+    ``contract``: text of a contract file, which the cleaned sheets are checked against.
+    """
     docs = list_documents(spark, root, glob)
     readable = F.coalesce(looks_like_html(F.col("content")), F.lit(False))
     html = docs.where(readable).select("doc", decode_text(F.col("content")).alias("html"))
@@ -56,7 +60,8 @@ def run_cleaning(spark: SparkSession, root: str, glob: str = "*.xls") -> LandedR
     cleaned, metadata = clean_grid(grid)
     metadata = land(metadata)
     cells = land(cleaned.table)
-    issues = land(metadata_issues(metadata).unionByName(cleaned.issues).unionByName(unreadable_documents(docs, readable)))
+    checked = [contract_issues(cells, contract)] if contract else []
+    issues = land(reduce(DataFrame.unionByName, checked, metadata_issues(metadata).unionByName(cleaned.issues).unionByName(unreadable_documents(docs, readable))))
     shape = lambda df, row, col: df.groupBy(*KEYS).agg((F.max(row) + 1).alias("n_rows"), F.count_distinct(col).alias("n_cols"))
     manifest = run_manifest(shape(grid, "row_idx", "col_idx"), shape(cells, "row_idx", "column"), issues)
     return LandedRun(cells, metadata, issues, cleaned.log, manifest, docs.select("doc", "publisher", "n_bytes", "sha256"))

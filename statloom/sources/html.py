@@ -15,24 +15,24 @@ ENTITIES = (
 )
 
 
-def list_documents(spark: SparkSession, root: str, glob: str = "*.xls") -> DataFrame:
-    """Files below ``root``: path, publisher (first folder), size, checksum and content."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
+def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     inside = F.regexp_replace(F.col("path"), "^.*?" + _literal(root.rstrip("/")) + "/+", "")
-    parts = F.split(inside, "/")
-    publisher = F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("_root"))
-    return files.select(
-        inside.alias("doc"),
-        publisher.alias("publisher"),
-        F.col("length").alias("n_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-        "content",
-    )
+    return found.withColumn("doc", inside)
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """Files below ``root``: path, publisher (first folder) and size, from file metadata alone; nothing is read of them."""
+    parts = F.split("doc", "/")
+    return _files(spark, root, glob).select("doc", F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("_root")).alias("publisher"), F.col("length").alias("n_bytes"))
+
+
+def list_documents(spark: SparkSession, root: str, glob: str = "*.xls") -> DataFrame:
+    """As ``list_files``, with checksum and content: for documents, each of which is one value."""
+    parts = F.split("doc", "/")
+    return _files(spark, root, glob).select(
+        "doc", F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("_root")).alias("publisher"), F.col("length").alias("n_bytes"),
+        F.sha2("content", 256).alias("sha256"), "content")
 
 
 def _literal(text: str) -> str:

@@ -5,7 +5,7 @@ Layout: ``<root>/<publisher>/<sheet_id>.parquet`` (a file or a Spark folder).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from statloom.functions.nulls import nan_to_null
@@ -55,24 +55,48 @@ def table_ids(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     return found
 
 
-def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """(publisher, sheet_id, n_rows, n_cols, has_metadata), one row per table.
+def _width(spark: SparkSession, path: str) -> int:
+    """Columns of a table from one Parquet footer; a partitioned table is asked for its schema."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [n for n in _children(spark, path) if not n.startswith(("_", "."))]
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(conf).getFileStatus(jpath).isFile():
+        if not files or not files[0].endswith(".parquet"):
+            return len(spark.read.parquet(path).columns)
+        jpath = jvm.org.apache.hadoop.fs.Path(f"{path}/{files[0]}")
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jpath, conf))
+    try:
+        return reader.getFileMetaData().getSchema().getFieldCount()
+    finally:
+        reader.close()
 
-    Row counts come from Parquet footers; the columns come from the schema.
+
+def catalog(spark: SparkSession, root: str, publisher: str | None = None) -> DataFrame:
+    """(publisher, sheet_id, n_rows, n_cols, has_metadata), one row per table, of one publisher or all.
+
+    One scan over the files of all tables counts their rows; it reads no column, only footers and file names. A row belongs
+    to the table in whose path its file lies. Only names and widths, one of each per table, are gathered before.
     """
-    rows = None
-    for publisher, sheet in table_ids(spark, root):
-        table = spark.read.parquet(table_path(root, publisher, sheet))
-        side = _exists(spark, f"{root}/{publisher}/{sheet}__metadata.csv")
-        one = table.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(publisher).alias("publisher"), F.lit(sheet).alias("sheet_id"), "n_rows",
-            F.lit(len(table.columns)).alias("n_cols"), F.lit(side).alias("has_metadata"),
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
-        schema = "publisher string, sheet_id string, n_rows bigint, n_cols int, has_metadata boolean"
-        return spark.createDataFrame([], schema)
-    return rows
+    schema = "publisher string, sheet_id string, _path string, n_cols int, has_metadata boolean"
+    root = root.rstrip("/")
+    ids = [(p, t) for p, t in table_ids(spark, root) if publisher in (None, p)]
+    if not ids:
+        return spark.createDataFrame([], schema).select("publisher", "sheet_id", F.lit(0).cast("bigint").alias("n_rows"), "n_cols", "has_metadata")
+
+    def address(path: str) -> str:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toUri().toString()
+
+    def parts_of(path: Column) -> Column:
+        return F.split(F.regexp_replace(path, "^[^/:]+:/+", "/"), "/")
+
+    depth = address(root).split(":", 1)[-1].strip("/").count("/") + 1
+    known = [(p, t, address(table_path(root, p, t)), _width(spark, table_path(root, p, t)), _exists(spark, f"{root}/{p}/{t}__metadata.csv")) for p, t in ids]
+    tables = spark.createDataFrame(known, schema).withColumn("_at", F.array_join(parts_of(F.col("_path")), "/"))
+    files = spark.read.schema("_none int").option("recursiveFileLookup", "true").parquet(*[table_path(root, p, t) for p, t in ids])
+    at = F.array_join(F.slice(parts_of(F.col("_metadata.file_path")), 1, depth + 3), "/")
+    counts = files.groupBy(at.alias("_at")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return tables.join(counts, "_at", "left").select("publisher", "sheet_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_cols", "has_metadata")
 
 
 def latest_run(spark: SparkSession, root: str) -> str | None:

@@ -105,6 +105,12 @@ def test_written_tables_come_back_through_the_catalog(spark, tmp_path):
     sinks.write_parquet(df, tables.table_path(str(tmp_path), "pub", "t"))
     row = tables.catalog(spark, str(tmp_path)).first()
     assert (row["publisher"], row["sheet_id"], row["n_rows"], row["n_cols"]) == ("pub", "t", 2, 2)
+    sinks.write_parquet(df.where("k > 5"), tables.table_path(str(tmp_path), "other pub+é", "none 1"))
+    df.write.partitionBy("k").parquet(tables.table_path(str(tmp_path), "pub", "parts"))
+    found = {(r["publisher"], r["sheet_id"]): (r["n_rows"], r["n_cols"]) for r in tables.catalog(spark, str(tmp_path)).collect()}
+    assert found == {("pub", "t"): (2, 2), ("other pub+é", "none 1"): (0, 2), ("pub", "parts"): (2, 2)}
+    assert tables.catalog(spark, str(tmp_path), "pub").count() == 2 and tables.catalog(spark, str(tmp_path), "x").count() == 0
+    assert {r["publisher"] for r in html.list_files(spark, str(tmp_path), "*.parquet").collect()} == {"pub", "other pub+é"}
     assert tables.load_table(spark, str(tmp_path), "pub", "t").where("v is null").count() == 1
     assert tables.load_table(spark, str(tmp_path), "pub", "absent") is None
     assert tables.reference_csv(spark, str(tmp_path / "no.csv"), tables.CPI_SCHEMA, ["year"]).count() == 0
@@ -272,3 +278,31 @@ def test_metadata_blocks(spark, chunk_rows, labels, numbers, want):
     rows = [[labels.get(i, "words"), "5" if i in numbers else "words"] for i in range(130)]
     found = grid.metadata_split(body_of(spark, rows), ["sheet"], chunk_rows).first()
     assert (found and (found["n_labels"], found["meta_last_row"])) == want
+
+
+CONTRACT = """
+datasets:
+- {workbook: w.xls, sheet: html_table_0, publisher: pub, required_columns: [area, region], min_rows: 9, max_null_pct: 20, numeric_columns: {power: {min: 0, max: 10, unit: MW}, x: {min: 1}}}
+- {workbook: w.xls, sheet: html_table_0, publisher: other}
+- {workbook: gone.xls, sheet: S}
+"""
+
+
+def test_a_run_checks_its_sheets_against_a_contract(spark, tmp_path):
+    folder = tmp_path / "pub"
+    folder.mkdir()
+    rows = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in [("x", "5"), ("y", "-3"), ("", "11"), ("z", ""), ("v", "12")])
+    (folder / "w.xls").write_text(f"<html><table><thead><tr><th>Area</th><th>Power</th></tr></thead>{rows}</table></html>")
+    run = landing_run.run_cleaning(spark, str(tmp_path), contract=CONTRACT)
+    found = [i for i in run.issues.collect() if i["issue_code"] == "schema_contract_violation"]
+    assert {(i["workbook"], i["column"], i["detail"], i["rows_affected"]) for i in found} == {
+        ("w.xls", "region", "Columns not delivered: region", 1), ("w.xls", "*", "5 rows, agreed were 9 or more", 4),
+        ("w.xls", "power", "Outside 0 to 10 [MW]: 1 too low, 2 too high", 3), ("w.xls", "*", "Expected table not found", 0),
+        ("gone.xls", "*", "Expected table not found", 0),
+    }  # 2 of 10 cells are blank: not above 20 per cent
+
+
+def test_a_contract_that_cannot_be_read_is_an_issue(spark):
+    cells = spark.createDataFrame([], "workbook string, sheet string, row_idx int, column string, value string")
+    assert [i["issue_code"] for i in contract.contract_issues(cells, "a: [").collect()] == ["schema_registry_unreadable"]
+    assert contract.contract_issues(cells, "").count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from statloom.functions import dates, numbers, stats, text, units
 from statloom.functions.nulls import finite
-from statloom.operators import cleaning, contract
+from statloom.operators import cleaning, contract, ordered
 from statloom.operators.profile import text_cells
 from statloom.plans import landing_run
 from statloom.plans.benchmarks import deflate
@@ -312,15 +312,48 @@ CONTRACT = {
 
 @query("contract_check_d19", "column:s detail:s confidence:s rows_affected:i", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_totalprice > 400000) AS above,
 count(*) FILTER (WHERE o_orderstatus = 'P') AS nulls FROM orders)
-SELECT 'o_region' AS "column", 'Missing required columns: o_region' AS detail, 'high' AS confidence, 1 AS rows_affected FROM n
-UNION ALL SELECT '*', printf('Row count below floor: %d < 1000000000', n), 'high', 1000000000 - n FROM n
-UNION ALL SELECT '*', printf('Null share %.1f%% exceeds ceiling 5.0%%', 100.0 * nulls / (n * 3)), 'medium', CAST(round(100.0 * nulls / (n * 3) - 5) AS BIGINT) FROM n WHERE 100.0 * nulls / (n * 3) > 5
-UNION ALL SELECT 'o_totalprice', printf('0 below 0 and %d above 400000 (unit=GBP)', above), 'medium', above FROM n WHERE above > 0""")
+SELECT 'o_region' AS "column", 'Columns not delivered: o_region' AS detail, 'high' AS confidence, 1 AS rows_affected FROM n
+UNION ALL SELECT '*', printf('%d rows, agreed were 1000000000 or more', n), 'high', 1000000000 - n FROM n
+UNION ALL SELECT '*', printf('%.1f per cent of the cells are blank, agreed were 5.0 at most', 100.0 * nulls / (n * 3)), 'medium', CAST(round(100.0 * nulls / (n * 3) - 5) AS BIGINT) FROM n WHERE 100.0 * nulls / (n * 3) > 5
+UNION ALL SELECT 'o_totalprice', printf('Outside 0 to 400000 [GBP]: 0 too low, %d too high', above), 'medium', above FROM n WHERE above > 0""")
 def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice")
     return contract.check_table(o, CONTRACT, spark)
 
 
+CONTRACT_TEXT = """
+datasets:
+- {workbook: orders.xlsx, sheet: main, publisher: sales, required_columns: [o_orderkey, o_region, o_clerk], min_rows: 1000000000, max_null_pct: 5,
+   numeric_columns: {o_totalprice: {min: 0, max: 400000, unit: GBP}, o_orderkey: {min: 0}}}
+- {workbook: customer.xlsx, sheet: main, required_columns: [c_custkey], min_rows: 1, max_null_pct: 99, numeric_columns: {c_acctbal: {min: 0, max: 9000, unit: GBP}}}
+- {workbook: supplier.xlsx, sheet: main, publisher: nobody, required_columns: [s_suppkey]}
+- {workbook: supplier.xlsx, sheet: main, publisher: sales, numeric_columns: {s_acctbal: {max: 0, unit: GBP}}}
+"""
+
+
+@query("contracts_of_many_tables_d19_s10", "workbook:s column:s detail:s confidence:s rows_affected:i", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_totalprice > 400000) AS above, count(*) FILTER (WHERE o_orderstatus = 'P') AS nulls FROM orders),
+c AS (SELECT count(*) FILTER (WHERE c_acctbal < 0) AS below, count(*) FILTER (WHERE c_acctbal > 9000) AS above FROM customer), s AS (SELECT count(*) AS above FROM supplier WHERE s_acctbal > 0)
+SELECT 'orders.xlsx' AS workbook, 'o_region,o_clerk' AS "column", 'Columns not delivered: o_region, o_clerk' AS detail, 'high' AS confidence, 2 AS rows_affected FROM n
+UNION ALL SELECT 'orders.xlsx', '*', printf('%d rows, agreed were 1000000000 or more', n), 'high', 1000000000 - n FROM n
+UNION ALL SELECT 'orders.xlsx', '*', printf('%.1f per cent of the cells are blank, agreed were 5.0 at most', 100.0 * nulls / (n * 3)), 'medium', CAST(round(100.0 * nulls / (n * 3) - 5) AS BIGINT) FROM n WHERE 100.0 * nulls / (n * 3) > 5
+UNION ALL SELECT 'orders.xlsx', 'o_totalprice', printf('Outside 0 to 400000 [GBP]: 0 too low, %d too high', above), 'medium', above FROM n WHERE above > 0
+UNION ALL SELECT 'customer.xlsx', 'c_acctbal', printf('Outside 0 to 9000 [GBP]: %d too low, %d too high', below, above), 'medium', below + above FROM c WHERE below + above > 0
+UNION ALL SELECT 'supplier.xlsx', '*', 'Expected table not found', 'high', 0
+UNION ALL SELECT 'supplier.xlsx', 's_acctbal', printf('Outside None to 0 [GBP]: 0 too low, %d too high', above), 'medium', above FROM s WHERE above > 0""")
+def _(spark, d):
+    """The cells of three tables as sheets of one run against the text of a contract file."""
+    def sheet(name, cols):
+        rows = table(spark, d, name).select(*[c.cast("string") for c in cols])
+        numbered = land(rows).withColumn("row_idx", F.monotonically_increasing_id())
+        dense = ordered.row_numbers(numbered, [], "row_idx", "_at").drop("row_idx").withColumnRenamed("_at", "row_idx")
+        return dense.unpivot(["row_idx"], rows.columns, "column", "value").select(F.lit(f"sales/{name}.xlsx").alias("workbook"), F.lit("main").alias("sheet"), "row_idx", "column", "value")
+
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus")
+    cells_ = sheet("orders", [F.col("o_orderkey"), status, F.col("o_totalprice")]).unionByName(
+        sheet("customer", [F.col("c_custkey"), F.col("c_acctbal")])).unionByName(sheet("supplier", [F.col("s_suppkey"), F.col("s_acctbal")]))
+    return contract.contract_issues(cells_, CONTRACT_TEXT)
+
+
 @query("unreadable_documents_d20", "issue_code:s n:i", "SELECT 'read_error' AS issue_code, count(*) AS n FROM pages WHERE NOT regexp_matches(html, '<table', 'i') HAVING count(*) > 0")
 def _(spark, d):
     pages = table(spark, d, "pages").select(F.col("url").alias("doc"), "html")

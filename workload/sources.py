@@ -63,7 +63,15 @@ def _(spark, d):
     return pages.unionByName(docs).groupBy(html.looks_like_html(F.col("content")).alias("is_html")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("source_listing_s3_k5", "doc:s publisher:s has_size:b digest_length:i", None)
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("file_listing_s3", "doc:s publisher:s has_size:b", " UNION ALL ".join(f"SELECT '{t}.parquet' AS doc, '_root' AS publisher, true AS has_size" for t in TABLES))
+def _(spark, d):
+    return html.list_files(spark, d, "*.parquet").select("doc", "publisher", (F.col("n_bytes") > 0).alias("has_size"))
+
+
+@query("source_listing_s3_k5", "doc:s publisher:s has_size:b digest_length:i", " UNION ALL ".join(f"SELECT '{t}.parquet' AS doc, '_root' AS publisher, true AS has_size, 64 AS digest_length" for t in TABLES))
 def _(spark, d):
     files = html.list_documents(spark, d, "*.parquet")
     return files.select("doc", "publisher", (F.col("n_bytes") > 0).alias("has_size"), F.length("sha256").alias("digest_length"))
@@ -75,10 +83,13 @@ def _(spark, d):
     return missing if missing is not None else tables.read_optional(spark, f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal")
 
 
-@query("catalog_scan_s5", "sheet_id:s n_rows:i n_cols:i", "SELECT 'nation' AS sheet_id, count(*) AS n_rows, 3 AS n_cols FROM nation UNION ALL SELECT 'orders', count(*), 6 FROM orders UNION ALL SELECT 'part', count(*), 6 FROM part")
+CATALOG_SQL = " UNION ALL ".join(f"SELECT '{t}' AS sheet_id, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_cols" for t in TABLES)
+
+
+@query("catalog_scan_s5", "sheet_id:s n_rows:i n_cols:i", CATALOG_SQL)
 def _(spark, d):
     base, name = d.rstrip("/").rsplit("/", 1)
-    return tables.catalog(spark, base).where((F.col("publisher") == name) & F.col("sheet_id").isin("nation", "orders", "part"))
+    return tables.catalog(spark, base, name)
 
 
 @query("latest_run_s7", "o_orderpriority:s n:i", """WITH r AS (SELECT o_orderpriority, 'run-' || year(o_orderdate) AS run_id FROM orders)
