@@ -176,9 +176,13 @@ def _(spark, d):
     return rolling_volatility(s.daily_events(spark, d), ["event_type"], "day", "value", 7)
 
 
-@query("volatility_matrix_q15_r3", 'year:i 1-URGENT:6 5-LOW:6', f"""WITH {facts.VOLATILITY_SQL} SELECT year, max(CASE WHEN series = '1-URGENT' THEN cv END) AS "1-URGENT", max(CASE WHEN series = '5-LOW' THEN cv END) AS "5-LOW" FROM vol GROUP BY 1""")
+LABELS = {label: label.replace(" ", "_") for label in s.PRIORITIES}
+
+
+@query("volatility_matrix_q15_r3", "year:i " + " ".join(f"{name}:6" for name in LABELS.values()), f"WITH {facts.VOLATILITY_SQL} SELECT year, "
+       + ", ".join(f"""max(CASE WHEN series = '{label}' THEN cv END) AS "{name}" """ for label, name in LABELS.items()) + " FROM vol GROUP BY 1")
 def _(spark, d):
-    return volatility_matrix(facts._volatility(spark, d), ["1-URGENT", "5-LOW"])
+    return volatility_matrix(facts._volatility(spark, d), list(s.PRIORITIES)).withColumnsRenamed(LABELS)
 
 
 @query("capacity_by_year_technology_q16", "year:i technology:s mw:2", f"WITH {s.COUNTRY_SQL} SELECT year, technology, sum(mw) AS mw FROM country GROUP BY 1, 2")

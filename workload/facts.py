@@ -10,6 +10,7 @@ from statloom.plans import facts as f
 from workload import shapes as s
 from workload.base import query, table
 
+FIRST_YEAR, N_YEARS = s.FIRST_YEAR, s.N_YEARS
 MW, GWH = "electricity_installed_capacity_mw", "electricity_generation_gwh"
 
 
@@ -76,16 +77,15 @@ def _(spark, d):
 
 
 @query("section_block_b3", "sheet:s sector:s year:i value:2", f"""WITH {s.SECTORS_SQL}
-SELECT 'TO' AS sheet, sector, year, round(turnover, 2) AS value FROM sectors WHERE year BETWEEN 1996 AND 1999
-UNION ALL SELECT 'FTE', sector, year, fte FROM sectors WHERE year BETWEEN 1996 AND 1999""")
+SELECT 'TO' AS sheet, sector, year, round(turnover, 2) AS value FROM sectors
+UNION ALL SELECT 'FTE', sector, year, fte FROM sectors""")
 def _(spark, d):
     """The sector table printed as a sheet (title, year row, label row, data, next table) and read back."""
-    x = s.sectors(spark, d).where(F.col("year").between(1996, 1999)).withColumn(
-        "place", F.rank().over(W.partitionBy("year").orderBy("sector")))
+    x = s.sectors(spark, d).withColumn("place", F.rank().over(W.partitionBy("year").orderBy("sector")))
     sheets = F.explode(F.array(F.struct(F.lit("TO").alias("sheet"), F.format_string("%.2f", "turnover_thousand_gbp").alias("v")),
                                F.struct(F.lit("FTE").alias("sheet"), F.format_string("%.0f", "fte").alias("v"))))
     rows = x.select("sector", "year", "place", sheets.alias("z")).select("sector", "year", "place", "z.*")
-    col = 2 + (F.col("year") - 1996) * 2
+    col = 2 + (F.col("year") - FIRST_YEAR) * 2
 
     def cell(row, col_idx, value):
         return F.struct(F.lit(row).cast("int").alias("row_idx") if isinstance(row, int) else row.cast("int").alias("row_idx"),
@@ -278,23 +278,28 @@ def _(spark, d):
     return f.battery_annual(f.battery_monthly(_battery(spark, d)))
 
 
-BY_COUNTRY_SQL = """bc AS (SELECT indicator, country, value, year FROM (
-SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Acquisitions' WHEN '2-HIGH' THEN 'Disposals' ELSE 'Turnover' END AS indicator,
-CASE o_orderstatus WHEN 'F' THEN 'United Kingdom' WHEN 'O' THEN 'Scotland' ELSE 'Wales' END AS country, sum(o_totalprice) AS value, year(o_orderdate) AS year
-FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY ALL))"""
+INDICATORS = {"1-URGENT": "Acquisitions", "2-HIGH": "Disposals", "3-MEDIUM": "Turnover", "4-NOT SPECIFIED": "Exports", "5-LOW": "Imports"}
+COUNTRIES = {"F": "United Kingdom", "O": "Scotland", "P": "Wales"}
+
+
+def _case(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
+BY_COUNTRY_SQL = f"""bc AS (SELECT {_case('o_orderpriority', INDICATORS)} AS indicator, {_case('o_orderstatus', COUNTRIES)} AS country, sum(o_totalprice) AS value, year(o_orderdate) AS year
+FROM orders GROUP BY ALL)"""
 
 
 def _by_country(spark, d):
     """A sparse sheet: the indicator stands on the first row of its block only, estimates sit in numbered columns."""
-    o = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).select(
-        F.when(F.col("o_orderpriority") == "1-URGENT", "Acquisitions").when(F.col("o_orderpriority") == "2-HIGH", "Disposals").otherwise("Turnover").alias("ind"),
-        F.when(F.col("o_orderstatus") == "F", "United Kingdom").when(F.col("o_orderstatus") == "O", "Scotland").otherwise("Wales").alias("column_2"),
-        F.year("o_orderdate").alias("y"), "o_totalprice")
-    wide = o.groupBy("ind", "column_2").agg(*[F.sum(F.when(F.col("y") == 1995 + i, F.col("o_totalprice"))).alias("estimate" if i == 0 else f"estimate_{i + 1}") for i in range(6)])
-    # Nine rows are left: three blocks of three.
-    place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("ind", "column_2"))
-    sheet = wide.withColumn("row_idx", place).withColumn("column", F.when((F.col("row_idx") - 1) % 3 == 0, F.col("ind")))
-    return f.by_country(sheet.drop("ind"), first_year=1995, n_years=6)
+    o = table(spark, d, "orders").select(
+        F.expr(_case("o_orderpriority", INDICATORS)).alias("ind"), F.expr(_case("o_orderstatus", COUNTRIES)).alias("column_2"), F.year("o_orderdate").alias("y"), "o_totalprice")
+    wide = o.groupBy("ind", "column_2").agg(*[
+        F.sum(F.when(F.col("y") == FIRST_YEAR + i, F.col("o_totalprice"))).alias("estimate" if i == 0 else f"estimate_{i + 1}") for i in range(N_YEARS)])
+    block = F.array_position(F.array(*[F.lit(x) for x in INDICATORS.values()]), F.col("ind")) * 10
+    row = F.row_number().over(W.partitionBy("ind").orderBy("column_2"))
+    sheet = wide.withColumn("_row", row).withColumn("row_idx", block + F.col("_row")).withColumn("column", F.when(F.col("_row") == 1, F.col("ind")))
+    return f.by_country(sheet.drop("ind", "_row"), first_year=FIRST_YEAR, n_years=N_YEARS)
 
 
 @query("by_country_b16_w6_r2", "indicator:s country:s year:i value:2", f"WITH {BY_COUNTRY_SQL} SELECT * FROM bc")

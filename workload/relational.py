@@ -422,22 +422,21 @@ def _(spark, d):
 
 
 @query("numbered_columns_r2", "n_name:s year:i value:i", """SELECT n_name, year(o_orderdate) AS year, count(*) AS value FROM customer
-JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 1997 GROUP BY 1, 2""")
+JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
 def _(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     c = table(spark, d, "customer").join(n, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "n_name")
     o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y")).join(c, "o_custkey")
-    wide = o.groupBy("n_name").agg(*[F.count_if(F.col("y") == 1995 + i).alias("estimate" if i == 0 else f"estimate_{i + 1}") for i in range(3)])
-    return r.numbered_columns_to_years(wide, ["n_name"], "estimate", 1995, 3).where(F.col("value") > 0)
+    wide = o.groupBy("n_name").agg(*[F.count_if(F.col("y") == s.FIRST_YEAR + i).alias("estimate" if i == 0 else f"estimate_{i + 1}") for i in range(s.N_YEARS)])
+    return r.numbered_columns_to_years(wide, ["n_name"], "estimate", s.FIRST_YEAR, s.N_YEARS).where(F.col("value") > 0)
 
 
-@query("pivot_r3", "year:i ECONOMY:4 LARGE:4 SMALL:4", """SELECT year(l_shipdate) AS year, avg(CASE WHEN p_type = 'ECONOMY' THEN l_quantity END) AS "ECONOMY",
-avg(CASE WHEN p_type = 'LARGE' THEN l_quantity END) AS "LARGE", avg(CASE WHEN p_type = 'SMALL' THEN l_quantity END) AS "SMALL"
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+@query("pivot_r3", "year:i " + " ".join(f"{t}:4" for t in s.PART_TYPES), "SELECT year(l_shipdate) AS year, "
+       + ", ".join(f"""avg(CASE WHEN p_type = '{t}' THEN l_quantity END) AS "{t}" """ for t in s.PART_TYPES) + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def _(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     line = table(spark, d, "lineitem").select("l_partkey", F.year("l_shipdate").alias("year"), "l_quantity").join(p, "l_partkey")
-    return r.to_matrix(line, "year", "p_type", "l_quantity", ["ECONOMY", "LARGE", "SMALL"])
+    return r.to_matrix(line, "year", "p_type", "l_quantity", list(s.PART_TYPES))
 
 
 @query("vintage_measure_r5", "technology:s year:i value:2", """SELECT o_orderpriority AS technology, year(o_orderdate) AS year, o_totalprice AS value

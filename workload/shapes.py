@@ -9,6 +9,8 @@ from workload.base import table
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+# Years of the order dates.
+FIRST_YEAR, N_YEARS = 1995, 7
 PEERS = ("N01", "N03", "N05", "N07", "N11")
 
 

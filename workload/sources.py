@@ -141,9 +141,10 @@ def _(spark, d):
     return grid.metadata_split(land(cells_), ["sheet"])
 
 
-@query("sheet_body_d3_w10", "doc:s column:s n:i", f"""WITH {GRID_SQL} SELECT doc, 'unnamed_0' AS "column", 2 AS n FROM grid UNION ALL SELECT doc, 'balance_more', 2 FROM grid UNION ALL SELECT doc, 'segment', 2 FROM grid""")
+@query("sheet_body_d3_w10", "doc:s column:s n:i", f"""WITH {GRID_SQL} SELECT doc, 'unnamed_0' AS "column", 2 AS n FROM grid UNION ALL SELECT doc, 'balance_more', 2 FROM grid UNION ALL SELECT doc, 'segment', 2 FROM grid
+UNION ALL SELECT doc, 'wide', 1 FROM grid UNION ALL SELECT doc, 'wide_2', 1 FROM grid""")
 def _(spark, d):
-    body, _ = grid.split_sheets(land(html.html_cells(_documents(spark, d)).where(F.col("sheet") == "Ark1")), ["doc", "sheet"])
+    body, _ = grid.split_sheets(land(html.html_cells(_documents(spark, d))), ["doc", "sheet"])
     return body.groupBy("doc", "column").agg(F.count(F.lit(1)).alias("n"))
 
 
