@@ -302,19 +302,19 @@ def distribution_flags(cells: DataFrame, keys: list[str]) -> DataFrame:
 def bin_index(v: Column, low: Column, high: Column, bins: Column) -> Column:
     """0-based equal-width bin; the last bin is closed on the right."""
     place = F.floor((v - low) / (high - low) * bins)
-    return F.when(high > low, F.least(place, bins - 1).cast("int")).otherwise(F.lit(0))
+    return F.when(high > low, F.least(place, bins - 1)).otherwise(F.lit(0)).cast("bigint")
 
 
-def histogram(cells: DataFrame, keys: list[str], max_bins: int = 80) -> DataFrame:
-    """(keys, bin, bin_low, bin_high, n) with Freedman-Diaconis bins, 5 to ``max_bins``."""
+def histogram(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bin, bin_low, bin_high, n) with Freedman-Diaconis bins, 5 at least; bins without values have no row."""
     counts, small = settled_counts(cells, keys)
     q = quantiles(counts, keys, "value", {"_q25": 0.25, "_q75": 0.75}, weight="n", small=small)
     size = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     iqr = F.col("_q75") - F.col("_q25")
     width = F.when(iqr > 0, 2.0 * iqr * F.pow(F.col("_n"), F.lit(-1.0 / 3)))
-    flat = F.least(F.lit(max_bins), F.greatest(F.lit(10), F.floor(F.sqrt("_n"))))
-    fd = F.greatest(F.lit(5), F.least(F.lit(max_bins), F.ceil((F.col("_hi") - F.col("_lo")) / width)))
-    bins = F.when(F.col("_n") < 2, 10).otherwise(F.coalesce(fd, flat)).cast("int")
+    flat = F.greatest(F.lit(10), F.floor(F.sqrt("_n")))
+    fd = F.greatest(F.lit(5), F.ceil((F.col("_hi") - F.col("_lo")) / width))
+    bins = F.when(F.col("_n") < 2, 10).otherwise(F.coalesce(fd, flat)).cast("bigint")
     plan = attach(size, q, keys).select(*keys, "_lo", "_hi", bins.alias("_bins"))
     step = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
     placed = attach(counts, plan, keys).withColumn("bin", bin_index(F.col("value"), F.col("_lo"), F.col("_hi"), F.col("_bins")))
@@ -594,11 +594,13 @@ EARLIEST, LATEST = "1700-01-01", "2200-01-01"
 def temporal_coverage(dates: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(summary, gaps) of (keys, date) rows.
 
-    Distinct dates between 1700 and 2200 are at most 182,622 per key, so the
-    window over them is bounded whatever the size of the table.
+    Steps and gaps are those of the dates between 1700 and 2200, at most 182,622 per key, so the window over them is bounded
+    whatever the size of the table. Other dates are taken for errors of the workbook: ``n_dates_outside`` counts them.
     """
-    seen = dates.where(F.col("date").between(F.lit(EARLIEST).cast("date"), F.lit(LATEST).cast("date")))
-    seen = seen.select(*keys, "date").distinct()
+    inside = F.col("date").between(F.lit(EARLIEST).cast("date"), F.lit(LATEST).cast("date"))
+    found = dates.where(F.col("date").isNotNull()).select(*keys, "date").distinct()
+    outside = found.groupBy(*keys).agg(F.count_if(~inside).alias("n_dates_outside"))
+    seen = found.where(inside)
     order = W.partitionBy(*keys).orderBy("date")
     steps = seen.withColumn("_prev", F.lag("date").over(order)).withColumn("_step", F.datediff("date", "_prev"))
     middle = steps.groupBy(*keys).agg(F.floor(F.median("_step")).cast("int").alias("_m"))
@@ -608,7 +610,8 @@ def temporal_coverage(dates: DataFrame, keys: list[str]) -> tuple[DataFrame, Dat
         F.count(F.lit(1)).alias("n_unique_dates"), F.min("date").alias("min_date"), F.max("date").alias("max_date"),
         F.datediff(F.max("date"), F.min("date")).alias("span_days"), F.max(step).alias("median_step_days"),
         F.count_if(F.col("_step") > F.col("_limit")).alias("n_gaps_gt_1_5x_step"),
-    ).withColumn("monotonic", F.lit(True))
+    )
+    summary = attach(outside, summary, keys, "left").withColumns({"n_unique_dates": F.coalesce("n_unique_dates", F.lit(0)), "monotonic": F.lit(True)})
     gaps = limited.where(F.col("_step") > F.col("_limit")).select(
         *keys, F.col("_prev").alias("from_date"), F.col("date").alias("to_date"), F.col("_step").alias("gap_days")
     )

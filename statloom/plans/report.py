@@ -12,8 +12,8 @@ def most_skewed(descriptives: DataFrame, n: int = 25) -> DataFrame:
     return top_k(descriptives.select(*cols), "skew", n, ["column"])
 
 
-def constant_columns(descriptives: DataFrame, n: int = 20) -> DataFrame:
-    return descriptives.where("constant").orderBy("column").limit(n)
+def constant_columns(descriptives: DataFrame) -> DataFrame:
+    return descriptives.where("constant").orderBy("column")
 
 
 def most_informative(categorical: DataFrame, n: int = 25) -> DataFrame:
@@ -41,8 +41,8 @@ def category_counts(scorecard: DataFrame, keys: list[str] | None = None) -> Data
     return scorecard.groupBy(*(keys or []), "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def features_of(scorecard: DataFrame, category: str, n: int = 20) -> DataFrame:
-    return scorecard.where(F.col("category") == category).orderBy("column").limit(n)
+def features_of(scorecard: DataFrame, category: str) -> DataFrame:
+    return scorecard.where(F.col("category") == category).orderBy("column")
 
 
 def high_drift(report: DataFrame, n: int = 30) -> DataFrame:

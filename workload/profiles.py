@@ -172,13 +172,24 @@ def _(spark, d):
 
 @query("histogram_p13", "column:s bin:i n:i bin_low:2", """WITH x AS (SELECT 'value' AS "column", value AS v FROM events),
 q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b, count(*) AS n, min(v) AS lo, max(v) AS hi FROM x),
-w AS (SELECT lo, hi, CAST(greatest(5, least(80, ceil((hi - lo) / (2.0 * (b - a) * power(n, CAST(-1 AS DOUBLE) / 3))))) AS INTEGER) AS bins FROM q)
+w AS (SELECT lo, hi, CAST(greatest(5, ceil((hi - lo) / (2.0 * (b - a) * power(n, CAST(-1 AS DOUBLE) / 3)))) AS BIGINT) AS bins FROM q)
 SELECT "column", least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS bin, count(*) AS n, lo + least(floor((v - lo) / (hi - lo) * bins), bins - 1) * ((hi - lo) / bins) AS bin_low
 FROM x, w GROUP BY 1, 2, 4""")
 def _(spark, d):
     return p.histogram(p.numeric_cells(table(spark, d, "events"), ["value"]), ["column"])
 
 
+@query("histogram_of_many_bins_p13", "column:s bin:i n:i", """WITH p2 AS (SELECT o_totalprice * o_totalprice AS v FROM orders), p4 AS (SELECT v * v AS v FROM p2), x AS (SELECT 'v' AS "column", v * v AS v FROM p4),
+q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b, count(*) AS n, min(v) AS lo, max(v) AS hi FROM x),
+w AS (SELECT lo, hi, CAST(greatest(5, ceil((hi - lo) / (2.0 * (b - a) * power(n, CAST(-1 AS DOUBLE) / 3)))) AS BIGINT) AS bins FROM q)
+SELECT "column", least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS bin, count(*) AS n FROM x, w GROUP BY 1, 2""")
+def _(spark, d):
+    powers = table(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
+    for _ in range(3):
+        powers = powers.select((F.col("v") * F.col("v")).alias("v"))
+    return p.histogram(p.numeric_cells(powers, ["v"]), ["column"])
+
+
 OUTLIER_CELLS = """cells AS (SELECT 'value' AS "column", value AS v FROM events UNION ALL SELECT 'o_totalprice', o_totalprice FROM orders
 UNION ALL SELECT 'c_acctbal', c_acctbal FROM customer)"""
 
@@ -271,6 +282,16 @@ def _(spark, d):
     return _coverage(spark, d)[0]
 
 
+@query("temporal_far_dates_p15", "o_orderpriority:s n_unique_dates:i n_dates_outside:i min_date:d max_date:d", """WITH days AS (SELECT DISTINCT o_orderpriority, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) - INTERVAL 900 YEAR
+WHEN 1 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + INTERVAL 400 YEAR END AS day FROM orders)
+SELECT o_orderpriority, count(*) FILTER (WHERE year(day) BETWEEN 1700 AND 2199) AS n_unique_dates, count(*) FILTER (WHERE year(day) NOT BETWEEN 1700 AND 2199) AS n_dates_outside,
+min(CASE WHEN year(day) BETWEEN 1700 AND 2199 THEN day END) AS min_date, max(CASE WHEN year(day) BETWEEN 1700 AND 2199 THEN day END) AS max_date FROM days GROUP BY 1""")
+def _(spark, d):
+    years = F.when(F.col("o_orderkey") % 3 == 0, -900).when(F.col("o_orderkey") % 3 == 1, 0).otherwise(400)
+    dates = table(spark, d, "orders").select("o_orderpriority", F.add_months(F.to_date("o_orderdate"), years * 12).alias("date"))
+    return p.temporal_coverage(dates, ["o_orderpriority"])[0]
+
+
 @query("temporal_gaps_p15", "o_custkey:i from_date:d to_date:d gap_days:i", f"WITH {COVERAGE_SQL} SELECT o_custkey, prev AS from_date, day AS to_date, step AS gap_days FROM lim WHERE step > lim")
 def _(spark, d):
     return _coverage(spark, d)[1]

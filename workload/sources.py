@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, functions as F
 
 from statloom.operators import grid
+from statloom.session import ensure_checkpoint_dir
 from statloom.sources import html, sinks, tables
 from statloom.sources.landing import land
 from workload import cells, shapes as s
@@ -174,6 +177,29 @@ def _(spark, d):
     return sinks.csv_view(c, 6)
 
 
+@query("typed_reference_s9_k2", "year:i cpi_index_2024_base:4", """SELECT year(o_orderdate) AS year, 50.0 + count(DISTINCT o_custkey) / 7.0 AS cpi_index_2024_base FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
+def _(spark, d):
+    """A price index written as CSV, with rows that lack a year or a number, and read back with its types."""
+    o = table(spark, d, "orders").where("o_orderstatus <> 'P'")
+    index = o.groupBy(F.year("o_orderdate").cast("string").alias("year")).agg((50.0 + F.count_distinct("o_custkey") / 7.0).alias("cpi_index_2024_base"))
+    gaps = o.limit(2).select(F.lit(None).cast("string").alias("year"), F.lit(1.0).alias("cpi_index_2024_base")).unionByName(
+        o.limit(1).select(F.lit("1990").alias("year"), F.lit(None).cast("double").alias("cpi_index_2024_base")))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/reference-{uuid4().hex}"
+    sinks.write_csv(index.unionByName(gaps), f"{path}/cpi.csv", digits=12)
+    return tables.load_cpi(spark, f"{path}/cpi.csv").unionByName(tables.load_cpi(spark, f"{path}/absent.csv"))
+
+
+@query("metadata_sidecar_k3", "sheet:s row_idx:i value:s", "SELECT s_name AS sheet, r AS row_idx, v AS value FROM supplier, (VALUES (1, 'Title'), (2, 'CDID'), (3, 'Unit')) AS x(r, v)")
+def _(spark, d):
+    """The rows above the data written beside a table and read back."""
+    _, meta = grid.split_sheets(land(_series_sheets(spark, d)), ["sheet"])
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/sidecar-{uuid4().hex}"
+    sinks.write_metadata(meta.where("col_idx = 0").select("sheet", "row_idx", "value"), f"{root}/pub/all__metadata.csv")
+    return tables.load_metadata(spark, root, "pub", "all").toDF("sheet", "row_idx", "value")
+
+
 @query("metadata_rows_k3", "n_sheets:i n_cells:i", "SELECT count(*) AS n_sheets, 6 * count(*) AS n_cells FROM supplier")
 def _(spark, d):
     _, meta = grid.split_sheets(land(_series_sheets(spark, d)), ["sheet"])
