@@ -73,18 +73,18 @@ def window_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare
     ).where("least > 0")
     deciding = held.select("body", "o", F.size("top").alias("need"), F.explode("top").alias("t"))
     anchors = land(deciding.groupBy("body", F.col("t.word").alias("word"), (F.col("o") + F.col("t.i")).alias("at")).agg(F.min("need").alias("need")))
-    index = land(token_places(docs, land(anchors.select("word").distinct())))
+    # documents are dealt out once; from here on everything of a document is in one task, so lists are intersected there
+    index = token_places(docs.repartition(*[F.col(c) for c in KEY]), land(anchors.select("word").distinct()))
     # each list is shifted by the word's offset in the item, so words in place meet at one start of the item
-    shifted = index.join(anchors, "word").groupBy(*KEY, "body", (F.col("p") - F.col("at")).alias("d")).agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    shifted = land(shifted)
+    shifted = index.join(anchors, "word").groupBy(*KEY, "body", (F.col("p") - F.col("at")).alias("d")).agg(F.count("*").alias("n"))
     least = land(anchors.groupBy("body").agg(F.min("need").alias("least")))
-    starts = shifted.join(least, "body").where("n >= least").select(*KEY, "body", "d")
     block = F.floor(F.col("d") / (slop + 1)).cast("int")
-    near = (
-        shifted.select(*KEY, "body", "n", F.explode(F.array(block, block + 1)).alias("block")).groupBy(*KEY, "body", "block").agg(F.sum("n").alias("n"))
-        .join(least, "body").where("n >= least").select(*KEY, "body").distinct()
-    )
-    lists = land(starts).groupBy(*KEY).agg(F.collect_list(F.struct("body", "d")).alias("found"))
+    # words in place are near each other too: what is not met in a block is met nowhere
+    met = shifted.select(*KEY, "body", F.struct("d", "n").alias("m"), F.explode(F.array(block, block + 1)).alias("block"))
+    met = land(met.groupBy(*KEY, "body", "block").agg(F.collect_list("m").alias("ms"), F.sum("m.n").alias("n")).join(least, "body").where("n >= least"))
+    near = met.select(*KEY, "body").distinct()
+    starts = met.select(*KEY, "body", "least", F.explode("ms").alias("m")).where("m.n >= least").select(*KEY, "body", "m.d").distinct()
+    lists = land(starts.groupBy(*KEY).agg(F.collect_list(F.struct("body", "d")).alias("found")))
     there = join_documents(docs.dropDuplicates(KEY), lists, "inner").select(*KEY, plain_words(F.col("text")).alias("ws"), "found")
     # of the text only the stretch that the item can cover is kept, with the place where it starts
     longest = windows.groupBy("body").agg((F.max("o") + F.max(F.size("words"))).alias("long"))

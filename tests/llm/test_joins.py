@@ -84,3 +84,21 @@ def test_decontamination(spark, documents):
     assert sorted((r.doc_id for r in clean.collect())) == [3, 4, 5] and clean.columns == documents(rows).columns
     assert decontaminate.contaminated_documents(documents(rows).limit(0), items).isEmpty()
     assert decontaminate.contaminated_documents(documents(rows), items.limit(0)).where("contaminated").isEmpty()
+
+
+def test_proximity_is_told_from_phrases(spark, documents):
+    words = [f"q{i}" for i in range(10)]
+    loose = [w for pair in zip(words, ["x"] * 10, strict=True) for w in pair][:19]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:4] + ["x"] + words[4:])), (3, " ".join(loose)), (4, " ".join(words[:2])), (5, "x " * 40)]
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
+    got = {r.doc_id: (r.contaminated, r.n_near) for r in decontaminate.contaminated_documents(documents(rows), items).collect()}
+    # two: one word more inside; three: every other word is another, the deciding ones stand at most two places from their own
+    assert got == {1: (True, 0), 2: (False, 1), 3: (False, 1), 4: (False, 0), 5: (False, 0)}
+
+
+def test_index_is_intersected_where_documents_lie(spark, documents):
+    docs = decontaminate.keyed(documents([(i, f"q1 q2 q{i} x") for i in range(30)])).repartition("doc_id", "_rk")
+    anchors = decontaminate.land(spark.createDataFrame([("q1", 1), ("q2", 2)], "word string, at int"))
+    index = decontaminate.token_places(docs, anchors.select("word"))
+    plan = index.join(anchors, "word").groupBy("doc_id", "_rk", "at").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
