@@ -40,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
+        # the executors of a local cluster are processes of their own
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="statloom-checkpoint-")
     sc.setCheckpointDir(shared)
