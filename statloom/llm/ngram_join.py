@@ -1,11 +1,17 @@
 """Similarity join on word shingles: prefix filters under several global token orders, then exact verification.
 
 Two sets with Jaccard similarity t or more share a token among the first ``n - ceil(t*n) + 1`` tokens of each, whatever
-global order the tokens are put in. Order A puts tokens that many documents hold last and finds candidates through
-posting lists. Order B (digests descending) and order C (digests read as unsigned numbers) must agree before a pair is
-verified. Documents with equal sets are one vertex from the start. Within a posting list first every vertex is compared
-with one leader; all pairs are formed only between vertices that these comparisons have not already brought together, so
-a list of n near copies costs about n comparisons and no link between different sets is lost.
+global order the tokens are put in. Order A puts tokens that many sets hold last and finds candidates through posting
+lists; its counts are exact counts of the tokens in the prefixes of all sets, refined once: what the first prefixes share
+goes last, and the prefixes made anew are counted again. Orders B (digests descending) and C (digests read as unsigned
+numbers) must agree before a pair is verified. Every set also carries a parity sketch: the bits in which two sketches
+differ are at most the tokens that only one of the sets holds, so most pairs end inside the join of a list and are never
+written.
+
+Documents with equal sets are one vertex from the start. Large groups of near copies are brought together first: a vertex
+is compared with one leader among those that share its first token under each of a few orders. All pairs of a posting
+list are then formed only between vertices that are not yet together, so a list of n near copies costs about n
+comparisons and no link between different groups is lost.
 """
 
 from __future__ import annotations
@@ -23,9 +29,10 @@ from statloom.llm.sieve import passes, sieve_of
 from statloom.sources.landing import land
 
 SHINGLE, PERCENT = 5, 80
-FREQUENT = 400_000  # tokens named as frequent at most; they only set the order
-SPREAD = 1_500_000
-ROUNDS = 6
+WORDS = 8  # of 64 bits in a parity sketch
+FIRSTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=A.U)
+LEVELS = (2, 6, 24, 100)  # a token found in so many prefixes moves one place back in order A
+ROUNDS = 5  # of comparisons with leaders at most; what they leave is looked at pair by pair
 
 
 def token_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -53,47 +60,65 @@ def _set_name(tokens: np.ndarray) -> int:
     return int(A.mix(total ^ np.bitwise_xor.reduce(A.mix(t))).view(np.int64)[0])
 
 
-def _members(size: int) -> Callable:
-    """Per row its vertex; per ``SPREAD`` tokens read, as rows of another kind, those that several sets hold."""
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens per slot, packed into ``WORDS`` numbers."""
+    slots = (A.mix(tokens.view(A.U) ^ FIRSTS[0]) & A.U(64 * WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _firsts(tokens: np.ndarray) -> np.ndarray:
+    """The first token under each of a few orders."""
+    t = tokens.view(A.U)
+    return np.array([tokens[np.argmin(A.mix(t ^ c))] for c in FIRSTS], dtype=np.int64)
+
+
+def _lists_of(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)))
+
+
+MEMBER = "doc_id bigint, _rk bigint, n bigint, v bigint, sketch array<bigint>, firsts array<bigint>"
 
-    def shared(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tokens, held = np.unique(np.concatenate(sets), return_counts=True)
-        some = held >= 2
-        if some.any():
-            none = pa.nulls(int(some.sum()), pa.int64())
-            yield pa.record_batch([none, none, pa.array(held[some].astype(np.int64)), none, pa.array(tokens[some])], names=["doc_id", "_rk", "n", "v", "token"])
+
+def _members(size: int) -> Callable:
+    """Per row its vertex, and what is compared before sets are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
+        none = np.empty(0, dtype=np.int64)
         for batch in batches:
             for a, b, data, off in A.text_slices(batch.column("text")):
                 sets = token_sets(data, off, size)
                 at = pa.array(np.arange(a, b))
                 yield pa.record_batch(
                     [batch.column("doc_id").take(at), batch.column("_rk").take(at), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_set_name(s) for s in sets], pa.int64()), pa.nulls(b - a, pa.int64())],
-                    names=["doc_id", "_rk", "n", "v", "token"],
+                     pa.array([_set_name(s) for s in sets], pa.int64()), _lists_of([_sketch(s) if len(s) else none for s in sets]),
+                     _lists_of([_firsts(s) if len(s) else none for s in sets])],
+                    names=["doc_id", "_rk", "n", "v", "sketch", "firsts"],
                 )
-                waiting += sets
-                if sum(map(len, waiting)) >= SPREAD:
-                    yield from shared(waiting)
-                    waiting = []
-        if waiting:
-            yield from shared(waiting)
 
     return run
 
 
+def _wanted(batches: Iterator[pa.RecordBatch], rows) -> Iterator[pa.RecordBatch]:
+    """Rows whose digest passes the sieve ``rows``: one text of each vertex is enough."""
+    for batch in batches:
+        kept = batch.filter(pa.array(passes(rows.value, np.asarray(batch.column("_rk")))))
+        if kept.num_rows:
+            yield kept
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _postings(size: int, percent: int, frequent, sieve=None) -> Callable:
-    """Prefix tokens in order A of each different set of a slice; with a sieve only tokens that pass it."""
+def _postings(size: int, percent: int, rows, later: list, only=None) -> Callable:
+    """Prefix tokens in order A of the wanted rows; with ``only`` just those that pass it.
+
+    ``later`` holds one sieve per level: a token goes behind the others by the number of sieves that it passes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rank = frequent.value
-        for batch in batches:
+        for batch in _wanted(batches, rows):
             for _, _, data, off in A.text_slices(batch.column("text")):
                 lists, name, length = [], [], []
                 seen = set()
@@ -103,14 +128,14 @@ def _postings(size: int, percent: int, frequent, sieve=None) -> Callable:
                         continue
                     seen.add(v)
                     head = s
-                    if len(tokens):
-                        near = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        late = np.where(tokens[near] == s, rank[near], 0)
-                        if late.any():
-                            head = s[np.argsort(late, kind="stable")]
+                    if later:
+                        rank = np.zeros(len(s), dtype=np.int8)
+                        for level in later:
+                            rank += passes(level.value, s)
+                        head = s[np.argsort(rank, kind="stable")]
                     head = head[: prefix_length(len(s), percent)]
-                    if sieve is not None:
-                        head = head[passes(sieve.value, head)]
+                    if only is not None:
+                        head = head[passes(only.value, head)]
                     lists.append(head)
                     name.append(v)
                     length.append(len(s))
@@ -124,21 +149,16 @@ def _postings(size: int, percent: int, frequent, sieve=None) -> Callable:
     return run
 
 
-def _sets(size: int, sieve) -> Callable:
-    """Sets of the vertices that pass the sieve."""
+def _sets(size: int, rows) -> Callable:
+    """Sets of the wanted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _wanted(batches, rows):
             for _, _, data, off in A.text_slices(batch.column("text")):
                 found = {}
                 for s in token_sets(data, off, size):
                     found.setdefault(_set_name(s), s)
-                names = np.array(list(found), dtype=np.int64)
-                keep = names[passes(sieve.value, names)]
-                if len(keep):
-                    parts = [found[v] for v in keep.tolist()]
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                    yield pa.record_batch([pa.array(keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=["v", "tokens"])
+                yield pa.record_batch([pa.array(np.array(list(found), dtype=np.int64)), _lists_of(list(found.values()))], names=["v", "tokens"])
 
     return run
 
@@ -176,14 +196,16 @@ def _prefix(tokens: str, n: str, order: str, percent: int) -> Column:
     return F.slice(F.concat(F.slice(t, head + 1, F.greatest(F.lit(1), F.col(n))), t), F.lit(1), p)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that pass the filters of orders B and C and whose sets are similar enough.
 
-    Sets are made again from the texts, for the vertices of ``pairs`` only, and landed once per vertex however many texts
-    have it. The filters read prefixes; whole sets are joined to the pairs left.
+    Sets are made again from one text of each vertex of ``pairs`` and landed once. The filters read prefixes; whole sets
+    are joined to the pairs left.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    sets = land(texts.mapInArrow(_sets(size, sieve_of(ends, "v")), "v bigint, tokens array<bigint>").dropDuplicates(["v"]))
+    wanted = land(vertices.select("v", "_rk").join(ends, "v", "left_semi"))
+    sets = texts.mapInArrow(_sets(size, sieve_of(wanted, "_rk")), "v bigint, tokens array<bigint>")
+    sets = land(sets.join(wanted.select("v"), "v", "left_semi").dropDuplicates(["v"]))
     sized = sets.withColumn("n", F.size("tokens"))
     heads = sized.select("v", *[_prefix("tokens", "n", order, percent).alias(order) for order in ("B", "C")])
     both = pairs.select("a", "b").join(heads.toDF("a", "Ba", "Ca"), "a").join(heads.toDF("b", "Bb", "Cb"), "b")
@@ -194,58 +216,92 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return lists.withColumn("label", F.col("v"))
-    return lists.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        return rows.withColumn("label", F.col("v"))
+    return rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
 
 
-def linked_vertices(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Labels of all vertices that have a link; ``lists`` (t, b, v, n) are landed posting lists with several vertices.
+def _may_link(percent: int) -> Column:
+    """Sizes and sketches of (n, sketch) and (m, other) allow the similarity asked for, and labels differ."""
+    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other")[i])) for i in range(WORDS)), F.lit(0))
+    return (
+        (F.col("label") != F.col("ul")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
+    )
 
-    When all pairs of a list are formed, their shared prefix tokens are counted: the overlap of two sets is at most that
-    count and what is left of the longer rest behind the prefixes, so most pairs end there.
-    """
-    links, checked, labels = None, None, None
-    rows = lists.count()
-    if not rows:
-        return None
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+
+def _several_labels(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of the groups in which there is more than one label."""
+    open_groups = rows.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*key)
+    return rows.join(open_groups, list(key), "left_semi")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
+
+
+def led_together(vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links (a, b) found by comparing each vertex with leaders; few rows per vertex, so large groups cost little."""
+    keys = land(vertices.select("v", "n", "sketch", F.posexplode("firsts").alias("i", "t")))
+    links, labels = None, None
     for turn in range(ROUNDS):
-        now = land(_labelled(lists, labels))
-        per = now.groupBy("t", "b", "label").agg(F.count("*").alias("k")).groupBy("t", "b").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        open_pairs = per.agg(F.sum((F.col("k").cast("double") * F.col("k") - F.col("q")) / 2)).first()[0] or 0
-        if not open_pairs:
+        now = land(_several_labels(_labelled(keys, labels), "i", "t"))
+        order = F.xxhash64(F.col("v"), F.lit(turn))
+        lead = now.groupBy("i", "t").agg(F.min_by(F.struct("v", "n", "label", "sketch"), order).alias("x"))
+        lead = lead.select("i", "t", F.col("x.v").alias("u"), F.col("x.n").alias("m"), F.col("x.label").alias("ul"), F.col("x.sketch").alias("other"))
+        pairs = now.join(lead, ["i", "t"]).where(_may_link(percent))
+        pairs = land(_ordered(pairs.groupBy("v").agg(F.min_by("u", F.xxhash64("u", F.lit(turn))).alias("u"))))
+        if pairs.isEmpty():
             break
-        star = turn < ROUNDS - 1 and open_pairs > 4 * rows
-        if star:
-            order = F.xxhash64(F.col("v"), F.lit(turn))
-            lead = now.groupBy("t", "b").agg(F.min_by("v", order).alias("u"), F.min_by("n", order).alias("m"), F.min_by("label", order).alias("ul"))
-            pairs = now.join(land(lead), ["t", "b"]).where((F.col("label") != F.col("ul")) & fits)
-            votes = pairs.groupBy("v", "u").agg(F.count("*").alias("k"))
-            pairs = votes.groupBy("v").agg(F.max_by("u", F.struct("k", "u")).alias("u"))
-        else:
-            other = now.select("t", "b", F.col("v").alias("u"), F.col("n").alias("m"), F.col("label").alias("ul"))
-            # both ends of a pair meet in the list of the larger bucket, and perhaps in another, where they do not count
-            meet = F.col("b") == F.greatest(_bucket("n", percent), _bucket("m", percent))
-            pairs = now.join(other, ["t", "b"]).where((F.col("v") < F.col("u")) & (F.col("label") != F.col("ul")) & fits & meet)
-            rest = F.greatest(F.col("n") - _head("n", percent), F.col("m") - _head("m", percent))
-            enough = (100 + percent) * (F.col("k") + rest) >= percent * (F.col("n") + F.col("m"))
-            pairs = pairs.groupBy("v", "u").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough).select("v", "u")
-        pairs = pairs.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = land(pairs)
-        new = land(verified(pairs, texts, size, percent))
-        checked = pairs if checked is None else land(checked.union(pairs))
-        if not new.isEmpty():
-            links = new if links is None else land(links.union(new))
-            labels = components(links)
-        elif star and turn < ROUNDS - 2:
-            continue
-        if not star:
+        new = land(verified(pairs, texts, vertices, size, percent))
+        if new.isEmpty():
             break
-    return labels
+        links = new if links is None else land(links.union(new))
+        labels = components(links)
+    return links
+
+
+def linked_vertices(lists: DataFrame, vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Labels of all vertices that have a link; ``lists`` (t, b, v) are landed posting lists with several vertices.
+
+    The shared prefix tokens of a pair are counted: the overlap of two sets is at most that count and what is left of the
+    longer rest behind the prefixes, so of the pairs that sketches let through most end there.
+    """
+    links = led_together(vertices, texts, size, percent)
+    labels = None if links is None else components(links)
+    named = _labelled(vertices.select("v", "n", "sketch"), labels)
+    open_lists = land(_several_labels(lists.join(named.select("v", "label"), "v"), "t", "b").select("t", "b", "v"))
+    now = land(open_lists.join(named, "v"))
+    other = now.select("t", "b", F.col("v").alias("u"), F.col("n").alias("m"), F.col("label").alias("ul"), F.col("sketch").alias("other"))
+    # both ends of a pair meet in the list of the larger bucket, and perhaps in another, where they do not count
+    meet = F.col("b") == F.greatest(_bucket("n", percent), _bucket("m", percent))
+    pairs = now.join(other, ["t", "b"]).where((F.col("v") < F.col("u")) & meet & _may_link(percent))
+    rest = F.greatest(F.col("n") - _head("n", percent), F.col("m") - _head("m", percent))
+    enough = (100 + percent) * (F.col("k") + rest) >= percent * (F.col("n") + F.col("m"))
+    pairs = pairs.groupBy("v", "u").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough)
+    pairs = land(_ordered(pairs.select("v", "u")))
+    if pairs.isEmpty():
+        return labels
+    new = land(verified(pairs, texts, vertices, size, percent))
+    if new.isEmpty():
+        return labels
+    return components(new if links is None else links.union(new))
+
+
+def posting_lists(texts: DataFrame, rows, size: int, percent: int) -> DataFrame:
+    """Landed lists (t, b, v) with several vertices, from the prefixes of all sets in order A."""
+    shape, later = "t bigint, v bigint, n int", []
+    for turn in range(2):
+        counted = texts.mapInArrow(_postings(size, percent, rows, later), shape).groupBy("t").agg(F.count("*").alias("k"))
+        many = land(counted.where(f"k >= {LEVELS[0]}"))
+        if turn == 0:
+            later = [sieve_of(many.where(f"k >= {k}"), "t") for k in LEVELS]
+    # tokens of one set only are most of all: they are found by counting and not moved again
+    lists = texts.mapInArrow(_postings(size, percent, rows, later, sieve_of(many, "t")), shape).join(many.select("t"), "t", "left_semi")
+    lists = land(lists.dropDuplicates(["t", "v"]).withColumn("b", F.explode(F.array(_bucket("n", percent), _bucket("n", percent) + 1))))
+    several = land(lists.groupBy("t", "b").agg(F.count("*").alias("k")).where("k > 1").select("t", "b"))
+    return land(lists.join(several, ["t", "b"], "left_semi").select("t", "b", "v"))
 
 
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -257,25 +313,15 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     with nothing; fewer words than a shingle make one. Repeated rows share a class. A null doc_id belongs to its group
     but never names it; alone it has a null component_id. An empty table gives no rows; other columns are left out.
     """
-    spark, docs = docs.sparkSession, keyed(docs)
-    first = land(docs.select("doc_id", "_rk", "text").mapInArrow(_members(size), "doc_id bigint, _rk bigint, n bigint, v bigint, token bigint"))
-    members = first.where("v IS NOT NULL")
-    seen = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    tokens = np.array(seen.column("token"), dtype=np.int64)
-    order = np.argsort(tokens)
-    rank = (1 + np.log2(np.maximum(1, np.array(seen.column("n"), dtype=np.float64)))).astype(np.int8)
-    frequent = spark.sparkContext.broadcast((tokens[order], rank[order]))
-    shape, texts = "t bigint, v bigint, n int", docs.select("text")
-    # tokens of one document only are most of all: they are found by counting and not moved again
-    counted = texts.mapInArrow(_postings(size, percent, frequent), shape).groupBy("t").agg(F.count("*").alias("k"))
-    many = land(counted.where("k > 1").select("t"))
-    lists = texts.mapInArrow(_postings(size, percent, frequent, sieve_of(many, "t")), shape).join(many, "t", "left_semi")
-    lists = land(lists.dropDuplicates(["t", "v"]).withColumn("b", F.explode(F.array(_bucket("n", percent), _bucket("n", percent) + 1))))
-    several = lists.groupBy("t", "b").agg(F.count("*").alias("k")).where("k > 1").select("t", "b")
-    lists = land(lists.join(land(several), ["t", "b"], "left_semi").select("t", "b", "v", "n"))
-    labels = linked_vertices(lists, texts, size, percent)
-    ids = members.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("low"))
-    classes = _labelled(ids, labels)
+    docs = keyed(docs)
+    members = land(docs.select("doc_id", "_rk", "text").mapInArrow(_members(size), MEMBER))
+    vertices = members.where("n > 0").groupBy("v").agg(
+        F.min("doc_id").alias("low"), F.min("_rk").alias("_rk"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("firsts").alias("firsts")
+    )
+    vertices = land(vertices)
+    texts = docs.select("_rk", "text")
+    lists = posting_lists(texts, sieve_of(vertices, "_rk"), size, percent)
+    classes = _labelled(vertices.select("v", "low"), linked_vertices(lists, vertices, texts, size, percent))
     smallest = classes.groupBy("label").agg(F.min("low").alias("low"))
     named = land(classes.select("v", "label").join(smallest, "label").select("v", "label", F.col("low").alias("component_id")))
     out = members.join(named, "v", "left")
