@@ -2,8 +2,8 @@
 
 Two sets with Jaccard similarity t or more share a token among the first ``n - ceil(t*n) + 1`` tokens of each, whatever
 global order the tokens are put in. Order A puts tokens that many sets hold last and finds candidates through posting
-lists; its counts are exact counts of the tokens in the prefixes of all sets, refined once: what the first prefixes share
-goes last, and the prefixes made anew are counted again. Orders B (digests descending) and C (digests read as unsigned
+lists; it begins with the tokens that neighbouring rows share and is mended by exact counts over the prefixes of all sets:
+what several of them hold goes last, and the prefixes made anew are counted again. Orders B (digests descending) and C (digests read as unsigned
 numbers) must agree before a pair is verified. Every set also carries a parity sketch: the bits in which two sketches
 differ are at most the tokens that only one of the sets holds, so most pairs end inside the join of a list and are never
 written.
@@ -32,7 +32,8 @@ SHINGLE, PERCENT = 5, 80
 WORDS = 8  # of 64 bits in a parity sketch
 FIRSTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=A.U)
 LEVELS = (2, 6, 24, 100)  # a token found in so many prefixes moves one place back in order A
-ROUNDS = 5  # of comparisons with leaders at most; what they leave is looked at pair by pair
+SPREAD = 1_500_000
+ROUNDS = 3  # of comparisons with leaders at most; what they leave is looked at pair by pair
 
 
 def token_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -77,24 +78,39 @@ def _lists_of(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)))
 
 
-MEMBER = "doc_id bigint, _rk bigint, n bigint, v bigint, sketch array<bigint>, firsts array<bigint>"
+MEMBER = "doc_id bigint, _rk bigint, n bigint, v bigint, sketch array<bigint>, firsts array<bigint>, token bigint"
 
 
 def _members(size: int) -> Callable:
-    """Per row its vertex, and what is compared before sets are."""
+    """Per row its vertex, and what is compared before sets are; as rows of another kind, tokens that several sets of a
+    run of ``SPREAD`` tokens hold, and how many."""
+
+    def shared(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tokens, held = np.unique(np.concatenate(sets), return_counts=True)
+        some = held >= 2
+        if some.any():
+            none, lists = pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.list_(pa.int64()))
+            columns = [none, none, pa.array(held[some].astype(np.int64)), none, lists, lists, pa.array(tokens[some])]
+            yield pa.record_batch(columns, names=["doc_id", "_rk", "n", "v", "sketch", "firsts", "token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, dtype=np.int64)
+        none, waiting = np.empty(0, dtype=np.int64), []
         for batch in batches:
             for a, b, data, off in A.text_slices(batch.column("text")):
                 sets = token_sets(data, off, size)
+                waiting += sets
+                if sum(map(len, waiting)) >= SPREAD:
+                    yield from shared(waiting)
+                    waiting = []
                 at = pa.array(np.arange(a, b))
                 yield pa.record_batch(
                     [batch.column("doc_id").take(at), batch.column("_rk").take(at), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([_set_name(s) for s in sets], pa.int64()), _lists_of([_sketch(s) if len(s) else none for s in sets]),
-                     _lists_of([_firsts(s) if len(s) else none for s in sets])],
-                    names=["doc_id", "_rk", "n", "v", "sketch", "firsts"],
+                     _lists_of([_firsts(s) if len(s) else none for s in sets]), pa.nulls(b - a, pa.int64())],
+                    names=["doc_id", "_rk", "n", "v", "sketch", "firsts", "token"],
                 )
+        if waiting:
+            yield from shared(waiting)
 
     return run
 
@@ -289,14 +305,18 @@ def linked_vertices(lists: DataFrame, vertices: DataFrame, texts: DataFrame, siz
     return components(new if links is None else links.union(new))
 
 
-def posting_lists(texts: DataFrame, rows, size: int, percent: int) -> DataFrame:
-    """Landed lists (t, b, v) with several vertices, from the prefixes of all sets in order A."""
-    shape, later = "t bigint, v bigint, n int", []
+def posting_lists(texts: DataFrame, rows, nearby: DataFrame, size: int, percent: int) -> DataFrame:
+    """Landed lists (t, b, v) with several vertices, from the prefixes of all sets in order A.
+
+    The order begins with ``nearby`` (t, k), tokens that neighbouring rows share, and is mended by counts over all rows.
+    """
+    shape = "t bigint, v bigint, n int"
+    later = [sieve_of(nearby.where(f"k >= {k}"), "t") for k in LEVELS]
     for turn in range(2):
         counted = texts.mapInArrow(_postings(size, percent, rows, later), shape).groupBy("t").agg(F.count("*").alias("k"))
         many = land(counted.where(f"k >= {LEVELS[0]}"))
         if turn == 0:
-            later = [sieve_of(many.where(f"k >= {k}"), "t") for k in LEVELS]
+            later = later + [sieve_of(many.where(f"k >= {k}"), "t") for k in LEVELS]
     # tokens of one set only are most of all: they are found by counting and not moved again
     lists = texts.mapInArrow(_postings(size, percent, rows, later, sieve_of(many, "t")), shape).join(many.select("t"), "t", "left_semi")
     lists = land(lists.dropDuplicates(["t", "v"]).withColumn("b", F.explode(F.array(_bucket("n", percent), _bucket("n", percent) + 1))))
@@ -314,13 +334,15 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     but never names it; alone it has a null component_id. An empty table gives no rows; other columns are left out.
     """
     docs = keyed(docs)
-    members = land(docs.select("doc_id", "_rk", "text").mapInArrow(_members(size), MEMBER))
+    first = land(docs.select("doc_id", "_rk", "text").mapInArrow(_members(size), MEMBER))
+    members = first.where("v IS NOT NULL")
+    nearby = land(first.where("token IS NOT NULL").groupBy(F.col("token").alias("t")).agg(F.sum("n").alias("k")))
     vertices = members.where("n > 0").groupBy("v").agg(
         F.min("doc_id").alias("low"), F.min("_rk").alias("_rk"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("firsts").alias("firsts")
     )
     vertices = land(vertices)
     texts = docs.select("_rk", "text")
-    lists = posting_lists(texts, sieve_of(vertices, "_rk"), size, percent)
+    lists = posting_lists(texts, sieve_of(vertices, "_rk"), nearby, size, percent)
     classes = _labelled(vertices.select("v", "low"), linked_vertices(lists, vertices, texts, size, percent))
     smallest = classes.groupBy("label").agg(F.min("low").alias("low"))
     named = land(classes.select("v", "label").join(smallest, "label").select("v", "label", F.col("low").alias("component_id")))
