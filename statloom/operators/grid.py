@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statloom.functions.numbers import NUMBER_PATTERN, numeric_like, text_cell
 from statloom.functions.text import snake_name
-from statloom.operators.ordered import attach, with_halo
+from statloom.operators.ordered import attach, only, with_halo
 from statloom.sources.landing import land
 
 LOOK_AHEAD_ROWS = 5
@@ -56,16 +56,22 @@ def header_scores(grid: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS
     )
     v = F.col("value")
     is_text = text_cell(v)
-    per_row = grid.groupBy(*keys, "row_idx").agg(
-        F.count_if(~blank(v)).alias("_filled"),
-        F.count_if(is_text).alias("_text"),
-        # digests of one row's texts: as many as the row has cells
-        F.size(F.collect_set(F.when(is_text, F.xxhash64(F.lower(F.trim(v)))))).alias("_distinct"),
-        F.count_if(numeric_like(v)).alias("_numeric"),
+    # Blank cells count for the size only. The others travel once, to the task of their chunk, where cells are
+    # added up per row and text and then per row.
+    slim = grid.where(~blank(v)).select(
+        *keys, "row_idx", F.when(is_text, F.xxhash64(F.lower(F.trim(v)))).alias("_digest"), numeric_like(v).cast("int").alias("_is_number"))
+    chunked = with_halo(slim, "row_idx", chunk_rows, after=LOOK_AHEAD_ROWS).repartition(*keys, "_chunk")
+    place = [*keys, "_chunk", "_own", "row_idx"]
+    per_text = chunked.groupBy(*place, "_digest").agg(F.count(F.lit(1)).alias("_n"), F.sum("_is_number").alias("_numbers"))
+    per_row = per_text.groupBy(*place).agg(
+        F.sum("_n").alias("_filled"),
+        F.coalesce(F.sum(F.when(F.col("_digest").isNotNull(), F.col("_n"))), F.lit(0)).alias("_text"),
+        F.count("_digest").alias("_distinct"),
+        F.sum("_numbers").alias("_numeric"),
     )
     ahead = W.partitionBy(*keys, "_chunk").orderBy("row_idx").rangeBetween(1, LOOK_AHEAD_ROWS)
-    below = with_halo(per_row, "row_idx", chunk_rows, after=LOOK_AHEAD_ROWS).withColumn("_below", F.coalesce(F.sum("_numeric").over(ahead), F.lit(0)))
-    rows = attach(below.where(F.col("_own") & (F.col("_filled") > 0)), size, keys)
+    below = per_row.withColumn("_below", F.coalesce(F.sum("_numeric").over(ahead), F.lit(0)))
+    rows = attach(below.where("_own"), size, keys)
     n_below = F.least(F.lit(LOOK_AHEAD_ROWS), F.col("_rows") - 1 - F.col("row_idx"))
     share_below = F.when(n_below > 0, F.col("_below") / (n_below * F.col("_cols"))).otherwise(0.0)
     score = (
@@ -100,7 +106,7 @@ def header_rows(grid: DataFrame, keys: list[str]) -> DataFrame:
         gate = gate.withColumn("_marked", F.lit(None).cast("int"))
     given = F.col("_marked").isNotNull() | F.coalesce(F.col("real_header"), F.lit(False))
     gate = land(gate.withColumn("_given", given))
-    searched = attach(grid, gate.where("NOT _given").select(*keys, F.lit(True).alias("_searched")), keys).drop("_searched")
+    searched = only(grid, gate.where("NOT _given"), keys)
     found = attach(gate, detect_header_row(searched, keys), keys, "left")
     row = F.coalesce("_marked", F.when(F.col("real_header"), F.lit(0)), "header_row", F.lit(0))
     return found.select(*keys, row.alias("header_row"), (~F.col("_given")).alias("detected"))
@@ -123,7 +129,7 @@ def metadata_split(cells: DataFrame, keys: list[str], chunk_rows: int = CHUNK_RO
     """
     label = F.lower(F.trim("value")).isin(*METADATA_LABELS) & (F.col("col_idx") == 0)
     enough = cells.where(label).groupBy(*keys).agg(F.count(F.lit(1)).alias("_labels")).where(F.col("_labels") >= METADATA_MIN_LABELS)
-    near = attach(cells, enough, keys)
+    near = only(cells, enough, keys)
     numeric = (F.col("col_idx") > 0) & numeric_like(F.col("value"))
     rows = near.groupBy(*keys, "body_row").agg(F.coalesce(F.bool_or(label), F.lit(False)).alias("_label"), F.coalesce(F.bool_or(numeric), F.lit(False)).alias("_number"))
     rows = rows.where("_label OR _number").select(

@@ -7,6 +7,7 @@ from statloom.operators import cleaning, contract, grid
 from statloom.plans import landing_run
 from statloom.sources import contract as contract_source
 from statloom.sources import html, sinks, tables
+from statloom.sources.landing import land
 
 SHEET = """<html><x:Name>Ark1</x:Name><x:Name>Ark1</x:Name><table><thead><tr><th></th><th>Gas &amp; oil</th><th>Gas-oil</th></tr></thead>
 <tr><th scope="row">Q1 1998</th><td>1.5</td><td>[c]</td></tr><tr><th scope="row">Q2 1998</th><td>2.5</td><td>n/a</td></tr>
@@ -306,3 +307,14 @@ def test_a_contract_that_cannot_be_read_is_an_issue(spark):
     cells = spark.createDataFrame([], "workbook string, sheet string, row_idx int, column string, value string")
     assert [i["issue_code"] for i in contract.contract_issues(cells, "a: [").collect()] == ["schema_registry_unreadable"]
     assert contract.contract_issues(cells, "").count() == 0
+
+
+def test_cells_are_never_broadcast_however_small_their_files_are(spark):
+    block = [["Title", "words"], ["CDID", "words"], ["Unit", "words"], *[["2001", "5"]] * 60]
+    rows = [(r, c, v) for r, row in enumerate(block) for c, v in enumerate(row)]
+    sheets = spark.range(2000).select(F.concat(F.lit("sheet number "), "id").alias("sheet"), F.inline(F.array(
+        *[F.struct(F.lit(r).alias("body_row"), F.lit(c).alias("col_idx"), F.lit(v).alias("value")) for r, c, v in rows])))
+    found = grid.metadata_split(land(sheets), ["sheet"])
+    assert {(r["n_labels"], r["meta_last_row"]) for r in found.collect()} == {(3, 2)}
+    found._jdf.queryExecution().executedPlan().execute()  # the plan is settled while it runs
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from statloom.operators import grid
 from statloom.session import ensure_checkpoint_dir
 from statloom.sources import html, sinks, tables
-from statloom.sources.landing import land
+from statloom.sources.landing import land, spread
 from workload import cells, shapes as s
 from workload.base import query, table
 
@@ -121,7 +121,7 @@ def _(spark, d):
 @query("header_anywhere_d1_d2", "sheet:s header_row:i detected:b", "SELECT c_name AS sheet, 1 + c_custkey % 500 AS header_row, true AS detected FROM customer")
 def _(spark, d):
     """One sheet per customer: one to 500 rows of notes by key, the header of 203 columns or three, then rows of numbers."""
-    c = table(spark, d, "customer").select("c_name", "c_custkey", "c_nationkey", "c_acctbal", (F.col("c_custkey") % 500 + 1).cast("int").alias("k"))
+    c = spread(table(spark, d, "customer").select("c_name", "c_custkey", "c_nationkey", "c_acctbal", (F.col("c_custkey") % 500 + 1).cast("int").alias("k")))
     wide = F.when(F.col("c_custkey") % 100 == 0, 203).otherwise(3)
     rows = c.withColumn("wide", wide).select("*", F.explode(F.sequence(F.lit(0), F.col("k") + 7)).alias("row_idx"))
     cells_ = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("col_idx"))
@@ -134,7 +134,7 @@ def _(spark, d):
 @query("metadata_anywhere_d4", "sheet:s n_labels:i meta_last_row:i", """SELECT s_name AS sheet, 5 AS n_labels, s_suppkey % 60 + 14 AS meta_last_row FROM supplier""")
 def _(spark, d):
     """Per supplier a body with up to 59 rows of text, a block of five labels with notes between them, and a label among the data."""
-    x = table(spark, d, "supplier").select(F.col("s_name").alias("sheet"), (F.col("s_suppkey") % 60).cast("int").alias("k"), "s_acctbal")
+    x = spread(table(spark, d, "supplier").select(F.col("s_name").alias("sheet"), (F.col("s_suppkey") % 60).cast("int").alias("k"), "s_acctbal"))
     rows = x.select("*", F.explode(F.sequence(F.lit(0), F.col("k") + 20)).alias("body_row"))
     at = F.col("body_row") - F.col("k")
     first = F.when(at == 0, "Title").when(at == 1, "CDID").when(at == 2, "Unit").when(at == 8, "Release date").when(at == 14, "Next release").when(at == 18, "unit").when(at > 14, F.concat(F.lit("19"), at)).otherwise("text")
