@@ -18,6 +18,7 @@ SUSPICIOUS_SHARE = 0.3
 METADATA_REACH = 12
 METADATA_MIN_LABELS = 3
 CHUNK_ROWS = 100_000
+TASK_CELLS = 500_000  # filled cells for which a task more is taken
 
 # Labels of the block that precedes a published time series.
 METADATA_LABELS = (
@@ -49,18 +50,21 @@ def header_scores(grid: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS
 
     score = text density * distinct ratio * (0.4 + numeric share of the next five
     rows) * filled width. Rows are cut into chunks that share five rows with the
-    next one, so a sheet of any length is spread over tasks.
+    next one, so a sheet of any length is spread over tasks. The grid is read twice: pass a landed one.
     """
-    size = grid.groupBy(*keys).agg(
-        (F.max("row_idx") + 1).alias("_rows"), (F.max("col_idx") + 1).alias("_cols")
-    )
     v = F.col("value")
+    size = land(grid.groupBy(*keys).agg(
+        (F.max("row_idx") + 1).alias("_rows"), (F.max("col_idx") + 1).alias("_cols"), F.count_if(~blank(v)).alias("_cells")
+    ))
+    spark = grid.sparkSession
+    filled = size.agg(F.coalesce(F.sum("_cells"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), filled // TASK_CELLS)
     is_text = text_cell(v)
     # Blank cells count for the size only. The others travel once, to the task of their chunk, where cells are
     # added up per row and text and then per row.
     slim = grid.where(~blank(v)).select(
         *keys, "row_idx", F.when(is_text, F.xxhash64(F.lower(F.trim(v)))).alias("_digest"), numeric_like(v).cast("int").alias("_is_number"))
-    chunked = with_halo(slim, "row_idx", chunk_rows, after=LOOK_AHEAD_ROWS).repartition(*keys, "_chunk")
+    chunked = with_halo(slim, "row_idx", chunk_rows, after=LOOK_AHEAD_ROWS).repartition(tasks, *keys, "_chunk")
     place = [*keys, "_chunk", "_own", "row_idx"]
     per_text = chunked.groupBy(*place, "_digest").agg(F.count(F.lit(1)).alias("_n"), F.sum("_is_number").alias("_numbers"))
     per_row = per_text.groupBy(*place).agg(
@@ -71,7 +75,7 @@ def header_scores(grid: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS
     )
     ahead = W.partitionBy(*keys, "_chunk").orderBy("row_idx").rangeBetween(1, LOOK_AHEAD_ROWS)
     below = per_row.withColumn("_below", F.coalesce(F.sum("_numeric").over(ahead), F.lit(0)))
-    rows = attach(below.where("_own"), size, keys)
+    rows = attach(below.where("_own"), size.drop("_cells"), keys)
     n_below = F.least(F.lit(LOOK_AHEAD_ROWS), F.col("_rows") - 1 - F.col("row_idx"))
     share_below = F.when(n_below > 0, F.col("_below") / (n_below * F.col("_cols"))).otherwise(0.0)
     score = (

@@ -318,3 +318,10 @@ def test_cells_are_never_broadcast_however_small_their_files_are(spark):
     assert {(r["n_labels"], r["meta_last_row"]) for r in found.collect()} == {(3, 2)}
     found._jdf.queryExecution().executedPlan().execute()  # the plan is settled while it runs
     assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_header_scores_gather_no_cells_of_a_row(spark):
+    rows = [["A", " a", "b", None], ["1", "2", "3", "x"], ["4", "", "6", "7"]]
+    found = grid.header_scores(as_grid(spark, rows), ["sheet"])
+    assert {r["row_idx"]: r["score"] for r in found.collect()} == pytest.approx(plain_scores(rows))
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
