@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from statloom.sources import landing
+
 # Named entities seen in exported tables.
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
@@ -183,9 +185,9 @@ def html_cells(docs: DataFrame, doc: str = "doc", html: str = "html") -> DataFra
 
     A cell that spans columns or rows stands in each of them. Nested tables are tables of their own, and text of the cell
     around them. End tags of rows and cells may be missing. Header rows are those of ``thead``, else the first rows
-    that have header cells only.
+    that have header cells only. Documents are dealt out over all cores, as reading one costs far more than moving it.
     """
-    texts = docs.select(F.col(doc).alias("doc"), F.col(html).alias("_html")).where(F.col("_html").rlike(r"(?i)<table\b"))
+    texts = landing.spread(docs.select(F.col(doc).alias("doc"), F.col(html).alias("_html")).where(F.col("_html").rlike(r"(?i)<table\b")))
     # arrays of one element keep what is computed from being computed again for each use
     cut = texts.select("doc", "_html", F.explode(F.array(table_pieces(F.col("_html")))).alias("_p"))
     parts = F.transform(F.sequence(F.lit(0), F.col("_p.n") - 1), lambda t: F.array_join(

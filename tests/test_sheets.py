@@ -325,3 +325,12 @@ def test_header_scores_gather_no_cells_of_a_row(spark):
     found = grid.header_scores(as_grid(spark, rows), ["sheet"])
     assert {r["row_idx"]: r["score"] for r in found.collect()} == pytest.approx(plain_scores(rows))
     assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_file_of_many_rows_is_dealt_out_before_costly_work(spark):
+    docs = spark.createDataFrame([(f"d{i}", SHEET) for i in range(200)], "doc string, html string").coalesce(1)
+    cells = html.html_cells(docs)
+    assert cells.rdd.getNumPartitions() > 1
+    assert cells.count() == 200 * html.html_cells(docs.limit(1)).count()
+    ruled = cleaning.land_ruled(spark.range(500).coalesce(1).select(F.lit("c").alias("column"), F.concat("id", F.lit(" kg")).alias("cell")), F.lit(False), ["column"])
+    assert len(ruled.inputFiles()) > 1 and ruled.count() == 500
