@@ -649,9 +649,9 @@ def minimal_keys(df: DataFrame, cols: list[str] | None = None, most_columns: int
 
     Level by level: a set is looked at only if none of its subsets is a key, none of its columns is constant and the product
     of the columns' distinct counts reaches the number of rows. Sets of a level are tested together, ``at_once`` in a job.
-    Rows travel as two 64-bit digests per set, in two steps: first a 64th of the digests, where a value that comes twice
-    settles that a set is no key, then all digests of the sets that are left. NULL equals NULL. Only names and counts per
-    column come to the driver.
+    Rows travel as two 64-bit digests per set, in two steps: first the rows with a 64th of the values of the set's most
+    varied column, where digests that come twice settle that it is no key, then all rows for the sets that are left.
+    NULL equals NULL. Only names and counts per column come to the driver.
     """
     cols = names.data_columns(df.columns) if cols is None else list(cols)
     slim = df.select(*[F.col(f"`{c}`") for c in cols])
@@ -662,15 +662,21 @@ def minimal_keys(df: DataFrame, cols: list[str] | None = None, most_columns: int
         # a digest passes over NULL, so each value says whether it is one
         return [x for c in s for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
 
-    def digests(sets: list[tuple[str, ...]]) -> Column:
+    def digests(sets: list[tuple[str, ...]], places: list[int] | None = None) -> Column:
         return F.array(*[
-            F.struct(F.lit(i).alias("set"), F.xxhash64(*parts(s)).alias("p"), F.xxhash64(F.lit("second"), *parts(s[::-1])).alias("q"))
-            for i, s in enumerate(sets)])
+            F.struct(F.lit(i).alias("set"), F.xxhash64(*parts(sets[i])).alias("p"), F.xxhash64(F.lit("second"), *parts(sets[i][::-1])).alias("q"))
+            for i in (range(len(sets)) if places is None else places)])
+
+    def of_some_values(sets: list[tuple[str, ...]]) -> Column:
+        led: dict[str, list[int]] = {}
+        for i, s in enumerate(sets):
+            led.setdefault(max(s, key=distinct.get), []).append(i)
+        none = F.array().cast("array<struct<set:int,p:bigint,q:bigint>>")
+        return F.concat(*[
+            F.when(F.pmod(F.xxhash64(*parts((c,))), F.lit(64)) == 0, digests(sets, places)).otherwise(none) for c, places in led.items()])
 
     def with_repeats(sets: list[tuple[str, ...]], some: bool) -> set[tuple[str, ...]]:
-        each = digests(sets)
-        if some:
-            each = F.filter(each, lambda x: F.pmod(x["p"], F.lit(64)) == 0)
+        each = of_some_values(sets) if some else digests(sets)
         again = slim.select(F.inline(each)).groupBy("set", "p", "q").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("set").distinct()
         return {sets[r["set"]] for r in again.collect()}
 
