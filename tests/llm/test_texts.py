@@ -197,3 +197,16 @@ def test_pipeline(spark):
 
 def test_digest_helpers():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" and F is not None
+
+
+def test_personal_data_trees_read_all_labelled_candidates(documents, monkeypatch):
+    docs = documents([(i, f"host {i % 250}.{i % 199}.{i % 7}.{i % 300 + 1} tel +49 30 {1234567 + i} or {i}.{i}") for i in range(400)])
+    seen = []
+    fit = pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 10, raising=False)
+    pii.personal_data(docs).count()
+    labels = pii.candidates(pii.keyed(docs)).withColumn("label", pii._weak_label()).where("label IS NOT NULL")
+    want = labels.dropDuplicates([*pii.KEY, "kind", "s"]).where(F.pmod(F.xxhash64("m"), F.lit(3)) > 0).count()
+    assert seen == [want] and want > 0
+    assert "train_rows" not in pii.personal_data.__annotations__
