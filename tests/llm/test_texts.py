@@ -204,7 +204,6 @@ def test_personal_data_trees_read_all_labelled_candidates(documents, monkeypatch
     seen = []
     fit = pii.GBTClassifier.fit
     monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
-    monkeypatch.setattr(pii, "TRAIN_ROWS", 10, raising=False)
     pii.personal_data(docs).count()
     labels = pii.candidates(pii.keyed(docs)).withColumn("label", pii._weak_label()).where("label IS NOT NULL")
     want = labels.dropDuplicates([*pii.KEY, "kind", "s"]).where(F.pmod(F.xxhash64("m"), F.lit(3)) > 0).count()

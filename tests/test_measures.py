@@ -1,8 +1,7 @@
 from __future__ import annotations
 
-from itertools import combinations
-import random
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -189,7 +188,7 @@ def test_minimal_keys_against_all_sets(spark, seed):
     draw = random.Random(seed)
     rows = [(i // 7, i % 7 or None, draw.choice([None, *range(40)]), draw.choice([None, *range(60)]), draw.random() if seed % 2 else None) for i in range(700)]
     names = list("abcde")
-    is_key = {s: len({tuple(r[names.index(c)] for c in s) for r in rows}) == len(rows) for k in (1, 2, 3) for s in combinations(names, k)}
+    is_key = {s: len({tuple(r[names.index(c)] for c in s) for r in rows}) == len(rows) for k in (1, 2, 3) for s in itertools.combinations(names, k)}
     want = {",".join(s) for s, yes in is_key.items() if yes and not any(is_key[t] and set(t) < set(s) for t in is_key)}
     found = profile.minimal_keys(spark.createDataFrame(rows, "a int, b int, c int, d int, e double"))
     assert {r["key_columns"] for r in found.collect()} == want and "a,b" in want
