@@ -334,3 +334,38 @@ def test_a_file_of_many_rows_is_dealt_out_before_costly_work(spark):
     assert cells.count() == 200 * html.html_cells(docs.limit(1)).count()
     ruled = cleaning.land_ruled(spark.range(500).coalesce(1).select(F.lit("c").alias("column"), F.concat("id", F.lit(" kg")).alias("cell")), F.lit(False), ["column"])
     assert len(ruled.inputFiles()) > 1 and ruled.count() == 500
+
+
+def test_table_rules_see_equal_cells_once(spark, monkeypatch):
+    ruled, asked, ways = [], [], []
+    land_ruled, outliers = cleaning.land_ruled, cleaning.log_mad_outliers
+
+    def spy(*args):
+        ruled.append(land_ruled(*args))
+        return ruled[-1]
+
+    def way(values, keys, small=None):
+        ways.append(small)
+        return outliers(values, keys, small)
+
+    monkeypatch.setattr(cleaning, "land_ruled", spy)
+    monkeypatch.setattr(cleaning, "log_mad_outliers", way)
+    monkeypatch.setattr(cleaning, "FEW_VALUES", 20, raising=False)
+    cells = [None, "n/a", "5 kg", "7 [r]", "-999", "1000000", *[str(i) for i in range(1, 31)]]
+    rows = [(cells[i % 36], "usa" if i % 36 < 9 else "Wales", "41 °F" if i % 36 < 4 else "50 °F") for i in range(720)]
+    for k in (20, 10_000):
+        monkeypatch.setattr(cleaning, "FEW_VALUES", k, raising=False)
+        out = cleaning.clean_table(spark.createDataFrame(rows, "price_gbp string, area string, temp_max string"), "w", "s")
+        got = {(r["column"], r["issue_code"]): r["rows_affected"] for r in out.issues.collect()}
+        asked.append(got)
+    assert ruled[0].count() == 36 + 2 + 2 and "SortAggregate" not in ruled[0].groupBy("column").agg(*cleaning.rule_counts("cell", "n"))._jdf.queryExecution().toString()
+    assert ways == [False, True] and asked[0] == asked[1]
+    assert asked[0] == {
+        ("*", "duplicate_row"): 720, ("price_gbp", "placeholder_to_na"): 20, ("price_gbp", "unit_embedded_normalized"): 20,
+        ("price_gbp", "footnote_marker_stripped"): 20, ("price_gbp", "numeric_sentinel"): 20, ("price_gbp", "outlier_robust_log_mad"): 40,  # 1 and 1000000
+        ("price_gbp", "mixed_type_numeric_string"): 660,
+        ("area", "categorical_canonicalized"): 180, ("temp_max", "temperature_f_to_c"): 720,
+    }
+    warm = out.issues.where("issue_code = 'temperature_f_to_c'").first()
+    assert (warm["example_before"], warm["example_after"]) == ("41 °F", "5.0")
+    assert {(r["from_value"], r["rows_affected"]) for r in out.log.collect()} == {("usa", 180)}
