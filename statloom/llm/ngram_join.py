@@ -36,46 +36,78 @@ SPREAD = 1_500_000
 ROUNDS = 3  # of comparisons with leaders at most; what they leave is looked at pair by pair
 
 
-def token_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle digests of each row; fewer words than a shingle make one token, no words none."""
+def token_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle digests of all rows, one row after the other, and where each row begins and the last ends.
+
+    Fewer words than a shingle make one token, no words none. Only the sorting goes row by row.
+    """
     data = A.LOWER[data]
     start, end, first = A.words(data, off)
     digests = A.Digests(A.word_digests(data, start, end))
     n = np.diff(first)
     rolled = digests.rolling(size).view(np.int64)
     short = digests.of(first[:-1], first[1:]).view(np.int64)
-    out = []
-    for a, k, s in zip(first[:-1].tolist(), n.tolist(), short.tolist(), strict=True):
-        if k >= size:
-            out.append(np.unique(rolled[a: a + k - size + 1]))
-        else:
-            out.append(np.array([s] if k else [], dtype=np.int64))
+    held = np.where(n >= size, n - size + 1, n > 0)
+    at = np.concatenate([[0], np.cumsum(held)])
+    row = np.repeat(np.arange(len(n)), held)
+    few = n[row] < size
+    tokens = np.empty(len(row), dtype=np.int64)
+    tokens[few] = short[row[few]]
+    tokens[~few] = rolled[(np.arange(len(row)) - at[row] + first[row])[~few]]
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        tokens[a:b].sort()
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])
+    return tokens[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))])
+
+
+def _per_row(what: np.ufunc, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for each row that has any values."""
+    return what.reduceat(values, at[:-1][at[1:] > at[:-1]]) if len(values) else values
+
+
+def _set_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The name of each row's set; 0 without tokens."""
+    t, k = tokens.view(A.U), np.diff(at)
+    out = np.zeros(len(k), dtype=np.int64)
+    total = _per_row(np.add, t, at) + k[k > 0].astype(A.U) * A.U(A.BASE)
+    out[k > 0] = A.mix(total ^ _per_row(np.bitwise_xor, A.mix(t), at)).view(np.int64)
     return out
 
 
-def _set_name(tokens: np.ndarray) -> int:
-    if not len(tokens):
-        return 0
-    t = tokens.view(A.U)
-    total = np.cumsum(t)[-1:] + np.array([len(t)], dtype=A.U) * A.U(A.BASE)
-    return int(A.mix(total ^ np.bitwise_xor.reduce(A.mix(t))).view(np.int64)[0])
+def _sketches(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens per slot, packed into ``WORDS`` numbers, for each row."""
+    rows = len(at) - 1
+    slots = (A.mix(tokens.view(A.U) ^ FIRSTS[0]) & A.U(64 * WORDS - 1)).astype(np.int64)
+    slots += np.repeat(np.arange(rows) * (64 * WORDS), np.diff(at))
+    return np.packbits((np.bincount(slots, minlength=rows * 64 * WORDS) & 1).astype(np.uint8)).view(np.int64).reshape(rows, WORDS)
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens per slot, packed into ``WORDS`` numbers."""
-    slots = (A.mix(tokens.view(A.U) ^ FIRSTS[0]) & A.U(64 * WORDS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(slots, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+def _firsts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first token under each of a few orders, for each row that has any."""
+    t, k = tokens.view(A.U), np.diff(at)
+    out = np.empty((int((k > 0).sum()), len(FIRSTS)), dtype=np.int64)
+    for i, c in enumerate(FIRSTS):
+        mixed = A.mix(t ^ c)
+        out[:, i] = tokens[mixed == np.repeat(_per_row(np.minimum, mixed, at), k[k > 0])]
+    return out
+
 
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
-def _firsts(tokens: np.ndarray) -> np.ndarray:
-    """The first token under each of a few orders."""
-    t = tokens.view(A.U)
-    return np.array([tokens[np.argmin(A.mix(t ^ c))] for c in FIRSTS], dtype=np.int64)
 
+def _some_rows(tokens: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the rows kept, and how many each of them has."""
+    k = np.diff(at)
+    return tokens[np.repeat(keep, k)], k[keep]
 
-def _lists_of(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)))
+
+def _first_of_each(names: np.ndarray) -> np.ndarray:
+    """True at the first place of each name."""
+    out = np.zeros(len(names), dtype=bool)
+    out[np.unique(names, return_index=True)[1]] = True
+    return out
 
 
 MEMBER = "doc_id bigint, _rk bigint, n bigint, v bigint, sketch array<bigint>, firsts array<bigint>, token bigint"
@@ -94,19 +126,20 @@ def _members(size: int) -> Callable:
             yield pa.record_batch(columns, names=["doc_id", "_rk", "n", "v", "sketch", "firsts", "token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, waiting = np.empty(0, dtype=np.int64), []
+        waiting = []
         for batch in batches:
             for a, b, data, off in A.text_slices(batch.column("text")):
-                sets = token_sets(data, off, size)
-                waiting += sets
+                tokens, bounds = token_sets(data, off, size)
+                k = np.diff(bounds)
+                waiting.append(tokens)
                 if sum(map(len, waiting)) >= SPREAD:
                     yield from shared(waiting)
                     waiting = []
                 at = pa.array(np.arange(a, b))
                 yield pa.record_batch(
-                    [batch.column("doc_id").take(at), batch.column("_rk").take(at), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_set_name(s) for s in sets], pa.int64()), _lists_of([_sketch(s) if len(s) else none for s in sets]),
-                     _lists_of([_firsts(s) if len(s) else none for s in sets]), pa.nulls(b - a, pa.int64())],
+                    [batch.column("doc_id").take(at), batch.column("_rk").take(at), pa.array(k, pa.int64()),
+                     pa.array(_set_names(tokens, bounds)), _lists(_sketches(tokens, bounds)[k > 0].ravel(), WORDS * (k > 0)),
+                     _lists(_firsts(tokens, bounds).ravel(), len(FIRSTS) * (k > 0)), pa.nulls(b - a, pa.int64())],
                     names=["doc_id", "_rk", "n", "v", "sketch", "firsts", "token"],
                 )
         if waiting:
@@ -123,7 +156,7 @@ def _wanted(batches: Iterator[pa.RecordBatch], rows) -> Iterator[pa.RecordBatch]
             yield kept
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
@@ -136,30 +169,23 @@ def _postings(size: int, percent: int, rows, later: list, only=None) -> Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _wanted(batches, rows):
             for _, _, data, off in A.text_slices(batch.column("text")):
-                lists, name, length = [], [], []
-                seen = set()
-                for s in token_sets(data, off, size):
-                    v = _set_name(s)
-                    if not len(s) or v in seen:
-                        continue
-                    seen.add(v)
-                    head = s
-                    if later:
-                        rank = np.zeros(len(s), dtype=np.int8)
-                        for level in later:
-                            rank += passes(level.value, s)
-                        head = s[np.argsort(rank, kind="stable")]
-                    head = head[: prefix_length(len(s), percent)]
-                    if only is not None:
-                        head = head[passes(only.value, head)]
-                    lists.append(head)
-                    name.append(v)
-                    length.append(len(s))
-                if lists:
-                    k = [len(x) for x in lists]
+                tokens, at = token_sets(data, off, size)
+                names, k = _set_names(tokens, at), np.diff(at)
+                keep = _first_of_each(names) & (k > 0)
+                tokens, k = _some_rows(tokens, at, keep)
+                row = np.repeat(np.arange(len(k)), k)
+                if later:
+                    rank = row * (len(later) + 1)
+                    for level in later:
+                        rank += passes(level.value, tokens)
+                    tokens = tokens[np.argsort(rank, kind="stable")]
+                place = np.arange(len(tokens)) - (np.cumsum(k) - k)[row]
+                head = place < prefix_length(k, percent)[row]
+                if only is not None:
+                    head &= passes(only.value, tokens)
+                if head.any():
                     yield pa.record_batch(
-                        [pa.array(np.concatenate(lists)), pa.array(np.repeat(np.array(name, dtype=np.int64), k)), pa.array(np.repeat(np.array(length, dtype=np.int32), k))],
-                        names=["t", "v", "n"],
+                        [pa.array(tokens[head]), pa.array(names[keep][row[head]]), pa.array(k[row[head]].astype(np.int32))], names=["t", "v", "n"],
                     )
 
     return run
@@ -171,10 +197,10 @@ def _sets(size: int, rows) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _wanted(batches, rows):
             for _, _, data, off in A.text_slices(batch.column("text")):
-                found = {}
-                for s in token_sets(data, off, size):
-                    found.setdefault(_set_name(s), s)
-                yield pa.record_batch([pa.array(np.array(list(found), dtype=np.int64)), _lists_of(list(found.values()))], names=["v", "tokens"])
+                tokens, at = token_sets(data, off, size)
+                names = _set_names(tokens, at)
+                keep = _first_of_each(names)
+                yield pa.record_batch([pa.array(names[keep]), _lists(*_some_rows(tokens, at, keep))], names=["v", "tokens"])
 
     return run
 

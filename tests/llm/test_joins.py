@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from statloom.llm import decontaminate, ngram_join
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -102,3 +104,18 @@ def test_index_is_intersected_where_documents_lie(spark, documents):
     index = decontaminate.token_places(docs, anchors.select("word"))
     plan = index.join(anchors, "word").groupBy("doc_id", "_rk", "at").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_sets_of_a_slice_are_made_together():
+    texts = [b"", b"a b", b"a b c d e f a b c d e f", b"  ", b"A b C d e F"]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    tokens, at = ngram_join.token_sets(np.frombuffer(b"".join(texts), dtype=np.uint8), off, 5)
+    assert np.diff(at).tolist() == [0, 1, 6, 0, 2]
+    sets = [tokens[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert all(s == sorted(set(s)) for s in sets) and set(sets[4]) <= set(sets[2])
+    names = ngram_join._set_names(tokens, at)
+    assert names[0] == names[3] == 0 and len(set(names.tolist())) == 4
+    alone, bounds = ngram_join.token_sets(np.frombuffer(texts[2], dtype=np.uint8), np.array([0, len(texts[2])]), 5)
+    assert alone.tolist() == sets[2] and ngram_join._set_names(alone, bounds)[0] == names[2]
+    assert ngram_join._sketches(tokens, at)[2].tolist() == ngram_join._sketches(alone, bounds)[0].tolist()
+    assert ngram_join._firsts(tokens, at)[1].tolist() == ngram_join._firsts(alone, bounds)[0].tolist()
