@@ -7,11 +7,12 @@ and are stored once. What is left, a few per cent of the text, is sent to shards
 
 A minimizer with very many different super-windows (the border of a passage that many documents hold) would not fit a
 shard: its windows are dealt out by their own digests instead and counted, which is exact as well and splits as far as
-the windows differ.
+the windows differ. Most of them are decided in blocks before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -97,28 +98,92 @@ def _digest_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(d.view(np.int64))], names=["d"])
 
 
+BLOCK = "doc_id bigint, _rk bigint, start int, m bigint, n bigint, b int, f int, core bigint, whole bigint, at int, size int"
+OPEN = "doc_id bigint, _rk bigint, m bigint, single boolean, w bigint, s bigint"
+
+
+def _blocks(unit: Unit) -> Callable:
+    """Windows of hot super-windows in blocks of about the root of their number.
+
+    A window is named by the place of its minimizer, which is the same for equal windows. A block (``b``) is a range of such
+    places; ``core`` digests what all its windows have in common, ``whole`` all symbols of those that the super-window has,
+    which are ``size`` from ``at`` on (``f``: the place in the first of them).
+    """
+    places = unit.window - unit.gram + 1
+    wide = max(2, math.isqrt(places))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minimizer = np.asarray(batch.column("m")).view(A.U)
+            for a, z, data, off in A.text_slices(batch.column("body")):
+                symbols, first, _, _ = symbols_of(unit, data, off)
+                digests, length = A.Digests(symbols), np.diff(first)
+                grams = digests.rolling(unit.gram)
+                row = np.repeat(np.arange(len(length)), length)[: len(grams)]
+                hit = np.flatnonzero(grams == minimizer[a:z][row])
+                hit = hit[hit - first[row[hit]] < places]
+                anchor = (hit - first[row[hit]])[np.unique(row[hit], return_index=True)[1]]  # leftmost; every row has one
+                last = anchor - (length - unit.window)  # the place in the last window
+                count = anchor // wide - last // wide + 1
+                r = np.repeat(np.arange(len(length)), count)
+                b = (last // wide)[r] + np.arange(len(r)) - (np.cumsum(count) - count)[r]
+                low, high = np.maximum(b * wide, last[r]), np.minimum(b * wide + wide - 1, anchor[r])
+                zero = first[r] + anchor[r]
+                core = digests.of(zero - b * wide, zero - np.minimum(b * wide + wide, places) + 1 + unit.window)
+                whole = digests.of(zero - high, zero - low + unit.window)
+                at = pa.array(r + a)
+                ints = [x.astype(np.int32) for x in (anchor[r] - high, high - low + 1)]
+                yield pa.record_batch(
+                    [*[batch.column(c).take(at) for c in ("doc_id", "_rk", "start", "m", "n")], pa.array(b.astype(np.int32)), pa.array(high.astype(np.int32)),
+                     pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), *map(pa.array, ints)],
+                    names=["doc_id", "_rk", "start", "m", "n", "b", "f", "core", "whole", "at", "size"],
+                )
+
+    return run
+
+
 def _named(unit: Unit) -> Callable:
-    """One row per window of hot super-windows: its digest, and where it is."""
+    """One row per window of blocks that are not decided: its digest, and where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, data, off in A.text_slices(batch.column("body")):
+            begin, size = (np.asarray(batch.column(c)).astype(np.int64) for c in ("at", "size"))
+            for a, z, data, off in A.text_slices(batch.column("body")):
                 symbols, first, _, _ = symbols_of(unit, data, off)
-                names = A.Digests(symbols).rolling(unit.window)
-                row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(names)]
-                place = np.arange(len(names)) - first[row]
-                ok = place + unit.window <= np.diff(first)[row]
-                at = pa.array(row[ok] + a)
-                start = np.asarray(batch.column("start").take(at)) + place[ok]
+                names, k = A.Digests(symbols).rolling(unit.window), size[a:z]
+                row = np.repeat(np.arange(z - a), k)
+                place = begin[a:z][row] + np.arange(len(row)) - (np.cumsum(k) - k)[row]
+                at = pa.array(row + a)
+                start = np.asarray(batch.column("start").take(at)) + place
                 yield pa.record_batch(
-                    [batch.column("doc_id").take(at), batch.column("_rk").take(at), batch.column("m").take(at), batch.column("n").take(at),
-                     pa.array(names[ok].view(np.int64)), pa.array(start.astype(np.int64))],
-                    names=["doc_id", "_rk", "m", "n", "w", "s"],
+                    [*[batch.column(c).take(at) for c in ("doc_id", "_rk", "m", "single")], pa.array(names[first[row] + place].view(np.int64)), pa.array(start.astype(np.int64))],
+                    names=["doc_id", "_rk", "m", "single", "w", "s"],
                 )
 
     return run
 
 
+def hot_spans(bodies: DataFrame, unit: Unit) -> DataFrame:
+    """Spans of repeated windows in super-windows of hot minimizers; ``bodies`` is landed.
+
+    Equal blocks repeat all their windows and go on as one. Blocks with a core of their own share no window with others.
+    Only the windows of what is left, about a block at each border of a passage, are counted one by one.
+    """
+    key = ["m", "b", "f", "whole"]
+    parts = land(bodies.mapInArrow(_blocks(unit), BLOCK))
+    kinds = land(parts.groupBy(*key).agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in (*KEY, "start", "n", "core", "at", "size")]))
+    again = parts.where("n = 1").join(kinds.where("k > 1").select(*key), key, "left_semi").select(
+        *KEY, (F.col("start") + F.col("at")).cast("bigint").alias("s"), (F.col("start") + F.col("at") + F.col("size") + (unit.window - 1)).cast("bigint").alias("e"))
+    several = kinds.groupBy("m", "b", "core").agg(F.count("*").alias("c")).where("c > 1").select("m", "b", "core")
+    undecided = kinds.join(several, ["m", "b", "core"], "left_semi").select(*KEY, "start", "at", "size", ((F.col("k") == 1) & (F.col("n") == 1)).alias("single"))
+    same = same_document("l", "r") & (F.col("l.start") == F.col("r.start"))
+    texts = bodies.alias("l").join(undecided.alias("r"), same).select("l.doc_id", "l._rk", "l.start", "l.m", "r.at", "r.size", "r.single", "l.body")
+    names = land(texts.mapInArrow(_named(unit), OPEN))
+    twice = land(names.groupBy("m", "w").agg(F.count("*").alias("k")).where("k > 1").select("m", "w"))
+    one = names.where("single").join(twice, ["m", "w"], "left_semi").select(*KEY, "s", (F.col("s") + unit.window).alias("e"))
+    return again.unionByName(one)
+
+
 SPAN = "doc_id bigint, _rk bigint, s bigint, e bigint"
 
 
@@ -163,11 +228,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Callable[[list[bytes], Un
         return pa.table({"doc_id": table.column("doc_id").take(take), "_rk": table.column("_rk").take(take), "s": pa.array(s, pa.int64()), "e": pa.array(e, pa.int64())})
 
     partly = bodies.where("NOT hot").groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInArrow(lambda t: search(t), SPAN)
-    names = bodies.where("hot").mapInArrow(_named(unit), "doc_id bigint, _rk bigint, m bigint, n bigint, w bigint, s bigint")
-    names = land(names)
-    twice = land(names.groupBy("m", "w").agg(F.count("*").alias("k")).where("k > 1").select("m", "w"))
-    hot = names.where("n = 1").join(twice, ["m", "w"], "left_semi").select(*KEY, "s", (F.col("s") + unit.window).alias("e"))
-    return whole.unionByName(partly).unionByName(hot)
+    return whole.unionByName(partly).unionByName(hot_spans(bodies.where("hot"), unit))
 
 
 def _with_spans(there: bool, sieve) -> Callable:

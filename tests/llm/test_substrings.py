@@ -79,3 +79,40 @@ def test_hot_minimizers_take_the_counting_way(documents):
     for r in spans:
         covered.setdefault(r.doc_id, []).append((r.s, r.e))
     assert all(arrays.merged(np.array(covered[i])).tolist() == [[9, 49]] for i in range(40))
+
+
+def test_hot_windows_are_decided_in_blocks(documents, monkeypatch):
+    """Few windows of a passage are counted one by one; its copies with another word inside lose what they share."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        inside = list(passage)
+        if i % 3 == 0:
+            inside[int(rng.integers(0, 60))] = f"e{i % 12}"
+        rows.append((i, " ".join([f"a{i % 20}x{j}" for j in range(30)] + inside + [f"b{i}x{j}" for j in range(30)])))
+    rows.append((None, " ".join(passage * 3)))
+    made = {}
+    land = routing.land
+
+    def spy(df):
+        out = land(df)
+        made[tuple(out.columns)] = out
+        return out
+
+    monkeypatch.setattr(routing, "land", spy)
+    unit = routing.Unit(window=20, gram=4, by_word=True, shard=2_000, hot=3)
+    from statloom.llm.base import keyed
+
+    spans = routing.repeated_spans(keyed(documents(rows)), unit, fm_dedup.shard_index).collect()
+    covered = {}
+    for r in spans:
+        covered.setdefault(r.doc_id, []).append((r.s, r.e))
+    expected = {doc: runs for doc, _, removed, runs, _ in brute(rows, 20, True) if removed}
+    cut = {doc: removed for doc, _, removed, _, _ in brute(rows, 20, True) if removed}
+    merged = {i: arrays.merged(np.array(v)) for i, v in covered.items()}
+    assert {i: int((v[:, 1] - v[:, 0]).sum()) for i, v in merged.items()} == cut
+    assert {i: len(v) for i, v in merged.items()} == expected
+    blocks = next(d for c, d in made.items() if "core" in c and "k" not in c)
+    named = next(d for c, d in made.items() if "w" in c and "single" in c)
+    assert 3 * named.count() < blocks.agg({"size": "sum"}).first()[0]
