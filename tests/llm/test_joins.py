@@ -119,3 +119,12 @@ def test_sets_of_a_slice_are_made_together():
     assert alone.tolist() == sets[2] and ngram_join._set_names(alone, bounds)[0] == names[2]
     assert ngram_join._sketches(tokens, at)[2].tolist() == ngram_join._sketches(alone, bounds)[0].tolist()
     assert ngram_join._firsts(tokens, at)[1].tolist() == ngram_join._firsts(alone, bounds)[0].tolist()
+
+
+def test_shuffle_files_end_with_the_landing(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(b.name().startswith("shuffle") for b in (store.getAllBlocks().apply(i) for i in range(store.getAllBlocks().size())))
+    before = held()
+    landed = ngram_join.land(spark.range(1000).repartition(7).groupBy((ngram_join.F.col("id") % 10).alias("k")).count())
+    assert held() <= before and landed.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
