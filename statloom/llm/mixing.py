@@ -36,33 +36,34 @@ def target_shares(cells: DataFrame, axis: str, power: float) -> DataFrame:
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (axes, tokens) with ``weight``: the factor on tokens under which every axis has its target shares.
 
-    The weight of a cell is the product of one factor per axis value, so a step reads the cells, looks up the factors of
-    the other axes, sums tokens by its axis and lands that axis's factors: one shuffle of partial sums. The sum over all cells
-    stays the number of tokens, since targets add up to one. It ends when no share was off by more than ``tolerance``.
+    The weight of a cell is the product of one factor per axis value, kept beside the cell. A step sums tokens by its axis
+    and lands the cells with that axis's new factors: one shuffle of partial sums and one join. The sum over all cells stays
+    the number of tokens, since targets add up to one. It ends when no share was off by more than ``tolerance``.
     Axis values without tokens or target keep their factor. The cells are one row per combination of axis values, not per document.
     """
-    cells = land(cells)
-    total = cells.agg(F.sum("tokens").alias("all"))
-    factors = {a: land(t.join(total, how="left").select(F.col(a).alias("_axis"), (F.col("target") * F.col("all")).alias("_goal"), F.lit(1.0).alias("_f"))) for a, t in targets.items()}
+    total = cells.agg(F.sum("tokens").alias("all")).first()["all"]
+    rows = cells
+    for axis, target in targets.items():
+        goal = target.select(F.col(axis).alias("_axis"), (F.col("target") * F.lit(total).cast("bigint")).alias(f"_goal_{axis}"))
+        rows = rows.join(goal, F.col(axis).eqNullSafe(F.col("_axis")), "left").drop("_axis").withColumns({f"_f_{axis}": F.lit(1.0), f"_off_{axis}": F.lit(0.0)})
+    rows = land(rows)
 
-    def looked_up(rows: DataFrame, axis: str) -> DataFrame:
-        f = factors[axis].select(F.col("_axis").alias(f"_{axis}_"), F.col("_f").alias("_by"))
-        return rows.join(f, F.col(axis).eqNullSafe(F.col(f"_{axis}_")), "left").withColumn("weight", F.col("weight") * F.coalesce("_by", F.lit(1.0))).drop(f"_{axis}_", "_by")
+    def product(axes) -> Column:
+        return reduce(lambda w, a: w * F.col(f"_f_{a}"), axes, F.lit(1.0))
 
-    rows = cells.withColumn("weight", F.lit(1.0))
     for _ in range(rounds):
         for axis in targets:
-            found = rows
-            for other in targets:
-                found = found if other == axis else looked_up(found, other)
-            sums = found.groupBy(F.col(axis).alias("_sum_axis")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_sum"))
-            new = F.when((F.col("_sum") > 0) & (F.col("_goal") > 0), F.col("_goal") / F.col("_sum")).otherwise(F.col("_f"))
-            off = F.coalesce(F.abs(F.col("_f") * F.col("_sum") - F.col("_goal")), F.lit(0.0))
-            factors[axis] = land(sums.join(factors[axis], F.col("_sum_axis").eqNullSafe(F.col("_axis"))).select("_axis", "_goal", new.alias("_f"), off.alias("_off")))
-        worst = reduce(DataFrame.unionAll, [f.select("_off") for f in factors.values()]).agg(F.max("_off").alias("off")).join(total).select(F.try_divide("off", "all")).first()
-        if worst is None or worst[0] is None or worst[0] <= tolerance:
+            weight = product(a for a in targets if a != axis)
+            sums = rows.groupBy(F.col(axis).alias("_axis")).agg(F.sum(F.col("tokens") * weight).alias("_sum"))
+            f, goal = F.col(f"_f_{axis}"), F.col(f"_goal_{axis}")
+            new = F.when((F.col("_sum") > 0) & (goal > 0), goal / F.col("_sum")).otherwise(f)
+            off = F.coalesce(F.abs(f * F.col("_sum") - goal), F.lit(0.0))
+            found = rows.join(sums, F.col(axis).eqNullSafe(F.col("_axis")), "left")
+            rows = land(found.withColumns({f"_f_{axis}": new, f"_off_{axis}": off}).drop("_axis", "_sum"))
+        worst = rows.agg(*[F.max(f"_off_{a}") for a in targets]).first()
+        if not total or None in worst or max(worst) / total <= tolerance:
             break
-    return reduce(looked_up, targets, rows)
+    return rows.select(*[F.col(f"`{c}`") for c in cells.columns], product(targets).alias("weight"))
 
 
 def mixed(docs: DataFrame, keep: float = KEEP, seed: int = 11, powers: dict[str, float] | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def mixed(docs: DataFrame, keep: float = KEEP, seed: int = 11, powers: dict[str,
     rows = docs.withColumns({"_topic": topic_of(text), "_tokens": F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("bigint")})
     axis = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": F.col("_topic")}
     cells = land(rows.groupBy(*[axis[a].alias(a) for a in AXES]).agg(F.sum("_tokens").alias("tokens")))
-    targets = {a: land(target_shares(cells, a, (powers or POWERS)[a])) for a in AXES}
+    targets = {a: target_shares(cells, a, (powers or POWERS)[a]) for a in AXES}
     weights = raked(cells, targets)
     total = weights.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("weight")).alias("heavy"))
     weights = land(weights.join(total, how="left").select(*[F.col(a).alias(f"_{a}_") for a in AXES], F.try_divide(F.col("weight") * F.col("all") * keep, F.col("heavy")).alias("_weight")))

@@ -283,8 +283,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
 
 
-def led_together(vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Links (a, b) found by comparing each vertex with leaders; few rows per vertex, so large groups cost little."""
+def led_together(vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (a, b) found by comparing each vertex with leaders, and their components; few rows per vertex, so large groups cost little."""
     keys = land(vertices.select("v", "n", "sketch", F.posexplode("firsts").alias("i", "t")))
     links, labels = None, None
     for turn in range(ROUNDS):
@@ -299,9 +299,9 @@ def led_together(vertices: DataFrame, texts: DataFrame, size: int, percent: int)
         new = land(verified(pairs, texts, vertices, size, percent))
         if new.isEmpty():
             break
-        links = new if links is None else land(links.union(new))
+        links = new if links is None else links.union(new)
         labels = components(links)
-    return links
+    return links, labels
 
 
 def linked_vertices(lists: DataFrame, vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -310,8 +310,7 @@ def linked_vertices(lists: DataFrame, vertices: DataFrame, texts: DataFrame, siz
     The shared prefix tokens of a pair are counted: the overlap of two sets is at most that count and what is left of the
     longer rest behind the prefixes, so of the pairs that sketches let through most end there.
     """
-    links = led_together(vertices, texts, size, percent)
-    labels = None if links is None else components(links)
+    links, labels = led_together(vertices, texts, size, percent)
     named = _labelled(vertices.select("v", "n", "sketch"), labels)
     open_lists = land(_several_labels(lists.join(named.select("v", "label"), "v"), "t", "b").select("t", "b", "v"))
     now = land(open_lists.join(named, "v"))

@@ -128,3 +128,14 @@ def test_shuffle_files_end_with_the_landing(spark):
     landed = ngram_join.land(spark.range(1000).repartition(7).groupBy((ngram_join.F.col("id") % 10).alias("k")).count())
     assert held() <= before and landed.count() == 10
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_components_are_made_once(documents, monkeypatch):
+    """What leaders brought together is not joined into components a second time."""
+    calls = []
+    made = ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda links: (calls.append(1), made(links))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, text + " more words"), (4, "quite another text of seven words")]
+    assert found(documents(rows)) == components(rows)
+    assert len(calls) == 1

@@ -8,6 +8,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from statloom.llm import extraction, licenses, mixing, pii, quality, toxicity
+from statloom.sources.landing import land
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -180,6 +181,23 @@ def test_raking(spark, documents, odd_rows):
     assert blank.count() == len(odd_rows) and blank.where("_copies IS NULL OR _copies > 0 OR _weight IS NULL").isEmpty()
 
 
+def test_raking_plans_stay_small(spark, monkeypatch):
+    """The driver keeps the plan of every query that ran: a step of the raking has one join, whatever the number of axes."""
+    joins = []
+
+    def landed(df):
+        joins.append(str(df._jdf.queryExecution().analyzed().toString()).count("Join "))
+        return land(df)
+
+    monkeypatch.setattr(mixing, "land", landed)
+    cells = spark.createDataFrame([("a", "x", "p", 10), ("a", "y", "q", 30), (None, "x", "q", 25), ("b", "y", "p", 35)], "source string, lang string, topic string, tokens bigint")
+    got = mixing.raked(cells, {a: mixing.target_shares(cells, a, 0.5) for a in mixing.AXES}, rounds=2, tolerance=0.0).collect()
+    assert got and len(joins) == 7 and max(joins[1:]) == 1
+    sums = mixing.target_shares(cells, "topic", 0.5).collect()
+    for r in sums:
+        assert abs(sum(x.tokens * x.weight for x in got if x.topic == r.topic) / 100 - r.target) < 1e-9
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
