@@ -10,7 +10,7 @@ from statloom.llm.mixing import mixed
 from statloom.llm.ngram_join import one_of_each_group
 from statloom.llm.pii import redacted
 from statloom.llm.toxicity import with_toxicity
-from statloom.sources.landing import land
+from statloom.sources.landing import land, landings
 
 
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = land(docs)
+    with landings() as own:
+        for name, stage in STAGES:
+            docs = stage(spark, docs, sf_dir)
+            if name != STAGES[-1][0]:
+                docs = land(docs)
+            own.only(docs)
     return docs

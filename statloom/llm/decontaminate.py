@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.llm.base import KEY, join_documents, keyed, query, table
-from statloom.sources.landing import land
+from statloom.sources.landing import land, landings
 
 WINDOW, RAREST, SLOP = 10, 3, 4
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,9 +104,16 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = WIND
     items without words match nothing; equal items are all reported; repeated rows get equal answers; empty tables give
     no rows or no hits; null item ids count as no item. Other columns are left out.
     """
-    docs = keyed(docs)
+    with landings() as own:
+        out = _reported(keyed(docs), items, window, own)
+        own.only(out)
+        return out
+
+
+def _reported(docs: DataFrame, items: DataFrame, window: int, own) -> DataFrame:
     phrases, near = window_matches(docs, items, window)
     phrases = land(phrases)
+    own.only(phrases, near)
     hit = phrases.select(*KEY, F.explode(F.sequence(F.col("s"), F.col("s") + F.col("k") - 1)).alias("p")).distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     found = phrases.select(*KEY, "body").distinct()
     ids = found.join(benchmark_bodies(items).select("body", "item_id"), "body").where("item_id IS NOT NULL").select(*KEY, "item_id").distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
@@ -127,10 +134,12 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = WIND
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, columns as they are, in which no window of ``items`` occurs."""
-    report = contaminated_documents(docs, items, window).where("contaminated").select("doc_id", "_rk").distinct()
+    with landings() as own:
+        report = land(contaminated_documents(docs, items, window).where("contaminated").select("doc_id", "_rk").distinct())
+        own.only(report)
     digest = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.alias("d").withColumn("_digest", digest)
-    return rows.join(land(report).alias("r"), (F.col("_digest") == F.col("r._rk")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_anti").drop("_digest")
+    return rows.join(report.alias("r"), (F.col("_digest") == F.col("r._rk")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_anti").drop("_digest")
 
 
 OP4_SQL = r"""

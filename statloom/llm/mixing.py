@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.llm.base import query, table
-from statloom.sources.landing import land
+from statloom.sources.landing import land, landings
 
 AXES = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.5, "topic": 0.8}
@@ -46,23 +46,24 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     for axis, target in targets.items():
         goal = target.select(F.col(axis).alias("_axis"), (F.col("target") * F.lit(total).cast("bigint")).alias(f"_goal_{axis}"))
         rows = rows.join(goal, F.col(axis).eqNullSafe(F.col("_axis")), "left").drop("_axis").withColumns({f"_f_{axis}": F.lit(1.0), f"_off_{axis}": F.lit(0.0)})
-    rows = land(rows)
-
     def product(axes) -> Column:
         return reduce(lambda w, a: w * F.col(f"_f_{a}"), axes, F.lit(1.0))
 
-    for _ in range(rounds):
-        for axis in targets:
-            weight = product(a for a in targets if a != axis)
-            sums = rows.groupBy(F.col(axis).alias("_axis")).agg(F.sum(F.col("tokens") * weight).alias("_sum"))
-            f, goal = F.col(f"_f_{axis}"), F.col(f"_goal_{axis}")
-            new = F.when((F.col("_sum") > 0) & (goal > 0), goal / F.col("_sum")).otherwise(f)
-            off = F.coalesce(F.abs(f * F.col("_sum") - goal), F.lit(0.0))
-            found = rows.join(sums, F.col(axis).eqNullSafe(F.col("_axis")), "left")
-            rows = land(found.withColumns({f"_f_{axis}": new, f"_off_{axis}": off}).drop("_axis", "_sum"))
-        worst = rows.agg(*[F.max(f"_off_{a}") for a in targets]).first()
-        if not total or None in worst or max(worst) / total <= tolerance:
-            break
+    with landings() as own:
+        rows = land(rows)
+        for _ in range(rounds):
+            for axis in targets:
+                weight = product(a for a in targets if a != axis)
+                sums = rows.groupBy(F.col(axis).alias("_axis")).agg(F.sum(F.col("tokens") * weight).alias("_sum"))
+                f, goal = F.col(f"_f_{axis}"), F.col(f"_goal_{axis}")
+                new = F.when((F.col("_sum") > 0) & (goal > 0), goal / F.col("_sum")).otherwise(f)
+                off = F.coalesce(F.abs(f * F.col("_sum") - goal), F.lit(0.0))
+                found = rows.join(sums, F.col(axis).eqNullSafe(F.col("_axis")), "left")
+                rows = land(found.withColumns({f"_f_{axis}": new, f"_off_{axis}": off}).drop("_axis", "_sum"))
+            own.only(rows)
+            worst = rows.agg(*[F.max(f"_off_{a}") for a in targets]).first()
+            if not total or None in worst or max(worst) / total <= tolerance:
+                break
     return rows.select(*[F.col(f"`{c}`") for c in cells.columns], product(targets).alias("weight"))
 
 
@@ -77,11 +78,13 @@ def mixed(docs: DataFrame, keep: float = KEEP, seed: int = 11, powers: dict[str,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({"_topic": topic_of(text), "_tokens": F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("bigint")})
     axis = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": F.col("_topic")}
-    cells = land(rows.groupBy(*[axis[a].alias(a) for a in AXES]).agg(F.sum("_tokens").alias("tokens")))
-    targets = {a: target_shares(cells, a, (powers or POWERS)[a]) for a in AXES}
-    weights = raked(cells, targets)
-    total = weights.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("weight")).alias("heavy"))
-    weights = land(weights.join(total, how="left").select(*[F.col(a).alias(f"_{a}_") for a in AXES], F.try_divide(F.col("weight") * F.col("all") * keep, F.col("heavy")).alias("_weight")))
+    with landings() as own:
+        cells = land(rows.groupBy(*[axis[a].alias(a) for a in AXES]).agg(F.sum("_tokens").alias("tokens")))
+        targets = {a: target_shares(cells, a, (powers or POWERS)[a]) for a in AXES}
+        weights = raked(cells, targets)
+        total = weights.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("weight")).alias("heavy"))
+        weights = land(weights.join(total, how="left").select(*[F.col(a).alias(f"_{a}_") for a in AXES], F.try_divide(F.col("weight") * F.col("all") * keep, F.col("heavy")).alias("_weight")))
+        own.only(weights)
     out = rows.join(weights, (axis["source"] == F.col("_source_")) & (axis["lang"] == F.col("_lang_")) & (F.col("_topic") == F.col("_topic_")), "left")
     out = out.drop(*[f"_{a}_" for a in AXES]).withColumn("_weight", F.when(F.col("_tokens") > 0, F.coalesce("_weight", F.lit(0.0))).otherwise(0.0))
     # a number in [0, 1) from the document itself

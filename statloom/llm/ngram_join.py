@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.llm import arrays as A
 from statloom.llm.base import keyed, query, table
-from statloom.llm.sieve import passes, sieve_of
-from statloom.sources.landing import land
+from statloom.llm.sieve import passes, sieve_of, sieves_of
+from statloom.sources.landing import land, landings
 
 SHINGLE, PERCENT = 5, 80
 WORDS = 8  # of 64 bits in a parity sketch
@@ -207,16 +207,19 @@ def _sets(size: int, rows) -> Callable:
 
 def components(links: DataFrame) -> DataFrame:
     """(v, label) for every vertex of ``links`` (a, b): the smallest vertex reachable. Labels jump, so rounds stay few."""
-    both = land(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = land(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("l"))
-        low = labels.join(near, "v").select("v", "label", F.least("label", "l").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("next"))
-        new = land(low.join(jump, "low", "left").select("v", F.col("label").alias("old"), F.least("low", F.coalesce("next", "low")).alias("label")))
-        labels = new.select("v", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+    with landings() as own:
+        both = land(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        labels = land(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+        while True:
+            near = both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("l"))
+            low = labels.join(near, "v").select("v", "label", F.least("label", "l").alias("low"))
+            jump = labels.select(F.col("v").alias("low"), F.col("label").alias("next"))
+            new = land(low.join(jump, "low", "left").select("v", F.col("label").alias("old"), F.least("low", F.coalesce("next", "low")).alias("label")))
+            labels = new.select("v", "label")
+            own.only(both, labels)
+            if new.where("old <> label").isEmpty():
+                own.only(labels)
+                return labels
 
 
 def _head(n: str, percent: int) -> Column:
@@ -246,8 +249,10 @@ def verified(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, size: int,
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     wanted = land(vertices.select("v", "_rk").join(ends, "v", "left_semi"))
-    sets = texts.mapInArrow(_sets(size, sieve_of(wanted, "_rk")), "v bigint, tokens array<bigint>")
+    rows = sieve_of(wanted, "_rk")
+    sets = texts.mapInArrow(_sets(size, rows), "v bigint, tokens array<bigint>")
     sets = land(sets.join(wanted.select("v"), "v", "left_semi").dropDuplicates(["v"]))
+    rows.destroy()
     sized = sets.withColumn("n", F.size("tokens"))
     heads = sized.select("v", *[_prefix("tokens", "n", order, percent).alias(order) for order in ("B", "C")])
     both = pairs.select("a", "b").join(heads.toDF("a", "Ba", "Ca"), "a").join(heads.toDF("b", "Bb", "Cb"), "b")
@@ -273,6 +278,10 @@ def _may_link(percent: int) -> Column:
     )
 
 
+def _known(*frames: DataFrame | None) -> list[DataFrame]:
+    return [df for df in frames if df is not None]
+
+
 def _several_labels(rows: DataFrame, *key: str) -> DataFrame:
     """Rows of the groups in which there is more than one label."""
     open_groups = rows.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*key)
@@ -285,22 +294,25 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def led_together(vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) found by comparing each vertex with leaders, and their components; few rows per vertex, so large groups cost little."""
-    keys = land(vertices.select("v", "n", "sketch", F.posexplode("firsts").alias("i", "t")))
     links, labels = None, None
-    for turn in range(ROUNDS):
-        now = land(_several_labels(_labelled(keys, labels), "i", "t"))
-        order = F.xxhash64(F.col("v"), F.lit(turn))
-        lead = now.groupBy("i", "t").agg(F.min_by(F.struct("v", "n", "label", "sketch"), order).alias("x"))
-        lead = lead.select("i", "t", F.col("x.v").alias("u"), F.col("x.n").alias("m"), F.col("x.label").alias("ul"), F.col("x.sketch").alias("other"))
-        pairs = now.join(lead, ["i", "t"]).where(_may_link(percent))
-        pairs = land(_ordered(pairs.groupBy("v").agg(F.min_by("u", F.xxhash64("u", F.lit(turn))).alias("u"))))
-        if pairs.isEmpty():
-            break
-        new = land(verified(pairs, texts, vertices, size, percent))
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        labels = components(links)
+    with landings() as own:
+        keys = land(vertices.select("v", "n", "sketch", F.posexplode("firsts").alias("i", "t")))
+        for turn in range(ROUNDS):
+            now = land(_several_labels(_labelled(keys, labels), "i", "t"))
+            order = F.xxhash64(F.col("v"), F.lit(turn))
+            lead = now.groupBy("i", "t").agg(F.min_by(F.struct("v", "n", "label", "sketch"), order).alias("x"))
+            lead = lead.select("i", "t", F.col("x.v").alias("u"), F.col("x.n").alias("m"), F.col("x.label").alias("ul"), F.col("x.sketch").alias("other"))
+            pairs = now.join(lead, ["i", "t"]).where(_may_link(percent))
+            pairs = land(_ordered(pairs.groupBy("v").agg(F.min_by("u", F.xxhash64("u", F.lit(turn))).alias("u"))))
+            if pairs.isEmpty():
+                break
+            new = land(verified(pairs, texts, vertices, size, percent))
+            if new.isEmpty():
+                break
+            links = new if links is None else links.union(new)
+            labels = components(links)
+            own.only(keys, links, labels)
+        own.only(*_known(links, labels))
     return links, labels
 
 
@@ -310,10 +322,18 @@ def linked_vertices(lists: DataFrame, vertices: DataFrame, texts: DataFrame, siz
     The shared prefix tokens of a pair are counted: the overlap of two sets is at most that count and what is left of the
     longer rest behind the prefixes, so of the pairs that sketches let through most end there.
     """
-    links, labels = led_together(vertices, texts, size, percent)
+    with landings() as own:
+        links, labels = led_together(vertices, texts, size, percent)
+        out = _all_linked(lists, vertices, texts, links, labels, size, percent, own)
+        own.only(*_known(out))
+        return out
+
+
+def _all_linked(lists: DataFrame, vertices: DataFrame, texts: DataFrame, links, labels, size: int, percent: int, own) -> DataFrame | None:
     named = _labelled(vertices.select("v", "n", "sketch"), labels)
     open_lists = land(_several_labels(lists.join(named.select("v", "label"), "v"), "t", "b").select("t", "b", "v"))
     now = land(open_lists.join(named, "v"))
+    own.only(now, *_known(links, labels))
     other = now.select("t", "b", F.col("v").alias("u"), F.col("n").alias("m"), F.col("label").alias("ul"), F.col("sketch").alias("other"))
     # both ends of a pair meet in the list of the larger bucket, and perhaps in another, where they do not count
     meet = F.col("b") == F.greatest(_bucket("n", percent), _bucket("m", percent))
@@ -322,6 +342,7 @@ def linked_vertices(lists: DataFrame, vertices: DataFrame, texts: DataFrame, siz
     enough = (100 + percent) * (F.col("k") + rest) >= percent * (F.col("n") + F.col("m"))
     pairs = pairs.groupBy("v", "u").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough)
     pairs = land(_ordered(pairs.select("v", "u")))
+    own.only(pairs, *_known(links, labels))
     if pairs.isEmpty():
         return labels
     new = land(verified(pairs, texts, vertices, size, percent))
@@ -336,17 +357,26 @@ def posting_lists(texts: DataFrame, rows, nearby: DataFrame, size: int, percent:
     The order begins with ``nearby`` (t, k), tokens that neighbouring rows share, and is mended by counts over all rows.
     """
     shape = "t bigint, v bigint, n int"
-    later = [sieve_of(nearby.where(f"k >= {k}"), "t") for k in LEVELS]
-    for turn in range(2):
-        counted = texts.mapInArrow(_postings(size, percent, rows, later), shape).groupBy("t").agg(F.count("*").alias("k"))
-        many = land(counted.where(f"k >= {LEVELS[0]}"))
-        if turn == 0:
-            later = later + [sieve_of(many.where(f"k >= {k}"), "t") for k in LEVELS]
-    # tokens of one set only are most of all: they are found by counting and not moved again
-    lists = texts.mapInArrow(_postings(size, percent, rows, later, sieve_of(many, "t")), shape).join(many.select("t"), "t", "left_semi")
-    lists = land(lists.dropDuplicates(["t", "v"]).withColumn("b", F.explode(F.array(_bucket("n", percent), _bucket("n", percent) + 1))))
-    several = land(lists.groupBy("t", "b").agg(F.count("*").alias("k")).where("k > 1").select("t", "b"))
-    return land(lists.join(several, ["t", "b"], "left_semi").select("t", "b", "v"))
+    levels = [f"k >= {k}" for k in LEVELS]
+    with landings() as own:
+        later = sieves_of(nearby, "t", *levels)
+        for turn in range(2):
+            counted = texts.mapInArrow(_postings(size, percent, rows, later), shape).groupBy("t").agg(F.count("*").alias("k"))
+            many = land(counted.where(levels[0]))
+            if turn == 0:
+                later = later + sieves_of(many, "t", *levels)
+        own.only(many)
+        # tokens of one set only are most of all: they are found by counting and not moved again
+        only = sieve_of(many, "t")
+        lists = texts.mapInArrow(_postings(size, percent, rows, later, only), shape).join(many.select("t"), "t", "left_semi")
+        lists = land(lists.dropDuplicates(["t", "v"]).withColumn("b", F.explode(F.array(_bucket("n", percent), _bucket("n", percent) + 1))))
+        own.only(lists)
+        for sieve in (*later, only):
+            sieve.destroy()
+        several = land(lists.groupBy("t", "b").agg(F.count("*").alias("k")).where("k > 1").select("t", "b"))
+        out = land(lists.join(several, ["t", "b"], "left_semi").select("t", "b", "v"))
+        own.only(out)
+        return out
 
 
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -358,7 +388,13 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     with nothing; fewer words than a shingle make one. Repeated rows share a class. A null doc_id belongs to its group
     but never names it; alone it has a null component_id. An empty table gives no rows; other columns are left out.
     """
-    docs = keyed(docs)
+    with landings() as own:
+        out = _classed(keyed(docs), size, percent, own)
+        own.only(out)
+        return out
+
+
+def _classed(docs: DataFrame, size: int, percent: int, own) -> DataFrame:
     first = land(docs.select("doc_id", "_rk", "text").mapInArrow(_members(size), MEMBER))
     members = first.where("v IS NOT NULL")
     nearby = land(first.where("token IS NOT NULL").groupBy(F.col("token").alias("t")).agg(F.sum("n").alias("k")))
@@ -367,12 +403,14 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     )
     vertices = land(vertices)
     texts = docs.select("_rk", "text")
-    lists = posting_lists(texts, sieve_of(vertices, "_rk"), nearby, size, percent)
+    rows = sieve_of(vertices, "_rk")
+    lists = posting_lists(texts, rows, nearby, size, percent)
+    rows.destroy()
+    own.only(first, vertices, lists)
     classes = _labelled(vertices.select("v", "low"), linked_vertices(lists, vertices, texts, size, percent))
     smallest = classes.groupBy("label").agg(F.min("low").alias("low"))
     named = land(classes.select("v", "label").join(smallest, "label").select("v", "label", F.col("low").alias("component_id")))
-    out = members.join(named, "v", "left")
-    return out.select(
+    return members.join(named, "v", "left").select(
         "doc_id", "_rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).alias("group"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -382,10 +420,17 @@ def one_of_each_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
 
     Rows without shingles are linked with nothing and all stay. Of rows that repeat id and text one stays.
     """
-    found = shingle_components(docs, size, percent)
+    with landings() as own:
+        out = _one_of_each(docs, shingle_components(docs, size, percent), own)
+        own.only(out)
+        return out
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame, own) -> DataFrame:
     first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rk")).alias("k")).select("k.doc_id", "k._rk")
     chosen = first.withColumn("_lone", F.lit(False)).unionByName(found.where("group IS NULL").select("doc_id", "_rk").distinct().withColumn("_lone", F.lit(True)))
     chosen = land(chosen).withColumnsRenamed({"doc_id": "_kept_id", "_rk": "_kept_rk"})
+    own.only(chosen)
     digest = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.withColumn("_digest", digest).join(chosen, (F.col("_digest") == F.col("_kept_rk")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
     rows = land(rows.drop("_kept_id", "_kept_rk"))

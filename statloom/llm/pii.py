@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.llm.base import KEY, join_documents, keyed, query, table
-from statloom.sources.landing import land
+from statloom.sources.landing import land, landings
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 # A match must begin where a run of its first class begins, or where the match before ended; elsewhere it cannot succeed
@@ -158,7 +158,15 @@ def personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     A null text is empty and has no spans; repeated rows get equal answers; an empty table gives no rows.
     """
     docs = keyed(docs)
-    base = base_spans(docs).drop("text")
+    with landings() as own:
+        more = _accepted(docs, precision)
+        own.only(more)
+    out = join_documents(base_spans(docs).drop("text"), more)
+    return out.withColumn("more", F.coalesce("more", F.array().cast("array<struct<s:bigint,kind:string,e:bigint,m:string>>")))
+
+
+def _accepted(docs: DataFrame, precision: float) -> DataFrame:
+    """(doc key, more): the candidates that the trees accept."""
     found = candidates(docs)
     for name, make in FEATURES.items():
         found = found.withColumn(f"f_{name}", make().cast("double"))
@@ -185,9 +193,7 @@ def personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
         accepted = scored(found).where((F.col("score") >= limit) & F.coalesce(F.col("label") > 0, F.lit(True)))
     else:
         accepted = found.where("false")
-    more = land(accepted.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "kind", "e", "m"))).alias("more")))
-    out = join_documents(base, more)
-    return out.withColumn("more", F.coalesce("more", F.array().cast("array<struct<s:bigint,kind:string,e:bigint,m:string>>")))
+    return land(accepted.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "kind", "e", "m"))).alias("more")))
 
 
 def _thresholds(grades: list[tuple[str, int, float, int]], precision: float) -> dict[str, float]:
@@ -224,17 +230,23 @@ def span_lists(found: DataFrame) -> tuple[Column, Column]:
     return _written(base), _written(F.concat(base, fresh))
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """(doc key, _spans): the base spans and more, sorted, of the documents that have any."""
+    spans = F.array_sort(F.concat(
+        _listed([(k, F.col(k)) for k in BASE_KINDS]),
+        F.transform("more", lambda x: F.struct(x.s.alias("s"), F.lit(len(BASE_KINDS)).alias("i"), x.kind.alias("k"), x.e.alias("e"))),
+    ))
+    return land(found.select(*KEY, spans.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(KEY))
+
+
 def redacted(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with every span found in ``text`` replaced by its kind in angle brackets; other columns as they are.
 
     Overlapping spans become one, named after the first. Null texts stay null.
     """
-    found = personal_data(docs, **settings)
-    spans = F.array_sort(F.concat(
-        _listed([(k, F.col(k)) for k in BASE_KINDS]),
-        F.transform("more", lambda x: F.struct(x.s.alias("s"), F.lit(len(BASE_KINDS)).alias("i"), x.kind.alias("k"), x.e.alias("e"))),
-    ))
-    spans = land(found.select(*KEY, spans.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(KEY))
+    with landings() as own:
+        spans = _merged(personal_data(docs, **settings))
+        own.only(spans)
     digest = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.withColumn("_digest", digest).alias("d").join(spans.alias("r"), (F.col("_digest") == F.col("r._rk")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("p"))

@@ -139,3 +139,75 @@ def test_components_are_made_once(documents, monkeypatch):
     rows = [(1, text), (2, text + " more"), (3, text + " more words"), (4, "quite another text of seven words")]
     assert found(documents(rows)) == components(rows)
     assert len(calls) == 1
+
+
+def landed_folders(spark):
+    from pathlib import Path
+
+    from statloom.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("landed-*")}
+
+
+def read_by(*frames):
+    return {x for df in frames for f in df.inputFiles() for x in f.split("/") if x.startswith("landed-")}
+
+
+def test_only_landed_tables_that_a_result_reads_stay(spark, documents):
+    """Each stage of the pipeline leaves no table behind that its result does not read."""
+    from statloom.llm.mixing import mixed
+    from statloom.llm.pii import redacted
+    from statloom.llm.toxicity import with_toxicity
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, text + " more words"), (3, text + " more words"), (4, "mail a.b@c.org or 10.0.0.1 now"), (5, None)]
+    docs = documents(rows)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([("q", "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id string, text string")
+    stages = {
+        "toxicity": (lambda: with_toxicity(docs, labels), 6), "near copies": (lambda: ngram_join.one_of_each_group(docs), 3),
+        "benchmark": (lambda: decontaminate.decontaminated(docs, items), 2), "personal data": (lambda: redacted(docs), 6), "mixing": (lambda: mixed(docs), 6),
+    }
+    for name, (stage, n) in stages.items():
+        before = landed_folders(spark)
+        out = stage()
+        assert landed_folders(spark) - before == read_by(out), name
+        assert out.count() == n, name
+
+
+def test_what_a_block_leaves_passes_to_the_block_around(spark):
+    from statloom.sources.landing import land, landings
+
+    before = landed_folders(spark)
+    with landings() as outer:
+        first = land(spark.range(3))
+        with landings() as inner:
+            second, third = land(spark.range(4)), land(spark.range(5))
+            inner.only(second)
+            assert first.count() == 3 and second.count() == 4 and landed_folders(spark) - before == read_by(first, second)
+        both = second.union(land(spark.range(6)))
+        outer.only(both)
+        assert landed_folders(spark) - before == read_by(both) and len(read_by(both)) == 2
+        outer.only()
+    assert landed_folders(spark) == before and third is not None
+
+
+def test_sieves_end_when_what_read_them_is_landed(spark, documents, monkeypatch):
+    made, one, several = [], ngram_join.sieve_of, ngram_join.sieves_of
+    monkeypatch.setattr(ngram_join, "sieve_of", lambda *a: (made.append(one(*a)), made[-1])[1])
+    monkeypatch.setattr(ngram_join, "sieves_of", lambda *a: (made.extend(out := several(*a)), out)[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, "quite another text of seven words")]
+    assert found(documents(rows)) == components(rows)
+    assert len(made) >= 10 and not any(b._jbroadcast.isValid() for b in made)
+
+
+def test_sieves_made_in_one_pass(spark):
+    rows = spark.createDataFrame([(i * 2654435761 * (-1) ** i, i) for i in range(1, 200)], "t bigint, k int")
+    levels = ["k >= 2", "k >= 24", "k >= 500"]
+    for sieve, level in zip(ngram_join.sieves_of(rows, "t", *levels), levels, strict=True):
+        alone = ngram_join.sieve_of(rows.where(level), "t")
+        assert np.array_equal(sieve.value, alone.value)
+        t = np.array([r.t for r in rows.where(level).collect()], dtype=np.int64)
+        assert ngram_join.passes(sieve.value, t).all()
