@@ -6,10 +6,15 @@ tables with different columns fit in one DataFrame.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from statloom.sources import landing
 
+HELD_BYTES = 64 * 1024 * 1024  # a longer file is not held as one value for its checksum
+STREAMS = 8  # files read at once for their checksums
+
 # Named entities seen in exported tables.
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
@@ -30,11 +35,40 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def list_documents(spark: SparkSession, root: str, glob: str = "*.xls") -> DataFrame:
-    """As ``list_files``, with checksum and content: for documents, each of which is one value."""
+    """As ``list_files``, with checksum and content: for documents, each of which is one value.
+
+    Checksums are right for files of any size: those above ``HELD_BYTES`` are streamed. Their content is read only where it is
+    asked for.
+    """
     parts = F.split("doc", "/")
-    return _files(spark, root, glob).select(
-        "doc", F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("_root")).alias("publisher"), F.col("length").alias("n_bytes"),
-        F.sha2("content", 256).alias("sha256"), "content")
+    most = min(HELD_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    files = _files(spark, root, glob)
+    long = files.where(F.col("length") > most)
+    digests = streamed_digests(spark, [r["path"] for r in long.select("path").collect()])
+    held = files.where(F.col("length") <= most).withColumn("sha256", F.sha2("content", 256))
+    both = held.unionByName(long.join(spark.createDataFrame(digests, "path string, sha256 string"), "path")) if digests else held
+    return both.select(
+        "doc", F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("_root")).alias("publisher"), F.col("length").alias("n_bytes"), "sha256", "content")
+
+
+def streamed_digests(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(path, sha256) of files of any size in any store that Spark reads.
+
+    A sha256 is one pass over its file, and Spark's readers give a file out whole or not at all, so the driver's JVM reads
+    these files in small pieces, ``STREAMS`` at once, and holds none of them.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def digest(name: str) -> tuple[str, str]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        stream = jvm.java.io.BufferedInputStream(path.getFileSystem(conf).open(path), 1 << 20)
+        try:
+            return name, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(STREAMS) as pool:
+        return [*pool.map(digest, paths)]
 
 
 def _literal(text: str) -> str:

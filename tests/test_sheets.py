@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +371,20 @@ def test_table_rules_see_equal_cells_once(spark, monkeypatch):
     warm = out.issues.where("issue_code = 'temperature_f_to_c'").first()
     assert (warm["example_before"], warm["example_after"]) == ("41 °F", "5.0")
     assert {(r["from_value"], r["rows_affected"]) for r in out.log.collect()} == {("usa", 180)}
+
+
+def test_checksums_of_files_too_long_for_one_value(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a b+é"
+    folder.mkdir()
+    texts = {"long.xls": bytes(range(256)) * 4000, "zeros.xls": bytes(900_000), "short.xls": b"<table>"}
+    for name, text in texts.items():
+        (folder / name).write_bytes(text)
+    monkeypatch.setattr(html, "HELD_BYTES", 1000, raising=False)
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")  # Spark refuses to hold a longer file
+    try:
+        found = {r["doc"]: (r["publisher"], r["n_bytes"], r["sha256"]) for r in html.list_documents(spark, str(tmp_path)).drop("content").collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert found == {f"a b+é/{name}": ("a b+é", len(text), hashlib.sha256(text).hexdigest()) for name, text in texts.items()}
+    assert {r["doc"]: bytes(r["content"]) for r in html.list_documents(spark, str(tmp_path)).collect()} == {f"a b+é/{name}": text for name, text in texts.items()}
