@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,17 @@ from statloom.functions import names, stats
 from statloom.functions.nulls import share_of
 from statloom.functions.numbers import strict_number
 from statloom.operators.ordered import attach, average_ranks, is_small, quantiles, running_totals, value_counts
-from statloom.sources.landing import land
+from statloom.sources.landing import land, unweighed
 
 NUMERIC_ROLE_SHARE = 0.5
 MIXED_LOW, MIXED_HIGH = 0.05, 0.95
 T1_ROWS, T2_ROWS, T1_COLUMNS = 200, 50, 4
 BIMODAL_ABOVE, HEAVY_TAIL_ABOVE, LOG_RATIO_ABOVE = 0.555, 2.0, 100.0
 RARE_COUNT = 3
+DIGESTS_HELD = 1 << 22  # digests that a task holds before it sorts and cuts them
+DIGESTS_OF_A_BLOCK = 1 << 21  # digests of a set of columns that are compared at once
+MOST_TASKS = 4096
+TURN = 21  # bits by which the digest of each further column of a set is turned
 
 DESCRIPTIVE_QUANTILES = {
     "p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99,
@@ -644,50 +650,130 @@ def composite_keys(df: DataFrame) -> list[str]:
     return picked
 
 
+def digest_blocks(hashed: DataFrame, sets: list[tuple[int, ...]], blocks: int, led: list[int] | None = None) -> DataFrame:
+    """(set, block, digests): 64-bit digests of the rows' values in each set of columns, as sorted runs of one block each.
+
+    ``hashed`` has a digest per column, ``sets`` name them by place. Rows do not travel one by one: a task sorts the digests
+    it holds, cuts them at block borders, which are those of all tasks, and gives each piece out as one value. A digest found
+    often goes out twice, which tells as much. ``led``: a column per set, whose digest is a multiple of 64 in the rows to look at.
+    """
+    turn, most = TURN, max(DIGESTS_HELD // max(len(sets), 1), 1)
+
+    def cut(i: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        d = np.sort(np.concatenate(held))
+        keep = np.ones(len(d), bool)
+        keep[2:] = d[2:] != d[:-2]
+        d = d[keep]
+        block = ((d >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        starts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1]
+        pieces = [d[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(d)])]
+        return pa.record_batch([pa.array(np.full(len(starts), i, np.int32)), pa.array(block[starts].astype(np.int32)), pa.array(pieces, pa.binary())], names=["set", "block", "digests"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes = [[] for _ in sets], [0] * len(sets)
+        for batch in batches:
+            h = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            for i, s in enumerate(sets):
+                d = h[s[0]]
+                for k, c in enumerate(s[1:], 1):
+                    d = d ^ (h[c] << np.uint64(turn * k % 64) | h[c] >> np.uint64(-turn * k % 64))
+                if led is not None:
+                    d = d[h[led[i]] & np.uint64(63) == 0]
+                if len(d):
+                    held[i].append(d)
+                    sizes[i] += len(d)
+                if sizes[i] >= most:
+                    yield cut(i, held[i])
+                    held[i], sizes[i] = [], 0
+        yield from (cut(i, held[i]) for i in range(len(sets)) if held[i])
+
+    return hashed.mapInArrow(pieces, "set int, block int, digests binary")
+
+
+def repeated_digests(pieces: DataFrame, tasks: int) -> DataFrame:
+    """(set, n_distinct, again) of ``digest_blocks``: a row per block with its number of different digests, then one per digest found again."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        d = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for chunk in table["digests"].chunks for x in chunk]))
+        new = d[1:] != d[:-1]
+        again = np.unique(d[1:][~new]).view(np.int64)
+        none = pa.nulls(1, pa.int64())
+        return pa.table({
+            "set": pa.array(np.full(len(again) + 1, table["set"][0].as_py(), np.int32)),
+            "n_distinct": pa.array(np.r_[int(new.sum()) + 1, np.zeros(len(again), np.int64)].astype(np.int64)),
+            "again": pa.concat_arrays([none, pa.array(again)])})
+
+    return pieces.repartition(tasks, "set", "block").groupBy("set", "block").applyInArrow(compare, "set int, n_distinct bigint, again bigint")
+
+
 def minimal_keys(df: DataFrame, cols: list[str] | None = None, most_columns: int = 3, at_once: int = 64) -> DataFrame:
     """(key_columns, n_columns): the smallest sets of columns, up to ``most_columns`` wide, whose values tell all rows apart.
 
     Level by level: a set is looked at only if none of its subsets is a key, none of its columns is constant and the product
     of the columns' distinct counts reaches the number of rows. Sets of a level are tested together, ``at_once`` in a job.
-    Rows travel as two 64-bit digests per set, in two steps: first the rows with a 64th of the values of the set's most
-    varied column, where digests that come twice settle that it is no key, then all rows for the sets that are left.
-    NULL equals NULL. Only names and counts per column come to the driver.
+    First the rows with a 64th of the values of a set's most varied column are looked at, where equal rows settle that it is no
+    key, then all rows for the sets that are left. Rows travel as one 64-bit digest per set, in sorted blocks: no digest twice
+    means no row twice. One that comes twice is looked up, and only rows with equal digests of 128 bits a value count as equal.
+    NULL equals NULL. Only names, counts per column and one digest per set come to the driver.
     """
     cols = names.data_columns(df.columns) if cols is None else list(cols)
     slim = df.select(*[F.col(f"`{c}`") for c in cols])
     n = slim.count()
     found: list[tuple[str, ...]] = []
+    blocks = n // DIGESTS_OF_A_BLOCK + 1
 
     def parts(s: tuple[str, ...]) -> list[Column]:
         # a digest passes over NULL, so each value says whether it is one
         return [x for c in s for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
 
-    def digests(sets: list[tuple[str, ...]], places: list[int] | None = None) -> Column:
-        return F.array(*[
-            F.struct(F.lit(i).alias("set"), F.xxhash64(*parts(sets[i])).alias("p"), F.xxhash64(F.lit("second"), *parts(sets[i][::-1])).alias("q"))
-            for i in (range(len(sets)) if places is None else places)])
+    def digest(s: tuple[str, ...]) -> Column:
+        """As ``digest_blocks`` makes it."""
+        turned = [(F.xxhash64(*parts((c,))), TURN * k % 64) for k, c in enumerate(s)]
+        return reduce(Column.bitwiseXOR, [F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k)) if k else h for h, k in turned])
 
-    def of_some_values(sets: list[tuple[str, ...]]) -> Column:
-        led: dict[str, list[int]] = {}
-        for i, s in enumerate(sets):
-            led.setdefault(max(s, key=distinct.get), []).append(i)
-        none = F.array().cast("array<struct<set:int,p:bigint,q:bigint>>")
-        return F.concat(*[
-            F.when(F.pmod(F.xxhash64(*parts((c,))), F.lit(64)) == 0, digests(sets, places)).otherwise(none) for c, places in led.items()])
+    def rows_with(wanted: dict[tuple[str, ...], int]) -> Column:
+        return F.explode(F.array_compact(F.array(*[
+            F.when(digest(s) == d, F.struct(F.lit(i).alias("set"), F.xxhash64(*parts(s)).alias("p"), F.xxhash64(F.lit("second"), *parts(s[::-1])).alias("q")))
+            for i, (s, d) in enumerate(wanted.items())])))
 
-    def with_repeats(sets: list[tuple[str, ...]], some: bool) -> set[tuple[str, ...]]:
-        each = of_some_values(sets) if some else digests(sets)
-        again = slim.select(F.inline(each)).groupBy("set", "p", "q").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("set").distinct()
-        return {sets[r["set"]] for r in again.collect()}
+    def compared(rows: DataFrame, used: list[str], sets: list[tuple[str, ...]], led: list[str] | None = None) -> DataFrame:
+        hashed = rows.select(*[F.xxhash64(*parts((c,))).alias(c) for c in used])
+        places = [tuple(used.index(c) for c in s) for s in sets]
+        pieces = digest_blocks(hashed, places, blocks, led and [used.index(c) for c in led])
+        return repeated_digests(pieces, min(len(sets) * blocks, MOST_TASKS))
 
-    each = slim.select(F.inline(digests([(c,) for c in cols]))).groupBy("set", "p", "q").agg(F.lit(1).alias("m"))
-    distinct = {cols[r["set"]]: r["d"] for r in each.groupBy("set").agg(F.count("m").alias("d")).collect()}
+    def with_repeats(sets: list[tuple[str, ...]], some: bool) -> set[tuple[str, ...]]:
+        led = [max(s, key=distinct.get) for s in sets]
+        rows = slim.where(reduce(or_, [F.xxhash64(*parts((c,))).bitwiseAND(F.lit(63)) == 0 for c in dict.fromkeys(led)])) if some else slim
+        with unweighed(df.sparkSession):
+            again = land(compared(rows, [c for c in cols if any(c in s for s in sets)], sets, led if some else None).where("again IS NOT NULL"))
+        same: set[tuple[str, ...]] = set()
+        while least := {sets[r["set"]]: r["again"] for r in again.groupBy("set").agg(F.min("again").alias("again")).collect()}:
+            wanted = [*least]
+            equal = rows.where(reduce(or_, [digest(s) == d for s, d in least.items()])).select(rows_with(least).alias("row"))
+            equal = equal.groupBy("row.set", "row.p", "row.q").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("set").distinct()
+            same |= {wanted[r["set"]] for r in equal.collect()}
+            # rarely: a digest of rows that differ
+            left = [(F.col("set") == sets.index(s)) & (F.col("again") > d) for s, d in least.items() if s not in same]
+            again = again.where(reduce(or_, left, F.lit(False)))
+        return same
+
+    distinct: dict[str, int] = {}
+    if n:
+        with unweighed(df.sparkSession):
+            each = compared(slim, cols, [(c,) for c in cols]).groupBy("set").agg(F.sum("n_distinct").alias("d")).collect()
+        distinct = {cols[r["set"]]: r["d"] for r in each}
+    # as digests may meet, a count may be a little too small
+    reach = {c: d + d // 1_000_000 for c, d in distinct.items()}
     found += [(c,) for c in cols if n and distinct[c] == n]
-    useful = [c for c in cols if n and 1 < distinct[c] < n]
+    near = [(c,) for c in cols if n and distinct[c] < n <= reach[c]]
+    repeated = with_repeats(near, False) if near else set()
+    found += [s for s in near if s not in repeated]
+    useful = [c for c in cols if n and distinct[c] > 1 and (c,) not in found]
     for width in range(2, most_columns + 1):
         sets = [
             s for s in combinations(useful, width)
-            if math.prod(distinct[c] for c in s) >= n and not any(set(k) <= set(s) for k in found)
+            if math.prod(reach[c] for c in s) >= n and not any(set(k) <= set(s) for k in found)
         ]
         for at in range(0, len(sets), at_once):
             block = sets[at: at + at_once]

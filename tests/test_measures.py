@@ -192,3 +192,23 @@ def test_minimal_keys_against_all_sets(spark, seed):
     want = {",".join(s) for s, yes in is_key.items() if yes and not any(is_key[t] and set(t) < set(s) for t in is_key)}
     found = profile.minimal_keys(spark.createDataFrame(rows, "a int, b int, c int, d int, e double"))
     assert {r["key_columns"] for r in found.collect()} == want and "a,b" in want
+
+
+def test_minimal_keys_sends_blocks_and_looks_equal_digests_up(spark, monkeypatch):
+    draw = random.Random(7)
+    rows = [(draw.choice([None, *range(25)]), draw.choice([0.0, -0.0, float("nan"), *map(float, range(20))]), draw.choice(["x", "y", None, ""]), i // 3) for i in range(300)]
+    names = list("abcd")
+    plain = [tuple("nan" if v != v else v for v in r) for r in rows]
+    is_key = {s: len({tuple(r[names.index(c)] for c in s) for r in plain}) == len(rows) for k in (1, 2, 3) for s in itertools.combinations(names, k)}
+    want = {",".join(s) for s, yes in is_key.items() if yes and not any(is_key[t] and set(t) < set(s) for t in is_key)}
+    df = spark.createDataFrame(rows, "a int, b double, c string, d int").repartition(3)
+    hashed = df.select(*[F.xxhash64(F.col(c), F.col(c).isNull()) for c in names])
+    assert profile.digest_blocks(hashed, [(0, 1), (1, 2, 3)], 5).count() <= 3 * 2 * 5  # of 600 digests
+    for held, size in ((1 << 22, 1 << 21), (40, 16)):
+        monkeypatch.setattr(profile, "DIGESTS_HELD", held)
+        monkeypatch.setattr(profile, "DIGESTS_OF_A_BLOCK", size)
+        assert {r["key_columns"] for r in profile.minimal_keys(df).collect()} == want
+    monkeypatch.setattr(profile, "TURN", 0)  # rows that differ meet: (0, 1) and (1, 0)
+    pairs = [(a, b, 0) for a in range(3) for b in range(4)]
+    for more, found in (([], {"a,b"}), ([(2, 3, 0)], set())):
+        assert {r["key_columns"] for r in profile.minimal_keys(spark.createDataFrame(pairs + more, "a int, b int, c int")).collect()} == found
