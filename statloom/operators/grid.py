@@ -5,12 +5,18 @@ A grid has key columns (``keys``), row_idx, col_idx and value (text, NULL = blan
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import types as T
 
 from statloom.functions.numbers import NUMBER_PATTERN, numeric_like, text_cell
 from statloom.functions.text import snake_name
 from statloom.operators.ordered import attach, only, with_halo
-from statloom.sources.landing import land
+from statloom.sources.landing import land, unweighed
 
 LOOK_AHEAD_ROWS = 5
 HEADER_WIDTH_UNIT = 200.0
@@ -18,7 +24,10 @@ SUSPICIOUS_SHARE = 0.3
 METADATA_REACH = 12
 METADATA_MIN_LABELS = 3
 CHUNK_ROWS = 100_000
-TASK_CELLS = 500_000  # filled cells for which a task more is taken
+HEADER_CHUNK_ROWS = 2_000
+TASK_CELLS = 2_000_000  # filled cells for which a task more is taken
+PACKED = 256  # cells that travel as one value
+CELLS_AT_ONCE = 500_000  # cells that a task scores at once
 
 # Labels of the block that precedes a published time series.
 METADATA_LABELS = (
@@ -38,80 +47,220 @@ def suspicious_name(c: Column) -> Column:
     return blank(c) | t.startswith("Unnamed:") | number | (F.length(t) > 100)
 
 
-def header_gate(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, real_header): does row 0 hold genuine column names?"""
-    first = grid.where(F.col("row_idx") == 0)
-    share = F.avg(F.when(suspicious_name(F.col("value")), 1.0).otherwise(0.0))
-    return first.groupBy(*keys).agg((share < SUSPICIOUS_SHARE).alias("real_header"))
+def sheet_facts(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _rows, _cols, _cells, real_header, _marked), landed: size and filled cells of every sheet, whether row 0 holds
+    genuine column names (NULL without a row 0) and the marked header row, all in one pass."""
+    v = F.col("value")
+    share = F.avg(F.when(F.col("row_idx") == 0, F.when(suspicious_name(v), 1.0).otherwise(0.0)))
+    marked = F.max(F.when(F.col("is_header"), F.col("row_idx"))) if "is_header" in grid.columns else F.lit(None).cast("int")
+    return land(grid.groupBy(*keys).agg(
+        (F.max("row_idx") + 1).alias("_rows"), (F.max("col_idx") + 1).alias("_cols"), F.count_if(~blank(v)).alias("_cells"),
+        (share < SUSPICIOUS_SHARE).alias("real_header"), marked.alias("_marked")))
 
 
-def header_scores(grid: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(keys, row_idx, _rows, score) for every row of every sheet that has a filled cell.
+def pack_cells(slim: DataFrame, keys: list[str], chunk_rows: int, after: int) -> DataFrame:
+    """(keys, _chunk, _packed): runs of up to ``PACKED`` cells of one chunk of a sheet as one value.
 
-    score = text density * distinct ratio * (0.4 + numeric share of the next five
-    rows) * filled width. Rows are cut into chunks that share five rows with the
-    next one, so a sheet of any length is spread over tasks. The grid is read twice: pass a landed one.
+    ``slim`` has keys, row_idx, _digest of a text and _is_number. A cell is its row in the chunk, what it is and its digest. Cells of
+    the ``after`` rows below a chunk go to it too. Wherever the cells of a sheet stand in the frame, the result is the same but
+    for the number of runs.
+    """
+    packed = PACKED
+    cell = np.dtype([("row", "<i4"), ("kind", "u1"), ("digest", "<i8")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = batch.column("row_idx").to_numpy()
+            digest = batch.column("_digest")
+            text = digest.is_valid().to_numpy(zero_copy_only=False)
+            cells = np.empty(len(row), cell)
+            cells["digest"] = digest.fill_null(0).to_numpy()
+            cells["kind"] = text + 2 * batch.column("_is_number").to_numpy()
+            changes = np.zeros(len(row), np.int32)
+            for k in keys:
+                changes[pc.run_end_encode(batch.column(k)).run_ends.to_numpy()[:-1]] = 1
+            sheet = np.cumsum(changes, dtype=np.int32)
+            home = row // chunk_rows
+            back = home - np.minimum(home, np.maximum((row - after) // chunk_rows, 0))
+            for step in range(int(back.max()) + 1):
+                at = np.flatnonzero(back >= step)
+                chunk = home[at] - step
+                new = np.flatnonzero((np.diff(sheet[at]) != 0) | (np.diff(chunk) != 0)) + 1
+                runs = np.r_[0, new, len(at)]
+                starts = np.concatenate([np.arange(x, y, packed) for x, y in zip(runs[:-1], runs[1:])]) if (np.diff(runs) > packed).any() else runs[:-1]
+                part = cells[at]
+                part["row"] = row[at] - chunk * chunk_rows
+                offsets = np.r_[starts, len(at)].astype(np.int32) * cell.itemsize
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(part.tobytes())])
+                first = pa.array(at[starts])
+                yield pa.record_batch([*[batch.column(k).take(first) for k in keys], pa.array(chunk[starts]), blobs], names=[*keys, "_chunk", "_packed"])
+
+    fields = [slim.schema[k] for k in keys]
+    shape = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("_chunk", T.LongType()), T.StructField("_packed", T.BinaryType())])
+    return slim.mapInArrow(pack, shape)
+
+
+def score_chunks(sorted_cells: DataFrame, keys: list[str], chunk_rows: int, after: int, best: bool) -> DataFrame:
+    """(keys, row_idx, _rows, score) of the rows of each chunk that have a filled cell, or of the first row with the best score of it.
+
+    In each partition a chunk is one record with its _chunk and the sheet's _rows and _cols, followed by records of ``pack_cells``.
+    Many chunks are scored at once; the cells of a chunk without end are added up as they come.
     """
+    at_once, wide, unit = CELLS_AT_ONCE, chunk_rows + 2 * after, HEADER_WIDTH_UNIT
+    cell = np.dtype([("row", "<i4"), ("kind", "u1"), ("digest", "<i8")])
+
+    def added(place, digest, text, n, numbers):
+        """Cells of one row with one text, or of one row without text, as one entry with counts, in order of place."""
+        order = np.lexsort((digest, text, place))
+        place, digest, text, n, numbers = (x[order] for x in (place, digest, text, n, numbers))
+        starts = np.flatnonzero(np.r_[True, (np.diff(place) != 0) | (np.diff(digest) != 0) | (text[1:] != text[:-1])])
+        return place[starts], digest[starts], text[starts], np.add.reduceat(n, starts), np.add.reduceat(numbers, starts)
+
+    def scored(entries, chunk, rows, cols):
+        """Number of the chunk, row and score; a place is the number of the chunk times ``wide`` plus the row in it."""
+        place, digest, text, n, numbers = entries
+        order = np.argsort(place, kind="stable")
+        place, digest, text, n, numbers = (x[order] for x in (place, digest, text, n, numbers))
+        starts = np.flatnonzero(np.r_[True, np.diff(place) != 0])
+        filled, numeric = np.add.reduceat(n, starts), np.add.reduceat(numbers, starts)
+        texts, distinct = np.add.reduceat(n * text, starts), np.add.reduceat(text.astype(np.int64), starts)
+        several = np.flatnonzero(np.repeat(distinct > 1, np.diff(np.r_[starts, len(place)])) & text)
+        if len(several):
+            # rows with more than one text: equal ones count once
+            where = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(place)]))[several]
+            order = np.lexsort((digest[several], where))
+            where, digests = where[order], digest[several][order]
+            distinct[distinct > 1] = 0
+            np.add.at(distinct, where[np.r_[True, (np.diff(where) != 0) | (np.diff(digests) != 0)]], 1)
+        at = place[starts]
+        below = np.zeros(len(at), np.int64)
+        for k in range(1, after + 1):
+            below[:-k] += np.where(at[k:] - at[:-k] <= after, numeric[k:], 0) if k < len(at) else 0
+        own = at % wide < chunk_rows
+        at, filled, texts, distinct, below = (x[own] for x in (at, filled, texts, distinct, below))
+        group = at // wide
+        row, size, across = at % wide + chunk[group] * chunk_rows, rows[group], cols[group]
+        n_below = np.minimum(after, size - 1 - row)
+        share = np.where(n_below > 0, below / np.where(n_below > 0, n_below * across, 1), 0.0)
+        score = (texts / filled) * (distinct / np.maximum(texts, 1)) * (0.4 + share) * (filled / unit)
+        if best and len(row):
+            known = np.where(np.isnan(score), -np.inf, score)
+            firsts = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+            top = np.repeat(np.maximum.reduceat(known, firsts), np.diff(np.r_[firsts, len(group)]))
+            _, first = np.unique(group[known == top], return_index=True)
+            kept = np.flatnonzero(known == top)[first]
+            group, row, score = group[kept], row[kept], score[kept]
+        return group, row, score
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = chunk = rows = cols = entries = None  # of the chunk that is still open
+
+        def done(k: int):
+            group, row, result = scored(tuple(x[entries[0] < k * wide] for x in entries), chunk, rows, cols)
+            return pa.record_batch(
+                [*[heads[key].take(pa.array(group)) for key in keys], pa.array(row), pa.array(rows[group]), pa.array(result, from_pandas=True)], names=[*keys, "row_idx", "_rows", "score"])
+
+        for whole in batches:
+            sizes = pc.binary_length(whole.column("_packed")).fill_null(0).to_numpy() // cell.itemsize
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // at_once)) + 1
+            for x, y in zip([0, *cuts], [*cuts, whole.num_rows]):
+                if x == y:
+                    continue
+                batch = whole.slice(x, y - x)
+                head = batch.column("_rows").is_valid().to_numpy(zero_copy_only=False)
+                open_ = 0 if chunk is None else len(chunk)
+                number = np.cumsum(head) - 1 + open_
+                new = batch.filter(pa.array(head))
+                values = {k: new.column(k) for k in keys}
+                parts = new.column("_chunk").to_numpy(), new.column("_rows").to_numpy(), new.column("_cols").cast(pa.float64()).to_numpy(zero_copy_only=False)
+                if open_:
+                    heads = {k: pa.concat_arrays([heads[k], values[k]]) for k in keys}
+                    chunk, rows, cols = (np.concatenate(z) for z in zip((chunk, rows, cols), parts))
+                else:
+                    heads, (chunk, rows, cols) = values, parts
+                cells = np.frombuffer(b"".join(batch.column("_packed").drop_null().to_pylist()), cell)
+                place = np.repeat(number, sizes[x:y]) * wide + cells["row"]
+                kind = cells["kind"]
+                fresh = place, cells["digest"].copy(), (kind & 1).astype(bool), np.ones(len(cells), np.int64), (kind >> 1).astype(np.int64)
+                entries = fresh if entries is None else tuple(np.concatenate(z) for z in zip(entries, fresh))
+                k = len(chunk) - 1
+                if k and (entries[0] < k * wide).any():
+                    yield done(k)
+                # the last chunk stays open
+                left = entries[0] >= k * wide
+                entries = (entries[0][left] - k * wide, *[z[left] for z in entries[1:]])
+                heads, chunk, rows, cols = {key: z.slice(k) for key, z in heads.items()}, chunk[k:], rows[k:], cols[k:]
+                if len(entries[0]) > at_once:
+                    entries = added(*entries)
+        if entries is not None and len(entries[0]):
+            yield done(1)
+
+    fields = [T.StructField(k, sorted_cells.schema[k].dataType) for k in keys]
+    shape = T.StructType([*fields, T.StructField("row_idx", T.LongType()), T.StructField("_rows", T.LongType()), T.StructField("score", T.DoubleType())])
+    return sorted_cells.mapInArrow(score, shape)
+
+
+def _scored(grid: DataFrame, keys: list[str], facts: DataFrame, chunk_rows: int, best: bool, some: bool = False) -> DataFrame:
+    """Scores of the sheets in ``facts``; ``some``: the grid has others too."""
     v = F.col("value")
-    size = land(grid.groupBy(*keys).agg(
-        (F.max("row_idx") + 1).alias("_rows"), (F.max("col_idx") + 1).alias("_cols"), F.count_if(~blank(v)).alias("_cells")
-    ))
     spark = grid.sparkSession
-    filled = size.agg(F.coalesce(F.sum("_cells"), F.lit(0))).first()[0]
+    filled = facts.agg(F.coalesce(F.sum("_cells"), F.lit(0))).first()[0]
+    if not filled:
+        return spark.createDataFrame([], T.StructType([*[grid.schema[k] for k in keys], grid.schema["row_idx"], facts.schema["_rows"], T.StructField("score", T.DoubleType())]))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), filled // TASK_CELLS)
-    is_text = text_cell(v)
-    # Blank cells count for the size only. The others travel once, to the task of their chunk, where cells are
-    # added up per row and text and then per row.
-    slim = grid.where(~blank(v)).select(
-        *keys, "row_idx", F.when(is_text, F.xxhash64(F.lower(F.trim(v)))).alias("_digest"), numeric_like(v).cast("int").alias("_is_number"))
-    chunked = with_halo(slim, "row_idx", chunk_rows, after=LOOK_AHEAD_ROWS).repartition(tasks, *keys, "_chunk")
-    place = [*keys, "_chunk", "_own", "row_idx"]
-    per_text = chunked.groupBy(*place, "_digest").agg(F.count(F.lit(1)).alias("_n"), F.sum("_is_number").alias("_numbers"))
-    per_row = per_text.groupBy(*place).agg(
-        F.sum("_n").alias("_filled"),
-        F.coalesce(F.sum(F.when(F.col("_digest").isNotNull(), F.col("_n"))), F.lit(0)).alias("_text"),
-        F.count("_digest").alias("_distinct"),
-        F.sum("_numbers").alias("_numeric"),
-    )
-    ahead = W.partitionBy(*keys, "_chunk").orderBy("row_idx").rangeBetween(1, LOOK_AHEAD_ROWS)
-    below = per_row.withColumn("_below", F.coalesce(F.sum("_numeric").over(ahead), F.lit(0)))
-    rows = attach(below.where("_own"), size.drop("_cells"), keys)
-    n_below = F.least(F.lit(LOOK_AHEAD_ROWS), F.col("_rows") - 1 - F.col("row_idx"))
-    share_below = F.when(n_below > 0, F.col("_below") / (n_below * F.col("_cols"))).otherwise(0.0)
-    score = (
-        (F.col("_text") / F.col("_filled"))
-        * (F.col("_distinct") / F.greatest(F.col("_text"), F.lit(1)))
-        * (F.lit(0.4) + share_below)
-        * (F.col("_filled") / HEADER_WIDTH_UNIT)
-    )
-    return rows.select(*keys, "row_idx", "_rows", score.alias("score"))
+    # Blank cells count for the size only. The others travel once, packed, to the task of their chunk; whole sheets are told
+    # apart there, so that no join and no aggregate sees single cells.
+    lettered = v.rlike("[A-DF-Za-df-z]")  # a text and no number, as the longer rules would find
+    slim = grid.where(~blank(v) & F.col("row_idx").isNotNull()).select(
+        *keys, F.col("row_idx").cast("long").alias("row_idx"),
+        F.when(F.when(lettered, True).otherwise(text_cell(v)), F.xxhash64(F.lower(F.trim(v)))).alias("_digest"),
+        F.when(lettered, 0).otherwise(numeric_like(v).cast("int")).alias("_is_number"))
+    packed = pack_cells(slim, keys, chunk_rows, LOOK_AHEAD_ROWS)
+    packed = only(packed, facts, keys) if some else packed
+    last = F.floor((F.col("_rows") - 1) / F.lit(chunk_rows))
+    heads = facts.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"), F.col("_rows").cast("long").alias("_rows"), F.col("_cols").cast("long").alias("_cols"))
+    both = heads.unionByName(packed, allowMissingColumns=True).repartition(tasks, *keys, "_chunk")
+    scores = score_chunks(both.sortWithinPartitions(*keys, "_chunk", F.col("_rows").desc_nulls_last()), keys, chunk_rows, LOOK_AHEAD_ROWS, best)
+    with unweighed(spark):  # records are of some 3 KB at most
+        return land(scores.withColumns({c: F.col(c).cast(t) for c, t in (("row_idx", grid.schema["row_idx"].dataType), ("_rows", facts.schema["_rows"].dataType))}))
+
+
+def header_scores(grid: DataFrame, keys: list[str], chunk_rows: int = HEADER_CHUNK_ROWS) -> DataFrame:
+    """(keys, row_idx, _rows, score) for every row of every sheet that has a filled cell, landed.
 
+    score = text density * distinct ratio * (0.4 + numeric share of the next five
+    rows) * filled width. Rows are cut into chunks that share five rows with the
+    next one, so a sheet of any length is spread over tasks. The grid is read twice: pass a landed or cheap one.
+    """
+    return _scored(grid, keys, sheet_facts(grid, keys), chunk_rows, False)
 
-def detect_header_row(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, header_row): the first row with the best score of the whole sheet; 0 for one-row sheets."""
+
+def _best_rows(scores: DataFrame, keys: list[str]) -> DataFrame:
     best = F.max(F.struct("score", (-F.col("row_idx")).alias("r"))).alias("_best")
-    found = header_scores(grid, keys).groupBy(*keys).agg(best, F.max("_rows").alias("_rows"))
+    found = scores.groupBy(*keys).agg(best, F.max("_rows").alias("_rows"))
     return found.select(
         *keys, F.when(F.col("_rows") < 2, F.lit(0)).otherwise(-F.col("_best.r")).cast("int").alias("header_row")
     )
 
 
+def detect_header_row(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, header_row): the first row with the best score of the whole sheet; 0 for one-row sheets."""
+    return _best_rows(_scored(grid, keys, sheet_facts(grid, keys), HEADER_CHUNK_ROWS, True), keys)
+
+
 def header_rows(grid: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, header_row, detected): marked header, else a genuine row 0, else the detected row.
 
-    Only sheets that have neither of the first two are searched, over all their rows. The grid is read several times: pass
-    a landed one.
+    Only sheets that have neither of the first two are searched, over all their rows. The grid is read twice: pass
+    a landed or cheap one.
     """
-    gate = header_gate(grid, keys)
-    if "is_header" in grid.columns:
-        marked = grid.where("is_header").groupBy(*keys).agg(F.max("row_idx").alias("_marked"))
-        gate = attach(gate, marked, keys, "left")
-    else:
-        gate = gate.withColumn("_marked", F.lit(None).cast("int"))
     given = F.col("_marked").isNotNull() | F.coalesce(F.col("real_header"), F.lit(False))
-    gate = land(gate.withColumn("_given", given))
-    searched = only(grid, gate.where("NOT _given"), keys)
-    found = attach(gate, detect_header_row(searched, keys), keys, "left")
+    gate = sheet_facts(grid, keys).where(F.col("real_header").isNotNull()).withColumn("_given", given)
+    some = not gate.where("_given").isEmpty()
+    detected = _best_rows(_scored(grid, keys, gate.where("NOT _given"), HEADER_CHUNK_ROWS, True, some), keys)
+    found = attach(gate, detected, keys, "left")
     row = F.coalesce("_marked", F.when(F.col("real_header"), F.lit(0)), "header_row", F.lit(0))
     return found.select(*keys, row.alias("header_row"), (~F.col("_given")).alias("detected"))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -388,3 +389,29 @@ def test_checksums_of_files_too_long_for_one_value(spark, tmp_path, monkeypatch)
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
     assert found == {f"a b+é/{name}": ("a b+é", len(text), hashlib.sha256(text).hexdigest()) for name, text in texts.items()}
     assert {r["doc"]: bytes(r["content"]) for r in html.list_documents(spark, str(tmp_path)).collect()} == {f"a b+é/{name}": text for name, text in texts.items()}
+
+
+def test_header_search_packs_cells_before_they_travel(spark, monkeypatch):
+    draw = random.Random(5)
+    kinds = [["a", "b", "A "], ["note", None, " "], ["1", "2,000", "£3"], ["x", "4", "1e5"], [None, None, None], ["7", "-", "8.5"], ["12", "e", "3.5 kg"]]
+    sheets = {name: [draw.choice(kinds) for _ in range(draw.randrange(2, 40))] for name in (None, "", "a", "b", "c", "d")}
+    sheets["given"] = [["Year", "Area", "Share"], *sheets["d"]]
+    cells = [(s, r, c, v) for s, rows in sheets.items() for r, row in enumerate(rows) for c, v in enumerate(row)]
+    shape = "sheet string, row_idx int, col_idx int, value string"
+    in_order = land(spark.createDataFrame(cells, shape).coalesce(1))
+    slim = in_order.select("sheet", F.col("row_idx").cast("long").alias("row_idx"), F.xxhash64("value").alias("_digest"), F.lit(0).alias("_is_number"))
+    assert grid.pack_cells(slim, ["sheet"], 2000, 5).count() == len(sheets)
+    draw.shuffle(cells)
+    mixed = land(spark.createDataFrame(cells, shape).repartition(5))
+    want = {s: plain_scores(rows) for s, rows in sheets.items()}
+    for packed, at_once, chunk_rows in ((256, 500_000, 2000), (2, 7, 4), (1, 3, 50)):
+        monkeypatch.setattr(grid, "PACKED", packed)
+        monkeypatch.setattr(grid, "CELLS_AT_ONCE", at_once)
+        monkeypatch.setattr(grid, "HEADER_CHUNK_ROWS", chunk_rows)
+        for frame in (in_order, mixed):
+            got = grid.header_scores(frame, ["sheet"], chunk_rows).collect()
+            assert {s: {r["row_idx"]: r["score"] for r in got if r["sheet"] == s} for s in sheets} == {s: pytest.approx(x) for s, x in want.items()}
+        heads = {r["sheet"]: (r["header_row"], r["detected"]) for r in grid.header_rows(mixed, ["sheet"]).collect()}
+        assert set(heads) == set(sheets) and heads["given"] == (0, False)
+        for s, (row, detected) in heads.items():
+            assert not detected or (want[s][row], -row) >= max((x - 1e-12, -r) for r, x in want[s].items())

@@ -128,7 +128,7 @@ def _(spark, d):
     header = F.concat(F.lit("Column "), F.col("col_idx"))
     value = F.when(F.col("row_idx") < F.col("k"), F.when(F.col("col_idx") == 0, F.concat(F.lit("Note "), "row_idx"))).when(
         F.col("row_idx") == F.col("k"), header).otherwise(F.format_string("%.2f", F.col("c_acctbal") + F.col("col_idx")))
-    return grid.header_rows(land(cells_.select(F.col("c_name").alias("sheet"), "row_idx", "col_idx", value.alias("value"))), ["sheet"])
+    return grid.header_rows(cells_.select(F.col("c_name").alias("sheet"), "row_idx", "col_idx", value.alias("value")), ["sheet"])
 
 
 @query("metadata_anywhere_d4", "sheet:s n_labels:i meta_last_row:i", """SELECT s_name AS sheet, 5 AS n_labels, s_suppkey % 60 + 14 AS meta_last_row FROM supplier""")
