@@ -156,6 +156,7 @@ def score_chunks(sorted_cells: DataFrame, keys: list[str], chunk_rows: int, afte
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = chunk = rows = cols = entries = None  # of the chunk that is still open
+        kept = 0  # its entries when they were last added up
 
         def done(k: int):
             group, row, result = scored(tuple(x[entries[0] < k * wide] for x in entries), chunk, rows, cols)
@@ -192,8 +193,10 @@ def score_chunks(sorted_cells: DataFrame, keys: list[str], chunk_rows: int, afte
                 left = entries[0] >= k * wide
                 entries = (entries[0][left] - k * wide, *[z[left] for z in entries[1:]])
                 heads, chunk, rows, cols = {key: z.slice(k) for key, z in heads.items()}, chunk[k:], rows[k:], cols[k:]
-                if len(entries[0]) > at_once:
+                kept = 0 if k else kept
+                if len(entries[0]) > max(at_once, 2 * kept):
                     entries = added(*entries)
+                    kept = len(entries[0])
         if entries is not None and len(entries[0]):
             yield done(1)
 
